@@ -266,10 +266,10 @@ def log2_fold_change(spark, d):
 
 @query("concatenated_systems", "A41", with_ctes(CONDITIONS_SQL, """
 sy AS (SELECT condition, row_number() OVER (ORDER BY condition) - 1 AS k FROM (SELECT DISTINCT condition FROM co))""", select="""
-SELECT unit + k * (SELECT max(unit) FROM co) AS unit, round(avg(value), 6) AS mean, count(*) AS n FROM co JOIN sy USING (condition) GROUP BY 1"""))
+SELECT unit + k * (SELECT max(unit) FROM co) AS unit, round(sum(value), 2) AS total, count(*) AS n FROM co JOIN sy USING (condition) GROUP BY 1"""))
 def concatenated_systems(spark, d):
-    out = rollups.concatenated_systems(condition_orders(spark, d), "condition", "unit").groupBy("unit").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return rounded(out.withColumn("unit", F.col("unit").cast("long")), "mean", places=6)
+    out = rollups.concatenated_systems(condition_orders(spark, d), "condition", "unit").groupBy("unit").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    return rounded(out.withColumn("unit", F.col("unit").cast("long")), "total", places=2)
 
 
 @query("class_statistics", "A42 U2", """
