@@ -120,7 +120,7 @@ def possible_position_pairs(length_a: int, length_b: int, n_a: int, n_b: int, sa
     """Possible pairs per position cell (i, j) of two species, by filter."""
     grid = spark.range(length_a).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(length_b - 1))))
     far = (F.abs(F.col("i") - F.col("j")) > exclusion).cast("double")
-    inter = F.lit(float(n_a * (n_a - 1))) if same else F.lit(float(n_a * n_b))
+    inter = F.lit(n_a * max(n_a - 1, 0) / 2) if same else F.lit(float(n_a * n_b))
     intra = far * n_a if same else F.lit(0.0)
     return grid.select("i", "j", inter.alias("n_inter"), intra.alias("n_intra"), (inter + intra).alias("n_combined"))
 

@@ -1,6 +1,6 @@
 """Named queries over the given tables, one module per operator family."""
 
 from trajstats.plans.registry import QUERIES
-from trajstats.plans import lag_plans, rollup_plans, series_plans, space_plans
+from trajstats.plans import lag_plans, rollup_plans, scan_plans, series_plans, space_plans
 
 __all__ = ["QUERIES"]
