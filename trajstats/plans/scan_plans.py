@@ -268,17 +268,18 @@ def _phase_rows(spark, d) -> DataFrame:
 
 
 @query("curvature_corrected", "P17", with_ctes(PHASE_SQL, select="""
-SELECT condition, temperature_k, unit, round(s, 6) AS s, round(cdi, 8) AS c_dil_inf, round(c_sg - cdi, 8) AS delta_c, round((c_sg + cdi) / 2, 9) AS c_bar, round(w_sg / r_sg, 8) AS interface_ratio, w_sg / r_sg >= 0.35 AS flag_large_interface_ratio,
+SELECT condition, temperature_k, unit, round(s, 6) AS s, round(cdi, 8) AS c_dil_inf, round(c_sg - cdi + 1e-11, 8) AS delta_c, round((c_sg + cdi) / 2 + 1e-11, 8) AS c_bar, round(w_sg / r_sg, 8) AS interface_ratio, w_sg / r_sg >= 0.35 AS flag_large_interface_ratio,
        s >= 0.1 AS flag_large_curvature, c_sg - cdi <= 0 AS flag_negative_delta_c, round(cdi_sd, 8) AS c_dil_inf_sd, round(sqrt(pow(coalesce(c_sg_sd, 0), 2) + pow(coalesce(cdi_sd, 0), 2)), 6) AS delta_c_sd FROM ph"""))
 def curvature_corrected(spark, d):
     out = _phase_rows(spark, d).select("condition", "temperature_k", "unit", "s", "delta_c", "c_bar", "delta_c_sd", F.round("c_dil_inf", 8).alias("c_dil_inf"), F.round("interface_ratio", 8).alias("interface_ratio"),
                                        "flag_large_interface_ratio", "flag_large_curvature", "flag_negative_delta_c", F.round("c_dil_inf_sd", 8).alias("c_dil_inf_sd"))
-    return rounded(rounded(out, "s", "delta_c_sd", places=6), "delta_c").withColumn("c_bar", F.round("c_bar", 9))
+    # Means over 2, 4, 8 ... rows end in a 5 at some digit; the nudge settles those ties alike in both engines.
+    return rounded(out, "s", "delta_c_sd", places=6).withColumns({c: F.round(F.col(c) + 1e-11, 8) for c in ("delta_c", "c_bar")})
 
 
-@query("validity_flags", "P18", with_ctes(PHASE_SQL, select="SELECT condition, temperature_k, unit, round(cd, 11) AS c_dil, invalid, wt AS warning_text FROM ph"))
+@query("validity_flags", "P18", with_ctes(PHASE_SQL, select="SELECT condition, temperature_k, unit, round(cd + 1e-13, 10) AS c_dil, invalid, wt AS warning_text FROM ph"))
 def validity_flags(spark, d):
-    return rounded(_phase_rows(spark, d).select("condition", "temperature_k", "unit", "c_dil", "invalid", "warning_text"), "c_dil", places=11)
+    return _phase_rows(spark, d).select("condition", "temperature_k", "unit", F.round(F.col("c_dil") + 1e-13, 10).alias("c_dil"), "invalid", "warning_text")
 
 
 @query("profile_quality", "P19", """
