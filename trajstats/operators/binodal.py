@@ -13,12 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trajstats.session import cut_lineage
+
 # The critical exponent, the sigma floor and the range of Tc above the data.
 BETA = 0.325
 SIGMA_FLOOR = 0.05
 TC_RANGE = (0.1, 100.0)
-LEVELS = 5
-POINTS = 41
+LEVELS = 3
+POINTS = 161
 
 
 def effective_sigma(value: Column, sd: Column, floor: float = SIGMA_FLOOR) -> Column:
@@ -84,20 +86,25 @@ def binodal_fit(rows: DataFrame, keys: Sequence[str], *, c_c: str | None = None,
     used = rows.filter("c_sg IS NOT NULL AND c_dil_inf IS NOT NULL AND temperature_k IS NOT NULL")
     span = F.col(bound) if isinstance(bound, str) else F.lit(float(bound))
     top = used.groupBy(*keys).agg(F.max("temperature_k").alias("_top"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points)
-    extra = [x for x in (c_c, b, bound if isinstance(bound, str) else None) if x and x not in keys]
+    extra = [x for x in dict.fromkeys((c_c, b, bound if isinstance(bound, str) else None)) if x and x not in keys]
     base = used.join(top, list(keys)).select(
         *keys, *extra, "temperature_k", "c_sg", "c_dil_inf", "_top",
         F.pow(effective_sigma(F.col("c_sg"), F.col("c_sg_sd")), F.lit(-2)).alias("_w1"), F.pow(effective_sigma(F.col("c_dil_inf"), F.col("c_dil_inf_sd")), F.lit(-2)).alias("_w2"),
     )
     first, last = F.col("_top") + TC_RANGE[0], F.col("_top") + span
+    # One row per point of a reduced curve; every level starts from a written table, so
+    # the plan of a level does not hold the plans of the levels before it.
+    base = cut_lineage(base)
     rows_now = base.withColumn("_lo", first).withColumn("_step", (last - first) / (POINTS - 1))
     found = None
     for level in range(LEVELS):
+        widths = rows_now.groupBy(*keys).agg(F.max("_step").alias("_half"))
         found = _best_at(rows_now, keys, F.col(c_c) if c_c else None, F.col(b) if b else None, (F.col("_lo"), F.col("_step")))
         if level < LEVELS - 1:
-            near = found.select(*keys, F.col("f.tc").alias("_tc"))
-            rows_now = rows_now.join(near, list(keys)).withColumn("_half", F.col("_step")).withColumn("_lo", F.greatest(F.col("_tc") - F.col("_half"), first))
+            near = cut_lineage(found.join(widths, list(keys)).select(*keys, F.col("f.tc").alias("_tc"), "_half"))
+            rows_now = base.join(near, list(keys)).withColumn("_lo", F.greatest(F.col("_tc") - F.col("_half"), first))
             rows_now = rows_now.withColumn("_step", (F.least(F.col("_tc") + F.col("_half"), last) - F.col("_lo")) / (POINTS - 1)).drop("_tc", "_half")
+    found = cut_lineage(found)
     marks = base.groupBy(*keys).agg(*[F.max(x).alias(x) for x in extra], F.max("_top").alias("_top"))
     f = F.col("f")
     out = found.join(marks, list(keys))

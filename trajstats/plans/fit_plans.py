@@ -28,12 +28,12 @@ def _branches(spark, d) -> DataFrame:
 
 
 def binodal_sql(src: str, k: str, fixed_cc: str = "", fixed_b: str = "", bound: str = "100.0", tag: str = "") -> str:
-    """Grid search over Tc with closed-form linear parameters, five levels, as CTE text."""
+    """Grid search over Tc with closed-form linear parameters, three levels, as CTE text."""
     sig = "pow(greatest(CASE WHEN {s} > 0 THEN {s} ELSE 0.05::DOUBLE * greatest(abs({v}), 1e-6) END, 0.05::DOUBLE * greatest(abs({v}), 1e-6)), -2)"
     shift = (fixed_cc or "0.0::DOUBLE") + (f" + {fixed_b} * dl" if fixed_b else "")
-    out = [f"""b{tag}0 AS (SELECT s.*, top, {sig.format(s='c_sg_sd', v='c_sg')} AS w1, {sig.format(s='c_dil_inf_sd', v='c_dil_inf')} AS w2, top + 0.1::DOUBLE AS lo, ({bound} - 0.1::DOUBLE) / 40 AS step
+    out = [f"""b{tag}0 AS MATERIALIZED (SELECT s.*, top, {sig.format(s='c_sg_sd', v='c_sg')} AS w1, {sig.format(s='c_dil_inf_sd', v='c_dil_inf')} AS w2, top + 0.1::DOUBLE AS lo, ({bound} - 0.1::DOUBLE) / 160 AS step
   FROM {src} s JOIN (SELECT {k}, max(temperature_k) AS top FROM {src} GROUP BY ALL HAVING count(*) >= 3) USING ({k}))"""]
-    for level in range(5):
+    for level in range(3):
         if not fixed_cc and not fixed_b:
             solve = """m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det, m11 * m22 - m12 * m12 AS det0,
   v1 * (m22 * m33 - m23 * m23) - m12 * (v2 * m33 - m23 * v3) + m13 * (v2 * m23 - m22 * v3) AS n1, m11 * (v2 * m33 - m23 * v3) - v1 * (m12 * m33 - m23 * m13) + m13 * (m12 * v3 - v2 * m13) AS n2,
@@ -45,28 +45,28 @@ def binodal_sql(src: str, k: str, fixed_cc: str = "", fixed_b: str = "", bound:
         else:
             solve = "m33 AS det, v3 AS n3"
             params = "0.0::DOUBLE AS cc, 0.0::DOUBLE AS bb, greatest(n3 / det, 0) AS aa"
-        out.append(f"""g{tag}{level} AS (SELECT *, lo + g.g * step AS tc, greatest(lo + g.g * step - temperature_k, 1e-12) AS dl FROM b{tag}{level}, range(41) g(g)),
+        out.append(f"""g{tag}{level} AS (SELECT *, lo + g.g * step AS tc, greatest(lo + g.g * step - temperature_k, 1e-12) AS dl FROM b{tag}{level}, range(161) g(g)),
 h{tag}{level} AS (SELECT *, pow(dl, 0.325::DOUBLE) / 2 AS q, c_sg - ({shift}) AS y1, c_dil_inf - ({shift}) AS y2 FROM g{tag}{level}),
 m{tag}{level} AS (SELECT {k}, tc, count(*) AS n, sum(w1 + w2) AS m11, sum((w1 + w2) * dl) AS m12, sum((w1 + w2) * dl * dl) AS m22, sum((w1 - w2) * q) AS m13, sum((w1 - w2) * dl * q) AS m23, sum((w1 + w2) * q * q) AS m33,
   sum(w1 * y1 + w2 * y2) AS v1, sum((w1 * y1 + w2 * y2) * dl) AS v2, sum((w1 * y1 - w2 * y2) * q) AS v3, sum(w1 * y1 * y1 + w2 * y2 * y2) AS yy FROM h{tag}{level} GROUP BY {k}, tc),
 s{tag}{level} AS (SELECT *, {solve} FROM m{tag}{level}), p{tag}{level} AS (SELECT *, {params} FROM s{tag}{level}),
 e{tag}{level} AS (SELECT *, greatest(yy - 2 * (cc * v1 + bb * v2 + aa * v3) + cc * cc * m11 + bb * bb * m22 + aa * aa * m33 + 2 * (cc * bb * m12 + cc * aa * m13 + bb * aa * m23), 0) AS sse FROM p{tag}{level}),
-f{tag}{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY sse, tc) AS rn FROM e{tag}{level}) WHERE rn = 1)""")
-        if level < 4:
-            out.append(f"""b{tag}{level + 1} AS (SELECT b.* REPLACE (greatest(f.tc - b.step, top + 0.1::DOUBLE) AS lo, (least(f.tc + b.step, top + {bound}) - greatest(f.tc - b.step, top + 0.1::DOUBLE)) / 40 AS step)
+f{tag}{level} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY sse, tc) AS rn FROM e{tag}{level}) WHERE rn = 1)""")
+        if level < 2:
+            out.append(f"""b{tag}{level + 1} AS MATERIALIZED (SELECT b.* REPLACE (greatest(f.tc - b.step, top + 0.1::DOUBLE) AS lo, (least(f.tc + b.step, top + {'b.' + bound if bound.isalpha() else bound}) - greatest(f.tc - b.step, top + 0.1::DOUBLE)) / 160 AS step)
   FROM b{tag}{level} b JOIN f{tag}{level} f ON {' AND '.join(f'f.{c.strip()} = b.{c.strip()}' for c in k.split(','))})""")
     return ",\n".join(out)
 
 
 @query("binodal_fit", "F6 F10", with_ctes(BRANCH_SQL, binodal_sql("br", "condition"), select="""
-SELECT condition, round(tc, 2) AS tc, round(cc, 1) AS c_c, round(aa, 1) AS a, round(bb, 2) AS b, round(sqrt(sse / (2 * n)), 4) AS rmse, n AS n_points FROM f4"""))
+SELECT condition, round(tc, 2) AS tc, round(cc, 1) AS c_c, round(aa, 1) AS a, round(bb, 2) AS b, round(sqrt(sse / (2 * n)), 4) AS rmse, n AS n_points FROM f2"""))
 def binodal_fit(spark, d):
     out = binodal.binodal_fit(_branches(spark, d), ["condition"])
     return out.select("condition", F.round("tc", 2).alias("tc"), F.round("c_c", 1).alias("c_c"), F.round("a", 1).alias("a"), F.round("b", 2).alias("b"), F.round("rmse", 4).alias("rmse"), "n_points")
 
 
 CONTROL_SQL = binodal_sql("brc", "condition", tag="c")
-CONTROLLED_SQL = BRANCH_SQL + ", brc AS (SELECT * FROM br WHERE condition = 'BUILDING'),\n" + CONTROL_SQL + ",\nbrf AS (SELECT br.*, f.cc AS fcc, f.bb AS fb FROM br, fc4 f WHERE br.condition <> 'BUILDING')"
+CONTROLLED_SQL = BRANCH_SQL + ", brc AS (SELECT * FROM br WHERE condition = 'BUILDING'),\n" + CONTROL_SQL + ",\nbrf AS (SELECT br.*, f.cc AS fcc, f.bb AS fb FROM br, fc2 f WHERE br.condition <> 'BUILDING')"
 
 
 def _with_control(spark, d) -> DataFrame:
@@ -76,14 +76,14 @@ def _with_control(spark, d) -> DataFrame:
 
 
 @query("binodal_fit_fixed_slope", "F7", with_ctes(CONTROLLED_SQL, binodal_sql("brf", "condition", fixed_b="fb", tag="k"), select="""
-SELECT condition, round(tc, 2) AS tc, round(cc, 1) AS c_c, round(aa, 1) AS a, round(sqrt(sse / (2 * n)), 4) AS rmse FROM fk4"""))
+SELECT condition, round(tc, 2) AS tc, round(cc, 1) AS c_c, round(aa, 1) AS a, round(sqrt(sse / (2 * n)), 4) AS rmse FROM fk2"""))
 def binodal_fit_fixed_slope(spark, d):
     out = binodal.binodal_fit(_with_control(spark, d), ["condition"], b="fb")
     return out.select("condition", F.round("tc", 2).alias("tc"), F.round("c_c", 1).alias("c_c"), F.round("a", 1).alias("a"), F.round("rmse", 4).alias("rmse"))
 
 
 @query("binodal_fit_fixed_diameter", "F7", with_ctes(CONTROLLED_SQL, binodal_sql("brf", "condition", fixed_cc="fcc", fixed_b="fb", tag="k"), select="""
-SELECT condition, round(tc, 2) AS tc, round(aa, 1) AS a, round(sqrt(sse / (2 * n)), 4) AS rmse FROM fk4"""))
+SELECT condition, round(tc, 2) AS tc, round(aa, 1) AS a, round(sqrt(sse / (2 * n)), 4) AS rmse FROM fk2"""))
 def binodal_fit_fixed_diameter(spark, d):
     out = binodal.binodal_fit(_with_control(spark, d), ["condition"], c_c="fcc", b="fb")
     return out.select("condition", F.round("tc", 2).alias("tc"), F.round("a", 1).alias("a"), F.round("rmse", 4).alias("rmse"))
@@ -111,16 +111,16 @@ rs AS (SELECT condition, replicate, temperature_k, greatest(CASE WHEN c_sg_sd >
   greatest(CASE WHEN c_dil_inf_sd > 0 THEN c_dil_inf + c_dil_inf_sd * {normal_sql('replicate', 'temperature_k', '2')} ELSE c_dil_inf END, 0) AS c_dil_inf, c_sg_sd, c_dil_inf_sd FROM br, range(40) r(replicate))"""
 
 
-@query("binodal_resample", "F8 B19", with_ctes(RESAMPLE_SQL, binodal_sql("rs", "condition, replicate", tag="r"), select="""
-SELECT condition, count(*) AS n_success, round(median(tc), 1) AS tc_median, round(median(aa), 0) AS a_median FROM fr4 GROUP BY 1"""))
+@query("binodal_resample", "F8 B19", with_ctes(RESAMPLE_SQL, binodal_sql("rs", "condition, replicate", tag="q"), select="""
+SELECT condition, count(*) AS n_success, round(median(tc), 1) AS tc_median, round(median(aa), 0) AS a_median FROM fq2 GROUP BY 1"""))
 def binodal_resample(spark, d):
     out = binodal.resample_summary(binodal.binodal_fit(_resampled(spark, d, 40), ["condition", "replicate"]), ["condition"])
     return out.select("condition", "n_success", F.round("tc_median", 1).alias("tc_median"), F.round("a_median", 0).alias("a_median"))
 
 
 @query("binodal_bounds", "F9", with_ctes(BRANCH_SQL, "bb AS (SELECT br.*, bound FROM br, (VALUES (50.0::DOUBLE), (100.0), (400.0)) v(bound))", binodal_sql("bb", "condition, bound", bound="bound", tag="x"), """
-wd AS (SELECT condition, max(tc) FILTER (bound = 400) - max(tc) FILTER (bound = 100) AS shift FROM fx4 GROUP BY 1)""", select="""
-SELECT condition, round(max(tc) FILTER (bound = 50), 1) AS tc_50, round(max(tc) FILTER (bound = 100), 1) AS tc_100, any_value(abs(shift)) > 5 AS disagree FROM fx4 JOIN wd USING (condition) GROUP BY 1"""))
+wd AS (SELECT condition, max(tc) FILTER (bound = 400) - max(tc) FILTER (bound = 100) AS shift FROM fx2 GROUP BY 1)""", select="""
+SELECT condition, round(max(tc) FILTER (bound = 50), 1) AS tc_50, round(max(tc) FILTER (bound = 100), 1) AS tc_100, any_value(abs(shift)) > 5 AS disagree FROM fx2 JOIN wd USING (condition) GROUP BY 1"""))
 def binodal_bounds(spark, d):
     rows = _branches(spark, d).withColumn("bound", F.explode(F.array(F.lit(50.0), F.lit(100.0), F.lit(400.0))))
     fit = binodal.binodal_fit(rows, ["condition", "bound"], bound="bound")
@@ -129,7 +129,7 @@ def binodal_bounds(spark, d):
 
 
 @query("binodal_curve", "F11", with_ctes(BRANCH_SQL, binodal_sql("br", "condition"), """
-cv AS (SELECT condition, k.k AS k, 290 + (tc - 290) * k.k / 24 AS t, tc, cc, aa, bb FROM f4, range(25) k(k))""", select="""
+cv AS (SELECT condition, k.k AS k, 290 + (tc - 290) * k.k / 24 AS t, tc, cc, aa, bb FROM f2, range(25) k(k))""", select="""
 SELECT condition, CAST(k AS INTEGER) AS k, round(cc + bb * greatest(tc - t, 1e-12), 0) AS c_bar FROM cv"""))
 def binodal_curve(spark, d):
     fit = binodal.binodal_fit(_branches(spark, d), ["condition"])
