@@ -158,7 +158,7 @@ def occupancy_radius(spark, d):
     return rounded(groups.occupancy_radius(com, [], pos=("cx", "cy", "cz")), "occupancy", "r_over_rms")
 
 
-@query("inner_outer", "C9 P1", comp_sql("""
+@query("inner_outer", "C9 P1 M8", comp_sql("""
 SELECT frame, species, CAST(sum(inside::INT) AS BIGINT) AS n_inner, sum(CASE WHEN inside THEN mass ELSE 0 END) AS mass_inner, CAST(sum(1 - inside::INT) AS BIGINT) AS n_outer,
        sum(CASE WHEN inside THEN 0 ELSE mass END) AS mass_outer FROM ch JOIN mb USING (frame, chain_id) GROUP BY 1, 2""", MEMBER_SQL, CHAIN_SQL))
 def inner_outer(spark, d):
@@ -197,7 +197,7 @@ def _strip_unused(sql: str) -> str:
     return "\n".join(line for line in sql.split("\n") if not line.startswith("pz AS"))
 
 
-@query("radial_profile", "A1 P5 P6 M7", with_ctes(FRAMES_SQL, CENTRE_SQL, """
+@query("radial_profile", "A1 P5 P6 M3 M7", with_ctes(FRAMES_SQL, CENTRE_SQL, """
 rr AS (SELECT frame, species, mass, sqrt(pow(xu - cx, 2) + pow(yu - cy, 2) + pow(zu - cz, 2)) AS r FROM fr JOIN ce USING (frame, species))""",
     _strip_unused(profile_sql("rr", "species", "mass", 20.0, 15, "1660.5390666::DOUBLE")), select="""
 SELECT species, bin, r_mid, round(density, 8) AS density, round(sd, 8) AS sd, round(sem, 8) AS sem, n_frames FROM prof"""))
