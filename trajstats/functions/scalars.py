@@ -134,7 +134,7 @@ def stokes_einstein(temp_k: Column, eta: Column, radius_m: Column) -> Column:
 
 def stokes_einstein_sem(d: Column, eta: Column, eta_sem: Column, radius: Column, radius_sem: Column) -> Column:
     """Relative errors of viscosity and radius added in quadrature."""
-    return d * hypot(F.coalesce(eta_sem / eta, F.lit(0.0)), F.coalesce(radius_sem / radius, F.lit(0.0)))
+    return d * hypot(F.coalesce(F.try_divide(eta_sem, eta), F.lit(0.0)), F.coalesce(F.try_divide(radius_sem, radius), F.lit(0.0)))
 
 
 def transfer_energy(dense: Column, dilute: Column, temp_k: Column) -> Column:
@@ -155,7 +155,7 @@ def pair_energy(r: Column, eps: Column, sigma: Column, nu: Column, mu: Column, r
 
 def curvature_factor(gamma_mn_m: Column, radius_a: Column, molar_volume_m3: Column, temp_k: Column) -> Column:
     """s = 2*gamma*V/(R*Rgas*T), gamma in mN/m and R in Angstrom."""
-    return F.lit(2.0) * (gamma_mn_m * 1e-3) * molar_volume_m3 / ((radius_a * 1e-10) * F.lit(GAS_CONSTANT_J) * temp_k)
+    return F.try_divide(F.lit(2.0) * (gamma_mn_m * 1e-3) * molar_volume_m3, (radius_a * 1e-10) * F.lit(GAS_CONSTANT_J) * temp_k)
 
 
 def chains_from_pairs(diagonal: Column) -> Column:

@@ -56,17 +56,17 @@ def _best_at(rows: DataFrame, keys: Sequence[str], fixed_cc: Column | None, fixe
     if free_cc and free_b:
         m11, m12, m13, m22, m23, m33, v1, v2, v3 = c["s0"], c["sd"], c["mq"], c["sdd"], c["mdq"], c["sqq"], c["y0"], c["yd"], c["yq"]
         det = m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13)
-        cc = (v1 * (m22 * m33 - m23 * m23) - m12 * (v2 * m33 - m23 * v3) + m13 * (v2 * m23 - m22 * v3)) / det
-        b = (m11 * (v2 * m33 - m23 * v3) - v1 * (m12 * m33 - m23 * m13) + m13 * (m12 * v3 - v2 * m13)) / det
-        a = (m11 * (m22 * v3 - v2 * m23) - m12 * (m12 * v3 - v2 * m13) + v1 * (m12 * m23 - m22 * m13)) / det
+        cc = F.try_divide(v1 * (m22 * m33 - m23 * m23) - m12 * (v2 * m33 - m23 * v3) + m13 * (v2 * m23 - m22 * v3), det)
+        b = F.try_divide(m11 * (v2 * m33 - m23 * v3) - v1 * (m12 * m33 - m23 * m13) + m13 * (m12 * v3 - v2 * m13), det)
+        a = F.try_divide(m11 * (m22 * v3 - v2 * m23) - m12 * (m12 * v3 - v2 * m13) + v1 * (m12 * m23 - m22 * m13), det)
         det0 = m11 * m22 - m12 * m12
-        cc0, b0 = (v1 * m22 - m12 * v2) / det0, (m11 * v2 - m12 * v1) / det0
+        cc0, b0 = F.try_divide(v1 * m22 - m12 * v2, det0), F.try_divide(m11 * v2 - m12 * v1, det0)
     elif free_cc:
         det = c["s0"] * c["sqq"] - c["mq"] * c["mq"]
-        cc, b, a = (c["y0"] * c["sqq"] - c["mq"] * c["yq"]) / det, zero, (c["s0"] * c["yq"] - c["mq"] * c["y0"]) / det
+        cc, b, a = F.try_divide(c["y0"] * c["sqq"] - c["mq"] * c["yq"], det), zero, F.try_divide(c["s0"] * c["yq"] - c["mq"] * c["y0"], det)
         cc0, b0 = c["y0"] / c["s0"], zero
     else:
-        cc, b, a = zero, zero, c["yq"] / c["sqq"]
+        cc, b, a = zero, zero, F.try_divide(c["yq"], c["sqq"])
         cc0, b0 = zero, zero
     ok = a > 0
     out = g.select(*keys, "tc", "n", *sums, F.when(ok, cc).otherwise(cc0).alias("cc"), F.when(ok, b).otherwise(b0).alias("b"), F.when(ok, a).otherwise(0.0).alias("a"))
@@ -140,7 +140,7 @@ def two_step_fit(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     w, x, m = F.col("_w"), F.col("_x"), F.col("_m")
     sums = joined.groupBy(*keys, "tc", "a", "n_points", "at_bound").agg(F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(w * m).alias("sy"), F.sum(w * x * m).alias("sxy"))
     det = F.col("s") * F.col("sxx") - F.col("sx") ** 2
-    return sums.select(*keys, "tc", ((F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / det).alias("c_c"), "a", ((F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / det).alias("b"), "n_points", "at_bound")
+    return sums.select(*keys, "tc", F.try_divide(F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy"), det).alias("c_c"), "a", F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), det).alias("b"), "n_points", "at_bound")
 
 
 def curve_table(fits: DataFrame, keys: Sequence[str], t_min: Column, points: int = 250) -> DataFrame:

@@ -33,7 +33,7 @@ def ranked_features(units: DataFrame, features: Sequence[str], label: str, keys:
     """
     long = units.select(*keys, F.col(label).cast("double").alias("_y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"))
     x = F.col("s.x")
-    r = F.when(F.stddev_pop(x) < FLAT, 0.0).otherwise(F.abs(F.corr(x, F.col("_y"))))
+    r = F.when(F.stddev_pop(x) < FLAT, 0.0).otherwise(F.abs(F.try_divide(F.covar_pop(x, F.col("_y")), F.stddev_pop(x) * F.stddev_pop("_y"))))
     scores = long.groupBy(*keys, F.col("s.feature").alias("feature")).agg(F.coalesce(r, F.lit(0.0)).alias("r"))
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.round("r", 12)), "feature")))
 

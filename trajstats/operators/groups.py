@@ -218,4 +218,4 @@ def ragged_frames(rows: DataFrame, keys: Sequence[str], frame: str) -> DataFrame
     )
     first = per_frame.groupBy(*keys).agg(F.min_by("total", frame).alias("first_total"))
     joined = per_frame.join(first, list(keys))
-    return joined.select(*keys, frame, "n_groups", "max_rg", (F.col("max_size") / F.col("first_total")).alias("phi"))
+    return joined.select(*keys, frame, "n_groups", "max_rg", F.try_divide("max_size", "first_total").alias("phi"))

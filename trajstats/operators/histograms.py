@@ -69,7 +69,7 @@ def distance_from_centre(rows: DataFrame, centres: DataFrame, keys: Sequence[str
 
 def centre_of_mass(beads: DataFrame, keys: Sequence[str], mass: str = "mass", pos: Sequence[str] = ("xu", "yu", "zu"), names: Sequence[str] = ("cx", "cy", "cz")) -> DataFrame:
     m = F.col(mass)
-    return beads.groupBy(*keys).agg(*[(F.sum(m * F.col(p)) / F.sum(m)).alias(c) for p, c in zip(pos, names)], F.sum(m).alias("mass_total"), F.count(F.lit(1)).alias("n_beads"))
+    return beads.groupBy(*keys).agg(*[F.try_divide(F.sum(m * F.col(p)), F.sum(m)).alias(c) for p, c in zip(pos, names)], F.sum(m).alias("mass_total"), F.count(F.lit(1)).alias("n_beads"))
 
 
 def com_and_rg(beads: DataFrame, keys: Sequence[str], mass: str = "mass", pos: Sequence[str] = ("xu", "yu", "zu")) -> DataFrame:
@@ -80,8 +80,8 @@ def com_and_rg(beads: DataFrame, keys: Sequence[str], mass: str = "mass", pos: S
     """
     m = F.col(mass)
     out = beads.groupBy(*keys).agg(
-        *[(F.sum(m * F.col(p)) / F.sum(m)).alias(f"c{p[0]}") for p in pos],
-        (F.sum(m * sum((F.col(p) * F.col(p) for p in pos), F.lit(0.0))) / F.sum(m)).alias("_q"),
+        *[F.try_divide(F.sum(m * F.col(p)), F.sum(m)).alias(f"c{p[0]}") for p in pos],
+        F.try_divide(F.sum(m * sum((F.col(p) * F.col(p) for p in pos), F.lit(0.0))), F.sum(m)).alias("_q"),
         F.sum(m).alias("mass_total"), F.count(F.lit(1)).alias("n_beads"),
     )
     centre2 = sum((F.col(f"c{p[0]}") * F.col(f"c{p[0]}") for p in pos), F.lit(0.0))
@@ -107,7 +107,7 @@ def shape_eigenvalues(rows: DataFrame, keys: Sequence[str], pos: Sequence[str] =
     p = F.sqrt(p2 / 6)
     ba, bb, bc = a - q, b - q, c - q
     det = ba * (bb * bc - e * e) - d * (d * bc - e * f) + f * (d * e - bb * f)
-    half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))
+    half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(det, 2 * p * p * p)))
     phi = F.acos(half) / 3
     big = F.when(p > 0, q + 2 * p * F.cos(phi)).otherwise(q)
     small = F.when(p > 0, q + 2 * p * F.cos(phi + 2 * math.pi / 3)).otherwise(q)

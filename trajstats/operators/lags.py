@@ -132,10 +132,10 @@ def random_effects_pool(units: DataFrame, keys: Sequence[str], value: str, own_s
     with_mu = usable.join(fixed, list(keys))
     q = with_mu.groupBy(*keys).agg(F.sum(w * (F.col("_v") - F.col("_mu")) ** 2).alias("_q"), F.max("_w").alias("_w"), F.max("_w2").alias("_w2"), F.max("k").alias("k"))
     c = F.col("_w") - F.col("_w2") / F.col("_w")
-    tau2 = q.select(*keys, "k", F.when((F.col("k") > 1) & (c > 0), F.greatest(F.lit(0.0), (F.col("_q") - (F.col("k") - 1)) / c)).otherwise(0.0).alias("tau2"))
+    tau2 = q.select(*keys, "k", F.when((F.col("k") > 1) & (c > 0), F.greatest(F.lit(0.0), F.try_divide(F.col("_q") - (F.col("k") - 1), c))).otherwise(0.0).alias("tau2"))
     ws = 1 / (F.col("_s2") + F.col("tau2"))
     pooled = usable.join(tau2, list(keys))
-    return pooled.groupBy(*keys).agg((F.sum(ws * F.col("_v")) / F.sum(ws)).alias("mean"), (1 / F.sqrt(F.sum(ws))).alias("sem"), F.max("tau2").alias("tau2"), F.max("k").alias("k"))
+    return pooled.groupBy(*keys).agg((F.sum(ws * F.col("_v")) / F.sum(ws)).alias("mean"), F.try_divide(F.lit(1.0), F.sqrt(F.sum(ws))).alias("sem"), F.max("tau2").alias("tau2"), F.max("k").alias("k"))
 
 
 # --- confinement -----------------------------------------------------------------------
@@ -152,7 +152,7 @@ def plateau(curve: DataFrame, keys: Sequence[str], t: str = "lag", y: str = "msd
     inside = used.join(span, list(keys)).filter((F.col(t) >= lo) & (F.col(t) <= hi))
     v = F.col(y)
     stats = inside.groupBy(*keys).agg(F.median(v).alias("l_sq"), F.stddev_samp(v).alias("plateau_sd"), F.count(v).alias("n_plateau"))
-    stats = stats.withColumn("plateau_cv", F.col("plateau_sd") / F.col("l_sq")).filter((F.col("n_plateau") >= min_plateau) & (F.col("plateau_cv") <= cv_max))
+    stats = stats.withColumn("plateau_cv", F.try_divide("plateau_sd", "l_sq")).filter((F.col("n_plateau") >= min_plateau) & (F.col("plateau_cv") <= cv_max))
     stats = stats.withColumn("l", F.sqrt("l_sq")).withColumn("l_sem", F.col("plateau_sd") / F.sqrt("n_plateau") / (2 * F.col("l")))
     onset = used.join(stats.select(*keys, "l_sq"), list(keys)).filter(v >= 0.9 * F.col("l_sq")).groupBy(*keys).agg(F.min(t).alias("plateau_start"))
     return stats.join(onset, list(keys), "left")
@@ -183,7 +183,7 @@ def linearised_tau(curve: DataFrame, flat: DataFrame, keys: Sequence[str], t: st
     z = F.log(1 - F.col(y) / F.col("l_sq"))
     rows = joined.filter(1 - F.col(y) / F.col("l_sq") > 0.01).select(*keys, F.col(t).cast("double").alias("_t"), z.alias("_z"))
     fit = rows.groupBy(*keys).agg(F.regr_slope("_z", "_t").alias("slope"), F.regr_r2("_z", "_t").alias("r2"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_points) & (F.col("slope") < 0))
-    slope_se = F.abs("slope") * F.sqrt((1 / F.col("r2") - 1) / (F.col("n") - 2))
+    slope_se = F.abs("slope") * F.sqrt(F.try_divide(F.try_divide(F.lit(1.0), F.col("r2")) - 1, F.col("n") - 2))
     return fit.select(*keys, (-1 / F.col("slope")).alias("tau"), (slope_se / (F.col("slope") ** 2)).alias("tau_sem"), "r2", "n")
 
 
@@ -245,9 +245,9 @@ def diffusive_slopes(curve: DataFrame, keys: Sequence[str], t: str, y: str, poin
     m = drawn.groupBy(*group, "replicate").agg(F.sum("weight").alias("w"), *moments("lx", "ly", "l"), *moments(t, y, "r"))
     def cov(name: str, pair: str) -> Column:
         return F.col(f"{name}{pair}") - F.col(f"{name}{pair[0]}") * F.col(f"{name}{pair[1]}") / F.col("w")
-    log_slope = F.when(cov("l", "xx") > 0, cov("l", "xy") / cov("l", "xx"))
-    r = cov("l", "xy") / F.sqrt(cov("l", "xx") * cov("l", "yy"))
-    real_slope = F.when(cov("r", "xx") > 0, cov("r", "xy") / cov("r", "xx"))
+    log_slope = F.when(cov("l", "xx") > 0, F.try_divide(cov("l", "xy"), cov("l", "xx")))
+    r = F.try_divide(cov("l", "xy"), F.sqrt(F.greatest(cov("l", "xx") * cov("l", "yy"), F.lit(0.0))))
+    real_slope = F.when(cov("r", "xx") > 0, F.try_divide(cov("r", "xy"), cov("r", "xx")))
     good = m.select(*keys, real_slope.alias("slope"), log_slope.alias("_ls"), r.alias("_r")).filter((F.abs("_r") > min_r) & (F.abs(F.col("_ls") - 1) <= tolerance) & (F.col("slope") > 0))
     return good.groupBy(*keys).agg((F.avg("slope") / 6).alias("d"), (sem(F.col("slope")) / 6).alias("d_sem"), F.count(F.lit(1)).alias("n_slopes"))
 

@@ -23,13 +23,14 @@ def interface_scalars(fits: DataFrame, temp_k: Column) -> DataFrame:
     a, b, sa, sb, cov = (F.col(c) for c in ("a", "b", "se_a", "se_b", "cov_ab"))
     dense, dilute = F.abs(b + a), F.abs(b - a)
     sign = F.when(b - a >= 0, 1.0).otherwise(-1.0)
-    ga, gb = -sign / dilute - 1 / dense, sign / dilute - 1 / dense
+    inv_dilute, inv_dense = F.try_divide(sign, dilute), F.try_divide(F.lit(1.0), dense)
+    ga, gb = -inv_dilute - inv_dense, inv_dilute - inv_dense
     kt = F.lit(FIT_BOLTZMANN * FIT_AVOGADRO) * temp_k
     ok = (dense > 0) & (dilute > 0)
     return fits.withColumns({
         "dense": dense, "dilute": dilute,
         "dense_sem": F.sqrt(F.greatest(F.lit(0.0), sa * sa + sb * sb + 2 * cov)), "dilute_sem": F.sqrt(F.greatest(F.lit(0.0), sa * sa + sb * sb - 2 * cov)),
-        "partition": F.when(dilute != 0, dense / dilute), "d_g": F.when(ok, kt * F.log(dilute / dense)),
+        "partition": F.try_divide(dense, dilute), "d_g": F.when(ok, kt * F.log(F.try_divide(dilute, dense))),
         "d_g_sem": F.when(ok, kt * F.sqrt(F.greatest(F.lit(0.0), ga * ga * sa * sa + gb * gb * sb * sb + 2 * ga * gb * cov))),
     })
 
@@ -48,16 +49,16 @@ def geometry_concentrations(rows: DataFrame) -> DataFrame:
         reference = F.when(F.col("label") == name, F.lit(value)).otherwise(reference)
     outside = F.abs((F.col("outer_mass") + F.col("inner_mass")) / reference - volume)
     return rows.withColumns({
-        "dense_calc": F.col("inner_mass") / volume, "dense_calc_sem": F.col("inner_mass") / (volume * volume) * volume_sem,
-        "dilute_calc": F.col("outer_mass") / outside, "dilute_calc_sem": F.abs(F.col("outer_mass") / (outside * outside) * volume_sem),
+        "dense_calc": F.try_divide("inner_mass", volume), "dense_calc_sem": F.try_divide("inner_mass", volume * volume) * volume_sem,
+        "dilute_calc": F.try_divide("outer_mass", outside), "dilute_calc_sem": F.abs(F.try_divide("outer_mass", outside * outside) * volume_sem),
     })
 
 
 def profile_quality(fits: DataFrame) -> DataFrame:
     """Failed checks of a profile fit, as an array; the group-size checks apply to the label SG only."""
-    w_over_r = F.col("w_fit") / F.col("r_fit")
-    phi = F.col("r_fit") / F.abs("rg")
-    ratio = F.abs("dense_fit") / F.abs("dense_calc")
+    w_over_r = F.try_divide("w_fit", "r_fit")
+    phi = F.try_divide("r_fit", F.abs("rg"))
+    ratio = F.try_divide(F.abs("dense_fit"), F.abs("dense_calc"))
     other = F.col("label") != "SG"
     lim = PROFILE_LIMITS
     positive = (F.col("r_fit") > 0) & (F.col("w_fit") > 0)
@@ -88,7 +89,7 @@ def curvature_corrected(rows: DataFrame, *, negative_floor: float = 0.05, interf
     for cond in bad.values():
         invalid = invalid | F.coalesce(cond, F.lit(False))
     out = rows.withColumn("warning_text", joined_flags(notes)).withColumn("invalid", invalid).withColumn("c_dil", clamp_small_negative(raw, negative_floor))
-    v = F.col("meff") * 1e-3 / F.col("c_sg")
+    v = F.try_divide(F.col("meff") * 1e-3, F.col("c_sg"))
     out = out.withColumn("s", finite(curvature_factor(F.col("gamma"), F.col("r_sg"), v, F.col("temperature_k"))))
     out = out.withColumn("c_dil_inf", finite(F.col("c_dil") * F.exp(-F.col("s"))))
 
@@ -103,7 +104,7 @@ def curvature_corrected(rows: DataFrame, *, negative_floor: float = 0.05, interf
     lost = F.col("s").isNull() | F.col("c_dil_inf").isNull()
     return out.withColumns({
         "delta_c": F.col("c_sg") - F.col("c_dil_inf"), "c_bar": (F.col("c_sg") + F.col("c_dil_inf")) / 2, "delta_c_sd": both, "c_bar_sd": both / 2,
-        "interface_ratio": F.col("w_sg") / F.col("r_sg"),
+        "interface_ratio": F.try_divide("w_sg", "r_sg"),
     }).withColumns({
         "flag_large_interface_ratio": F.col("interface_ratio") >= interface_limit, "flag_large_curvature": F.col("s") >= curvature_limit, "flag_negative_delta_c": F.col("delta_c") <= 0,
         "warning_text": F.when(lost, F.concat_ws(";", F.nullif("warning_text", F.lit("")), F.lit("invalid_curvature_correction"))).otherwise(F.col("warning_text")),

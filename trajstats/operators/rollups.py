@@ -161,7 +161,7 @@ def trend_table(rows: DataFrame, keys: Sequence[str], class_col: str, classes: S
 def effective_mass(rows: DataFrame, mass: str, total_mass: str, chains: str, override: float | None = None, tolerance: float = 1e-3) -> DataFrame:
     """Override, else median of the positive row values, else mean mass over mean chain count; spread flag."""
     m = F.when(F.col(mass) > 0, F.col(mass))
-    out = rows.agg(F.median(m).alias("_med"), F.max(m).alias("_hi"), F.min(m).alias("_lo"), (F.avg(total_mass) / F.avg(chains)).alias("_inferred"))
+    out = rows.agg(F.median(m).alias("_med"), F.max(m).alias("_hi"), F.min(m).alias("_lo"), F.try_divide(F.avg(total_mass), F.avg(chains)).alias("_inferred"))
     spread = (F.col("_hi") - F.col("_lo")) / F.abs("_med")
     return out.select(
         F.coalesce(F.lit(override).cast("double"), "_med", "_inferred").alias("meff"), spread.alias("relative_spread"), (F.coalesce(spread, F.lit(0.0)) > tolerance).alias("spread_warning")
