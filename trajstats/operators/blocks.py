@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trajstats.functions.stats import finite, sem, t_multiplier
+from trajstats.session import cut_lineage
 
 
 def positioned(df: DataFrame, keys: Sequence[str], order: str, value: str = "value") -> DataFrame:
@@ -233,9 +234,11 @@ def corrected_series(df: DataFrame, keys: Sequence[str], order: str, value: str
     pos = positioned(df, keys, order, value)
     if winsor_pct > 0:
         pos = winsorized(pos, keys, winsor_pct)
+    # The raw rows are read once: everything below starts from the written window values.
+    pos = cut_lineage(pos)
     summary = superblock_summary(superblock_offsets(pos, keys, max_block, min_blocks), keys)
     g = inefficiency(autocorrelation(pos, keys), keys)
-    sizes = recommended_block(plateau_block(summary, keys, plateau), g, keys)
+    sizes = cut_lineage(recommended_block(plateau_block(summary, keys, plateau), g, keys))
     est = all_offset_estimate(pos, sizes, keys).drop("n", "b")
     return with_interval(sizes.join(est, list(keys)))
 
@@ -246,7 +249,7 @@ def corrected_stats(df: DataFrame, keys: Sequence[str], order: str, value: str =
     Blocks are tried up to a quarter of the series and capped at half of it; a constant
     series has SEM 0, and where no offset gives two blocks the g-corrected SEM is used.
     """
-    pos = positioned(df, keys, order, value)
+    pos = cut_lineage(positioned(df, keys, order, value))
     sizes = F.sequence(F.lit(1), F.greatest(F.lit(2), F.expr("n div 4")))
     m = F.col("block_mean")
     offsets = (
@@ -255,7 +258,7 @@ def corrected_stats(df: DataFrame, keys: Sequence[str], order: str, value: str =
         .filter("n_blocks >= 2").withColumn("eligible", F.col("n_blocks") >= min_blocks)
     )
     choice = plateau_block(superblock_summary(offsets, keys), keys, plateau)
-    g = inefficiency(autocorrelation(pos, keys), keys)
+    g = cut_lineage(inefficiency(autocorrelation(pos, keys), keys))
     both = g.join(choice, list(keys), "left")
     block = F.greatest(F.lit(1), F.least(F.greatest(F.coalesce("b_plateau", F.lit(1)), F.ceil("g").cast("int")), F.expr("greatest(n div 2, 1)")))
     est = all_offset_estimate(pos, both.withColumn("b", block), keys).join(g.select(*keys, "g"), list(keys))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Letter codes, nucleotide codes, residue classes.
@@ -60,21 +62,30 @@ def composition(sequences: DataFrame, keys: Sequence[str], seq: str, is_rna: str
 def bonds(sequences: DataFrame, keys: Sequence[str], seq: str, reach: Column, weight: Column) -> DataFrame:
     """Letter pairs up to ``reach`` positions apart, weighted by copy number: (keys, a, b, count), a <= b.
 
-    Neighbours are taken by shifting the letter array inside the row. Rows are first
-    reduced to their distinct pairs with counts, then summed across rows.
+    Whole sequences are counted as arrays of letter codes inside the tasks. A batch gives
+    at most one row per sequence key and letter pair, so little is left to shuffle.
     """
-    letters = F.split(seq, "")
-    shifted = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), reach),
-            lambda k: F.when(
-                F.size(letters) > k,
-                F.zip_with(F.slice(letters, 1, F.size(letters) - k), F.slice(letters, k + 1, F.size(letters)), lambda a, b: F.concat(F.least(a, b), F.greatest(a, b))),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    pairs = sequences.filter(F.length(seq) > 1).select(*keys, weight.alias("_w"), F.explode(F.filter(shifted, lambda p: F.length(p) == 2)).alias("p"))
-    return pairs.groupBy(*keys, F.substring("p", 1, 1).alias("a"), F.substring("p", 2, 1).alias("b")).agg(F.sum("_w").alias("count"))
+    names = list(keys)
+    rows = sequences.select(*names, F.col(seq).alias("_seq"), reach.cast("int").alias("_reach"), weight.cast("long").alias("_w"))
+    schema = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in names) + "a string, b string, count long"
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            totals: dict[tuple, np.ndarray] = {}
+            for row in pdf.itertuples(index=False):
+                letters = np.frombuffer(row[len(names)].encode("ascii"), np.uint8).astype(np.int64) - 65
+                sums = totals.setdefault(tuple(row[: len(names)]), np.zeros(26 * 26, np.int64))
+                for k in range(1, min(row[len(names) + 1], len(letters) - 1) + 1):
+                    x, y = letters[:-k], letters[k:]
+                    sums += row[len(names) + 2] * np.bincount(np.minimum(x, y) * 26 + np.maximum(x, y), minlength=26 * 26)
+            for key, sums in totals.items():
+                hit = np.flatnonzero(sums)
+                out = pd.DataFrame({"a": [chr(65 + h // 26) for h in hit], "b": [chr(65 + h % 26) for h in hit], "count": sums[hit]})
+                for name, value in zip(names, key):
+                    out[name] = value
+                yield out[[*names, "a", "b", "count"]]
+
+    return rows.mapInPandas(counted, schema).groupBy(*names, "a", "b").agg(F.sum("count").alias("count"))
 
 
 def type_pairs_by_filter(counts: DataFrame, molecule: str, item: str, n: str, copies: str, bonded: DataFrame) -> DataFrame:

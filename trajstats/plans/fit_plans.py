@@ -10,6 +10,7 @@ from trajstats.plans.lag_plans import _curve, _msd, _segments
 from trajstats.plans.registry import query
 from trajstats.plans.series_plans import rounded
 from trajstats.plans.views import CONDITIONS_SQL, condition_orders, table, with_ctes
+from trajstats.session import spread
 
 # --- coexistence curves: segments as conditions, years as temperatures ------------------
 
@@ -189,7 +190,7 @@ DOC_SQL = """df AS (SELECT d.doc_id, quality AS label, n_chars::DOUBLE AS n_char
 
 
 def _documents(spark, d) -> DataFrame:
-    doc, lab = table(spark, d, "documents"), table(spark, d, "labels")
+    doc, lab = spread(table(spark, d, "documents")), table(spark, d, "labels")
     n = F.length("text")
     rows = doc.join(lab, "doc_id").select(
         "doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), (n - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("double").alias("n_lines"),

@@ -9,7 +9,7 @@ from trajstats.operators import contacts, mixing, phase, sequences
 from trajstats.plans.registry import query
 from trajstats.plans.series_plans import rounded
 from trajstats.plans.views import CONDITIONS_SQL, FRAMES_SQL, condition_orders, event_time, frames, table, with_ctes
-from trajstats.session import small_side
+from trajstats.session import small_side, spread
 from trajstats.sources import dumps
 
 
@@ -137,7 +137,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 h AS (SELECT * FROM l WHERE regexp_matches(line, '(?i)the .*ing|copyright'))
 SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, arg_min(line, pos) AS line, count(*) AS n_hits FROM h GROUP BY 1""")
 def first_failures(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return dumps.first_failures(lines, "doc_id", "pos", "line", "(?i)the .*ing|copyright")
 
 
@@ -318,7 +318,7 @@ SEQ_SQL = """sq AS (SELECT doc_id, lang = 'fr' AS rna, CASE WHEN lang = 'fr' THE
 
 def _seqs(spark, d) -> DataFrame:
     rna = F.col("lang") == "fr"
-    return table(spark, d, "documents").select("doc_id", rna.alias("rna"), sequences.cleaned(F.col("text"), rna).alias("seq"))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", rna.alias("rna"), sequences.cleaned(F.col("text"), rna).alias("seq"))
 
 
 @query("letter_types", "P23 M17", with_ctes(SEQ_SQL, """

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trajstats.session import spread
+
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
 N_FRAMES = 21
@@ -111,7 +113,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Vector ``v`` is bead ``v``; frame ``f`` takes its components 3f..3f+2 as coordinates.
     """
-    raw = table(spark, sf_dir, "embeddings").select(
+    raw = spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("bead_id"), F.col("label").alias("bead_type"), "embedding",
         F.explode(F.sequence(F.lit(0), F.lit(N_FRAMES - 1))).alias("frame"),
     )

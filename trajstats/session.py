@@ -59,3 +59,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores over all cores.
+
+    For scans that are followed by heavy work per row. A large table has many splits
+    and comes back as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
