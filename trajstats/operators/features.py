@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from trajstats.operators.neighbors import tile_pairs, tiled
 
 FLAT = 1e-9
+FOLD_PARTS = 32
 
 
 # --- ranking ---------------------------------------------------------------------------
@@ -220,29 +221,31 @@ def leave_one_out(units: DataFrame, features: Sequence[str], label: str, id_col:
     With ``reselect`` the best of the top-2 ... top-``reselect`` prefixes is chosen again
     inside every fold.
     """
-    spark = units.sparkSession
-    folds = units.select(F.col(id_col).alias("held"), *[F.col(f).alias(f"_h{k}") for k, f in enumerate(features)], F.col(label).cast("int").alias("_hy")).dropna()
-    folds = folds.crossJoin(F.broadcast(spark.range(n_seeds).withColumnRenamed("id", "seed")))
-    rows = units.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"), *features).dropna()
+    rows = units.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"), *features).dropna().withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(FOLD_PARTS)).cast("int"))
+    work = units.sparkSession.range(FOLD_PARTS * n_seeds).select((F.col("id") % FOLD_PARTS).cast("int").alias("part"), F.floor(F.col("id") / FOLD_PARTS).alias("seed"))
     kind = units.schema[id_col].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id")
-        seed, truth = int(pdf["seed"].iloc[0]), int(pdf["_hy"].iloc[0])
+        pdf = pdf.sort_values("_id").reset_index(drop=True)
+        seed = int(pdf["seed"].iloc[0])
         x, y = pdf[list(features)].to_numpy(float), pdf["_y"].to_numpy(int)
-        held = pdf[[f"_h{k}" for k in range(len(features))]].iloc[[0]].to_numpy(float)
-        pick = np.arange(x.shape[1])
-        if reselect:
-            order = _top(x, y)
-            prefixes = [order[:k] for k in range(2, min(reselect, x.shape[1]) + 1)]
-            pick = max(prefixes, key=lambda p: _accuracy(_fit_two(x[:, p], seed)(x[:, p]), y))
-        fit = _fit_two(x[:, pick], seed)
-        inside, out = fit(x[:, pick]), int(fit(held[:, pick])[0])
-        out = 1 - out if np.mean(inside != y) > np.mean(inside == y) else out
-        return pd.DataFrame([{"held": pdf["held"].iloc[0], "seed": seed, "label": truth, "predicted": out, "correct": out == truth}])
-
-    training = folds.join(rows, F.col("held") != F.col("_id"))
-    return training.groupBy("held", "seed").applyInPandas(one, f"held {kind}, seed long, label int, predicted int, correct boolean")
+        out = []
+        for h in np.flatnonzero(pdf["_part"] == pdf["part"].iloc[0]):
+            keep = np.arange(len(y)) != h
+            xs, ys = x[keep], y[keep]
+            pick = np.arange(x.shape[1])
+            if reselect:
+                order = _top(xs, ys)
+                prefixes = [order[:k] for k in range(2, min(reselect, x.shape[1]) + 1)]
+                pick = max(prefixes, key=lambda p: _accuracy(_fit_two(xs[:, p], seed)(xs[:, p]), ys))
+            fit = _fit_two(xs[:, pick], seed)
+            inside, guess = fit(xs[:, pick]), int(fit(x[[h]][:, pick])[0])
+            guess = 1 - guess if np.mean(inside != ys) > np.mean(inside == ys) else guess
+            out.append({"held": pdf["_id"].iloc[h], "seed": seed, "label": int(y[h]), "predicted": guess, "correct": guess == y[h]})
+        return pd.DataFrame(out, columns=["held", "seed", "label", "predicted", "correct"])
+
+    # The list of parts is bounded; each part gets the unit table once, not once per fold.
+    return rows.crossJoin(F.broadcast(work)).groupBy("part", "seed").applyInPandas(one, f"held {kind}, seed long, label int, predicted int, correct boolean")
 
 
 def permutation_null(units: DataFrame, features: Sequence[str], label: str, id_col: str, n_perm: int, seed: int = 42, top: int = 0) -> DataFrame:

@@ -20,13 +20,15 @@ from trajstats.session import small_side
 def _cells(df: DataFrame, pos: Sequence[str], box: Sequence[str], radius: float, cell_factor: float) -> DataFrame:
     """Add the cell coordinate, the cell count and the cell width of every axis."""
     wanted = radius * max(cell_factor, 1.0)
+    counted, placed = {}, {}
     for axis, (p, length) in enumerate(zip(pos, box)):
         fit = F.floor(F.col(length) / wanted)
-        n = F.when(fit >= 3, fit).otherwise(F.lit(1)).cast("long")
-        df = df.withColumn(p, F.pmod(F.col(p), F.col(length))).withColumn(f"_n{axis}", n)
-        cell = F.least(F.floor(F.col(p) / F.col(length) * F.col(f"_n{axis}")), F.col(f"_n{axis}") - 1)
-        df = df.withColumn(f"_c{axis}", cell.cast("long")).withColumn(f"_w{axis}", F.col(length) / F.col(f"_n{axis}"))
-    return df
+        n = F.col(f"_n{axis}")
+        counted[p] = F.pmod(F.col(p), F.col(length))
+        counted[f"_n{axis}"] = F.when(fit >= 3, fit).otherwise(F.lit(1)).cast("long")
+        placed[f"_c{axis}"] = F.least(F.floor(F.col(p) / F.col(length) * n), n - 1).cast("long")
+        placed[f"_w{axis}"] = F.col(length) / n
+    return df.withColumns(counted).withColumns(placed)
 
 
 def _cell_number(cells: Sequence[Column]) -> Column:
@@ -55,7 +57,7 @@ def _copies(df: DataFrame, pos: Sequence[str], radius: float, half: bool) -> Dat
             step((n > 1) & (F.col("_gap") + up * up <= limit), F.pmod(c + 1, n), up * up, False),
             step((n > 1) & back_allowed & (F.col("_gap") + down * down <= limit), F.pmod(c - 1, n), down * down, False),
         )
-        df = df.withColumn("_o", F.explode(options)).filter("_o IS NOT NULL")
+        df = df.withColumn("_o", F.explode(F.array_compact(options)))
         df = df.withColumns({f"_t{axis}": F.col("_o.cell"), "_gap": F.col("_gap") + F.col("_o.gap"), "_zero": F.col("_zero") & F.col("_o.stays")}).drop("_o")
     return df.withColumn("_cell", _cell_number([F.col("_t0"), F.col("_t1"), F.col("_t2")])).withColumnRenamed("_zero", "_home")
 
@@ -139,7 +141,7 @@ def tiled(df: DataFrame, keys: Sequence[str], id_col: str, cols: Sequence[str],
     Gives (keys, tile, n_tiles, one array per column).
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    rows = df.join(counts, list(keys)).withColumn("n_tiles", F.ceil(F.col("_m") / tile_rows).cast("int"))
+    rows = df.join(small_side(counts), list(keys)).withColumn("n_tiles", F.ceil(F.col("_m") / tile_rows).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64(id_col), F.col("n_tiles")).cast("int"))
     packed = rows.groupBy(*keys, "n_tiles", "tile").agg(F.collect_list(F.struct(*cols)).alias("_s"))
     return packed.select(*keys, "n_tiles", "tile", *[F.col(f"_s.{c}").alias(c) for c in cols])

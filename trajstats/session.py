@@ -56,7 +56,7 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     The count stops at ``max_rows + 1`` rows. A larger side comes back unhinted, and
     Spark then joins it by a shuffle that AQE can split on skew.
     """
-    if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows:
+    if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
 
