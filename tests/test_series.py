@@ -128,8 +128,13 @@ def test_windows_reflection_and_intervals(spark):
     want = np.array([w.get(i, 0.0) for i in range(30)])
     assert out.y.to_numpy() == pytest.approx(want[: len(out)] / want.sum())
     iv = spark.createDataFrame([("a", 3, 5), ("a", 6, 8), ("a", 12, 15)], "k string, start long, end long")
-    gaps = windows.interval_complement(iv, spark.createDataFrame([("a", 20)], "k string, n long"), ["k"], "n").collect()
+    length = spark.createDataFrame([("a", 20)], "k string, n long")
+    gaps = windows.interval_complement(iv, length, ["k"], "n").collect()
     assert sorted((r.start, r.end) for r in gaps) == [(1, 2), (9, 11), (16, 20)]
+    # Buckets smaller than the intervals: islands run across several of them.
+    long = iv.unionByName(spark.createDataFrame([("a", 14, 17)], "k string, start long, end long"))
+    assert sorted((r.start, r.end) for r in windows.merged_intervals(long, ["k"], bucket=2).collect()) == [(3, 8), (12, 17)]
+    assert sorted((r.start, r.end) for r in windows.interval_complement(long, length, ["k"], "n", bucket=2).collect()) == [(1, 2), (9, 11), (18, 20)]
 
 
 def test_dump_readers(spark):

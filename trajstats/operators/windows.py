@@ -109,26 +109,37 @@ def running_integral_summary(curve: DataFrame, keys: Sequence[str], x: str, inte
     return out.withColumn("late_relative_slope", rel).drop("_d")
 
 
-def merged_intervals(intervals: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of closed integer intervals; adjacent ones are joined."""
-    order = W.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    islands = intervals.withColumn("_new", F.coalesce(F.col(start) > before + 1, F.lit(True)).cast("int")).withColumn(
-        "_g", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
-    return islands.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
-
+def merged_intervals(intervals: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", bucket: int = 100_000) -> DataFrame:
+    """Union of closed integer intervals; adjacent ones are joined.
 
-def interval_complement(intervals: DataFrame, lengths: DataFrame, keys: Sequence[str], length: str, start: str = "start", end: str = "end") -> DataFrame:
+    Rows are ordered inside (keys, bucket of the start) only. What earlier buckets reach
+    into a later one comes from the table of buckets, so a key with very many intervals
+    spreads over tasks.
+    """
+    rows = intervals.withColumn("_b", F.floor(F.col(start) / bucket).cast("long"))
+    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    reach = rows.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(*keys, "_b", F.max("_m").over(earlier).alias("_reach"))
+    order = W.partitionBy(*keys, "_b").orderBy(start, end)
+    before = F.greatest(F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
+    marked = rows.join(reach, [*keys, "_b"]).withColumn("_first", F.when(F.coalesce(F.col(start) > before + 1, F.lit(True)), F.col(start)))
+    marked = marked.withColumn("_island", F.last("_first", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    open_island = marked.groupBy(*keys, "_b").agg(F.max("_first").alias("_f")).select(*keys, "_b", F.last("_f", ignorenulls=True).over(earlier).alias("_open"))
+    named = marked.join(open_island, [*keys, "_b"]).withColumn("_island", F.coalesce("_island", "_open"))
+    return named.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def interval_complement(intervals: DataFrame, lengths: DataFrame, keys: Sequence[str], length: str, start: str = "start", end: str = "end", bucket: int = 100_000) -> DataFrame:
     """Closed intervals of [1, length] that the given ones leave open."""
-    merged = merged_intervals(intervals, keys, start, end)
-    edge = lengths.select(*keys, (F.col(length) + 1).alias(start), F.lit(None).cast("long").alias(end))
-    first = lengths.select(*keys, F.lit(0).cast("long").alias(start), F.lit(0).cast("long").alias(end))
-    rows = merged.select(*keys, F.col(start).cast("long"), F.col(end).cast("long")).unionByName(edge.withColumn(start, F.col(start).cast("long"))).unionByName(first)
-    order = W.partitionBy(*keys).orderBy(start)
-    prev = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    gaps = rows.withColumn("_a", prev + 1).withColumn("_b", F.col(start) - 1).filter("_a <= _b")
-    return gaps.select(*keys, F.col("_a").alias(start), F.col("_b").alias(end))
+    merged = merged_intervals(intervals, keys, start, end, bucket).withColumn("_b", F.floor(F.col(start) / bucket).cast("long"))
+    firsts = merged.groupBy(*keys, "_b").agg(F.min(start).alias("_f"))
+    after = firsts.select(*keys, "_b", F.lead("_f").over(W.partitionBy(*keys).orderBy("_b")).alias("_next"))
+    follow = F.coalesce(F.lead(start).over(W.partitionBy(*keys, "_b").orderBy(start)), F.col("_next"), F.col("_len") + 1)
+    total = lengths.select(*keys, F.col(length).cast("long").alias("_len"))
+    inner = merged.join(after, [*keys, "_b"]).join(total, list(keys)).withColumn("_n", follow)
+    gaps = inner.select(*keys, F.greatest(F.col(end) + 1, F.lit(1)).alias("_a"), F.least(F.col("_n") - 1, F.col("_len")).alias("_z"))
+    head = total.join(firsts.groupBy(*keys).agg(F.min("_f").alias("_f")), list(keys), "left")
+    head = head.select(*keys, F.lit(1).cast("long").alias("_a"), F.least(F.coalesce(F.col("_f") - 1, F.col("_len")), F.col("_len")).alias("_z"))
+    return gaps.unionByName(head).filter("_a <= _z").select(*keys, F.col("_a").alias(start), F.col("_z").alias(end))
 
 
 def split_near_equal(rows: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:

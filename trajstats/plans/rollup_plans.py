@@ -172,12 +172,12 @@ def class_average_rows(spark, d):
 
 
 @query("corrected_override", "A37 J12", with_ctes(WIDE_SQL, """
-fx AS (SELECT class, CASE WHEN avg(customers) > (SELECT avg(customers) FROM wd) THEN avg(balance) END AS balance FROM wd WHERE CAST(id AS INTEGER) < 15 GROUP BY 1 HAVING count(*) > 0)""", select="""
+fx AS (SELECT class, CASE WHEN avg(customers) > (SELECT avg(customers) FROM wd) THEN avg(balance) END AS balance FROM wd GROUP BY 1 HAVING avg(balance) > (SELECT avg(balance) FROM wd) - 100)""", select="""
 SELECT id, wd.class, customers, round(CASE WHEN fx.class IS NOT NULL THEN fx.balance ELSE wd.balance END, 6) AS balance FROM wd LEFT JOIN fx ON fx.class = wd.class"""))
 def corrected_override(spark, d):
     wide = _wide(spark, d)
-    overall = wide.agg(F.avg("customers").alias("overall"))
-    fixes = wide.filter("cast(id as int) < 15").groupBy("class").agg(F.avg("customers").alias("c"), F.avg("balance").alias("b")).crossJoin(F.broadcast(overall))
+    overall = wide.agg(F.avg("customers").alias("overall"), F.avg("balance").alias("overall_b"))
+    fixes = wide.groupBy("class").agg(F.avg("customers").alias("c"), F.avg("balance").alias("b")).crossJoin(F.broadcast(overall)).filter("b > overall_b - 100")
     fixes = fixes.select("class", F.when(F.col("c") > F.col("overall"), F.col("b")).alias("balance"))
     return rounded(rollups.overridden(wide, fixes, ["class"], ["balance"]), "balance", places=6)
 
@@ -482,15 +482,15 @@ def running_integral_quality(spark, d):
     return out.select("system", F.round("final", 4).alias("final"), F.round("abs_max", 4).alias("abs_max"), "time_to_90", F.round("late_slope", 5).alias("late_slope"), F.round("late_relative_slope", 8).alias("late_relative_slope"))
 
 
-IV_SQL = """iv AS (SELECT l_suppkey % 20 AS sp, l_partkey % 300 + 1 AS "start", l_partkey % 300 + 1 + CAST(l_quantity AS BIGINT) // 10 AS "end" FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48),
+IV_SQL = """iv AS (SELECT l_suppkey AS sp, l_orderkey * 4 + 1 AS "start", l_orderkey * 4 + 1 + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem),
+ln AS (SELECT max("end") + 10 AS len FROM iv),
 cv AS (SELECT DISTINCT sp, unnest(range("start", "end" + 1)) AS p FROM iv),
 an AS (SELECT sp, p, p - row_number() OVER (PARTITION BY sp ORDER BY p) AS g FROM cv)"""
 
 
 def _intervals(spark, d) -> DataFrame:
-    l = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 48")
-    start = F.col("l_partkey") % 300 + 1
-    return l.select((F.col("l_suppkey") % 20).alias("sp"), start.alias("start"), (start + F.expr("cast(l_quantity as bigint) div 10")).alias("end")).distinct()
+    start = F.col("l_orderkey") * 4 + 1
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sp"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end")).distinct()
 
 
 @query("merged_intervals", "W10 P27 M18", with_ctes(IV_SQL, select='SELECT sp, min(p) AS "start", max(p) AS "end" FROM an GROUP BY sp, g'))
@@ -499,11 +499,12 @@ def merged_intervals(spark, d):
 
 
 @query("interval_complement", "W10", with_ctes(IV_SQL, """
-op AS (SELECT s.sp, q.p FROM (SELECT DISTINCT sp FROM iv) s, range(1, 401) q(p) WHERE NOT EXISTS (SELECT 1 FROM cv WHERE cv.sp = s.sp AND cv.p = q.p)),
-og AS (SELECT sp, p, p - row_number() OVER (PARTITION BY sp ORDER BY p) AS g FROM op)""", select='SELECT sp, min(p) AS "start", max(p) AS "end" FROM og GROUP BY sp, g'))
+isl AS (SELECT sp, min(p) AS a, max(p) AS b FROM an GROUP BY sp, g),
+gp AS (SELECT sp, coalesce(lag(b) OVER (PARTITION BY sp ORDER BY a), 0) + 1 AS "start", a - 1 AS "end" FROM isl UNION ALL SELECT sp, max(b) + 1, any_value(len) FROM isl, ln GROUP BY sp)""", select='SELECT sp, "start", "end" FROM gp WHERE "start" <= "end"'))
 def interval_complement(spark, d):
     iv = _intervals(spark, d)
-    lengths = iv.select("sp").distinct().withColumn("len", F.lit(400).cast("long"))
+    longest = iv.agg((F.max("end") + 10).alias("len"))
+    lengths = iv.select("sp").distinct().crossJoin(F.broadcast(longest))
     return windows.interval_complement(iv, lengths, ["sp"], "len")
 
 
@@ -581,7 +582,7 @@ def nearest_in_time(spark, d):
 
 @query("member_stress", "J5", """
 WITH rw AS (SELECT event_type AS system, epoch_us(ts) // 3600000000 AS step, user_id AS chain, value FROM events),
-fr AS (SELECT DISTINCT event_type AS system, epoch_us(ts) // 21600000000 AS frame, epoch_us(ts) // 21600000000 * 6 + 3 AS fstep FROM events WHERE user_id % 3 = 0),
+fr AS (SELECT DISTINCT event_type AS system, epoch_us(ts) // 21600000000 AS frame, epoch_us(ts) // 21600000000 * 6 + 3 AS fstep FROM events WHERE value > 120),
 mb AS (SELECT DISTINCT event_type AS system, epoch_us(ts) // 21600000000 AS frame, user_id AS chain FROM events),
 stp AS (SELECT DISTINCT system, step FROM rw),
 nr AS (SELECT system, step, frame, row_number() OVER (PARTITION BY system, step ORDER BY abs(step - fstep), fstep DESC) AS rn FROM stp JOIN fr USING (system))
@@ -591,7 +592,7 @@ def member_stress(spark, d):
     ev = event_time(spark, d).withColumn("system", F.col("event_type"))
     rows = ev.select("system", F.expr("t_us div 3600000000").alias("step"), F.col("user_id").alias("chain"), "value")
     quarter = F.expr("t_us div 21600000000")
-    frames = ev.filter("user_id % 3 = 0").select("system", quarter.alias("frame"), (quarter * 6 + 3).alias("fstep")).distinct()
+    frames = ev.filter("value > 120").select("system", quarter.alias("frame"), (quarter * 6 + 3).alias("fstep")).distinct()
     inside = ev.select("system", quarter.alias("frame"), F.col("user_id").alias("chain"), F.lit(True).alias("inside")).distinct()
     out = asof.sum_over_members(rows, frames, inside, ["system"], "step", "fstep", "frame", "chain", ["value"], 48)
     return rounded(out, "value", places=6)

@@ -8,7 +8,8 @@ from trajstats.functions.scalars import DALTON_PER_A3_TO_MG_ML
 from trajstats.operators import contacts, groups, histograms as hist, neighbors
 from trajstats.plans.registry import query
 from trajstats.plans.series_plans import rounded
-from trajstats.plans.views import FRAMES_SQL, PAIR_DISTANCE_SQL, frames, with_ctes
+from trajstats.plans.views import FRAMES_SQL, PAIR_DISTANCE_SQL, frames, table, with_ctes
+from trajstats.session import cut_lineage
 
 R = 6.0
 CARRY = ["chain_id", "species", "bead_type", "mass"]
@@ -169,7 +170,9 @@ def inner_outer(spark, d):
 @query("unwrapped_groups", "C10")
 def unwrapped_groups(spark, d):
     """Spanning-tree positions; no SQL (a recursion with memory), tested on a planted cluster."""
-    nodes = frames(spark, d).filter("bead_id % 5 = 0").select("frame", "chain_id", "x", "y", "z", "lx", "ly", "lz")
+    box = ["lx", "ly", "lz"]
+    nodes = hist.centre_of_mass(frames(spark, d), ["frame", "chain_id", *box], names=("x", "y", "z"))
+    nodes = cut_lineage(nodes.select("frame", "chain_id", *box, *[F.pmod(F.col(p), F.col(length)).alias(p) for p, length in zip("xyz", box)]))
     pairs = neighbors.radius_pairs(nodes, ["frame"], "chain_id", 2.5 * R)
     edges = pairs.select("frame", F.col("a_chain_id").alias("u"), F.col("b_chain_id").alias("v"))
     g = groups.connected_components(nodes.select("frame", "chain_id"), edges, ["frame"])
@@ -402,7 +405,7 @@ tcp AS (SELECT i, j, possible, coalesce(count, 0) AS count FROM pn LEFT JOIN tc
 
 
 def _type_counts(spark, d):
-    return frames(spark, d).filter("frame = 0").groupBy("bead_type").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "embeddings").groupBy(F.col("label").alias("bead_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _type_cells(spark, d):
