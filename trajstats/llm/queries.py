@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import exact_dedup, sharding
+from trajstats.llm import exact_dedup, jaccard_join, sharding
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -57,3 +57,21 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 FROM raw JOIN shard USING (k) JOIN grown_shard USING (k)""")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir))
+
+
+#: A-Z to a-z, words as runs of bytes other than 0x20 and 0x09-0x0D, and the set of five-word shingles of each document.
+SHINGLES_SQL = """
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM docs),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS s FROM w),
+heads AS (SELECT s, min(doc_id) AS a, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+toks AS (SELECT a, n, unnest(s) AS t FROM heads),
+links AS (SELECT x.a, y.a AS b FROM toks x JOIN toks y ON x.t = y.t AND x.a <> y.a AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT a, a AS b FROM heads UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+@query("op8_jaccard_join", f"""
+WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {SHINGLES_SQL}
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN heads ON sets.s = heads.s LEFT JOIN comp USING (a)""")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
