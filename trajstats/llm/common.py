@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from trajstats.session import ensure_checkpoint_dir
+
 #: Bytes of text that are hashed at a time; a longer text is hashed on its own.
 CHUNK_BYTES = 1 << 20
 
@@ -105,3 +109,21 @@ def word_hashes(bounds: np.ndarray, raw: np.ndarray, first: int, last: int) -> t
     words = mix(np.add.reduceat(value, starts))
     rows = np.searchsorted(bounds[first : last + 1] - lo, starts, "right") - 1 + first
     return words, rows.astype(np.int64)
+
+
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder; it cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(values)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import exact_dedup, jaccard_join, sharding
+from trajstats.llm import exact_dedup, jaccard_join, pitman_yor, sharding
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {SHINGLES_SQL}
 SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN heads ON sets.s = heads.s LEFT JOIN comp USING (a)""")
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+@query("op9_pitman_yor")
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(documents(spark, sf_dir))
