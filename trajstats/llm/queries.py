@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import exact_dedup, jaccard_join, pitman_yor, sharding
+from trajstats.llm import bpe, exact_dedup, jaccard_join, pitman_yor, sharding
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -80,3 +80,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pitman_yor")
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(documents(spark, sf_dir))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path())
