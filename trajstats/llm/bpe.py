@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bytes up to which a tokenizer's file is sent to the executors.
 MAX_FILE = 32 << 20
@@ -248,8 +248,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids"
                 arrays.append(pa.array([bpe.decode(ids) for ids in found], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = docs.schema.add(into, "array<int>")
-    return docs.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
+    added = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -261,7 +261,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "decode
         for batch, ids in _batches(batches, ids_col, lambda x: 4 * len(x or ())):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bpe.decode(x or ()) for x in ids], pa.string())], [*rows.columns, into])
 
-    return rows.mapInArrow(run, rows.schema.add(into, "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
