@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, exact_dedup, jaccard_join, pitman_yor, sharding
+from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pitman_yor, sharding
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -91,3 +91,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
