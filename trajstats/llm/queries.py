@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pitman_yor, sharding
+from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pitman_yor, quality, sharding
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
