@@ -54,7 +54,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
 
 
-def _powers_to(n: int) -> np.ndarray:
+def powers_to(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
         size = 1 << max(8, (n - 1).bit_length())
@@ -105,7 +105,7 @@ def word_hashes(bounds: np.ndarray, raw: np.ndarray, first: int, last: int) -> t
     place = np.arange(len(data), dtype=np.int64)
     place -= np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))])
     place[~inside] = 0
-    value = BYTE_CODES[data] * _powers_to(int(place.max()) + 1)[place]
+    value = BYTE_CODES[data] * powers_to(int(place.max()) + 1)[place]
     words = mix(np.add.reduceat(value, starts))
     rows = np.searchsorted(bounds[first : last + 1] - lo, starts, "right") - 1 + first
     return words, rows.astype(np.int64)

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trajstats.llm.common import chunks, mix, text_buffers, word_hashes
+from trajstats.llm.common import chunks, mix, runs, shuffle_parts, text_buffers, word_hashes, written
 from trajstats.operators.groups import connected_components
 from trajstats.session import cut_lineage, small_side
 
@@ -47,6 +47,8 @@ WORDS = 5
 TILE, HUBS = 384, 48
 #: Points in a leaf and boxes in an inner node of an R-tree.
 FANOUT = 16
+#: A set that more than one in so many documents have is joined apart.
+HOT_PARTS = 500
 #: Sets whose groups are sent together.
 FLUSH_SETS = 50_000
 
@@ -82,12 +84,6 @@ def shingle_sets(bounds: np.ndarray, raw: np.ndarray, first: int, last: int) ->
     return sums[fresh], owner[fresh]
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal values."""
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return starts, np.diff(np.append(starts, len(values)))
-
-
 def set_nodes(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit number for each set."""
     return mix(np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts)).view(np.int64)
@@ -152,7 +148,7 @@ def _each_chunk(batches: Iterator[pa.RecordBatch], column: str):
             bounds, raw = text_buffers(batch.column(column))
             for first, last in chunks(bounds):
                 sets, rows = shingle_sets(bounds, raw, first, last)
-                starts, sizes = _runs(rows)
+                starts, sizes = runs(rows)
                 yield batch, first, last, sets, rows, starts, sizes
 
 
@@ -189,7 +185,7 @@ def _send_groups(buckets: int):
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             key, owner, bucket = key[order], owner[order], bucket[order]
-            for start, length in zip(*_runs(bucket)):
+            for start, length in zip(*runs(bucket)):
                 part = slice(start, start + length)
                 here, local = np.unique(owner[part], return_inverse=True)
                 arrays = [pa.array([int(bucket[start])], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (key[part], local.astype(np.uint16), node[here])]
@@ -239,7 +235,7 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[fresh], node[fresh]
-        _, length = _runs(key)
+        _, length = runs(key)
         sets = np.repeat(length, length)
         many = sets > 1
         yield pa.RecordBatch.from_arrays([pa.array(node[many]), pa.array(key[many].view(np.int64)), pa.array(sets[many])], ["node", "key", "sets"])
@@ -355,7 +351,7 @@ def _join_tile(table: pa.Table) -> pa.Table:
     found: dict[int, np.ndarray] = {}
     for first, last in chunks(bounds):
         sets, rows = shingle_sets(bounds, raw, first, last)
-        for start, length in zip(*_runs(rows)):
+        for start, length in zip(*runs(rows)):
             found[int(rows[start])] = sets[start : start + length]
     nodes, labels, query = (table.column(c).to_numpy() for c in ("node", "label", "query"))
     keep, seen = [], set()
@@ -371,18 +367,15 @@ def _join_tile(table: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- join
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
-    """Texts of the rows of ``wanted`` (rep, ...), by broadcast where they were counted to be few."""
-    wanted = wanted.withColumnRenamed("rep", "_rep")
-    side = small_side(wanted, 200_000) if broadcast else wanted
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["_rep"])).drop("_rep", "doc_id")
+def _tree_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts of the rows (rep, node, tree, tile, tiles): one pass over the documents, by broadcast where the rows were counted to be few."""
+    side = small_side(rows.withColumnRenamed("rep", "_rep"), 200_000)
+    return written(docs.join(side, docs["doc_id"].eqNullSafe(side["_rep"])).drop("_rep", "doc_id"))
 
 
-def _tile_links(docs: DataFrame, rows: DataFrame, broadcast: bool = False) -> DataFrame:
-    """Links within the tiles of ``rows`` (rep, node, label, query, tree, tile, block)."""
-    texts = _with_texts(docs, rows.groupBy("rep", "node", "label").agg(F.collect_set(F.struct("query", "tree", "tile", "block")).alias("_at")), broadcast)
-    texts = texts.withColumn("_at", F.explode("_at")).select("node", "label", "text", "_at.*")
-    return cut_lineage(texts.groupBy("tree", "tile", "block").applyInArrow(_join_tile, "u long, v long"))
+def _tile_links(rows: DataFrame) -> DataFrame:
+    """Links within the tiles of ``rows`` (node, label, query, text, tree, tile, block)."""
+    return cut_lineage(rows.groupBy("tree", "tile", "block").applyInArrow(_join_tile, "u long, v long"))
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -396,8 +389,7 @@ def shingle_members(docs: DataFrame) -> DataFrame:
 
 def candidate_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): sets that share one of their rarest keys, as stars about the key's smallest node."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_parts(docs.sparkSession)
     blobs = docs.select("text").mapInArrow(_send_groups(4 * parts), "bucket int, keys binary, owners binary, nodes binary")
     shared = blobs.repartition(parts, "bucket").mapInArrow(_shared_keys, "node long, key long, sets long")
     heads = nodes.select("node", F.explode(F.array("head0", "head1")).alias("key"), F.lit(0).cast("long").alias("sets")).filter("key >= 0").distinct()
@@ -410,7 +402,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id), one row per input row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     members = cut_lineage(shingle_members(docs))
-    nodes = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("head0").alias("head0"), F.max("head1").alias("head1"))
+    nodes = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("head0").alias("head0"), F.max("head1").alias("head1"), F.count(F.lit(1)).alias("copies"))
     nodes = cut_lineage(nodes)
     edges = cut_lineage(candidate_edges(docs, nodes))
     ends = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node")))
@@ -419,40 +411,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = F.ceil(F.col("m") / tile).cast("int")
     rows = trees.join(sizes, "label").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = cut_lineage(rows.join(nodes.select("node", "rep"), "node").select("rep", "node", F.col("label").alias("tree"), "tile", "tiles"))
-    own = rows.select("rep", "node", F.col("node").alias("label"), F.lit(True).alias("query"), "tree", "tile", F.lit(0).alias("block"))
-    links = _tile_links(docs, own, True)
+    texts = _tree_texts(docs, rows)
+    links = _tile_links(texts.withColumns({"label": F.col("node"), "query": F.lit(True), "block": F.lit(0)}))
     large = rows.filter("tiles > 1")
     if not large.isEmpty():
-        links = links.unionByName(_across_tiles(docs, large, links, tile, hubs))
+        links = links.unionByName(_across_tiles(texts.filter("tiles > 1"), large, links, tile, hubs))
     labels = _components(rows.select("node"), links)
     named = labels.join(nodes.select("node", "rep"), "node")
     ids = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id")
-    nodes = nodes.select("node", "rep").join(ids, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    found = members.join(nodes, "node", "left")
+    share = members.count() // HOT_PARTS
+    nodes = cut_lineage(nodes.select("node", "rep", "copies").join(ids, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") > share).alias("hot")))
+    hot = F.broadcast(nodes.filter("hot").drop("hot"))  # fewer than HOT_PARTS rows
+    found = members.join(hot, "node").unionByName(members.join(hot, "node", "left_anti").join(nodes.filter("not hot").drop("hot"), "node", "left"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _across_tiles(docs: DataFrame, large: DataFrame, links: DataFrame, tile: int, hubs: int) -> DataFrame:
+def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, tile: int, hubs: int) -> DataFrame:
     """Links between tiles of one tree: through hubs, then of all sets outside the tree's main component."""
     inside = links.join(large.select(F.col("node").alias("u")), "u", "left_semi")
-    labelled = large.join(_components(large.select("node"), inside), "node")
-
-    def against(asked, held):
-        """Queries of (tree, rep, node, label, block) with all tiles of their tree."""
-        spread = asked.join(held.select("tree", "tiles").distinct(), "tree").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        blocks = asked.select("tree", "block").distinct()
-        mine = held.join(blocks, "tree").withColumn("query", F.lit(False))
-        columns = ["rep", "node", "label", "query", "tree", "tile", "block"]
-        return _tile_links(docs, mine.select(columns).unionByName(spread.withColumn("query", F.lit(True)).select(columns)))
-
-    parts = labelled.filter(F.col("tile") < hubs).groupBy("tree", "tile", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "rep")).alias("first"))
-    chosen = parts.groupBy("tree", "tile").agg(F.max(F.struct("n", "label", "first")).alias("top"))
-    chosen = chosen.select("tree", "top.first.rep", "top.first.node", "top.label", F.lit(0).alias("block"))
-    first = against(chosen, labelled)
-    labelled = cut_lineage(large.join(_components(large.select("node"), inside.unionByName(first)), "node"))
-    main = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tree").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("top")).select("tree", (-F.col("top.neg")).alias("main"))
-    rest = labelled.join(main, "tree").filter("label <> main").drop("main")
+    columns = ["node", "label", "query", "text", "tree", "tile", "block"]
+    tiles = large.select("tree", "tiles").distinct()
+
+    def against(asked: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links of the queries (tree, node, label, block) with all tiles of their tree."""
+        held = texts.join(labels, "node").join(asked.select("tree", "block").distinct(), "tree").withColumn("query", F.lit(False))
+        spread = texts.select("node", "text").join(asked, "node").join(tiles, "tree").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("query", F.lit(True))
+        return _tile_links(held.select(columns).unionByName(spread.select(columns)))
+
+    labels = _components(large.select("node"), inside)
+    parts = large.join(labels, "node").filter(F.col("tile") < hubs).groupBy("tree", "tile", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    best = parts.groupBy("tree", "tile").agg(F.max(F.struct("n", "label", "node")).alias("top"))
+    first = against(best.select("tree", "top.node", "top.label", F.lit(0).alias("block")), labels)
+    labels = _components(large.select("node"), inside.unionByName(first))
+    labelled = large.select("tree", "node").join(labels, "node")
+    main = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tree").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("top"))
+    rest = labelled.join(main.select("tree", (-F.col("top.neg")).alias("main")), "tree").filter("label <> main").drop("main")
     amount = rest.groupBy("tree").agg(F.count(F.lit(1)).alias("r"))
     rest = rest.join(amount, "tree").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("r") / tile)).cast("int"))
-    return first.unionByName(against(rest.select("tree", "rep", "node", "label", "block"), labelled))
+    return first.unionByName(against(rest.select("tree", "node", "label", "block"), labels))

@@ -44,7 +44,7 @@ D1, S1, D0, S0 = 0.6, 40.0, 0.6, 10.0
 #: Sweeps of the first epoch; sweeps before the samples of the last one, and samples.
 SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
 #: Tokens and documents that a map task packs at a time.
-PACK_TOKENS, PACK_DOCS = 6_000_000, 32_000
+PACK_TOKENS, PACK_DOCS = 1_500_000, 32_000
 #: Pieces of a word with a large share; one document in so many is read to find them.
 PIECES, SAMPLE_ONE_IN = 16, 16
 
@@ -205,7 +205,8 @@ def _gather(large: np.ndarray):
         times = np.concatenate([np.frombuffer(k, np.uint32) for *_, k in blobs])
         unit = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(b[3]) // 2 for b in blobs])
         order = np.lexsort((context, words))
-        words, doc, context, times, unit = words[order], doc[order], context[order], times[order], unit[order]
+        words, doc, context, times, unit = words[order], doc[order], context[order], times[order], unit[order].astype(np.uint16 if len(blobs) < 1 << 16 else np.uint32)
+        del order
         new = np.ones(len(words), bool)
         new[1:] = (words[1:] != words[:-1]) | (context[1:] != context[:-1])
         at = np.flatnonzero(new)
@@ -225,7 +226,7 @@ def _gather(large: np.ndarray):
             sums.large_tokens += np.bincount(number[~plain], word_count[~plain], len(large))
         return {
             "words": word, "word_pairs": pairs.astype(np.uint32), "word_count": word_count.astype(np.int64), "pair_context": pair_context, "pair_count": count.astype(np.uint32),
-            "pair_entries": np.diff(np.append(at, len(words))).astype(np.uint32), "units": np.array([b[0] for b in blobs], np.int64), "entry_unit": unit.astype(np.uint16) if len(blobs) < 1 << 16 else unit,
+            "pair_entries": np.diff(np.append(at, len(words))).astype(np.uint32), "units": np.array([b[0] for b in blobs], np.int64), "entry_unit": unit,
             "entry_doc": doc & np.uint16(0x7FFF), "entry_count": times, "totals": sums,
         }
 
@@ -244,10 +245,13 @@ def _gather(large: np.ndarray):
                     blobs.setdefault(b, []).append([one.column("unit")[0].as_py(), *(one.column(c)[0].as_py() for c in ("words", "entries", "docs", "contexts", "counts"))])
             kind = batch.schema.field("ids").type
         for b in list(blobs):
-            found = merged(sorted(blobs.pop(b)))
+            found = merged(sorted(blobs.pop(b), key=lambda x: x[0]))
             arrays = [pa.array([b], pa.int64()), pa.nulls(1, pa.int64())] + [pa.array([found[c].tobytes()], pa.binary()) for c in names]
             arrays += [pa.array([found["totals"].packed()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, kind)]
+            del found
             yield pa.RecordBatch.from_arrays(arrays, columns)
+            del arrays
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -308,6 +312,11 @@ def _seated(row: dict, totals: Totals, large: np.ndarray, seed: list[int], sweep
     return mean / max(1, samples), sums
 
 
+def _row(batch: pa.RecordBatch, i: int) -> dict:
+    """A row's blobs as views of the batch."""
+    return {c: batch.column(c)[i].as_py() if c == "bucket" else batch.column(c)[i].as_buffer() for c in batch.schema.names}
+
+
 _PAIRS = ("words", "word_pairs", "word_count", "pair_context", "pair_count")
 
 
@@ -316,7 +325,7 @@ def _sweep(totals: bytes, large: np.ndarray):
         known, summed = Totals.unpacked(totals), None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("bucket", *_PAIRS)}
+                row = _row(batch, i)
                 part = np.frombuffer(_seated(row, known, large, [11, 1, row["bucket"]], SWEEPS, 0)[1].packed(), np.float64)
                 summed = part if summed is None else summed + part
         if summed is not None:
@@ -348,24 +357,30 @@ def _score(totals: bytes, large: np.ndarray):
         known = Totals.unpacked(totals)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                row = _row(batch, i)
                 p, _ = _seated(row, known, large, [11, 2, row["bucket"]], BURN_IN + SAMPLES, SAMPLES)
                 number = _lookup(np.frombuffer(row["words"], np.uint64), large)
                 count = np.frombuffer(row["word_count"], np.int64).astype(np.float64)
                 count[number >= 0] = known.large_tokens[number[number >= 0]]
-                pairs = np.repeat(np.arange(len(p)), np.frombuffer(row["pair_entries"], np.uint32))
-                word = np.repeat(np.arange(len(count)), np.frombuffer(row["word_pairs"], np.uint32))[pairs]
-                times = np.frombuffer(row["entry_count"], np.uint32).astype(np.float64)
-                units, doc = np.frombuffer(row["units"], np.int64), np.frombuffer(row["entry_doc"], np.uint16).astype(np.int64)
+                word = np.repeat(np.arange(len(count), dtype=np.uint32), np.frombuffer(row["word_pairs"], np.uint32))
+                by_pair = (np.log10(count + 0.1)[word], np.log10(p), (count > 0)[word])
+                pair = np.repeat(np.arange(len(p), dtype=np.uint32), np.frombuffer(row["pair_entries"], np.uint32))
+                times, doc = np.frombuffer(row["entry_count"], np.uint32), np.frombuffer(row["entry_doc"], np.uint16)
+                units = np.frombuffer(row["units"], np.int64)
                 unit = np.frombuffer(row["entry_unit"], np.uint16 if len(units) < 1 << 16 else np.uint32)
-                value = (times * np.log10(count + 0.1)[word], times * np.log10(p)[pairs], times * (count > 0)[word])
-                order = np.argsort(unit, kind="stable")
-                for start, length in zip(*runs(unit[order])):
+                del word, p, count
+                order = np.argsort(unit, kind="stable").astype(np.uint32)
+                starts, lengths = runs(unit[order])
+                for start, length in zip(starts, lengths):
                     here = order[start : start + length]
-                    sums = [np.bincount(doc[here], v[here]) for v in value]
-                    some = np.flatnonzero(np.bincount(doc[here]))
-                    arrays = [some.astype(np.uint16), sums[0][some], sums[1][some], sums[2][some].astype(np.uint32)]
+                    own, at, n = pair[here], doc[here], times[here]
+                    sums = [np.bincount(at, n * v[own]) for v in by_pair]
+                    some = np.flatnonzero(np.bincount(at))
+                    arrays = [some.astype(np.uint16), sums[0][some], sums[1][some].astype(np.float32), sums[2][some].astype(np.uint32)]
                     yield pa.RecordBatch.from_arrays([pa.array([units[unit[here[0]]]], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in arrays], ["unit", "docs", "base", "score", "known"])
+                del order, pair, by_pair, row
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -389,7 +404,7 @@ def _by_document(totals: bytes, id_type: str):
             for docs, b, s, k in sorted(parts.pop(unit, [])):
                 at = np.frombuffer(docs, np.uint16)
                 base[at] += np.frombuffer(b, np.float64)
-                score[at] += np.frombuffer(s, np.float64)
+                score[at] += np.frombuffer(s, np.float32)
                 seen[at] += np.frombuffer(k, np.uint32)
             arrays = [ids, pa.array(held), pa.array(n), pa.array(seen), pa.array(np.full(len(n), int(tokens))), pa.array(base - n * shift), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -402,7 +417,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (remainder(id_col, folds) == held_fold).alias("held_out"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    buckets = max(2, shuffle_parts(spark) // 2)
+    buckets = max(2, shuffle_parts(spark))
     large = _large_words(docs, buckets)
     packed = docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type))
     table = written(packed.repartition(buckets, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)))

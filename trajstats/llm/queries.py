@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding
+from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -110,3 +110,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(text(plain), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = toxicity.weak_labels(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, labels, ["insult", "contempt", "toxic"])
