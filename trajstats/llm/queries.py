@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity
+from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity, warc_fixity
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -117,3 +117,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = toxicity.weak_labels(docs, documents(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, labels, ["insult", "contempt", "toxic"])
+
+
+@query("op5_warc_fixity", """
+WITH r AS (SELECT page_id, coalesce(page_id::VARCHAR, '') AS k, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+h AS (SELECT page_id, k, strlen(record)::BIGINT AS length, sha256(record) AS sha256, substr(md5('damage:' || k), 1, 2) AS part FROM r),
+c AS (SELECT *, row_number() OVER (PARTITION BY page_id, sha256) AS copy FROM h),
+a AS (SELECT *, ('0x' || substr(md5(k || '|' || sha256 || '|' || copy), 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + 999) // 1000) FROM pages) AS archive FROM c)
+SELECT page_id, archive, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, sha256, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length, sha256,
+    CASE WHEN part IN ('00', '01') THEN 'changed' WHEN part = '02' THEN 'missing' ELSE 'intact' END AS status FROM a""")
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.audit_pages(documents(spark, sf_dir, "pages"))
