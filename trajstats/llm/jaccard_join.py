@@ -427,6 +427,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` less those that have a smaller document in their component; columns stay.
+
+    Where ids are null or repeated, rows are told apart by a hash of id and text, the smallest of which stays.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    key = F.col("doc_id") if repeated.isEmpty() else F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    found = cut_lineage(jaccard_components(docs.select(key.alias("doc_id"), "text")))
+    gone = small_side(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), 500_000)
+    return docs.join(gone, key == gone["_gone"], "left_anti")
+
+
 def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, tile: int, hubs: int) -> DataFrame:
     """Links between tiles of one tree: through hubs, then of all sets outside the tree's main component."""
     inside = links.join(large.select(F.col("node").alias("u")), "u", "left_semi")

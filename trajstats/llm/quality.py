@@ -21,6 +21,7 @@ kinds every score is the share of good labels, or 0.5; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -187,23 +188,40 @@ def _fold_scores(models: np.ndarray, mean: np.ndarray, deviation: np.ndarray):
     return run
 
 
-def _score(model: np.ndarray, mean: np.ndarray, deviation: np.ndarray, at: np.ndarray, level: np.ndarray):
+@dataclass(frozen=True)
+class Model:
+    """A fitted classifier; ``weights`` is None where all scores are ``share``."""
+
+    share: float
+    weights: np.ndarray | None = None
+    mean: np.ndarray | None = None
+    deviation: np.ndarray | None = None
+    at: np.ndarray | None = None
+    level: np.ndarray | None = None
+
+    def scores(self, stats: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(stats), self.share)
+        return np.concatenate([np.interp(project(stats[a : a + 4096], self.mean, self.deviation) @ self.weights, self.at, self.level) for a in range(0, max(1, len(stats)), 4096)])
+
+
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                raw = project(_matrix(part), mean, deviation) @ model
-                score = np.interp(raw, at, level)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.scores(_matrix(batch)))], ["doc_id", "held_out", "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row."""
+def _statistics(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (remainder("doc_id", folds) == held_fold).alias("held_out"), "text")
-    stats = written(rows.mapInArrow(_measure, f"doc_id {id_type}, held_out boolean, stats array<float>"))
+    return written(rows.mapInArrow(_measure, f"doc_id {id_type}, held_out boolean, stats array<float>"))
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2) -> Model:
+    """The model of the labelled rows of ``stats`` (doc_id, held_out, stats) that aren't held out."""
     known = labels.filter(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     known = known.filter(remainder("doc_id", folds) != held_fold)
     train = written(stats.filter("not held_out").join(known, "doc_id").select("stats", "label", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
@@ -211,16 +229,36 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     moments = train.agg(F.count(F.lit(1)), F.sum("label"), *(f(F.get("stats", F.lit(i))) for i in range(d) for f in (F.avg, F.stddev_pop))).first()
     n, good = moments[0], moments[1] or 0
     if not n or good in (0, n):
-        share = good / n if n else 0.5
-        scored = stats.select("doc_id", "held_out", F.lit(float(share)).alias("score"))
-    else:
-        mean, deviation = np.array(moments[2::2], float), np.maximum(np.array(moments[3::2], float), 1e-6)
-        found = train.mapInArrow(_sums_by_fold(mean, deviation), "sums binary").repartition(16).mapInArrow(_add, "sums binary").collect()
-        sums = sum(np.frombuffer(bytes(r[0]), np.float64) for r in found).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
-        whole = sums.sum(0)
-        models = np.array([ridge(whole - sums[k]) for k in range(FOLDS)])
-        counts = train.mapInArrow(_fold_scores(models, mean, deviation), "bin long, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
-        at = np.array([(r["bin"] + 0.5) / BINS * 2 - 0.5 for r in counts])
-        level = isotonic(np.array([r["n"] for r in counts], float), np.array([r["good"] for r in counts], float))
-        scored = stats.mapInArrow(_score(ridge(whole), mean, deviation, at, level), f"doc_id {id_type}, held_out boolean, score double")
+        return Model(good / n if n else 0.5)
+    mean, deviation = np.array(moments[2::2], float), np.maximum(np.array(moments[3::2], float), 1e-6)
+    found = train.mapInArrow(_sums_by_fold(mean, deviation), "sums binary").repartition(16).mapInArrow(_add, "sums binary").collect()
+    sums = sum(np.frombuffer(bytes(r[0]), np.float64) for r in found).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+    whole = sums.sum(0)
+    models = np.array([ridge(whole - sums[k]) for k in range(FOLDS)])
+    counts = train.mapInArrow(_fold_scores(models, mean, deviation), "bin long, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
+    at = np.array([(r["bin"] + 0.5) / BINS * 2 - 0.5 for r in counts])
+    level = isotonic(np.array([r["n"] for r in counts], float), np.array([r["good"] for r in counts], float))
+    return Model(good / n, ridge(whole), mean, deviation, at, level)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per input row."""
+    stats = _statistics(docs, folds, held_fold)
+    model = fit(stats, labels, label_col, folds, held_fold)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    scored = stats.mapInArrow(_score(model), f"doc_id {id_type}, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts to be good, with all their columns."""
+    model = fit(_statistics(docs, folds, held_fold), labels, label_col, folds, held_fold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bounds, raw = text_buffers(batch.column("text"))
+                stats = np.concatenate([document_statistics(bounds, raw, a, b) for a, b in chunks(bounds)])
+                yield batch.filter(pa.array(model.scores(stats.astype(np.float32).astype(np.float64)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
