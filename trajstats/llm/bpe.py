@@ -233,33 +233,38 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str, size) -> Iterator[t
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
-    """``docs`` with the token ids of the text as array ``into`` and, if named, the text decoded from them."""
+    """``docs`` with the token ids of the text as array ``into`` and, if named, the text decoded from them.
+
+    Columns of these names that are there already are replaced.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    names = [*docs.columns, into, *([decoded] if decoded else [])]
-    if len(set(names)) < len(names):
-        raise ValueError(f"columns {names} are not distinct")
+    docs = docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in docs.columns if c not in (into, decoded, "_text")))
+    text_col = "_text"
+    names = [*docs.columns[1:], into, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
         for batch, texts in _batches(batches, text_col, lambda t: len(t or "")):
             found = bpe.encode([t or "" for t in texts])
-            arrays = [*batch.columns, pa.array(found, pa.list_(pa.int32()))]
+            arrays = [*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))]
             if decoded:
                 arrays.append(pa.array([bpe.decode(ids) for ids in found], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     added = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[1:], *added]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """``rows`` with the text of the token ids; null ids give empty text."""
+    """``rows`` with the text of the token ids as column ``into``, which is replaced if it is there; null ids give empty text."""
+    rows = rows.drop(into)
+    names = [*rows.columns, into]
     spec = rows.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
         for batch, ids in _batches(batches, ids_col, lambda x: 4 * len(x or ())):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bpe.decode(x or ()) for x in ids], pa.string())], [*rows.columns, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bpe.decode(x or ()) for x in ids], pa.string())], names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 

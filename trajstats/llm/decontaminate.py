@@ -155,12 +155,13 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
-    """``docs`` with arrays of the items found: item_ids, distances, starts and ends (in the source text, end exclusive)."""
+    """``docs`` with arrays of the items found: item_ids, distances, starts and ends (in the source text, end exclusive).
+
+    Columns of these names that are there already are replaced.
+    """
     benchmark = benchmark.select("item_id", "text")
     kind = benchmark.schema["item_id"].dataType
     added = {"item_ids": kind, "distances": T.IntegerType(), "starts": T.LongType(), "ends": T.LongType()}
-    if set(added) & set(docs.columns):
-        raise ValueError(f"columns {sorted(set(added) & set(docs.columns))} are taken")
     for name, t in added.items():
         docs = docs.withColumn(name, F.array().cast(T.ArrayType(t)))
     context = docs.sparkSession.sparkContext

@@ -73,13 +73,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def survivors(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of identical rows one."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of identical rows one."""
     kept = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_digest", sha256(filled()))
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_sha"]), "left_semi")
-    repeated = rows.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_sha"))
-    if repeated.isEmpty():
-        return found.drop("_digest")
-    same = rows["doc_id"].eqNullSafe(repeated["_id"]) & (rows["_digest"] == repeated["_sha"])
-    once = found.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return found.join(repeated, same, "left_anti").unionByName(once).drop("_digest")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", sha256(filled()).alias("digest"))
+    same = lambda right: rows["doc_id"].eqNullSafe(right["_id"]) & (rows["digest"] == right["_sha"])
+    found = rows.join(kept, same(kept), "left_semi")
+    repeated = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha"))
+    if not repeated.isEmpty():
+        once = found.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "digest"])
+        found = found.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return found.select("row.*")

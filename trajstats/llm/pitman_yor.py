@@ -45,6 +45,8 @@ D1, S1, D0, S0 = 0.6, 40.0, 0.6, 10.0
 SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
 #: Tokens and documents that a map task packs at a time.
 PACK_TOKENS, PACK_DOCS = 1_500_000, 32_000
+#: Buckets in a shuffle partition, and sums that a task keeps before it sends them.
+BUCKETS_A_PART, KEPT_SUMS = 4, 2_000_000
 #: Pieces of a word with a large share; one document in so many is read to find them.
 PIECES, SAMPLE_ONE_IN = 16, 16
 
@@ -355,6 +357,17 @@ def _score(totals: bytes, large: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by document of each pack: base, score and known tokens."""
         known = Totals.unpacked(totals)
+        kept: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for unit in sorted(kept):
+                docs, *sums = (np.concatenate(x) for x in zip(*kept.pop(unit)))
+                some = np.flatnonzero(np.bincount(docs))
+                sums = [np.bincount(docs, v)[some] for v in sums]
+                arrays = [some.astype(np.uint16), sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in arrays], ["unit", "docs", "base", "score", "known"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = _row(batch, i)
@@ -376,11 +389,15 @@ def _score(totals: bytes, large: np.ndarray):
                     own, at, n = pair[here], doc[here], times[here]
                     sums = [np.bincount(at, n * v[own]) for v in by_pair]
                     some = np.flatnonzero(np.bincount(at))
-                    arrays = [some.astype(np.uint16), sums[0][some], sums[1][some].astype(np.float32), sums[2][some].astype(np.uint32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([units[unit[here[0]]]], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in arrays], ["unit", "docs", "base", "score", "known"])
+                    kept.setdefault(int(units[unit[here[0]]]), []).append((some.astype(np.uint16), sums[0][some], sums[1][some], sums[2][some].astype(np.uint32)))
+                    size += len(some)
                 del order, pair, by_pair, row
+                if size > KEPT_SUMS:
+                    yield from flush()
+                    size = 0
             del batch
             pa.default_memory_pool().release_unused()
+        yield from flush()
 
     return run
 
@@ -417,10 +434,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (remainder(id_col, folds) == held_fold).alias("held_out"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    buckets = max(2, shuffle_parts(spark))
+    buckets = BUCKETS_A_PART * shuffle_parts(spark)
     large = _large_words(docs, buckets)
     packed = docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type))
-    table = written(packed.repartition(buckets, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)))
+    table = written(packed.repartition(shuffle_parts(spark), "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)))
     rows = table.filter("bucket >= 0")
     first = _summed(rows.select("totals"))
     if first is None:
