@@ -26,7 +26,9 @@ def con():
 
 
 def key(row):
-    return tuple((v is not None, str(v)) if not isinstance(v, float) else (True, f"{v:.5g}") for v in row)
+    """Exact columns first, so that rows which differ in the last digits of a float still pair up; -0.0 is 0.0."""
+    exact = tuple((v is not None, str(v)) for v in row if not isinstance(v, float))
+    return exact, tuple(f"{v + 0.0:.5g}" for v in row if isinstance(v, float))
 
 
 def close(a, b):

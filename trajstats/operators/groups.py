@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -186,7 +187,7 @@ def inner_outer(chains: DataFrame, keys: Sequence[str], species: str = "species"
 
 
 def unwrapped_groups(groups: DataFrame, edges: DataFrame, positions: DataFrame, keys: Sequence[str], chain: str = "chain_id",
-                     pos: Sequence[str] = ("x", "y", "z"), box: Sequence[str] = ("lx", "ly", "lz"), max_rounds: int = 10_000) -> DataFrame:
+                     pos: Sequence[str] = ("x", "y", "z"), box: Sequence[str] = ("lx", "ly", "lz")) -> DataFrame:
     """Positions of each group put together across the box: the lowest chain keeps its place,
     and every other chain follows its lowest already placed neighbour by the nearest image.
     """
@@ -198,7 +199,7 @@ def unwrapped_groups(groups: DataFrame, edges: DataFrame, positions: DataFrame,
     steps = cut_lineage(steps.select(*keys, "u", "v", *shift))
     placed = cut_lineage(groups.filter(F.col(chain) == F.col("label")).join(where, [*keys, chain]).select(*keys, F.col(chain).alias("u"), *pos))
     frontier = placed
-    for depth in range(1, max_rounds):
+    for depth in count(1):  # ends with the longest path; every round places at least one more chain
         reach = frontier.join(steps, [*keys, "u"])
         step = F.min(F.struct("u", *[(F.col(p) + F.col(f"_d{k}")).alias(p) for k, p in enumerate(pos)]))
         fresh = reach.join(placed.select(*keys, F.col("u").alias("v")), [*keys, "v"], "left_anti").groupBy(*keys, "v").agg(step.alias("s"))

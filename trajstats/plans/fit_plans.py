@@ -189,10 +189,11 @@ DOC_SQL = """df AS (SELECT d.doc_id, quality AS label, n_chars::DOUBLE AS n_char
   len(regexp_replace(text, '[^A-Z]', '', 'g')) / len(text) AS upper_share, (len(text) - len(replace(text, ' ', ''))) / len(text) AS space_share FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
-def _documents(spark, d) -> DataFrame:
+def _documents(spark, d, labelled: bool = True) -> DataFrame:
+    """Features of the documents: of the labelled ones with their label, or of all of them."""
     doc, lab = spread(table(spark, d, "documents")), table(spark, d, "labels")
     n = F.length("text")
-    rows = doc.join(lab, "doc_id").select(
+    rows = (doc.join(lab, "doc_id") if labelled else doc.withColumn("quality", F.lit(None).cast("int"))).select(
         "doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), (n - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("double").alias("n_lines"),
         (F.length(F.regexp_replace("text", "[^0-9]", "")) / n).alias("digit_share"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n).alias("upper_share"), ((n - F.length(F.replace("text", F.lit(" "), F.lit("")))) / n).alias("space_share"))
     return rows
@@ -204,18 +205,19 @@ def feature_ranking(spark, d):
     return rounded(feat.ranked_features(_documents(spark, d), DOC_FEATURES, "label"), "r")
 
 
+ALL_DOCS_SQL = DOC_SQL.replace(" FROM documents d JOIN labels l ON l.doc_id = d.doc_id)", " FROM documents d)").replace("quality AS label, ", "NULL AS label, ")
 STD_SQL = "zs AS (SELECT doc_id, label, " + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" for f in DOC_FEATURES) + " FROM df)"
 
 
-@query("standardised_features", "L2", with_ctes(DOC_SQL, STD_SQL, select="SELECT doc_id, " + ", ".join(f"round({f}, 8) AS {f}" for f in DOC_FEATURES) + " FROM zs"))
+@query("standardised_features", "L2", with_ctes(ALL_DOCS_SQL, STD_SQL, select="SELECT doc_id, " + ", ".join(f"round({f}, 8) AS {f}" for f in DOC_FEATURES) + " FROM zs"))
 def standardised_features(spark, d):
-    out = feat.standardised(_documents(spark, d), DOC_FEATURES)
+    out = feat.standardised(_documents(spark, d, False), DOC_FEATURES)
     return rounded(out.select("doc_id", *DOC_FEATURES), *DOC_FEATURES)
 
 
 @query("cluster_two", "L2")
 def cluster_two(spark, d):
-    return feat.cluster_two(_documents(spark, d), DOC_FEATURES).select("doc_id", "label", "cluster", "pc1", "pc2")
+    return feat.cluster_two(_documents(spark, d, False), DOC_FEATURES, seeds=tuple(range(20))).select("doc_id", "cluster", "pc1", "pc2")
 
 
 @query("threshold_confusion", "L3", with_ctes(DOC_SQL, "cf AS (SELECT label, CASE WHEN upper_share > 0.02 THEN 1 ELSE 0 END AS c FROM df)", """
@@ -237,13 +239,13 @@ def silhouette(spark, d):
 
 @query("loadings", "L11")
 def loadings(spark, d):
-    table_, spectrum = feat.loadings(_documents(spark, d), DOC_FEATURES)
+    table_, spectrum = feat.loadings(_documents(spark, d, False), DOC_FEATURES)
     return table_.join(spectrum, "component")
 
 
 @query("forward_regression", "L12")
 def forward_regression(spark, d):
-    return feat.forward_regression(_documents(spark, d), DOC_FEATURES[1:], "n_chars", "doc_id", max_features=2, trees=10)
+    return feat.forward_regression(_documents(spark, d, False), DOC_FEATURES[1:], "n_chars", "doc_id", max_features=2, trees=10)
 
 
 # Nations as units: a small table reduced from customers, orders and line items.

@@ -183,10 +183,12 @@ def corrected_override(spark, d):
 
 
 @query("time_thirds", "A38", with_ctes(OBS_SQL, select="""
-SELECT system, observable_key, CASE WHEN idx < 10 THEN 'early' WHEN idx < 20 THEN 'middle' ELSE 'late' END AS span, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd,
-       round(stddev_samp(value) / sqrt(count(*)), 8) AS sem, count(*) AS n FROM obs WHERE idx BETWEEN 0 AND 30 GROUP BY 1, 2, 3"""))
+SELECT system, observable_key, CASE WHEN idx < lo + (hi - lo) / 3.0::DOUBLE THEN 'early' WHEN idx < lo + 2 * ((hi - lo) / 3.0::DOUBLE) THEN 'middle' ELSE 'late' END AS span, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd,
+       round(stddev_samp(value) / sqrt(count(*)), 8) AS sem, count(*) AS n FROM obs, (SELECT min(idx) AS lo, max(idx) AS hi FROM obs) GROUP BY 1, 2, 3"""))
 def time_thirds(spark, d):
-    return rounded(rollups.time_thirds(daily_observables(spark, d), ["system", "observable_key"], "idx", 0, 30, "value"), "mean", "sd", "sem")
+    obs = daily_observables(spark, d)
+    lo, hi = obs.agg(F.min("idx"), F.max("idx")).first()
+    return rounded(rollups.time_thirds(obs, ["system", "observable_key"], "idx", lo or 0, hi or 0, "value"), "mean", "sd", "sem")
 
 
 @query("largest_share_series", "A39 C11", """
@@ -403,13 +405,13 @@ def first_crossing(spark, d):
 
 @query("half_max_radius", "W4", with_ctes(LINES_SQL, """
 p1 AS (SELECT system, CAST(floor(r) AS INTEGER) AS r, sum(weight) AS y FROM lr GROUP BY 1, 2),
-p2 AS (SELECT system, r, y * (CASE WHEN r < 20 THEN r ELSE 40 - r END) AS y FROM p1 WHERE r <= 40),
+p2 AS (SELECT system, r, y * (CASE WHEN r < 20 THEN r ELSE 60 - r END) AS y FROM p1),
 pk AS (SELECT system, arg_max(r, y) AS rp, max(y) / 2 AS h FROM p2 GROUP BY 1),
 st AS (SELECT p2.*, rp, h, lag(r) OVER w AS x0, lag(y) OVER w AS y0 FROM p2 JOIN pk USING (system) WINDOW w AS (PARTITION BY system ORDER BY r))""", select="""
 SELECT system, round(arg_min(x0 + (h - y0) * (r - x0) / (y - y0), r), 6) AS r_half FROM st WHERE r > rp AND ((y0 >= h AND h >= y) OR (y >= h AND h >= y0)) GROUP BY 1"""))
 def half_max_radius(spark, d):
-    p = line_radii(spark, d).groupBy("system", F.floor("r").cast("int").alias("r")).agg(F.sum("weight").alias("y")).filter("r <= 40")
-    p = p.withColumn("y", F.col("y") * F.when(F.col("r") < 20, F.col("r")).otherwise(40 - F.col("r")))
+    p = line_radii(spark, d).groupBy("system", F.floor("r").cast("int").alias("r")).agg(F.sum("weight").alias("y"))
+    p = p.withColumn("y", F.col("y") * F.when(F.col("r") < 20, F.col("r")).otherwise(60 - F.col("r")))
     return rounded(windows.half_max_radius(p, ["system"], "r", "y"), "r_half", places=6)
 
 
@@ -599,10 +601,12 @@ def member_stress(spark, d):
 
 
 @query("interval_means", "J6", with_ctes(USERS_SQL, """
-seg AS (SELECT user_id AS system, min(epoch_us(ts) // 259200000000 - 6574) AS s, min(epoch_us(ts) // 259200000000 - 6574) + 4 AS e FROM events GROUP BY 1)""", select="""
+fi AS (SELECT system, min(idx) AS first FROM uw GROUP BY 1),
+seg AS (SELECT DISTINCT system, first + (idx - first) // 4 * 4 AS s, first + (idx - first) // 4 * 4 + 4 AS e FROM uw JOIN fi USING (system))""", select="""
 SELECT seg.system, s AS "start", round(avg(value), 8) AS mean, count(*) AS n FROM seg JOIN uw ON uw.system = seg.system AND s <= idx AND idx < e GROUP BY 1, 2"""))
 def interval_means(spark, d):
     uw = user_weeks(spark, d)
-    seg = uw.groupBy("system").agg(F.min("idx").alias("start")).withColumn("end", F.col("start") + 4)
+    first = uw.groupBy("system").agg(F.min("idx").alias("first"))
+    seg = uw.join(first, "system").select("system", F.expr("first + (idx - first) div 4 * 4").alias("start")).distinct().withColumn("end", F.col("start") + 4)
     out = asof.in_intervals(uw.select("system", "idx", "value"), seg, ["system"], "idx", "start", "end", 4)
     return rounded(out.groupBy("system", "start").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")), "mean", places=8)

@@ -161,11 +161,14 @@ def species_by_shape(spark, d):
 
 
 @query("species_by_range", "P2 M4", """
-SELECT n.n_name AS species, count(*) AS n, count(DISTINCT user_id) AS n_chains FROM events e JOIN nation n ON user_id BETWEEN n_nationkey * 7 AND n_nationkey * 7 + 6 GROUP BY 1""")
+WITH w AS (SELECT max(user_id) // (SELECT count(*) FROM nation) + 1 AS w FROM events)
+SELECT n.n_name AS species, count(*) AS n, count(DISTINCT user_id) AS n_chains FROM events e, w JOIN nation n ON user_id BETWEEN n_nationkey * w AND n_nationkey * w + w - 1 GROUP BY 1""")
 def species_by_range(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_name").alias("species"), (F.col("n_nationkey") * 7).alias("lo"), (F.col("n_nationkey") * 7 + 6).alias("hi"))
+    n = table(spark, d, "nation")
     per_chain = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
-    out = per_chain.join(small_side(n, 1000), (F.col("user_id") >= F.col("lo")) & (F.col("user_id") <= F.col("hi")))
+    width = per_chain.agg((F.max("user_id")).alias("top")).crossJoin(n.agg(F.count(F.lit(1)).alias("ranges"))).select(F.expr("top div ranges + 1").alias("w"))  # one row
+    ranges = n.crossJoin(width).select(F.col("n_name").alias("species"), (F.col("n_nationkey") * F.col("w")).alias("lo"), (F.col("n_nationkey") * F.col("w") + F.col("w") - 1).alias("hi"))
+    out = per_chain.join(small_side(ranges, 1000), (F.col("user_id") >= F.col("lo")) & (F.col("user_id") <= F.col("hi")))
     return out.groupBy("species").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_chains"))
 
 
@@ -250,7 +253,7 @@ def pair_potential(spark, d):
 
 
 PHASE_SQL = CONDITIONS_SQL + """,
-ph0 AS (SELECT condition, temperature_k, unit, avg(value) / 500 AS c_sg, (avg(value) - 240000) / 1000000 AS c_dil, 20.0::DOUBLE + count(*) AS r_sg, 5.0::DOUBLE + unit AS w_sg, 0.05::DOUBLE * (unit - 2) AS gamma, 50000.0::DOUBLE AS meff,
+ph0 AS (SELECT condition, temperature_k, unit, avg(value) / 499 AS c_sg, (avg(value) - 240000) / 999983 AS c_dil, 200.0::DOUBLE + count(*) AS r_sg, 60.0::DOUBLE + unit AS w_sg, 0.005::DOUBLE * (unit - 2) AS gamma, 50000.0::DOUBLE AS meff,
   stddev_samp(value) / 5000 AS c_sg_sd, 0.02::DOUBLE AS c_dil_sd, 2.0::DOUBLE AS r_sg_sd, 0.01::DOUBLE AS gamma_sd FROM co GROUP BY 1, 2, 3),
 ph1 AS (SELECT *, concat_ws(';', CASE WHEN c_dil < 0 AND c_dil >= -0.05 THEN 'clamped_small_negative_c_dil_to_zero' END, CASE WHEN c_dil < -0.05 THEN 'hard_invalid_negative_c_dil' END, CASE WHEN gamma < 0 THEN 'hard_invalid_gamma' END) AS wt,
   c_dil < -0.05 OR gamma < 0 AS invalid, CASE WHEN c_dil < 0 AND c_dil >= -0.05 THEN 0 ELSE c_dil END AS cd FROM ph0),
@@ -262,24 +265,23 @@ ph AS (SELECT *, CASE WHEN cd = 0 THEN exp(-s) * c_dil_sd WHEN cd > 0 THEN cdi *
 def _phase_rows(spark, d) -> DataFrame:
     g = condition_orders(spark, d).groupBy("condition", "temperature_k", "unit").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count(F.lit(1)).alias("n"))
     rows = g.select(
-        "condition", "temperature_k", "unit", (F.col("m") / 500).alias("c_sg"), ((F.col("m") - 240000) / 1000000).alias("c_dil"), (20.0 + F.col("n")).alias("r_sg"), (5.0 + F.col("unit")).alias("w_sg"),
-        (0.05 * (F.col("unit") - 2)).alias("gamma"), F.lit(50000.0).alias("meff"), (F.col("s") / 5000).alias("c_sg_sd"), F.lit(0.02).alias("c_dil_sd"), F.lit(2.0).alias("r_sg_sd"), F.lit(0.01).alias("gamma_sd"))
+        "condition", "temperature_k", "unit", (F.col("m") / 499).alias("c_sg"), ((F.col("m") - 240000) / 999983).alias("c_dil"), (200.0 + F.col("n")).alias("r_sg"), (60.0 + F.col("unit")).alias("w_sg"),
+        (0.005 * (F.col("unit") - 2)).alias("gamma"), F.lit(50000.0).alias("meff"), (F.col("s") / 5000).alias("c_sg_sd"), F.lit(0.02).alias("c_dil_sd"), F.lit(2.0).alias("r_sg_sd"), F.lit(0.01).alias("gamma_sd"))
     return phase.curvature_corrected(rows, interface_limit=0.35)
 
 
 @query("curvature_corrected", "P17", with_ctes(PHASE_SQL, select="""
-SELECT condition, temperature_k, unit, round(s, 6) AS s, round(cdi, 8) AS c_dil_inf, round(c_sg - cdi + 1e-11, 8) AS delta_c, round((c_sg + cdi) / 2 + 1e-11, 8) AS c_bar, round(w_sg / r_sg, 8) AS interface_ratio, w_sg / r_sg >= 0.35 AS flag_large_interface_ratio,
+SELECT condition, temperature_k, unit, round(s, 6) AS s, round(cdi, 8) AS c_dil_inf, round(c_sg - cdi, 6) AS delta_c, round((c_sg + cdi) / 2, 6) AS c_bar, round(w_sg / r_sg, 8) AS interface_ratio, w_sg / r_sg >= 0.35 AS flag_large_interface_ratio,
        s >= 0.1 AS flag_large_curvature, c_sg - cdi <= 0 AS flag_negative_delta_c, round(cdi_sd, 8) AS c_dil_inf_sd, round(sqrt(pow(coalesce(c_sg_sd, 0), 2) + pow(coalesce(cdi_sd, 0), 2)), 6) AS delta_c_sd FROM ph"""))
 def curvature_corrected(spark, d):
     out = _phase_rows(spark, d).select("condition", "temperature_k", "unit", "s", "delta_c", "c_bar", "delta_c_sd", F.round("c_dil_inf", 8).alias("c_dil_inf"), F.round("interface_ratio", 8).alias("interface_ratio"),
                                        "flag_large_interface_ratio", "flag_large_curvature", "flag_negative_delta_c", F.round("c_dil_inf_sd", 8).alias("c_dil_inf_sd"))
-    # Means over 2, 4, 8 ... rows end in a 5 at some digit; the nudge settles those ties alike in both engines.
-    return rounded(out, "s", "delta_c_sd", places=6).withColumns({c: F.round(F.col(c) + 1e-11, 8) for c in ("delta_c", "c_bar")})
+    return rounded(out, "s", "delta_c_sd", "delta_c", "c_bar", places=6)
 
 
-@query("validity_flags", "P18", with_ctes(PHASE_SQL, select="SELECT condition, temperature_k, unit, round(cd + 1e-13, 10) AS c_dil, invalid, wt AS warning_text FROM ph"))
+@query("validity_flags", "P18", with_ctes(PHASE_SQL, select="SELECT condition, temperature_k, unit, round(cd, 8) AS c_dil, invalid, wt AS warning_text FROM ph"))
 def validity_flags(spark, d):
-    return _phase_rows(spark, d).select("condition", "temperature_k", "unit", F.round(F.col("c_dil") + 1e-13, 10).alias("c_dil"), "invalid", "warning_text")
+    return _phase_rows(spark, d).select("condition", "temperature_k", "unit", F.round("c_dil", 8).alias("c_dil"), "invalid", "warning_text")
 
 
 @query("profile_quality", "P19", """
@@ -350,16 +352,19 @@ def neighbour_bonds(spark, d):
 
 
 @query("type_pairs_by_filter", "A17 A22", with_ctes(SEQ_SQL, BOND_SQL, """
-lc AS (SELECT doc_id, letter AS t, count(*)::DOUBLE AS n, any_value(doc_id % 3 + 1)::DOUBLE AS c FROM ps WHERE NOT rna AND letter <> '' GROUP BY 1, 2),
-tt AS (SELECT t, sum(n * c) AS n FROM lc GROUP BY 1),
-ev AS (SELECT x.t AS a, y.t AS b, CASE WHEN x.t = y.t THEN x.n * greatest(x.n - 1, 0) / 2 ELSE x.n * y.n END AS total FROM tt x JOIN tt y ON x.t <= y.t),
-ia AS (SELECT x.t AS a, y.t AS b, sum(x.c * CASE WHEN x.t = y.t THEN x.n * greatest(x.n - 1, 0) / 2 ELSE x.n * y.n END) AS chain FROM lc x JOIN lc y ON x.doc_id = y.doc_id AND x.t <= y.t GROUP BY 1, 2)""", select="""
-SELECT ev.a, ev.b, total - coalesce(bd.count, 0) AS n_all, total - coalesce(chain, 0) AS n_inter, coalesce(chain, 0) - coalesce(bd.count, 0) AS n_intra FROM ev LEFT JOIN ia ON ia.a = ev.a AND ia.b = ev.b LEFT JOIN bd ON bd.a = ev.a AND bd.b = ev.b AND NOT bd.rna"""))
+lc AS (SELECT rna, doc_id, letter AS t, count(*)::DOUBLE AS n, any_value(doc_id % 3 + 1)::DOUBLE AS c FROM ps WHERE letter <> '' GROUP BY 1, 2, 3),
+tt AS (SELECT rna, t, sum(n * c) AS n FROM lc GROUP BY 1, 2),
+ev AS (SELECT x.rna, x.t AS a, y.t AS b, CASE WHEN x.t = y.t THEN x.n * greatest(x.n - 1, 0) / 2 ELSE x.n * y.n END AS total FROM tt x JOIN tt y ON x.rna = y.rna AND x.t <= y.t),
+ia AS (SELECT x.rna, x.t AS a, y.t AS b, sum(x.c * CASE WHEN x.t = y.t THEN x.n * greatest(x.n - 1, 0) / 2 ELSE x.n * y.n END) AS chain FROM lc x JOIN lc y ON x.doc_id = y.doc_id AND x.t <= y.t GROUP BY 1, 2, 3)""", select="""
+SELECT ev.rna, ev.a, ev.b, total - coalesce(bd.count, 0) AS n_all, total - coalesce(chain, 0) AS n_inter, coalesce(chain, 0) - coalesce(bd.count, 0) AS n_intra FROM ev LEFT JOIN ia ON ia.rna = ev.rna AND ia.a = ev.a AND ia.b = ev.b LEFT JOIN bd ON bd.rna = ev.rna AND bd.a = ev.a AND bd.b = ev.b"""))
 def type_pairs_by_filter(spark, d):
-    seqs = _seqs(spark, d).filter("NOT rna")
-    counts = sequences.positions(seqs, ["doc_id"], "seq").filter("letter <> ''").groupBy("doc_id", "letter").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.col("doc_id") % 3 + 1)
-    bonded = sequences.bonds(seqs, [], "seq", F.lit(3), F.col("doc_id") % 3 + 1)
-    return sequences.type_pairs_by_filter(counts, "doc_id", "letter", "n", "copies", bonded)
+    parts = []
+    for rna, reach in ((False, 3), (True, 2)):
+        seqs = _seqs(spark, d).filter(F.col("rna") == rna)
+        counts = sequences.positions(seqs, ["doc_id"], "seq").filter("letter <> ''").groupBy("doc_id", "letter").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.col("doc_id") % 3 + 1)
+        bonded = sequences.bonds(seqs, [], "seq", F.lit(reach), F.col("doc_id") % 3 + 1)
+        parts.append(sequences.type_pairs_by_filter(counts, "doc_id", "letter", "n", "copies", bonded).withColumn("rna", F.lit(rna)))
+    return parts[0].unionByName(parts[1])
 
 
 @query("possible_position_pairs", "A19", """

@@ -37,14 +37,16 @@ def stream_thinning(spark, d):
 
 @query("stream_windowed_mean", "X2 W1 A24", """
 WITH w AS (SELECT event_type, epoch_us(ts) // 21600000000 AS k, avg(value) AS mean, stddev_samp(value) AS sd, stddev_samp(value) / sqrt(count(*)) AS sem, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT event_type, k * 6 AS start_h, round(mean, 8) AS mean, round(sd, 8) AS sd, round(sem, 8) AS sem, n FROM w WHERE (k + 1) * 21600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""")
+SELECT event_type, k * 6 AS start_h, round(mean, 8) AS mean, round(sd, 8) AS sd, round(sem, 8) AS sem, n FROM w""")
 def stream_windowed_mean(spark, d):
     feed = _feed(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    out = _run(spark, feeds.windowed_mean(feed, "at", ["event_type"], "value", "6 hours", "1 hour"))
+    closed = _run(spark, feeds.windowed_mean(feed, "at", ["event_type"], "value", "6 hours", "1 hour"))
+    rows = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    out = closed.unionByName(feeds.open_windows(rows, "at", ["event_type"], "value", "6 hours", "1 hour"))
     return rounded(out.select("event_type", F.expr("unix_seconds(window_start) div 3600").alias("start_h"), "mean", "sd", "sem", "n"), "mean", "sd", "sem")
 
 
-@query("stream_tracking", "X3 C5", comp_sql("SELECT frame, label FROM tr WHERE frame < 20", TRACK_SQL))
+@query("stream_tracking", "X3 C5", comp_sql("SELECT frame, label FROM tr", TRACK_SQL))
 def stream_tracking(spark, d):
     folder = _folder(spark)
     g = _groups(spark, d).withColumn("system", F.lit("all")).persist()
@@ -56,6 +58,7 @@ def stream_tracking(spark, d):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
     q = stream.writeStream.foreachBatch(tracker).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
+    tracker.finish(spark)
     return tracker.result(spark).select("frame", "label")
 
 

@@ -26,13 +26,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; make one only where none is named (tests)."""
+    """Use the shared folder the cluster names. Where none is named, make one in local mode (tests) and fail elsewhere:
+    executors can't see each other's disks.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return folder

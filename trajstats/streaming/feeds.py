@@ -23,13 +23,29 @@ def windowed_mean(stream: DataFrame, time: str, keys: Sequence[str], value: str,
     State holds the running moments per open window and key, not rows. Rows later than
     ``delay`` behind the newest one are dropped.
     """
+    return _windows(stream.withWatermark(time, delay), time, keys, value, width)
+
+
+def _windows(rows: DataFrame, time: str, keys: Sequence[str], value: str, width: str) -> DataFrame:
     v = finite(F.col(value).cast("double"))
-    out = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("_w"), *keys).agg(
+    out = rows.groupBy(F.window(time, width).alias("_w"), *keys).agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), sem(v).alias("sem"), F.count(v).alias("n")
     )
     return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "mean", "sd", "sem", "n")
 
 
+def open_windows(rows: DataFrame, time: str, keys: Sequence[str], value: str, width: str, delay: str) -> DataFrame:
+    """The windows that a bounded feed leaves open at its end: those that reach past the newest row less ``delay``.
+
+    With what ``windowed_mean`` gave out, they make the whole answer. Only rows of the last windows are read.
+    """
+    newest = rows.agg(F.max(time).alias("_newest"))  # one row
+    mark = F.col("_newest") - F.expr(f"INTERVAL {delay}")
+    tail = rows.crossJoin(F.broadcast(newest)).filter(F.col(time) > mark - F.expr(f"INTERVAL {width}"))
+    late = _windows(tail, time, keys, value, width).crossJoin(F.broadcast(newest))
+    return late.filter(F.col("window_end") > mark).drop("_newest")
+
+
 class GroupTracker:
     """Follows one group per system through a feed of (system, frame, chain_id, label) rows.
 
@@ -52,10 +68,27 @@ class GroupTracker:
         if before is not None:
             done = before.filter("picked").groupBy(*keys).agg(F.max(frame).alias("_done"))
             rows = rows.join(done, keys, "left").filter(F.col("_done").isNull() | (F.col(frame) > F.col("_done"))).drop("_done").unionByName(before)
-        rows = cut_lineage(rows)
+        self._advance(cut_lineage(rows), batch_id)
+
+    def finish(self, spark: SparkSession) -> None:
+        """End of the feed: the held newest frames are complete, so follow the path through them too."""
+        last = self._last(spark)
+        if last is not None:
+            self._advance(cut_lineage(self._state(spark, last)), last + 1, final=True)
+
+    def _last(self, spark: SparkSession) -> int | None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return None
+        return max((int(f.getPath().getName().split("=")[1]) for f in files.listStatus(folder) if "=" in f.getPath().getName()), default=None)
+
+    def _advance(self, rows: DataFrame, batch_id: int, final: bool = False) -> None:
+        keys, frame, cols = self.keys, self.frame, [*self.keys, self.frame, self.chain, "label"]
         newest = rows.groupBy(*keys).agg(F.max(frame).alias("_new"))
-        held = rows.join(newest, keys).filter(F.col(frame) == F.col("_new")).drop("_new")
-        ready = rows.join(newest, keys).filter(F.col(frame) < F.col("_new")).drop("_new")
+        at_end = F.lit(False) if final else F.col(frame) == F.col("_new")
+        held = rows.join(newest, keys).filter(at_end).drop("_new")
+        ready = rows.join(newest, keys).filter(~at_end).drop("_new")
         tracked = self._follow(cut_lineage(ready))
         seen = rows.filter("picked").select(*keys, frame).distinct()
         tracked.join(seen, [*keys, frame], "left_anti").write.mode("overwrite").parquet(f"{self.folder}/tracked/batch={batch_id}")
