@@ -109,13 +109,13 @@ def _resampled(spark, d, n: int) -> DataFrame:
 
 RESAMPLE_SQL = BRANCH_SQL + f""",
 rs AS (SELECT condition, replicate, temperature_k, greatest(CASE WHEN c_sg_sd > 0 THEN c_sg + c_sg_sd * {normal_sql('replicate', 'temperature_k', '1')} ELSE c_sg END, 1e-12) AS c_sg,
-  greatest(CASE WHEN c_dil_inf_sd > 0 THEN c_dil_inf + c_dil_inf_sd * {normal_sql('replicate', 'temperature_k', '2')} ELSE c_dil_inf END, 0) AS c_dil_inf, c_sg_sd, c_dil_inf_sd FROM br, range(40) r(replicate))"""
+  greatest(CASE WHEN c_dil_inf_sd > 0 THEN c_dil_inf + c_dil_inf_sd * {normal_sql('replicate', 'temperature_k', '2')} ELSE c_dil_inf END, 0) AS c_dil_inf, c_sg_sd, c_dil_inf_sd FROM br, range(500) r(replicate))"""
 
 
 @query("binodal_resample", "F8 B19", with_ctes(RESAMPLE_SQL, binodal_sql("rs", "condition, replicate", tag="q"), select="""
 SELECT condition, count(*) AS n_success, round(median(tc), 1) AS tc_median, round(median(aa), 0) AS a_median FROM fq2 GROUP BY 1"""))
 def binodal_resample(spark, d):
-    out = binodal.resample_summary(binodal.binodal_fit(_resampled(spark, d, 40), ["condition", "replicate"]), ["condition"])
+    out = binodal.resample_summary(binodal.binodal_fit(_resampled(spark, d, 500), ["condition", "replicate"]), ["condition"])
     return out.select("condition", "n_success", F.round("tc_median", 1).alias("tc_median"), F.round("a_median", 0).alias("a_median"))
 
 
@@ -137,12 +137,18 @@ def binodal_curve(spark, d):
     return binodal.curve_table(fit, ["condition"], F.lit(290.0), 25).select("condition", "k", F.round("c_bar", 0).alias("c_bar"))
 
 
-@query("mass_scale_sensitivity", "F12 P17", None)
+SCALE_SQL = BRANCH_SQL + """,
+ms AS (SELECT condition, scale, temperature_k, c_sg, c_dil_inf * exp(-(2.0::DOUBLE * (0.3::DOUBLE * 1e-3) * (50.0::DOUBLE * scale / c_sg) / ((80.0::DOUBLE * 1e-10) * 8.314462618 * temperature_k))) AS c_dil_inf, c_sg_sd, c_dil_inf_sd FROM br, (VALUES (0.5::DOUBLE), (1.0), (2.0)) v(scale))"""
+
+
+@query("mass_scale_sensitivity", "F12 P17", with_ctes(SCALE_SQL, binodal_sql("ms", "condition, scale", tag="m"), select="""
+SELECT condition, scale, round(tc, 2) AS tc, round(cc, 1) AS c_c, round(aa, 1) AS a, round(bb, 2) AS b, round(sqrt(sse / (2 * n)), 4) AS rmse, n AS n_points FROM fm2"""))
 def mass_scale_sensitivity(spark, d):
     from trajstats.functions.scalars import curvature_factor
     rows = _branches(spark, d).withColumn("scale", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))))
     s = curvature_factor(F.lit(0.3), F.lit(80.0), F.lit(50.0) * F.col("scale") / F.col("c_sg"), F.col("temperature_k"))
-    return binodal.binodal_fit(rows.withColumn("c_dil_inf", F.col("c_dil_inf") * F.exp(-s)), ["condition", "scale"])
+    out = binodal.binodal_fit(rows.withColumn("c_dil_inf", F.col("c_dil_inf") * F.exp(-s)), ["condition", "scale"])
+    return out.select("condition", "scale", F.round("tc", 2).alias("tc"), F.round("c_c", 1).alias("c_c"), F.round("a", 1).alias("a"), F.round("b", 2).alias("b"), F.round("rmse", 4).alias("rmse"), "n_points")
 
 
 # --- grouped fits ----------------------------------------------------------------------

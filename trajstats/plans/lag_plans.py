@@ -224,27 +224,33 @@ def bootstrap_means(spark, d):
 # Monte-Carlo error of a curvature-corrected value: one row per segment and year.
 MC_SQL = CONDITIONS_SQL + """,
 pc AS (SELECT condition, temperature_k, avg(value) / 500 AS c_sg, avg(value) / 100000 AS c_dil, count(*) % 50 + 60.0::DOUBLE AS radius, stddev_samp(value) / 20000 AS sd_sg, row_number() OVER (ORDER BY condition, temperature_k) AS id FROM co GROUP BY 1, 2),
-dr AS (SELECT condition, temperature_k, r.r AS draw, greatest(c_sg + sd_sg * """ + normal_sql("id", "r.r", "1") + """, 1e-12) AS c_sg, greatest(c_dil + 0.3 * """ + normal_sql("id", "r.r", "2") + """, 0) AS c_dil, radius FROM pc, range(400) r(r)),
-cx AS (SELECT condition, temperature_k, c_sg, c_dil, 2 * (0.4 * 1e-3) * (70.0 / c_sg) / ((radius * 1e-10) * 8.314462618 * temperature_k) AS s FROM dr),
-dc AS (SELECT condition, temperature_k, s, c_sg - c_dil * exp(-s) AS delta_c FROM cx)"""
+dr AS (SELECT condition, temperature_k, r.r AS draw, greatest(c_sg + sd_sg * """ + normal_sql("id", "r.r", "1") + """, 1e-12) AS c_sg, greatest(c_dil + 0.3 * """ + normal_sql("id", "r.r", "2") + """, 0) AS c_dil,
+  greatest(radius + 2.0 * """ + normal_sql("id", "r.r", "3") + """, 1e-12) AS radius, greatest(0.4::DOUBLE + 0.02 * """ + normal_sql("id", "r.r", "4") + """, 0) AS gamma FROM pc, range(4000) r(r)),
+cx AS (SELECT condition, temperature_k, c_sg, c_dil, 2 * (gamma * 1e-3) * (70.0 / c_sg) / ((radius * 1e-10) * 8.314462618 * temperature_k) AS s FROM dr),
+dc AS (SELECT condition, temperature_k, c_dil * exp(-s) AS c_inf, c_sg - c_dil * exp(-s) AS delta_c, (c_sg + c_dil * exp(-s)) / 2 AS c_bar FROM cx)"""
+MC_VALUES = ("c_inf", "delta_c", "c_bar")
 
 
 @query("monte_carlo_errors", "B19", with_ctes(MC_SQL, select="""
-SELECT condition, temperature_k, round(stddev_samp(delta_c), 6) AS sd, round(median(delta_c), 6) AS median, round(quantile_cont(delta_c, 0.025), 6) AS ci_low, round(quantile_cont(delta_c, 0.975), 6) AS ci_high FROM dc GROUP BY 1, 2"""))
+SELECT condition, temperature_k, """ + ", ".join(f"round(avg({v}), 6) AS {v}_mean, round(stddev_samp({v}), 6) AS {v}_sd, round(median({v}), 6) AS {v}_median, round(quantile_cont({v}, 0.025), 6) AS {v}_low, round(quantile_cont({v}, 0.975), 6) AS {v}_high" for v in MC_VALUES) + " FROM dc GROUP BY 1, 2"))
 def monte_carlo_errors(spark, d):
     from trajstats.functions.scalars import curvature_factor
     cells = condition_orders(spark, d).groupBy("condition", "temperature_k").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("n"))
     rows = cells.select(
         "condition", "temperature_k", (F.col("m") / 500).alias("c_sg"), (F.col("m") / 100000).alias("c_dil"), (F.col("n") % 50 + 60.0).alias("radius"), (F.col("sd") / 20000).alias("sd_sg"),
         F.row_number().over(W.orderBy("condition", "temperature_k")).alias("id"),
-    ).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(399))))
+    ).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3999))))
     sg = lags.truncated_normal(F.col("c_sg"), F.col("sd_sg"), 1e-12, F.col("id"), F.col("draw"), F.lit(1))
     dil = lags.truncated_normal(F.col("c_dil"), F.lit(0.3), 0.0, F.col("id"), F.col("draw"), F.lit(2))
-    draws = rows.select("condition", "temperature_k", "radius", sg.alias("sg"), dil.alias("dil"))
-    s = curvature_factor(F.lit(0.4), F.col("radius"), F.lit(70.0) / F.col("sg"), F.col("temperature_k"))
-    delta = draws.select("condition", "temperature_k", (F.col("sg") - F.col("dil") * F.exp(-s)).alias("v"))
-    out = delta.groupBy("condition", "temperature_k").agg(F.stddev_samp("v").alias("sd"), F.median("v").alias("median"), F.percentile("v", 0.025).alias("ci_low"), F.percentile("v", 0.975).alias("ci_high"))
-    return rounded(out, "sd", "median", "ci_low", "ci_high", places=6)
+    radius = lags.truncated_normal(F.col("radius"), F.lit(2.0), 1e-12, F.col("id"), F.col("draw"), F.lit(3))
+    gamma = lags.truncated_normal(F.lit(0.4), F.lit(0.02), 0.0, F.col("id"), F.col("draw"), F.lit(4))
+    draws = rows.select("condition", "temperature_k", radius.alias("radius"), gamma.alias("gamma"), sg.alias("sg"), dil.alias("dil"))
+    s = curvature_factor(F.col("gamma"), F.col("radius"), F.lit(70.0) / F.col("sg"), F.col("temperature_k"))
+    inf = F.col("dil") * F.exp(-s)
+    values = draws.select("condition", "temperature_k", inf.alias("c_inf"), (F.col("sg") - inf).alias("delta_c"), ((F.col("sg") + inf) / 2).alias("c_bar"))
+    aggs = [f.alias(f"{v}_{n}") for v in MC_VALUES for n, f in (("mean", F.avg(v)), ("sd", F.stddev_samp(v)), ("median", F.median(v)), ("low", F.percentile(v, 0.025)), ("high", F.percentile(v, 0.975)))]
+    out = values.groupBy("condition", "temperature_k").agg(*aggs)
+    return rounded(out, *(c for c in out.columns if c not in ("condition", "temperature_k")), places=6)
 
 
 SLOPES_SQL = """lg AS (SELECT system, lag, msd, ln(lag) AS lx, ln(msd) AS ly FROM cv WHERE lag > 0 AND msd > 0),
@@ -253,7 +259,7 @@ gd AS (SELECT system, i AS s, i + 4 AS e FROM sl WHERE abs(slope - 1) <= 0.3),
 fl AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY system ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM gd),
 ig AS (SELECT *, sum(nw) OVER (PARTITION BY system ORDER BY s) AS g FROM fl), rn AS (SELECT system, min(s) AS first, max(e) AS last FROM ig GROUP BY system, g),
 ins AS (SELECT sl.*, first, i - first AS slot, last - first AS n FROM sl JOIN rn ON rn.system = sl.system AND i >= first AND i < last),
-dw AS (SELECT system, first, r.r AS replicate, CAST(floor(""" + uniform_sql("3", "r.r", "slot") + """ * n) AS BIGINT) AS slot, count(*) AS wt FROM ins, range(50) r(r) GROUP BY 1, 2, 3, 4),
+dw AS (SELECT system, first, r.r AS replicate, CAST(floor(""" + uniform_sql("3", "r.r", "slot") + """ * n) AS BIGINT) AS slot, count(*) AS wt FROM ins, range(200) r(r) GROUP BY 1, 2, 3, 4),
 ft AS (SELECT system, first, replicate, sum(wt) AS w, sum(wt*lx) AS ax, sum(wt*ly) AS ay, sum(wt*lx*lx) AS axx, sum(wt*lx*ly) AS axy, sum(wt*ly*ly) AS ayy, sum(wt*lag) AS bx, sum(wt*msd) AS by_, sum(wt*lag*lag) AS bxx, sum(wt*lag*msd) AS bxy
   FROM dw JOIN ins USING (system, first, slot) GROUP BY 1, 2, 3),
 fs AS (SELECT system, (axy - ax*ay/w) / nullif(axx - ax*ax/w, 0) AS ls, (axy - ax*ay/w) / sqrt((axx - ax*ax/w) * (ayy - ay*ay/w)) AS r, (bxy - bx*by_/w) / nullif(bxx - bx*bx/w, 0) AS sp FROM ft WHERE axx - ax*ax/w > 1e-12)"""
@@ -262,5 +268,5 @@ fs AS (SELECT system, (axy - ax*ay/w) / nullif(axx - ax*ax/w, 0) AS ls, (axy - a
 @query("diffusive_slopes", "F5 W6", with_ctes(ROLLED_SQL, SLOPES_SQL, select="""
 SELECT system, round(avg(sp) / 6, 6) AS d, round(stddev_samp(sp) / sqrt(count(*)) / 6, 6) AS d_sem, count(*) AS n_slopes FROM fs WHERE abs(r) > 0.9 AND abs(ls - 1) <= 0.3 AND sp > 0 GROUP BY 1"""))
 def diffusive_slopes(spark, d):
-    out = lags.diffusive_slopes(_curve(spark, d), ["system"], "lag", "msd", 4, 0.3, 50, seed=3)
+    out = lags.diffusive_slopes(_curve(spark, d), ["system"], "lag", "msd", 4, 0.3, 200, seed=3)
     return rounded(out, "d", "d_sem", places=6)
