@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trajstats.llm.common import chunks, mix, remainder, runs, text_buffers, word_hashes, written
+from trajstats.llm.common import add_sums, chunks, mix, remainder, runs, text_buffers, word_hashes, written
 
 #: Random features, ridge penalty per training row, kernel width in deviations, folds, bins of the calibration.
 FEATURES, RIDGE, WIDTH, FOLDS, BINS = 256, 1e-4, 8.0, 4, 2000
@@ -140,16 +140,6 @@ def _sums_by_fold(mean: np.ndarray, deviation: np.ndarray):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for x in batch.column("sums"):
-            part = np.frombuffer(x.as_py(), np.float64)
-            total = part if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-
 def ridge(sums: np.ndarray) -> np.ndarray:
     d = sums.shape[0]
     penalty = RIDGE * max(1.0, sums[d - 1, d - 1]) * np.eye(d)
@@ -231,7 +221,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
     if not n or good in (0, n):
         return Model(good / n if n else 0.5)
     mean, deviation = np.array(moments[2::2], float), np.maximum(np.array(moments[3::2], float), 1e-6)
-    found = train.mapInArrow(_sums_by_fold(mean, deviation), "sums binary").repartition(16).mapInArrow(_add, "sums binary").collect()
+    found = train.mapInArrow(_sums_by_fold(mean, deviation), "sums binary").repartition(16).mapInArrow(add_sums, "sums binary").collect()
     sums = sum(np.frombuffer(bytes(r[0]), np.float64) for r in found).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
     whole = sums.sum(0)
     models = np.array([ridge(whole - sums[k]) for k in range(FOLDS)])

@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trajstats.llm.common import BYTE_CODES, IS_SPACE, chunks, mix, powers_to, remainder, runs, text_buffers, word_hashes, written
+from trajstats.llm.common import BYTE_CODES, IS_SPACE, add_sums, chunks, mix, powers_to, remainder, text_buffers, word_hashes, written
 
 #: Labelled rows that are used for training at most, terms kept, hash buckets of terms.
-SAMPLE_ROWS, TERMS, BUCKETS = 20_000, 384, 1 << 20
+SAMPLE_ROWS, TERMS, BUCKETS = 20_000, 256, 1 << 20
 #: Lengths in bytes of the word starts that are terms.
 STARTS = range(4, 11)
 #: Folds of the chain, Newton steps, ridge penalty.
@@ -100,6 +100,9 @@ class Featurizer:
         self.place[self.buckets] = np.arange(len(self.buckets))
         self.size = len(self.buckets) + 4
 
+    def __reduce__(self):  # the lookup is built anew where it is used
+        return Featurizer, (self.buckets,)
+
     def rows(self, bounds: np.ndarray, raw: np.ndarray, first: int, last: int) -> np.ndarray:
         out = np.zeros((last - first, self.size), np.float32)
         terms, rows, words = word_terms(bounds, raw, first, last)
@@ -181,7 +184,7 @@ def fit_category(train: DataFrame, fitted: list[np.ndarray], size: int, label: s
     d = size + len(fitted)
     weights = np.zeros((FOLDS + 1, d))
     for _ in range(STEPS):
-        found = train.mapInArrow(_newton_sums(fitted, weights, label), "sums binary").collect()  # a row for each of few partitions
+        found = train.mapInArrow(_newton_sums(fitted, weights, label), "sums binary").repartition(2).mapInArrow(add_sums, "sums binary").collect()
         sums = sum(np.frombuffer(bytes(r[0]), np.float64).reshape(FOLDS + 1, d, d + 1) for r in found)
         penalty = PENALTY * np.eye(d)
         penalty[size - 1, size - 1] = 1e-6
