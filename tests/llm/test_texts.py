@@ -85,6 +85,26 @@ def test_representatives_and_empty(spark):
     assert jaccard_join.jaccard_components(table(spark, rows).limit(0)).count() == 0
 
 
+def test_keys_of_sets_with_many_empty_groups():
+    """Whatever the hashes, two linked sets share at least t keys of each, and one of each side's t-prefix."""
+    draws = np.random.default_rng(6)
+    sets = []
+    for _ in range(1500):
+        a = np.sort(draws.integers(0, 2**64, draws.integers(4, 16), dtype=np.uint64))
+        sets += [a, np.sort(np.append(a, draws.integers(0, 2**64, 1, dtype=np.uint64)))]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    member = np.repeat(np.arange(len(sets)), sizes)
+    low, high = jaccard_join._class_pairs(sizes)
+    found = [set() for _ in sets]
+    for classes in (low, high):
+        keys, owner, t = jaccard_join.group_keys(np.concatenate(sets), starts, sizes, classes, member)
+        for k, o in zip(keys.tolist(), owner.tolist()):
+            found[o].add(k)
+    linked = [(i, i + 1) for i in range(0, len(sets), 2) if jaccard_join.linked(sets[i], sets[i + 1])]
+    assert len(linked) > 1000 and all(found[a] & found[b] for a, b in linked)
+
+
 def test_bounds_never_lose_a_link():
     draws = np.random.default_rng(4)
     sets = [np.sort(draws.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(40)]

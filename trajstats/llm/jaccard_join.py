@@ -134,8 +134,9 @@ def group_keys(sets: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes:
     largest = np.minimum(sizes * 5 // 4, np.array([LARGEST[c] for c in classes], np.int64))
     filled = np.bincount(owner, minlength=len(sizes))
     t = filled - (sizes + largest) // 9
+    taken, holder = group[at], owner
     for i in np.flatnonzero(t < 1):
-        empty = np.setdiff1d(np.arange(int(k[i]), dtype=np.uint64), group[at][owner == i])
+        empty = np.setdiff1d(np.arange(int(k[i]), dtype=np.uint64), taken[holder == i])
         keys = np.concatenate([keys, mix(empty + own[i])])
         owner = np.concatenate([owner, np.full(len(empty), i, owner.dtype)])
     keys = (keys & ~np.uint64(31)) | classes[owner].astype(np.uint64)
