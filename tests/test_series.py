@@ -167,3 +167,17 @@ def test_sequence_counts(spark):
     assert [out[("rna", c)] for c in "AUCG"] == [1, 2, 3, 4] and out[("p", "K")] == 2 and out[("p", "W")] == 0
     b = {(r.a, r.b): r["count"] for r in sequences.bonds(seqs.filter("NOT rna"), [], "seq", F.lit(2), F.lit(1)).collect()}
     assert b == {("K", "M"): 2, ("K", "K"): 1, ("A", "K"): 2}
+
+
+def test_block_means_by_running_sums(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    pos = blocks.positioned(spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "key string, idx int, value double"), ["key"], "idx")
+    few = {(r.b, r.offset, r.block): r.block_mean for r in blocks.block_means(pos, ["key"], 9).collect()}
+    want = {(b, o, k): x[o + k * b : o + (k + 1) * b].mean() for b in range(1, 10) for o in range(b) for k in range((300 - o) // b)}
+    assert few.keys() == want.keys() and all(math.isclose(few[k], want[k], abs_tol=1e-10) for k in want)
+    got = blocks.sized_block_means(pos, ["key"], F.sequence(F.lit(1), F.expr("n div 4"))).groupBy("b", "offset").agg(F.count("block_mean").alias("n"), F.stddev_samp("block_mean").alias("sd")).collect()
+    assert len(got) == sum(range(1, 76))
+    for r in got[::97]:
+        means = x[r.offset : r.offset + (300 - r.offset) // r.b * r.b].reshape(-1, r.b).mean(1)
+        assert r.n == len(means) and math.isclose(r.sd, means.std(ddof=1), abs_tol=1e-9)

@@ -35,21 +35,26 @@ def winsorized(df: DataFrame, keys: Sequence[str], pct: float = 5.0, value: str
     return bounds.withColumn(value, F.when(F.col("_m") >= 3, clipped).otherwise(F.col(value))).drop("_q", "_m")
 
 
-def block_rows(pos: DataFrame, sizes: F.Column) -> DataFrame:
-    """Each value once per (b, offset) with its block number; partial blocks are dropped."""
-    expanded = (
-        pos.withColumn("b", F.explode(sizes))
-        .withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-        .filter("i >= offset")
-        .withColumn("block", F.expr("(i - offset) div b"))
-    )
-    return expanded.filter("block < (n - offset) div b")
+def block_means(pos: DataFrame, keys: Sequence[str], max_block: int = 9) -> DataFrame:
+    """(keys, n, b, offset, block_mean) for every b up to ``max_block``, every offset; partial blocks are dropped.
 
+    A block mean is a difference of running sums, so a row is copied once per size, whatever the
+    offsets, and all stays in the partitioning of the series.
+    """
+    w = W.partitionBy(*keys).orderBy("i")
+    total = pos.withColumn("_s", F.sum("value").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = F.array(*[F.struct(F.lit(b).alias("b"), F.lead("_s", b - 1).over(w).alias("e")) for b in range(1, max_block + 1)])
+    at = total.withColumn("_e", ends).select(*keys, "n", "i", "value", "_s", F.explode("_e").alias("_e")).filter("_e.e IS NOT NULL")
+    return at.select(*keys, "n", F.col("_e.b").alias("b"), F.expr("i % _e.b").alias("offset"), F.expr("i div _e.b").alias("block"), ((F.col("_e.e") - F.col("_s") + F.col("value")) / F.col("_e.b")).alias("block_mean"))
 
-def block_means(pos: DataFrame, keys: Sequence[str], max_block: int = 9) -> DataFrame:
-    """(keys, n, b, offset, block, block_mean) for every b up to ``max_block``, every offset."""
-    sizes = F.sequence(F.lit(1), F.least(F.lit(max_block), F.col("n")))
-    return block_rows(pos, sizes).groupBy(*keys, "n", "b", "offset", "block").agg(F.avg("value").alias("block_mean"))
+
+def sized_block_means(pos: DataFrame, keys: Sequence[str], sizes: F.Column) -> DataFrame:
+    """As ``block_means``, for sizes that depend on the row: the end of each block is joined by its position."""
+    total = pos.withColumn("_s", F.sum("value").over(W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    ends = total.select(*keys, (F.col("i") + 1).alias("_end"), F.col("_s").alias("_e"))
+    starts = total.withColumn("b", F.explode(sizes)).filter("i + b <= n").withColumn("_end", F.col("i") + F.col("b"))
+    mean = (F.col("_e") - F.col("_s") + F.col("value")) / F.col("b")
+    return starts.join(ends, [*keys, "_end"]).select(*keys, "n", "b", F.expr("i % b").alias("offset"), mean.alias("block_mean"))
 
 
 def superblock_offsets(pos: DataFrame, keys: Sequence[str], max_block: int = 9, min_blocks: int = 4) -> DataFrame:
@@ -183,8 +188,7 @@ def all_offset_estimate(pos: DataFrame, sizes: DataFrame, keys: Sequence[str]) -
     chosen = pos.join(sizes.select(*keys, F.col("b").alias("_b")), list(keys))
     m = F.col("block_mean")
     offsets = (
-        block_rows(chosen, F.array("_b"))
-        .groupBy(*keys, "b", "offset", "block").agg(F.avg("value").alias("block_mean"))
+        sized_block_means(chosen, keys, F.array("_b"))
         .groupBy(*keys, "b", "offset").agg(F.count(m).alias("n_blocks"), F.avg(m).alias("offset_mean"), sem(m).alias("offset_sem"))
     )
     good = F.col("n_blocks") >= 2
@@ -253,7 +257,7 @@ def corrected_stats(df: DataFrame, keys: Sequence[str], order: str, value: str =
     sizes = F.sequence(F.lit(1), F.greatest(F.lit(2), F.expr("n div 4")))
     m = F.col("block_mean")
     offsets = (
-        block_rows(pos, sizes).groupBy(*keys, "n", "b", "offset", "block").agg(F.avg("value").alias("block_mean"))
+        sized_block_means(pos, keys, sizes)
         .groupBy(*keys, "n", "b", "offset").agg(F.count(m).alias("n_blocks"), sem(m).alias("se_blocks"))
         .filter("n_blocks >= 2").withColumn("eligible", F.col("n_blocks") >= min_blocks)
     )
@@ -288,10 +292,10 @@ def sensitivity(df: DataFrame, keys: Sequence[str], order: str, cutoffs: Sequenc
 def ordered_block_sem(df: DataFrame, keys: Sequence[str], order: str, value: str = "value") -> DataFrame:
     """Largest block-mean SEM over block sizes up to half the series, and the first b at 95 % of it."""
     pos = positioned(df, keys, order, value).filter("n >= 3")
-    rows = pos.withColumn("b", F.explode(F.sequence(F.lit(1), F.expr("cast(n div 2 as int)")))).withColumn("block", F.expr("i div b")).filter("block < n div b")
+    sizes = F.filter(F.sequence(F.lit(1), F.expr("cast(n div 2 as int)")), lambda b: F.col("i") % b == 0)  # blocks from the start of the series only
     m = F.col("block_mean")
     sems = (
-        rows.groupBy(*keys, "b", "block").agg(F.avg("value").alias("block_mean"))
+        sized_block_means(pos, keys, sizes)
         .groupBy(*keys, "b").agg(F.count(m).alias("n_blocks"), sem(m).alias("sem")).filter("sem > 0")
     )
     top = sems.withColumn("top", F.max("sem").over(W.partitionBy(*keys)))
