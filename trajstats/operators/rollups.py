@@ -229,6 +229,20 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return best.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
 
 
+def enriched(rows: DataFrame, diagnostics: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with the diagnostics of their keys; of repeated diagnostics the last counts, rows without any keep NULLs."""
+    return rows.join(latest_per_key(diagnostics, keys, order), list(keys), "left")
+
+
+def two_level_summary(rows: DataFrame, condition: str, group: str, temperature: str, means: Sequence[str], unstable: str) -> DataFrame:
+    """Means of the stable rows and their count per condition, and per class and temperature, as one table."""
+    stable = rows.filter(~F.col(unstable))
+    aggs = [F.avg(m).alias(f"mean_{m}") for m in means] + [F.count(F.lit(1)).alias("n_points")]
+    by_condition = stable.groupBy(F.col(condition).alias("name"), F.col(group).alias("class")).agg(*aggs).withColumn("level", F.lit("condition")).withColumn("temperature", F.lit(None).cast(rows.schema[temperature].dataType))
+    by_class = stable.groupBy(F.col(group).alias("class"), F.col(temperature).alias("temperature")).agg(*aggs).withColumn("level", F.lit("class_temperature")).withColumn("name", F.concat("class", F.lit("_GROUP")))
+    return by_condition.unionByName(by_class)
+
+
 def grid_mismatches(curves: DataFrame, series: str, x: str, places: int = 12) -> DataFrame:
     """Grid points that some series have and others lack; empty when all share one grid."""
     points = curves.select(series, F.round(x, places).alias(x)).distinct()

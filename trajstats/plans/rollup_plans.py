@@ -221,6 +221,20 @@ def against_control(spark, d):
     return rounded(out, "delta_rel", "delta_rel_sd")
 
 
+SUMMARY_MEANS = ("mean", "delta_rel", "delta_abs", "delta_rel_sd")
+SUMMARY_SQL = "st AS (SELECT *, 'class_' || (length(condition) % 2) AS class FROM rl WHERE condition <> 'BUILDING' AND NOT unstable)"
+_MEANS_SQL = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in SUMMARY_MEANS) + ", count(*) AS n_points"
+
+
+@query("two_level_summary", "A40", with_ctes(CONDITIONS_SQL, REL_SQL, SUMMARY_SQL, select=f"""
+SELECT 'condition' AS level, condition AS name, class, CAST(NULL AS INTEGER) AS temperature, {_MEANS_SQL} FROM st GROUP BY condition, class
+UNION ALL SELECT 'class_temperature', class || '_GROUP', class, temperature_k, {_MEANS_SQL} FROM st GROUP BY class, temperature_k"""))
+def two_level_summary(spark, d):
+    rel = _relative(spark, d).filter("condition <> 'BUILDING'").withColumn("class", F.concat(F.lit("class_"), (F.length("condition") % 2).cast("string")))
+    out = rollups.two_level_summary(rel, "condition", "class", "temperature_k", SUMMARY_MEANS, "unstable")
+    return rounded(out, *(f"mean_{m}" for m in SUMMARY_MEANS), places=6)
+
+
 @query("change_ranking", "W11 A40", with_ctes(CONDITIONS_SQL, REL_SQL, """
 sm AS (SELECT condition, avg(delta_rel) FILTER (NOT unstable) AS mean_rel FROM rl WHERE condition <> 'BUILDING' GROUP BY 1)""", select="""
 SELECT 'condition' AS level, condition AS name, CAST(NULL AS INTEGER) AS temperature_k, round(mean_rel, 8) AS mean_rel, dense_rank() OVER (ORDER BY mean_rel) AS rank FROM sm
@@ -350,6 +364,19 @@ def latest_per_key(spark, d):
     return rollups.latest_per_key(ev, ["user_id"], [F.col("t_us"), F.col("event_id")]).select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
+@query("enriched_intervals", "J10", with_ctes(OBS_SQL, """
+ci AS (SELECT system, observable_key, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS sem FROM obs GROUP BY 1, 2),
+dg AS (SELECT system, observable_key, idx // 7 AS week, max(value) - min(value) AS spread, count(*) AS n_rows FROM obs WHERE observable_key <> 'n_events' GROUP BY 1, 2, 3),
+ls AS (SELECT * FROM dg QUALIFY row_number() OVER (PARTITION BY system, observable_key ORDER BY week DESC) = 1)""", select="""
+SELECT system, observable_key, round(mean, 8) AS mean, round(sem, 8) AS sem, week, round(spread, 6) AS spread, n_rows FROM ci LEFT JOIN ls USING (system, observable_key)"""))
+def enriched_intervals(spark, d):
+    obs, keys = daily_observables(spark, d), ["system", "observable_key"]
+    intervals = rollups.mean_sem(obs, keys, "value").select(*keys, "mean", "sem")
+    weekly = obs.filter("observable_key <> 'n_events'").groupBy(*keys, F.expr("idx div 7").alias("week")).agg((F.max("value") - F.min("value")).alias("spread"), F.count(F.lit(1)).alias("n_rows"))
+    out = rollups.enriched(intervals, weekly, keys, [F.col("week")])
+    return rounded(rounded(out, "mean", "sem"), "spread", places=6)
+
+
 @query("top_prefixes", "W12", """
 WITH s AS (SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, brand) AS rank FROM s)
 SELECT k.k AS k, brand, n FROM r, range(1, 6) k(k) WHERE rank <= k.k""")
