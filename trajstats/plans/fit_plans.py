@@ -90,14 +90,43 @@ def binodal_fit_fixed_diameter(spark, d):
     return out.select("condition", F.round("tc", 2).alias("tc"), F.round("a", 1).alias("a"), F.round("rmse", 4).alias("rmse"))
 
 
-@query("binodal_two_step", "F7")
+def _sigma_sql(v: str, s: str) -> str:
+    least = f"0.05::DOUBLE * greatest(abs({v}), 1e-6)"
+    return f"greatest(CASE WHEN {s} > 0 THEN {s} ELSE {least} END, {least})"
+
+
+TWO_STEP_SQL = BRANCH_SQL + """,
+bd AS (SELECT *, sqrt(pow(coalesce(c_sg_sd, 0), 2) + pow(coalesce(c_dil_inf_sd, 0), 2)) AS sd, (c_sg + c_dil_inf) / 2 AS mid FROM br),
+hf AS (SELECT condition, temperature_k, (c_sg - c_dil_inf) / 2 AS c_sg, -(c_sg - c_dil_inf) / 2 AS c_dil_inf, sd / 2 AS c_sg_sd, sd / 2 AS c_dil_inf_sd, 0.0::DOUBLE AS zero FROM bd),
+""" + binodal_sql("hf", "condition", fixed_cc="zero", fixed_b="zero", tag="t") + f""",
+dm AS (SELECT condition, tc, aa, f.n, greatest(tc - temperature_k, 0) AS x, mid, pow({_sigma_sql('mid', 'sd / 2')}, -2) AS w FROM bd JOIN ft2 f USING (condition)),
+ds AS (SELECT condition, tc, aa, n, sum(w) AS s, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * mid) AS sy, sum(w * x * mid) AS sxy FROM dm GROUP BY 1, 2, 3, 4)"""
+
+
+@query("binodal_two_step", "F7", with_ctes(TWO_STEP_SQL, select="""
+SELECT condition, round(tc, 2) AS tc, round((sxx * sy - sx * sxy) / (s * sxx - sx * sx), 1) AS c_c, round(aa, 1) AS a, round((s * sxy - sx * sy) / (s * sxx - sx * sx), 2) AS b, n AS n_points FROM ds"""))
 def binodal_two_step(spark, d):
-    return binodal.two_step_fit(_branches(spark, d), ["condition"])
+    out = binodal.two_step_fit(_branches(spark, d), ["condition"])
+    return out.select("condition", F.round("tc", 2).alias("tc"), F.round("c_c", 1).alias("c_c"), F.round("a", 1).alias("a"), F.round("b", 2).alias("b"), "n_points")
+
+
+def _reweighted_sql(fit: str, into: str) -> str:
+    """Rows with errors widened where they lie beyond one sigma of a fit."""
+    s1, s2 = _sigma_sql("c_sg", "c_sg_sd"), _sigma_sql("c_dil_inf", "c_dil_inf_sd")
+    delta = "greatest(tc - temperature_k, 1e-12)"
+    dense, dilute = (f"cc + bb * {delta} {sign} aa * pow({delta}, 0.325::DOUBLE) / 2" for sign in "+-")
+    return f"""{into} AS (SELECT condition, temperature_k, c_sg, c_dil_inf, {s1} * sqrt(greatest(abs(c_sg - ({dense})) / {s1}, 1.0)) AS c_sg_sd, {s2} * sqrt(greatest(abs(c_dil_inf - ({dilute})) / {s2}, 1.0)) AS c_dil_inf_sd
+  FROM br JOIN {fit} USING (condition))"""
+
+
+ROBUST_SQL = ",\n".join([BRANCH_SQL, binodal_sql("br", "condition", tag="ra"), _reweighted_sql("fra2", "r1"), binodal_sql("r1", "condition", tag="rb"), _reweighted_sql("frb2", "r2"), binodal_sql("r2", "condition", tag="rc"), _reweighted_sql("frc2", "r3"), binodal_sql("r3", "condition", tag="rd")])
 
 
-@query("binodal_robust", "F6")
+@query("binodal_robust", "F6", with_ctes(ROBUST_SQL, select="""
+SELECT condition, round(tc, 1) AS tc, round(cc, 0) AS c_c, round(aa, 0) AS a, round(bb, 1) AS b, n AS n_points FROM frd2"""))
 def binodal_robust(spark, d):
-    return binodal.robust_binodal_fit(_branches(spark, d), ["condition"], rounds=2)
+    out = binodal.robust_binodal_fit(_branches(spark, d), ["condition"])
+    return out.select("condition", F.round("tc", 1).alias("tc"), F.round("c_c", 0).alias("c_c"), F.round("a", 0).alias("a"), F.round("b", 1).alias("b"), "n_points")
 
 
 def _resampled(spark, d, n: int) -> DataFrame:
