@@ -8,15 +8,14 @@ with fewer than three cells is not split. Cells that hold very many beads are sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trajstats.functions.scalars import distance, minimum_image
 from trajstats.session import small_side
 
+
 def _cells(df: DataFrame, pos: Sequence[str], box: Sequence[str], radius: float, cell_factor: float) -> DataFrame:
     """Add the cell coordinate, the cell count and the cell width of every axis."""
     wanted = radius * max(cell_factor, 1.0)
@@ -141,7 +140,7 @@ def tiled(df: DataFrame, keys: Sequence[str], id_col: str, cols: Sequence[str],
     Gives (keys, tile, n_tiles, one array per column).
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    rows = df.join(small_side(counts), list(keys)).withColumn("n_tiles", F.ceil(F.col("_m") / tile_rows).cast("int"))
+    rows = df.join(counts, list(keys)).withColumn("n_tiles", F.ceil(F.col("_m") / tile_rows).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64(id_col), F.col("n_tiles")).cast("int"))
     packed = rows.groupBy(*keys, "n_tiles", "tile").agg(F.collect_list(F.struct(*cols)).alias("_s"))
     return packed.select(*keys, "n_tiles", "tile", *[F.col(f"_s.{c}").alias(c) for c in cols])
@@ -163,17 +162,8 @@ def inverse_distance_sums(df: DataFrame, keys: Sequence[str], id_col: str, pos:
     """(keys, inv_sum): sum over all pairs of a group of 1/distance; coincident beads are skipped."""
     pairs = tile_pairs(tiled(df, keys, id_col, pos, tile_rows), keys, pos)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sums = []
-            for row in pdf.itertuples(index=False):
-                a = np.stack([np.asarray(getattr(row, f"a_{p}"), float) for p in pos])
-                b = np.stack([np.asarray(getattr(row, f"b_{p}"), float) for p in pos])
-                d = np.sqrt(((a[:, :, None] - b[:, None, :]) ** 2).sum(axis=0))
-                inv = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
-                sums.append(inv.sum() * (0.5 if row.tile == row.other else 1.0))
-            yield pdf[list(keys)].assign(part=np.asarray(sums, float))
-
-    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    parts = pairs.mapInPandas(partial, f"{key_schema}, part double")
-    return parts.groupBy(*keys).agg(F.sum("part").alias("inv_sum"))
+    bead = lambda side: F.explode(F.arrays_zip(*[F.col(f"{side}_{p}").alias(p) for p in pos]))
+    weight = F.when(F.col("tile") == F.col("other"), 0.5).otherwise(1.0).alias("_w")
+    rows = pairs.select(*keys, weight, bead("a").alias("_a"), *[f"b_{p}" for p in pos]).select(*keys, "_w", "_a", bead("b").alias("_b"))
+    distance = F.sqrt(sum((F.pow(F.col(f"_a.{p}") - F.col(f"_b.{p}"), F.lit(2.0)) for p in pos), F.lit(0.0)))
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum(F.when(distance > 0, F.col("_w") / distance)), F.lit(0.0)).alias("inv_sum"))
