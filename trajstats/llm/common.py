@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trajstats.session import ensure_checkpoint_dir
 
 #: Bytes of text that are hashed at a time; a longer text is hashed on its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 

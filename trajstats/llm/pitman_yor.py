@@ -44,11 +44,13 @@ D1, S1, D0, S0 = 0.6, 40.0, 0.6, 10.0
 #: Sweeps of the first epoch; sweeps before the samples of the last one, and samples.
 SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
 #: Tokens and documents that a map task packs at a time.
-PACK_TOKENS, PACK_DOCS = 1_500_000, 32_000
+PACK_TOKENS, PACK_DOCS = 1_000_000, 32_000
 #: Buckets in a shuffle partition, and sums that a task keeps before it sends them.
-BUCKETS_A_PART, KEPT_SUMS = 4, 2_000_000
+BUCKETS_A_PART, KEPT_SUMS = 4, 1_000_000
 #: Pieces of a word with a large share; one document in so many is read to find them.
 PIECES, SAMPLE_ONE_IN = 16, 16
+#: Most frequent words that a task reports for that.
+FREQUENT = 512
 
 END = mix(np.array([0x656E64], np.uint64))[0]
 _BLOB = "bucket long, unit long, words binary, entries binary, docs binary, contexts binary, counts binary, tokens binary, held binary, ids array<{id}>"
@@ -106,14 +108,18 @@ def _pack(large: np.ndarray, buckets: int):
             if len(large):
                 split = large[at] == word
                 word[split] = mix(word[split] + np.uint64(1) + (context[split] % PIECES).astype(np.uint64))
-            bucket = (word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.lexsort((context, doc, word, bucket))
-            word, context, doc, bucket = word[order], context[order], doc[order], bucket[order]
+            place = (doc << 16 | context).astype(np.uint32)
+            del doc, context
+            order = np.lexsort((place, word))  # buckets rise with the hash
+            word, place = word[order], place[order]
+            del order
             new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]) | (context[1:] != context[:-1])
+            new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(word)))
-            word, context, doc, bucket = word[at], context[at], doc[at], bucket[at]
+            word, place = word[at], place[at]
+            bucket = (word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            doc, context = (place >> np.uint32(16)).astype(np.int64), place.astype(np.uint16)
             flags = np.concatenate(held)
             doc = doc.astype(np.uint16) | (flags[doc].astype(np.uint16) << np.uint16(15))
             for start, length in zip(*runs(bucket)):
@@ -169,9 +175,12 @@ def _large_words(docs: DataFrame, buckets: int) -> np.ndarray:
             for first, last in chunks(bounds):
                 words, n = np.unique(document_tokens(bounds, raw, first, last)[0], return_counts=True)
                 total += int(n.sum())
-                often = n * 64 * buckets > n.sum()
+                often = np.argsort(-n, kind="stable")[:FREQUENT]
                 for w, k in zip(words[often].view(np.int64).tolist(), n[often].tolist()):
                     seen[w] = seen.get(w, 0) + k
+                if len(seen) > 8 * FREQUENT:
+                    seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: 4 * FREQUENT])
+        seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:FREQUENT])
         yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.int64()), pa.array([total, *seen.values()], pa.int64())], ["word", "n"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
