@@ -138,7 +138,8 @@ def test_encoder_on_every_sort_of_letter():
     from tokenizers import Tokenizer
 
     library, own = Tokenizer.from_file(tokenizer_path()), bpe.TrieEncoder(bpe.read_spec(tokenizer_path()))
-    texts = ["".join(map(chr, range(i, i + 64))) for i in range(0, 0x3100, 64)] + [f"a {chr(c)} b{chr(c)}{chr(c)} 1{chr(c)}" for c in range(0x2100)]
+    runs = [c * n for c in ("-", "=", "Ã", "ÃÂ", " ", "\n", "ab") for n in (1, 2, 63, 64, 65, 127, 128, 129, 130, 400)]
+    texts = runs + ["".join(map(chr, range(i, i + 64))) for i in range(0, 0x3100, 64)] + [f"a {chr(c)} b{chr(c)}{chr(c)} 1{chr(c)}" for c in range(0x2100)]
     assert own.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 

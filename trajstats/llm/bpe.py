@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 #: Bytes up to which a tokenizer's file is sent to the executors.
 MAX_FILE = 32 << 20
 #: Words that a trie holds, and encoded words that a worker keeps.
-TRIE_WORDS, KEPT_WORDS = 60_000, 500_000
+TRIE_WORDS, KEPT_WORDS = 60_000, 800_000
 #: Characters of text in an output batch.
 BATCH_CHARS = 2_000_000
 
@@ -136,36 +136,42 @@ class TrieEncoder:
             ends[node] = word
         out: dict[str, tuple[int, ...]] = {}
         ids, longest, apart, stay, sizes = self.ids, self.longest, self.apart, self.stay_apart, self.bytes
-        path, last, begins = bytearray(), [-1], [0]  # the last token of each prefix, and where it begins
-        todo = [(child[byte], 1, byte) for byte in children[0]]
+        last, begins = [-1], [0]  # of each prefix on the path: its last token, and where that begins
+        byte_of = [bytes([i]) for i in range(256)]
+        todo = [(child[byte], byte_of[byte]) for byte in children[0]]
         while todo:
-            node, depth, byte = todo.pop()
-            del path[depth - 1 :]
+            node, path = todo.pop()
+            depth = len(path)
             del last[depth:], begins[depth:]
-            path.append(byte)
-            near = begins[depth - 1]
-            for start in (*range(near, depth), *range(near - 1, max(0, depth - longest) - 1, -1)):
-                token = ids.get(bytes(path[start:]))
-                if token is None:
-                    continue
-                if start:
-                    before = last[start]
-                    fits = apart.get(before << 20 | token)
-                    if fits is None:
-                        fits = stay(before, token)
-                else:
-                    fits = self.reachable(token)
-                if fits:
-                    last.append(token)
-                    begins.append(start)
-                    break
+            start = near = max(begins[-1], depth - longest)
+            step = 1
+            while True:  # the token before it mostly grows, or ends where this one begins
+                token = ids.get(path[start:])
+                if token is not None:
+                    if start:
+                        before = last[start]
+                        fits = apart.get(before << 20 | token)
+                        if fits is None:
+                            fits = stay(before, token)
+                    else:
+                        fits = self.reachable(token)
+                    if fits:
+                        break
+                start += step
+                if start == depth:
+                    start, step = near - 1, -1
+                if start < 0 or depth - start > longest:
+                    raise ValueError("the tokenizer's merges leave a word without an encoding")
+            last.append(token)
+            begins.append(start)
             if node in ends:
                 tokens, at = [], depth
                 while at:
                     tokens.append(last[at])
                     at -= len(sizes[last[at]])
                 out[ends[node]] = tuple(reversed(tokens))
-            todo.extend((child[node << 8 | b], depth + 1, b) for b in children[node])
+            for b in children[node]:
+                todo.append((child[node << 8 | b], path + byte_of[b]))
         return out
 
     def split(self, text: str) -> list[tuple[str, bool]]:
