@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir). The first four return the rows they keep with the columns of documents, the
 last one the tokens.
+
+Null and empty texts, null and repeated ids, ties, repeated rows and further columns are treated as the operators
+say; an empty table runs through all stages. Further columns of documents stay up to the last stage.
 """
 
 from __future__ import annotations
