@@ -235,3 +235,17 @@ def test_probabilities_of_a_context_add_up():
         p, sums = pitman_yor._seated(row, known, none, [1, 2, 3], 6, 4)
         known.context_tables, known.tables, known.root_tables = sums.context_tables, sums.tables, sums.root_tables
     assert abs(p[count > 0].sum() + p[count == 0].min() - 1) < 0.05
+
+
+def test_contexts_stay_apart_in_a_large_vocabulary(spark):
+    vocabulary, length, copies = 200_000, 1000, 4
+    blocks = vocabulary // length
+    rows = [(i, " ".join(f"v{k}" for k in range(i % blocks * length, (i % blocks + 1) * length))) for i in range(blocks * copies)]
+    key = lambda i: zlib.crc32(str(i).encode()) % 10
+    held = [r for r in pitman_yor.score_documents(table(spark, rows)).collect() if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    # Each word has one word before it, so the customers of a context share a table.
+    seen = Counter(i % blocks for i, _ in rows if key(i))
+    for r in held:
+        c = seen[r.doc_id % blocks]
+        assert c == 0 or abs(r.score / (length * math.log10((c - pitman_yor.D1) / (c + pitman_yor.S1))) - 1) < 0.02

@@ -1,8 +1,7 @@
 """Hierarchical Pitman-Yor language model over a whole corpus.
 
-Restaurants: one for each context, where the context of a token is the previous word hashed into
-``CONTEXTS`` classes (a fixed number, so tables by context are small for any corpus); all share one parent
-over words, whose base is even over the V training words and one unknown word.
+Restaurants: one for each context, where the context of a token is the 64-bit hash of the previous word; all share
+one parent over words, whose base is even over the V training words and one unknown word.
 
     p(w | u) = (c_uw - d1 t_uw + (s1 + d1 t_u) p(w)) / (s1 + c_u)
     p(w)     = (t_w  - d0 t0_w + (s0 + d0 t0) / (V + 1)) / (s0 + t)
@@ -16,9 +15,13 @@ are drawn in parallel. Probabilities are averaged over the samples of the last e
 **Data flow.** One shuffle brings all entries (word, context, document, count) of a word into one bucket, as
 packed arrays; the buckets are written to the shared folder. Words with a large share of all tokens
 (found in a sample of the documents, which bounds their number and affects speed alone) are split by context
-into pieces; their totals travel like those of contexts. Each bucket then seats its dishes and sums
+into pieces; their totals travel with the sums over all. Each bucket then seats its dishes and sums
 log probabilities by document, and the sums meet by document.
 
+Totals of contexts grow with the vocabulary and never reach the driver: each bucket adds up its own share of every
+context it holds, the shares meet in parts by context hash, and each part answers each bucket with the totals of the
+bucket's contexts, in the bucket's order. A frequent context is one share a bucket, so that it loads no task.
+
 Words are hashed to 64 bits; chance equality among n words has probability n^2 / 2^65.
 
 Defined cases: a null or empty text has one token, the end; null ids count as empty text for ``held_out``;
@@ -28,17 +31,21 @@ one unknown word; other columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trajstats.llm.common import chunks, mix, remainder, runs, shuffle_parts, text_buffers, word_hashes, written
+from trajstats.session import ensure_checkpoint_dir
 
-CONTEXTS = 1 << 16
+#: Contexts of a bucket up to which two bytes hold their number within the bucket.
+SHORT = 1 << 16
 #: Discount and strength of the context restaurants (1) and of their parent (0).
 D1, S1, D0, S0 = 0.6, 40.0, 0.6, 10.0
 #: Sweeps of the first epoch; sweeps before the samples of the last one, and samples.
@@ -53,32 +60,33 @@ PIECES, SAMPLE_ONE_IN = 16, 16
 FREQUENT = 512
 
 END = mix(np.array([0x656E64], np.uint64))[0]
-_BLOB = "bucket long, unit long, words binary, entries binary, docs binary, contexts binary, counts binary, tokens binary, held binary, ids array<{id}>"
-_TABLE = "bucket long, unit long, words binary, word_pairs binary, word_count binary, pair_context binary, pair_count binary, pair_entries binary, units binary, entry_unit binary, entry_doc binary, entry_count binary, totals binary, tokens binary, held binary, ids array<{id}>"
+_BLOB = "bucket long, unit long, words binary, word_pairs binary, contexts binary, entries binary, docs binary, counts binary, tokens binary, held binary, ids array<{id}>"
+_PACKED = ("words", "word_pairs", "contexts", "entries", "docs", "counts")
+_TABLE = "bucket long, unit long, words binary, word_pairs binary, word_count binary, contexts binary, pair_context binary, pair_count binary, pair_entries binary, units binary, entry_unit binary, entry_doc binary, entry_count binary, totals binary, tokens binary, held binary, ids array<{id}>"
 
 
 @dataclass
 class Totals:
-    """Sums over all buckets: by context, by word of a large share, and overall."""
+    """Sums over all buckets: of one bucket's contexts, by word of a large share, and overall. Those of contexts are not packed."""
 
-    context_tables: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS))
-    context_tokens: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS))
+    context_tables: np.ndarray = field(default_factory=lambda: np.zeros(SHORT))
+    context_tokens: np.ndarray = field(default_factory=lambda: np.zeros(SHORT))
     large_tables: np.ndarray = field(default_factory=lambda: np.zeros(0))
     large_tokens: np.ndarray = field(default_factory=lambda: np.zeros(0))
     words: float = 0.0
     tables: float = 0.0
     root_tables: float = 0.0
+    tokens: float = 0.0
 
     def packed(self) -> bytes:
-        return np.concatenate([self.context_tables, self.context_tokens, self.large_tables, self.large_tokens, [self.words, self.tables, self.root_tables]]).astype(np.float64).tobytes()
+        return np.concatenate([self.large_tables, self.large_tokens, [self.words, self.tables, self.root_tables, self.tokens]]).astype(np.float64).tobytes()
 
     @staticmethod
     def unpacked(raw: bytes | np.ndarray) -> Totals:
         x = np.frombuffer(raw, np.float64) if isinstance(raw, bytes) else raw
-        n = (len(x) - 2 * CONTEXTS - 3) // 2
-        cut = np.cumsum([CONTEXTS, CONTEXTS, n, n])
-        a, b, c, d, rest = np.split(x, cut)
-        return Totals(a, b, c, d, *rest.tolist())
+        n = (len(x) - 4) // 2
+        a, b, rest = np.split(x, [n, 2 * n])
+        return Totals(np.zeros(0), np.zeros(0), a, b, *rest.tolist())
 
 
 def document_tokens(bounds: np.ndarray, raw: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +98,7 @@ def document_tokens(bounds: np.ndarray, raw: np.ndarray, first: int, last: int)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[:1] = END
-    return tokens, (mix(before + np.uint64(77)) >> np.uint64(48)).astype(np.uint16), rows
+    return tokens, mix(before + np.uint64(77)), rows
 
 
 def _pack(large: np.ndarray, buckets: int):
@@ -108,32 +116,38 @@ def _pack(large: np.ndarray, buckets: int):
             if len(large):
                 split = large[at] == word
                 word[split] = mix(word[split] + np.uint64(1) + (context[split] % PIECES).astype(np.uint64))
-            place = (doc << 16 | context).astype(np.uint32)
-            del doc, context
+            known, local = np.unique(context, return_inverse=True)
+            place = local.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64)
+            del doc, context, local
             order = np.lexsort((place, word))  # buckets rise with the hash
             word, place = word[order], place[order]
             del order
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
             at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(word)))
+            times = np.diff(np.append(at, len(word))).astype(np.uint32)
             word, place = word[at], place[at]
             bucket = (word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            doc, context = (place >> np.uint32(16)).astype(np.int64), place.astype(np.uint16)
+            doc, local = (place & np.uint64(0xFFFF)).astype(np.int64), place >> np.uint64(16)
             flags = np.concatenate(held)
             doc = doc.astype(np.uint16) | (flags[doc].astype(np.uint16) << np.uint16(15))
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (local[1:] != local[:-1])
             for start, length in zip(*runs(bucket)):
                 here = slice(start, start + length)
-                first, entries = runs(word[here])
-                blobs = [word[here][first], entries.astype(np.uint32), doc[here], context[here], times[here].astype(np.uint32)]
+                pair = np.flatnonzero(new[here])
+                own = word[here][pair]
+                first, pairs = runs(own)
+                entries = np.diff(np.append(pair, length)).astype(np.uint32)
+                blobs = [own[first], pairs.astype(np.uint32), known[local[here][pair]], entries, doc[here], times[here]]
                 yield row([int(bucket[start]), unit, *(x.tobytes() for x in blobs), None, None, None])
-            yield row([-1 - unit, unit, None, None, None, None, None, np.concatenate(lengths).astype(np.int64).tobytes(), flags.tobytes(), pa.concat_arrays(ids)])
+            yield row([-1 - unit, unit, None, None, None, None, None, None, np.concatenate(lengths).astype(np.int64).tobytes(), flags.tobytes(), pa.concat_arrays(ids)])
 
         def row(values):
-            arrays = [pa.array(values[:1], pa.int64()), pa.array(values[1:2], pa.int64())] + [pa.array([x], pa.binary()) for x in values[2:9]]
+            arrays = [pa.array(values[:1], pa.int64()), pa.array(values[1:2], pa.int64())] + [pa.array([x], pa.binary()) for x in values[2:10]]
             kind = id_type[0]
-            arrays.append(pa.array([values[9].to_pylist() if values[9] is not None else None], pa.list_(kind)))
-            return pa.RecordBatch.from_arrays(arrays, ["bucket", "unit", "words", "entries", "docs", "contexts", "counts", "tokens", "held", "ids"])
+            arrays.append(pa.array([values[10].to_pylist() if values[10] is not None else None], pa.list_(kind)))
+            return pa.RecordBatch.from_arrays(arrays, ["bucket", "unit", *_PACKED, "tokens", "held", "ids"])
 
         id_type = [pa.int64()]
         for batch in batches:
@@ -210,11 +224,12 @@ def _gather(large: np.ndarray):
     """Merge the blobs of a bucket: pairs of word and context with their training counts, and entries by document."""
 
     def merged(blobs: list) -> dict:
-        words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(e, np.uint32)) for _, w, e, *_ in blobs])
-        doc = np.concatenate([np.frombuffer(d, np.uint16) for _, _, _, d, _, _ in blobs])
-        context = np.concatenate([np.frombuffer(c, np.uint16) for *_, c, _ in blobs])
-        times = np.concatenate([np.frombuffer(k, np.uint32) for *_, k in blobs])
-        unit = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(b[3]) // 2 for b in blobs])
+        joined = lambda k, kind: np.concatenate([np.frombuffer(b[k], kind) for b in blobs])
+        entries, doc, times = joined(4, np.uint32), joined(5, np.uint16), joined(6, np.uint32)
+        words = np.repeat(np.repeat(joined(1, np.uint64), joined(2, np.uint32)), entries)
+        contexts, context = np.unique(joined(3, np.uint64), return_inverse=True)
+        context = np.repeat(context.astype(np.uint16 if len(contexts) <= SHORT else np.uint32), entries)
+        unit = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(b[5]) // 2 for b in blobs])
         order = np.lexsort((context, words))
         words, doc, context, times, unit = words[order], doc[order], context[order], times[order], unit[order].astype(np.uint16 if len(blobs) < 1 << 16 else np.uint32)
         del order
@@ -228,7 +243,7 @@ def _gather(large: np.ndarray):
         word_count = np.add.reduceat(count, first)
         word = pair_word[first]
         number = _lookup(word, large)
-        sums = Totals(np.bincount(pair_context, count > 0, CONTEXTS), np.bincount(pair_context, count, CONTEXTS), np.zeros(len(large)), np.zeros(len(large)))
+        sums = Totals(np.zeros(0), np.zeros(0), np.zeros(len(large)), np.zeros(len(large)), tokens=float(count.sum()))
         plain = number < 0
         sums.words = sums.root_tables = float(((word_count > 0) & plain).sum())
         sums.tables = float((count > 0).sum())
@@ -236,14 +251,14 @@ def _gather(large: np.ndarray):
             sums.large_tables += np.bincount(number[~plain], np.add.reduceat((count > 0).astype(float), first)[~plain], len(large))
             sums.large_tokens += np.bincount(number[~plain], word_count[~plain], len(large))
         return {
-            "words": word, "word_pairs": pairs.astype(np.uint32), "word_count": word_count.astype(np.int64), "pair_context": pair_context, "pair_count": count.astype(np.uint32),
+            "words": word, "word_pairs": pairs.astype(np.uint32), "word_count": word_count.astype(np.int64), "contexts": contexts, "pair_context": pair_context, "pair_count": count.astype(np.uint32),
             "pair_entries": np.diff(np.append(at, len(words))).astype(np.uint32), "units": np.array([b[0] for b in blobs], np.int64), "entry_unit": unit,
             "entry_doc": doc & np.uint16(0x7FFF), "entry_count": times, "totals": sums,
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list] = {}
-        names = ["words", "word_pairs", "word_count", "pair_context", "pair_count", "pair_entries", "units", "entry_unit", "entry_doc", "entry_count"]
+        names = ["words", "word_pairs", "word_count", "contexts", "pair_context", "pair_count", "pair_entries", "units", "entry_unit", "entry_doc", "entry_count"]
         columns = ["bucket", "unit", *names, "totals", "tokens", "held", "ids"]
         for batch in batches:
             buckets = batch.column("bucket").to_pylist()
@@ -253,7 +268,7 @@ def _gather(large: np.ndarray):
                     arrays = [one.column("bucket"), one.column("unit")] + [pa.nulls(1, pa.binary()) for _ in range(len(names) + 1)] + [one.column(c) for c in ("tokens", "held", "ids")]
                     yield pa.RecordBatch.from_arrays(arrays, columns)
                 else:
-                    blobs.setdefault(b, []).append([one.column("unit")[0].as_py(), *(one.column(c)[0].as_py() for c in ("words", "entries", "docs", "contexts", "counts"))])
+                    blobs.setdefault(b, []).append([one.column("unit")[0].as_py(), *(one.column(c)[0].as_py() for c in _PACKED)])
             kind = batch.schema.field("ids").type
         for b in list(blobs):
             found = merged(sorted(blobs.pop(b), key=lambda x: x[0]))
@@ -286,11 +301,16 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
+def _numbers(row: dict) -> np.ndarray:
+    """The number of each pair's context within the bucket, held in two or four bytes."""
+    return np.frombuffer(row["pair_context"], np.uint16 if len(row["pair_context"]) < len(row["pair_count"]) else np.uint32)
+
+
 def _seated(row: dict, totals: Totals, large: np.ndarray, seed: list[int], sweeps: int, samples: int) -> tuple[np.ndarray, Totals]:
     """Mean probability of each pair over the last ``samples`` sweeps, and the sums of the last sweep."""
     rng = np.random.default_rng(seed)
     get = lambda c, t: np.frombuffer(row[c], t)
-    pairs, count, context = get("word_pairs", np.uint32), get("pair_count", np.uint32).astype(np.int64), get("pair_context", np.uint16)
+    pairs, count, context = get("word_pairs", np.uint32), get("pair_count", np.uint32).astype(np.int64), _numbers(row)
     first = np.concatenate([[0], np.cumsum(pairs)[:-1]]).astype(np.int64)
     word_of = np.repeat(np.arange(len(pairs)), pairs)
     number = _lookup(get("words", np.uint64), large)
@@ -316,7 +336,7 @@ def _seated(row: dict, totals: Totals, large: np.ndarray, seed: list[int], sweep
         p, root = parent()
         if sweep >= sweeps - samples:
             mean += (count - D1 * tables + above * p[word_of]) / below
-    sums = Totals(np.bincount(context, tables, CONTEXTS), np.zeros(CONTEXTS), np.zeros(len(large)), np.zeros(len(large)))
+    sums = Totals(np.bincount(context, tables, len(totals.context_tables)), np.zeros(0), np.zeros(len(large)), np.zeros(len(large)))
     sums.tables, sums.root_tables = float(tables.sum()), float(root[~big].sum())
     if big.any():
         sums.large_tables += np.bincount(number[big], np.add.reduceat(tables, first)[big], len(large))
@@ -325,22 +345,103 @@ def _seated(row: dict, totals: Totals, large: np.ndarray, seed: list[int], sweep
 
 def _row(batch: pa.RecordBatch, i: int) -> dict:
     """A row's blobs as views of the batch."""
-    return {c: batch.column(c)[i].as_py() if c == "bucket" else batch.column(c)[i].as_buffer() for c in batch.schema.names}
+    return {c: batch.column(c)[i].as_py() if c in ("bucket", "answers") else batch.column(c)[i].as_buffer() for c in batch.schema.names}
+
+
+_PAIRS = ("words", "word_pairs", "word_count", "contexts", "pair_context", "pair_count")
+
+
+def _with_contexts(totals: Totals, row: dict) -> Totals:
+    """The totals with those of the row's contexts."""
+    tables, tokens = (np.concatenate([np.frombuffer(a[k], np.int64) for a in row["answers"]]).astype(np.float64) for k in ("tables", "tokens"))
+    return replace(totals, context_tables=tables, context_tokens=tokens)
+
+
+def _shares(batch_rows: Iterator[tuple[dict, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's share of the totals of its contexts, one row for each part; contexts are in order, and parts rise with the hash."""
+    for row, tables in batch_rows:
+        contexts = np.frombuffer(row["contexts"], np.uint64)
+        tokens = np.bincount(_numbers(row), np.frombuffer(row["pair_count"], np.uint32), len(contexts)).astype(np.uint32)
+        part, tables = (contexts >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), tables.astype(np.uint32)
+        starts, lengths = runs(part)
+        blobs = [pa.array([x[a : a + n].tobytes() for a, n in zip(starts, lengths)], pa.binary()) for x in (contexts, tables, tokens)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array(np.full(len(starts), row["bucket"])), *blobs], ["part", "bucket", "contexts", "tables", "tokens"])
+
+
+_SHARES = "part long, bucket long, contexts binary, tables binary, tokens binary"
+
+
+def _first_shares(parts: int):
+    """Shares when all customers of a dish sit at one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = _row(batch, i)
+                    yield row, np.bincount(_numbers(row), np.frombuffer(row["pair_count"], np.uint32) > 0, len(row["contexts"]) // 8)
+
+        yield from _shares(rows(), parts)
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of the contexts of a part, for each bucket in its own order."""
+    asked: dict[int, list] = {}
+    for batch in batches:
+        for part, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "bucket", "contexts", "tables", "tokens"))):
+            asked.setdefault(part, []).append(rest)
+    for part in list(asked):
+        buckets, contexts, *sums = zip(*asked.pop(part))
+        cut = np.cumsum([0] + [len(c) // 8 for c in contexts])
+        _, at = np.unique(np.frombuffer(b"".join(contexts), np.uint64), return_inverse=True)
+        totals = [np.bincount(at, np.frombuffer(b"".join(x), np.uint32)).astype(np.int64)[at] for x in sums]
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in totals]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(np.full(len(buckets), part)), *blobs], ["bucket", "part", "tables", "tokens"])
+
+
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are dealt by bucket, so that joins by bucket move only the other side."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "bucket").saveAsTable(name)
+    return spark.table(name)
 
 
-_PAIRS = ("words", "word_pairs", "word_count", "pair_context", "pair_count")
+def _release(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that nothing refers to any more; it does so after a collection on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def _sweep(totals: bytes, large: np.ndarray):
+def _joined(rows: DataFrame, shares: DataFrame, parts: int) -> DataFrame:
+    """Each bucket's row with the totals of its contexts, ``answers`` in the order of parts."""
+    totals = shares.repartition(parts, "part").mapInArrow(_answers, "bucket long, part long, tables binary, tokens binary")
+    totals = totals.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("part", "tables", "tokens"))).alias("answers"))
+    return rows.join(totals.hint("shuffle_hash"), "bucket")
+
+
+def _sweep(totals: bytes, large: np.ndarray, parts: int):
+    """Shares after the sweeps, and a row with the packed sums of the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, summed = Totals.unpacked(totals), None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = _row(batch, i)
-                part = np.frombuffer(_seated(row, known, large, [11, 1, row["bucket"]], SWEEPS, 0)[1].packed(), np.float64)
-                summed = part if summed is None else summed + part
+
+        def rows():
+            nonlocal summed
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = _row(batch, i)
+                    sums = _seated(row, _with_contexts(known, row), large, [11, 1, row["bucket"]], SWEEPS, 0)[1]
+                    part = np.frombuffer(sums.packed(), np.float64)
+                    summed = part if summed is None else summed + part
+                    yield row, sums.context_tables
+
+        for out in _shares(rows(), parts):
+            yield out.append_column("totals", pa.nulls(out.num_rows, pa.binary()))
         if summed is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([summed.tobytes()], pa.binary())], ["totals"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([summed.tobytes()], pa.binary())], ["part", "bucket", "contexts", "tables", "tokens", "totals"])
 
     return run
 
@@ -380,7 +481,7 @@ def _score(totals: bytes, large: np.ndarray):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = _row(batch, i)
-                p, _ = _seated(row, known, large, [11, 2, row["bucket"]], BURN_IN + SAMPLES, SAMPLES)
+                p, _ = _seated(row, _with_contexts(known, row), large, [11, 2, row["bucket"]], BURN_IN + SAMPLES, SAMPLES)
                 number = _lookup(np.frombuffer(row["words"], np.uint64), large)
                 count = np.frombuffer(row["word_count"], np.int64).astype(np.float64)
                 count[number >= 0] = known.large_tokens[number[number >= 0]]
@@ -414,7 +515,7 @@ def _score(totals: bytes, large: np.ndarray):
 def _by_document(totals: bytes, id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Totals.unpacked(totals)
-        tokens = float(known.context_tokens.sum())
+        tokens = known.tokens
         shift = np.log10(tokens + 0.1 * (known.words + 1))
         parts, heads = {}, {}
         for batch in batches:
@@ -445,8 +546,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema["doc_id"].dataType.simpleString()
     buckets = BUCKETS_A_PART * shuffle_parts(spark)
     large = _large_words(docs, buckets)
-    packed = docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type))
-    table = written(packed.repartition(shuffle_parts(spark), "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)))
+    parts = shuffle_parts(spark)
+    table = _dealt(docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type)).repartition(parts, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)), parts)
+    _release(spark)
     rows = table.filter("bucket >= 0")
     first = _summed(rows.select("totals"))
     if first is None:
@@ -455,11 +557,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large_seen = float((totals.large_tokens > 0).sum())
     totals.words += large_seen
     totals.root_tables += large_seen
-    swept = Totals.unpacked(_summed(rows.select("bucket", *_PAIRS).mapInArrow(_sweep(totals.packed(), large), "totals binary")))
+    shares = rows.select("bucket", "contexts", "pair_context", "pair_count").mapInArrow(_first_shares(parts), _SHARES)
+    sweeps = written(_joined(rows.select("bucket", *_PAIRS), shares, parts).mapInArrow(_sweep(totals.packed(), large, parts), f"{_SHARES}, totals binary"))
+    del shares
+    _release(spark)
+    swept = Totals.unpacked(_summed(sweeps.filter("part is null").select("totals")))
     shared = seat(swept.large_tables.astype(np.int64), np.full(len(large), (S0 + D0 * totals.root_tables) / (totals.words + 1)), D0, np.random.default_rng([11, 2]))
-    totals.context_tables, totals.large_tables, totals.tables, totals.root_tables = swept.context_tables, swept.large_tables, swept.tables, swept.root_tables + float(shared.sum())
+    totals.large_tables, totals.tables, totals.root_tables = swept.large_tables, swept.tables, swept.root_tables + float(shared.sum())
     columns = ["bucket", *_PAIRS, "pair_entries", "units", "entry_unit", "entry_doc", "entry_count"]
-    sums = rows.select(columns).mapInArrow(_score(totals.packed(), large), "unit long, docs binary, base binary, score binary, known binary")
+    scored = _joined(rows.select(columns), sweeps.filter("part is not null").drop("totals"), parts)
+    sums = scored.mapInArrow(_score(totals.packed(), large), "unit long, docs binary, base binary, score binary, known binary")
     heads = table.filter("bucket < 0").select("unit", "tokens", "held", "ids")
     both = sums.unionByName(heads, allowMissingColumns=True).repartition(shuffle_parts(spark), "unit")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
