@@ -81,6 +81,17 @@ def test_toxicity_chain(spark):
     assert toxicity.score_documents(docs.limit(0), marked, ["toxic"]).count() == 0
 
 
+def test_terms_cover_many_toxic_words(spark):
+    draws = random.Random(4)
+    fill = ["".join(draws.choices("abcdefgh", k=5)) for _ in range(40)]
+    bad = ["".join(draws.choices("klmnopqrst", k=12)) for _ in range(100)]
+    rows = [(i, " ".join([*draws.choices(fill, k=20), *([bad[i // 2 % 100]] if i % 2 else [])])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = docs.select("doc_id", (docs.doc_id % 2).cast("int").alias("toxic"))
+    held = [r for r in toxicity.score_documents(docs, labels, ["toxic"]).collect() if r.held_out]
+    assert np.mean([r.toxic for r in held if r.doc_id % 2]) > 0.95 and np.mean([r.toxic for r in held if r.doc_id % 2 == 0]) < 0.05
+
+
 def test_pipeline_by_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, stages = docs, dict(corpus_pipeline.STAGES)

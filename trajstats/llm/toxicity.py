@@ -2,7 +2,7 @@
 
 Terms are the starts of words (4 to 10 bytes) and whole words, lower-cased. Over a bounded sample of labelled
 training rows (``sample_rows``), terms are counted in ``BUCKETS`` hash buckets by task and the ``terms`` that speak most for toxic
-texts are kept. A text's features are which of them it has, how many words have one, and its length.
+texts are kept; of terms that occur in the same rows one is kept, so that the starts of a word don't fill the places. A text's features are which of them it has, how many words have one, and its length.
 
 The categories are predicted in order by logistic models. The model of a category sees the features and the
 probabilities of the categories before it. In training those probabilities are out of fold: every fold's rows
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from trajstats.llm.common import BYTE_CODES, IS_SPACE, add_sums, chunks, mix, powers_to, remainder, text_buffers, word_hashes, written
 
 #: Labelled rows that are used for training at most, terms kept, hash buckets of terms.
-SAMPLE_ROWS, TERMS, BUCKETS = 20_000, 256, 1 << 20
+SAMPLE_ROWS, TERMS, BUCKETS = 20_000, 384, 1 << 20
 #: Lengths in bytes of the word starts that are terms.
 STARTS = range(4, 11)
 #: Folds of the chain, Newton steps, ridge penalty.
@@ -72,23 +72,25 @@ def word_terms(bounds: np.ndarray, raw: np.ndarray, first: int, last: int) -> tu
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that have a term of each bucket, by label."""
-    found = np.zeros((2, BUCKETS), np.int32)
+    """Documents that have a term of each bucket, by label, and the sums of both halves of their hashes, which tell sets of documents apart."""
+    found, halves = np.zeros((2, BUCKETS), np.int32), np.zeros((2, BUCKETS))
     for batch in batches:
         if not batch.num_rows:
             continue
         bounds, raw = text_buffers(batch.column("text"))
         label = batch.column("toxic").to_numpy(zero_copy_only=False)
+        row_hash = batch.column("row").to_numpy().view(np.uint64)
+        parts = (row_hash >> np.uint64(32)).astype(float), (row_hash & np.uint64(0xFFFFFFFF)).astype(float)
         for first, last in chunks(bounds):
             terms, rows, _ = word_terms(bounds, raw, first, last)
             both = np.unique((rows.astype(np.int64) << 20) | (terms & np.uint64(BUCKETS - 1)).astype(np.int64))
             at, bucket = both >> 20, both & (BUCKETS - 1)
             for k in (0, 1):
                 found[k] += np.bincount(bucket[label[at] == k], minlength=BUCKETS).astype(np.int32)
-    at = np.flatnonzero(found[1] > 0)
-    clean = np.flatnonzero((found[1] == 0) & (found[0] > 1))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[1][at].astype(np.int64)), pa.array(found[0][at].astype(np.int64))], ["bucket", "toxic", "clean"])
-    yield pa.RecordBatch.from_arrays([pa.array(clean), pa.array(np.zeros(len(clean), np.int64)), pa.array(found[0][clean].astype(np.int64))], ["bucket", "toxic", "clean"])
+                halves[k] += np.bincount(bucket, parts[k][at], BUCKETS)  # sums of at most sample_rows numbers below 2^32 are exact
+    at = np.flatnonzero(found.any(0))
+    columns = [at, *(x[at].astype(np.int64) for x in (found[1], found[0], halves[0], halves[1]))]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "toxic", "clean", "high", "low"])
 
 
 class Featurizer:
@@ -221,12 +223,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, categories: list[str], l
     known = known.filter(remainder("doc_id", folds) != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     known = F.broadcast(known)  # at most sample_rows rows
     sample = written(rows.join(known, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")).select("text", "fold", *categories).repartition(12))
-    counts = sample.select("text", F.col(label_col).alias("toxic")).mapInArrow(_count_terms, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = sample.select("text", F.xxhash64("text").alias("row"), F.col(label_col).alias("toxic")).mapInArrow(_count_terms, "bucket long, toxic long, clean long, high long, low long")
+    counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("high").alias("high"), F.sum("low").alias("low"))
     shares = sample.agg(F.count(F.lit(1)), *(F.sum(c) for c in categories)).first()
     n, positives = shares[0], dict(zip(categories, (x or 0 for x in shares[1:])))
     toxic, clean = positives[label_col], n - positives[label_col]
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    best = counts.filter("t >= 2").withColumn("gain", odds * F.sqrt(F.col("t"))).filter(odds > 1).orderBy(F.desc("gain"), "bucket").limit(TERMS)
+    distinct = counts.filter("t >= 2").groupBy("t", "c", "high", "low").agg(F.min("bucket").alias("bucket"))
+    best = distinct.withColumn("gain", odds * F.sqrt(F.col("t"))).filter(odds > 1).orderBy(F.desc("gain"), "bucket").limit(TERMS)
     featurizer = Featurizer(np.array([r["bucket"] for r in best.collect()], np.int64))
     train = written(sample.mapInArrow(_featurize(featurizer, ["fold", *categories]), f"fold int, {', '.join(f'{c} int' for c in categories)}, x array<float>"))
     fitted, models = [], []
