@@ -181,3 +181,14 @@ def test_block_means_by_running_sums(spark):
     for r in got[::97]:
         means = x[r.offset : r.offset + (300 - r.offset) // r.b * r.b].reshape(-1, r.b).mean(1)
         assert r.n == len(means) and math.isclose(r.sd, means.std(ddof=1), abs_tol=1e-9)
+
+
+def test_maxwell_query_tries_all_modes(spark, monkeypatch):
+    from trajstats.operators import fits
+    from trajstats.plans import QUERIES
+
+    def short(acf, keys, **given):
+        return given
+
+    monkeypatch.setattr(fits, "maxwell_fit", short)
+    assert QUERIES["maxwell_fit"].plan(spark, "/root/testdata/sf0.001") == {"points": 1000, "max_modes": 10}

@@ -214,7 +214,7 @@ def per_chain_confinement(spark, d):
 @query("maxwell_fit", "F4")
 def maxwell_fit(spark, d):
     acf = lags.stress_correlation(_segments(spark, d), ["system"])
-    return fits.maxwell_fit(acf, ["system", "segment"], points=60, max_modes=3)
+    return fits.maxwell_fit(acf, ["system", "segment"], points=1000, max_modes=10)
 
 
 # --- features --------------------------------------------------------------------------
