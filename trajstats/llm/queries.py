@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity, warc_fixity
+from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity, warc_fixity, whitening
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -130,3 +130,8 @@ SELECT page_id, archive, coalesce(sum(length) OVER (PARTITION BY archive ORDER B
     CASE WHEN part IN ('00', '01') THEN 'changed' WHEN part = '02' THEN 'missing' ELSE 'intact' END AS status FROM a""")
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit_pages(documents(spark, sf_dir, "pages"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(documents(spark, sf_dir, "embeddings"))
