@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity, warc_fixity, whitening
+from trajstats.llm import bpe, conversations, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity, warc_fixity, whitening
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -135,3 +135,55 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(documents(spark, sf_dir, "embeddings"))
+
+
+def _role_moves() -> str:
+    """Rows (state, initial, letters, next state, cost, lines before, role or null): up to two inserts and one edit in the automaton of the role pattern.
+
+    An initial of '' stands for any; the role is null where the row keeps its own or goes; ``final`` rows insert only.
+    """
+    legal = {("0", "s"): "s", ("0", "u"): "u", ("s", "u"): "u", ("u", "a"): "b", ("b", "u"): "u"}
+    names = {"u": "user", "a": "assistant"}
+    rows = []
+    for state in "0sub":
+        at, lines = state, ""
+        for k in range(3):
+            rows.append((state, "", "I" * k + "D", at, 2 * k + 3, lines, None))
+            rows += [(state, c, "I" * k + "K", to, 2 * k, lines, None) for (p, c), to in legal.items() if p == at]
+            rows += [(state, "", "I" * k + "R", to, 2 * k + 2, lines, names[c]) for (p, c), to in legal.items() if p == at and c in names]
+            rows.append((state, "end", "I" * k, at, 2 * k, lines, None))
+            c = next(c for (p, c) in legal if p == at and c in names)
+            at, lines = legal[at, c], lines + f"\n{names[c]}:"
+    sql = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
+    return ", ".join("(" + ", ".join(map(sql, r)) + ")" for r in rows)
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+drawn AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(place)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS draw FROM named, tab),
+rows_ AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, sha256(length(role) || ':' || role || text) AS digest, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM rows_),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM placed),
+marked AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM numbered),
+mv AS (SELECT * FROM (VALUES {_role_moves()}) AS v(state, initial, letters, next, cost, lines, role)),
+parse AS (
+    SELECT conv_id, 0::BIGINT AS i, '0' AS state, {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT p.conv_id, p.i + 1, mv.next, min({{'cost': p.best.cost + mv.cost + CASE WHEN m.fault = 'truncated' AND mv.letters NOT LIKE '%D' THEN 1 ELSE 0 END, 'audit': p.best.audit || mv.letters,
+        'lines': p.best.lines || mv.lines || CASE WHEN mv.letters LIKE '%D' THEN '' ELSE chr(10) || coalesce(mv.role, m.role) || ':' || m.text END}})
+    FROM parse p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1 JOIN mv ON mv.state = p.state AND mv.initial IN ('', m.initial) AND mv.letters NOT IN ('', 'I', 'II') AND (m.fault NOT IN ('blank', 'duplicate') OR mv.letters LIKE '%D')
+    GROUP BY p.conv_id, p.i + 1, mv.next),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY 1),
+done AS (SELECT p.conv_id, min({{'cost': p.best.cost + mv.cost, 'audit': p.best.audit || mv.letters, 'lines': p.best.lines || mv.lines}}) AS best FROM parse p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id JOIN mv ON mv.state = p.state AND mv.initial = 'end' WHERE p.i = coalesce(c.n, 0) AND mv.next IN ('0', 'b') GROUP BY 1)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit, sha256(substr(best.lines, 2)) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = documents(spark, sf_dir, "conversations")
+    report, rows = conversations.repair(conversations.damaged(given))
+    all_ = given.select(F.col("conv_id").alias("of")).distinct()
+    found = all_.join(report, F.col("of").eqNullSafe(F.col("conv")), "left").drop("conv")
+    hashed = conversations.digests(rows)
+    found = found.join(hashed, F.col("of").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("of").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
