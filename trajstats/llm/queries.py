@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm import bpe, conversations, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, sharding, toxicity, warc_fixity, whitening
+from trajstats.llm import bpe, conversations, decontaminate, exact_dedup, jaccard_join, pii, pitman_yor, quality, quality_rules, sharding, toxicity, warc_fixity, whitening
 from trajstats.llm.common import documents
 
 QUERIES: dict = {}
@@ -187,3 +187,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.join(hashed, F.col("of").eqNullSafe(F.col("conv")), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select(F.col("of").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
