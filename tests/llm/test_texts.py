@@ -7,9 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trajstats.llm import bpe, decontaminate, jaccard_join, pitman_yor
+from trajstats.llm.common import text_buffers, written
 from trajstats.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -206,6 +208,41 @@ def test_language_model(spark):
     assert lone and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in lone)
 
 
+def test_language_model_by_many_buckets(spark):
+    """Rows that pass between buckets and parts depend on the data alone; sums in groups of groups change nothing."""
+    draws = random.Random(4)
+    rows = [(i, " ".join(f"w{int(draws.paretovariate(0.6)) % 3000}" for _ in range(draws.randint(20, 60)))) for i in range(500)] + [(None, "a b")] * 3
+    docs, sent, scores = table(spark, rows), {}, {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = pitman_yor._answered
+
+    def counting(shares, owners, parts, group):
+        out = written(seen(shares, owners, parts, group))
+        sent.setdefault(kind, []).append((owners, parts, out.count()))
+        return out
+
+    try:
+        pitman_yor._answered = counting
+        for kind, group in (("4", 256), ("64", 256), ("4 grouped", 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", kind.split()[0])
+            found = pitman_yor.score_documents(docs, bucket_bytes=8000, share_contexts=100, group=group).collect()
+            scores[kind] = sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found)
+    finally:
+        pitman_yor._answered = seen
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sent["4"] == sent["64"] and sent["4"][0][0] > 8 and sent["4"][0][1] > 1
+    assert sent["4 grouped"][-1] == sent["4"][-1]
+    assert scores["4"] == scores["64"] == scores["4 grouped"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+
+
+def test_large_words_are_counted_exactly(spark):
+    rows = [(i, "hot " * 30 + " ".join(f"x{i}_{k}" for k in range(60))) for i in range(200)] + [(None, "null " * 5000)]
+    found = pitman_yor._large_words(table(spark, rows), 4).view(np.uint64).tolist()
+    want = {pitman_yor.document_tokens(*text_buffers(pa.array([w])), 0, 1)[0][0] for w in ("hot", "null")}
+    assert set(found) == want
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(0)
     customers, weight = np.full(4000, 200), np.full(4000, 3.0)

@@ -13,14 +13,17 @@ binomial draw. Totals over contexts are those of the epoch before, so that dishe
 are drawn in parallel. Probabilities are averaged over the samples of the last epoch.
 
 **Data flow.** One shuffle brings all entries (word, context, document, count) of a word into one bucket, as
-packed arrays; the buckets are written to the shared folder. Words with a large share of all tokens
-(found in a sample of the documents, which bounds their number and affects speed alone) are split by context
-into pieces; their totals travel with the sums over all. Each bucket then seats its dishes and sums
-log probabilities by document, and the sums meet by document.
+packed arrays; the buckets are written to the shared folder. Their number follows the bytes of text. Words with a large share of all tokens
+are split by context into pieces; their totals travel with the sums over all, so that within an epoch they are those of the epoch
+before and all pieces see the same tables. Every task counts all words of its documents and reports those above a share of its own tokens; a word
+above the wanted share of all tokens can't be missed that way, and the share bounds the list. Each bucket then seats
+its dishes and sums log probabilities by document, and the sums meet by document.
 
 Totals of contexts grow with the vocabulary and never reach the driver: each bucket adds up its own share of every
 context it holds, the shares meet in parts by context hash, and each part answers each bucket with the totals of the
-bucket's contexts, in the bucket's order. A frequent context is one share a bucket, so that it loads no task.
+bucket's contexts, in the bucket's order. A frequent context is one share a bucket, so that it loads no task. Parts are as many as leave a
+share ``SHARE_CONTEXTS`` contexts on average, so messages grow with the data. Where more than ``GROUP`` buckets meet in a part,
+groups of buckets add up first, and groups of groups.
 
 Words are hashed to 64 bits; chance equality among n words has probability n^2 / 2^65.
 
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trajstats.llm.common import chunks, mix, remainder, runs, shuffle_parts, text_buffers, word_hashes, written
+from trajstats.llm.common import chunks, mix, remainder, runs, text_buffers, word_hashes, written
 from trajstats.session import ensure_checkpoint_dir
 
 #: Contexts of a bucket up to which two bytes hold their number within the bucket.
@@ -52,12 +55,12 @@ D1, S1, D0, S0 = 0.6, 40.0, 0.6, 10.0
 SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
 #: Tokens and documents that a map task packs at a time.
 PACK_TOKENS, PACK_DOCS = 1_000_000, 32_000
-#: Buckets in a shuffle partition, and sums that a task keeps before it sends them.
-BUCKETS_A_PART, KEPT_SUMS = 4, 1_000_000
-#: Pieces of a word with a large share; one document in so many is read to find them.
-PIECES, SAMPLE_ONE_IN = 16, 16
-#: Most frequent words that a task reports for that.
-FREQUENT = 512
+#: Bytes of text of a bucket on average, buckets of a file, sums that a task keeps before it sends them.
+BUCKET_BYTES, BUCKETS_A_FILE, KEPT_SUMS = 6_000_000, 2, 1_000_000
+#: Contexts of a share on average; owners of shares that meet in a part.
+SHARE_CONTEXTS, GROUP = 4096, 256
+#: Pieces of a word with a large share.
+PIECES = 16
 
 END = mix(np.array([0x656E64], np.uint64))[0]
 _BLOB = "bucket long, unit long, words binary, word_pairs binary, contexts binary, entries binary, docs binary, counts binary, tokens binary, held binary, ids array<{id}>"
@@ -179,29 +182,36 @@ def _pack(large: np.ndarray, buckets: int):
 
 
 def _large_words(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Hashes of words with more than a quarter of a bucket's share in a sample of the documents: 4 * buckets at most."""
+    """Hashes of all words with more than a quarter of a bucket's share of the tokens, and of no word with less than three quarters of that.
+
+    A task reports words above a sixteenth of a bucket's share of its own tokens. What it doesn't report adds up to less than a sixteenth of
+    all, so a sum of reports above three sixteenths is what to look for; at most 16 * buckets / 3 words have it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        total = 0
+        words, n, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def folded():
+            all_, back = np.unique(np.concatenate([words, *(w for w, _ in new)]), return_inverse=True)
+            return all_, np.bincount(back, np.concatenate([n, *(k for _, k in new)]), len(all_)).astype(np.int64)
+
         for batch in batches:
             bounds, raw = text_buffers(batch.column("text"))
             for first, last in chunks(bounds):
-                words, n = np.unique(document_tokens(bounds, raw, first, last)[0], return_counts=True)
-                total += int(n.sum())
-                often = np.argsort(-n, kind="stable")[:FREQUENT]
-                for w, k in zip(words[often].view(np.int64).tolist(), n[often].tolist()):
-                    seen[w] = seen.get(w, 0) + k
-                if len(seen) > 8 * FREQUENT:
-                    seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: 4 * FREQUENT])
-        seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:FREQUENT])
-        yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.int64()), pa.array([total, *seen.values()], pa.int64())], ["word", "n"])
-
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
-    counts = sample.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter(F.col("word").isNotNull() & (F.col("n") * 4 * buckets > total)).select("word").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+                new.append(np.unique(document_tokens(bounds, raw, first, last)[0], return_counts=True))
+                if sum(len(w) for w, _ in new) > max(1 << 19, len(words)):
+                    (words, n), new = folded(), []
+        words, n = folded()
+        total = int(n.sum())
+        often = n * 16 * buckets > total
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[often].tolist()], pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("total")
+    found = written(counts)
+    total = found.agg(whole).first()[0]
+    rows = found.filter(F.col("word").isNotNull() & (F.col("n") * 16 * buckets > 3 * total)).select("word").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 def _piece_words(large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,27 +396,83 @@ def _first_shares(parts: int):
     return run
 
 
+def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of each key of sorted batches; blobs are views of their batches."""
+    held, rows = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: (x.as_buffer() if pa.types.is_binary(x.type) and x.is_valid else x.as_py()) for c in batch.schema.names for x in [batch.column(c)[i]]}
+            key = tuple(row[k] for k in keys)
+            if rows and key != held:
+                yield held, rows
+                rows = []
+            held = key
+            rows.append(row)
+    if rows:
+        yield held, rows
+
+
+def _summed_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contexts of all rows in order, the place of each row's contexts among them, and the sums of tables and tokens."""
+    contexts, at = np.unique(np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([np.frombuffer(r[k], np.uint32 if len(r[k]) * 2 == len(r["contexts"]) else np.int64) for r in rows]), len(contexts)).astype(np.int64) for k in ("tables", "tokens")]
+    return contexts, at, sums
+
+
+def _cut(rows: list[dict], at: np.ndarray, sums: list[np.ndarray]) -> list[pa.Array]:
+    """Tables and tokens of the contexts of each row."""
+    cut = np.cumsum([0] + [len(r["contexts"]) // 8 for r in rows])
+    return [pa.array([x[at[a:b]].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in sums]
+
+
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals of the contexts of a part, for each bucket in its own order."""
-    asked: dict[int, list] = {}
-    for batch in batches:
-        for part, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "bucket", "contexts", "tables", "tokens"))):
-            asked.setdefault(part, []).append(rest)
-    for part in list(asked):
-        buckets, contexts, *sums = zip(*asked.pop(part))
-        cut = np.cumsum([0] + [len(c) // 8 for c in contexts])
-        _, at = np.unique(np.frombuffer(b"".join(contexts), np.uint64), return_inverse=True)
-        totals = [np.bincount(at, np.frombuffer(b"".join(x), np.uint32)).astype(np.int64)[at] for x in sums]
-        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in totals]
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(np.full(len(buckets), part)), *blobs], ["bucket", "part", "tables", "tokens"])
-
-
-def _dealt(df: DataFrame, parts: int) -> DataFrame:
-    """``df`` as a table in the shared folder whose files are dealt by bucket, so that joins by bucket move only the other side."""
+    for (part,), rows in _by_key(batches, ["part"]):
+        _, at, sums = _summed_up(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), *_cut(rows, at, sums)], ["bucket", "part", "tables", "tokens"])
+
+
+def _merged_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The share of a group of buckets in a part."""
+    for (group, part), rows in _by_key(batches, ["group", "part"]):
+        contexts, _, sums = _summed_up(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (part, group)] + [pa.array([x.tobytes()], pa.binary()) for x in (contexts, *sums)], ["part", "bucket", "contexts", "tables", "tokens"])
+
+
+def _handed_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers for the buckets of a group from the answer for the group, which comes first."""
+    for _, (head, *rows) in _by_key(batches, ["group", "part"]):
+        contexts = np.frombuffer(head["contexts"], np.uint64)
+        at = np.searchsorted(contexts, np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]))
+        sums = [np.frombuffer(head[k], np.int64) for k in ("tables", "tokens")]
+        yield pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in rows], pa.int64()), pa.array([head["part"]] * len(rows), pa.int64()), *_cut(rows, at, sums)], ["bucket", "part", "tables", "tokens"])
+
+
+_ANSWERS = "bucket long, part long, tables binary, tokens binary"
+
+
+def _answered(shares: DataFrame, owners: int, parts: int, group: int = GROUP) -> DataFrame:
+    """Totals over all owners for each share. Above ``group`` owners their groups add up first, part by part."""
+    if owners <= group:
+        return shares.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers, _ANSWERS)
+    grouped = written(shares.withColumn("group", F.floor(F.col("bucket") / group).cast("long")))
+    groups = -(-owners // group)
+    tasks = parts * groups
+    merged = written(grouped.repartition(tasks, "group", "part").sortWithinPartitions("group", "part").mapInArrow(_merged_shares, _SHARES))
+    above = _answered(merged, groups, parts, group)
+    contexts = merged.select(F.col("bucket").alias("group"), "part", "contexts")
+    heads = above.withColumnRenamed("bucket", "group").join(contexts, ["group", "part"])
+    columns = ["group", "part", "bucket", "contexts", "tables", "tokens"]
+    both = grouped.select(columns).unionAll(heads.withColumn("bucket", F.lit(-1).cast("long")).select(columns))
+    return both.repartition(tasks, "group", "part").sortWithinPartitions("group", "part", "bucket").mapInArrow(_handed_down, _ANSWERS)
+
+
+def _dealt(df: DataFrame, parts: int) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder whose files are dealt by bucket, so that joins by bucket move only the other side; and its name in the catalog."""
     spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark)}/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "bucket").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _release(spark: SparkSession) -> None:
@@ -415,9 +481,9 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _joined(rows: DataFrame, shares: DataFrame, parts: int) -> DataFrame:
+def _joined(rows: DataFrame, shares: DataFrame, owners: int, parts: int, group: int) -> DataFrame:
     """Each bucket's row with the totals of its contexts, ``answers`` in the order of parts."""
-    totals = shares.repartition(parts, "part").mapInArrow(_answers, "bucket long, part long, tables binary, tokens binary")
+    totals = _answered(shares, owners, parts, group)
     totals = totals.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("part", "tables", "tokens"))).alias("answers"))
     return rows.join(totals.hint("shuffle_hash"), "bucket")
 
@@ -475,7 +541,7 @@ def _score(totals: bytes, large: np.ndarray):
                 docs, *sums = (np.concatenate(x) for x in zip(*kept.pop(unit)))
                 some = np.flatnonzero(np.bincount(docs))
                 sums = [np.bincount(docs, v)[some] for v in sums]
-                arrays = [some.astype(np.uint16), sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32)]
+                arrays = [some.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in arrays], ["unit", "docs", "base", "score", "known"])
 
         for batch in batches:
@@ -531,7 +597,7 @@ def _by_document(totals: bytes, id_type: str):
             for docs, b, s, k in sorted(parts.pop(unit, [])):
                 at = np.frombuffer(docs, np.uint16)
                 base[at] += np.frombuffer(b, np.float64)
-                score[at] += np.frombuffer(s, np.float32)
+                score[at] += np.frombuffer(s, np.float64)
                 seen[at] += np.frombuffer(k, np.uint32)
             arrays = [ids, pa.array(held), pa.array(n), pa.array(seen), pa.array(np.full(len(n), int(tokens))), pa.array(base - n * shift), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -539,35 +605,41 @@ def _by_document(totals: bytes, id_type: str):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, bucket_bytes: int = BUCKET_BYTES, share_contexts: int = SHARE_CONTEXTS, group: int = GROUP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (remainder(id_col, folds) == held_fold).alias("held_out"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    buckets = BUCKETS_A_PART * shuffle_parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4, -(-size // bucket_bytes))
     large = _large_words(docs, buckets)
-    parts = shuffle_parts(spark)
-    table = _dealt(docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type)).repartition(parts, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)), parts)
+    files = -(-buckets // BUCKETS_A_FILE)
+    table, name = _dealt(docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type)).repartition(files, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)), files)
     _release(spark)
     rows = table.filter("bucket >= 0")
     first = _summed(rows.select("totals"))
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if first is None:
-        return spark.createDataFrame([], f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        spark.sql(f"DROP TABLE {name}")
+        return spark.createDataFrame([], schema)
     totals = Totals.unpacked(first)
     large_seen = float((totals.large_tokens > 0).sum())
     totals.words += large_seen
     totals.root_tables += large_seen
+    held, contexts = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("contexts") / 8)).first()
+    parts = max(1, round(contexts / held / share_contexts))
     shares = rows.select("bucket", "contexts", "pair_context", "pair_count").mapInArrow(_first_shares(parts), _SHARES)
-    sweeps = written(_joined(rows.select("bucket", *_PAIRS), shares, parts).mapInArrow(_sweep(totals.packed(), large, parts), f"{_SHARES}, totals binary"))
+    sweeps = written(_joined(rows.select("bucket", *_PAIRS), shares, buckets, parts, group).mapInArrow(_sweep(totals.packed(), large, parts), f"{_SHARES}, totals binary"))
     del shares
     _release(spark)
     swept = Totals.unpacked(_summed(sweeps.filter("part is null").select("totals")))
     shared = seat(swept.large_tables.astype(np.int64), np.full(len(large), (S0 + D0 * totals.root_tables) / (totals.words + 1)), D0, np.random.default_rng([11, 2]))
     totals.large_tables, totals.tables, totals.root_tables = swept.large_tables, swept.tables, swept.root_tables + float(shared.sum())
     columns = ["bucket", *_PAIRS, "pair_entries", "units", "entry_unit", "entry_doc", "entry_count"]
-    scored = _joined(rows.select(columns), sweeps.filter("part is not null").drop("totals"), parts)
+    scored = _joined(rows.select(columns), sweeps.filter("part is not null").drop("totals"), buckets, parts, group)
     sums = scored.mapInArrow(_score(totals.packed(), large), "unit long, docs binary, base binary, score binary, known binary")
     heads = table.filter("bucket < 0").select("unit", "tokens", "held", "ids")
-    both = sums.unionByName(heads, allowMissingColumns=True).repartition(shuffle_parts(spark), "unit")
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.mapInArrow(_by_document(totals.packed(), id_type), schema)
+    both = sums.unionByName(heads, allowMissingColumns=True).repartition(files, "unit")
+    scores = written(both.mapInArrow(_by_document(totals.packed(), id_type), schema))
+    spark.sql(f"DROP TABLE {name}")
+    return scores
