@@ -37,6 +37,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -56,7 +57,7 @@ SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
 #: Tokens and documents that a map task packs at a time.
 PACK_TOKENS, PACK_DOCS = 1_000_000, 32_000
 #: Bytes of text of a bucket on average, buckets of a file, sums that a task keeps before it sends them.
-BUCKET_BYTES, BUCKETS_A_FILE, KEPT_SUMS = 3_000_000, 1, 500_000
+BUCKET_BYTES, BUCKETS_A_FILE, KEPT_SUMS = 6_000_000, 4, 1_000_000
 #: Contexts of a share on average; owners of shares that meet in a part.
 SHARE_CONTEXTS, GROUP = 4096, 256
 #: Pieces of a word with a large share.
@@ -481,6 +482,18 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def _row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Rows of buckets are large: each is an Arrow batch of its own, so a task holds one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _joined(rows: DataFrame, shares: DataFrame, owners: int, parts: int, group: int) -> DataFrame:
     """Each bucket's row with the totals of its contexts, ``answers`` in the order of parts."""
     totals = _answered(shares, owners, parts, group)
@@ -629,7 +642,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held, contexts = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("contexts") / 8)).first()
     parts = max(1, round(contexts / held / share_contexts))
     shares = rows.select("bucket", "contexts", "pair_context", "pair_count").mapInArrow(_first_shares(parts), _SHARES)
-    sweeps = written(_joined(rows.select("bucket", *_PAIRS), shares, buckets, parts, group).mapInArrow(_sweep(totals.packed(), large, parts), f"{_SHARES}, totals binary"))
+    with _row_by_row(spark):
+        sweeps = written(_joined(rows.select("bucket", *_PAIRS), shares, buckets, parts, group).mapInArrow(_sweep(totals.packed(), large, parts), f"{_SHARES}, totals binary"))
     del shares
     _release(spark)
     swept = Totals.unpacked(_summed(sweeps.filter("part is null").select("totals")))
@@ -640,6 +654,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sums = scored.mapInArrow(_score(totals.packed(), large), "unit long, docs binary, base binary, score binary, known binary")
     heads = table.filter("bucket < 0").select("unit", "tokens", "held", "ids")
     both = sums.unionByName(heads, allowMissingColumns=True).repartition(files, "unit")
-    scores = written(both.mapInArrow(_by_document(totals.packed(), id_type), schema))
+    with _row_by_row(spark):
+        scores = written(both.mapInArrow(_by_document(totals.packed(), id_type), schema))
     spark.sql(f"DROP TABLE {name}")
     return scores
