@@ -134,6 +134,35 @@ def inefficiency(acf: DataFrame, keys: Sequence[str], min_lag: int = 3) -> DataF
     )
 
 
+def series_inefficiency(pos: DataFrame, keys: Sequence[str], min_lag: int = 3, first: int = 64) -> DataFrame:
+    """``inefficiency`` of each series without its whole autocorrelation.
+
+    Lags come in blocks of ``first``, then twice as many, and so on. A series leaves as soon as its sum has stopped, so a series of n
+    rows that decorrelates after m lags costs about n * m products instead of n^2 / 2.
+    """
+    keys = list(keys)
+    w = W.partitionBy(*keys)
+    centred = cut_lineage(pos.select(*keys, "n", "i", (F.col("value") - F.avg("value").over(w)).alias("c")))
+    live = centred.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s0"), F.lit(0.0).alias("total"))
+    live = cut_lineage(live.withColumn("done", (F.col("s0") <= 0) | (F.col("n") < 3)))
+    out, low, size = live.filter("done"), 1, first
+    live = live.filter("NOT done")
+    while not live.isEmpty():
+        high = low + size - 1
+        rows = centred.join(live.select(*keys), keys)
+        left = rows.withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high)))).filter("lag <= n - 2 AND i + lag < n")
+        left = left.select(*keys, "lag", "c", (F.col("i") + F.col("lag")).alias("i"))
+        sums = left.join(rows.select(*keys, "i", F.col("c").alias("c2")), [*keys, "i"]).groupBy(*keys, "lag").agg(F.sum(F.col("c") * F.col("c2")).alias("s"))
+        acf = sums.join(live, keys).withColumn("acf", F.col("s") / F.col("s0"))
+        stop = acf.groupBy(*keys).agg(F.min(F.when((F.col("lag") > min_lag) & (F.col("acf") <= 0), F.col("lag"))).alias("stop"))
+        more = acf.join(stop, keys).groupBy(*keys, "stop").agg(F.sum(F.when(F.col("stop").isNull() | (F.col("lag") < F.col("stop")), F.col("acf"))).alias("more"))
+        state = live.join(more, keys, "left").select(*keys, "n", "s0", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("stop").isNotNull() | (F.col("n") - 2 <= high)).alias("done"))
+        state = cut_lineage(state)
+        out, live, low, size = out.unionByName(state.filter("done")), state.filter("NOT done"), high + 1, size * 2
+    g = F.greatest(F.lit(1.0), 1.0 + 2 * F.col("total"))
+    return out.select(*keys, "n", g.alias("g")).select("*", ((F.col("g") - 1) / 2).alias("tau"), (F.col("n") / F.col("g")).alias("n_eff"))
+
+
 def decorrelated(pos: DataFrame, g: DataFrame, keys: Sequence[str], conservative: bool = True) -> DataFrame:
     """Subsample of positions at least g apart: multiples of ceil(g), or rounded multiples of g."""
     joined = pos.join(g.select(*keys, "g"), list(keys))
@@ -241,7 +270,7 @@ def corrected_series(df: DataFrame, keys: Sequence[str], order: str, value: str
     # The raw rows are read once: everything below starts from the written window values.
     pos = cut_lineage(pos)
     summary = superblock_summary(superblock_offsets(pos, keys, max_block, min_blocks), keys)
-    g = inefficiency(autocorrelation(pos, keys), keys)
+    g = series_inefficiency(pos, keys)
     sizes = cut_lineage(recommended_block(plateau_block(summary, keys, plateau), g, keys))
     est = all_offset_estimate(pos, sizes, keys).drop("n", "b")
     return with_interval(sizes.join(est, list(keys)))
@@ -262,7 +291,7 @@ def corrected_stats(df: DataFrame, keys: Sequence[str], order: str, value: str =
         .filter("n_blocks >= 2").withColumn("eligible", F.col("n_blocks") >= min_blocks)
     )
     choice = plateau_block(superblock_summary(offsets, keys), keys, plateau)
-    g = cut_lineage(inefficiency(autocorrelation(pos, keys), keys))
+    g = series_inefficiency(pos, keys)
     both = g.join(choice, list(keys), "left")
     block = F.greatest(F.lit(1), F.least(F.greatest(F.coalesce("b_plateau", F.lit(1)), F.ceil("g").cast("int")), F.expr("greatest(n div 2, 1)")))
     est = all_offset_estimate(pos, both.withColumn("b", block), keys).join(g.select(*keys, "g"), list(keys))

@@ -1,162 +1,73 @@
-"""Small model fits, one per group, over many groups.
+"""Model fits, one per group, over many groups, as plans.
 
-A group is a reduced curve (bins of a profile, lags of a correlation), so it has a
-bounded number of rows; Spark spreads the groups. The solver below is a short
-Levenberg-Marquardt step loop on numpy arrays.
+Interface and confinement curves are fitted by ``separable``. A sum of exponentials is fitted by non-negative least squares on a log
+grid of times: Spark sums the products of the exponentials, and the active-set loop sees one small matrix for each group.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-
-def _solve(model: Callable, x: np.ndarray, y: np.ndarray, p0: Sequence[float], sigma: np.ndarray | None = None,
-           lower: Sequence[float] | None = None, upper: Sequence[float] | None = None, steps: int = 200) -> tuple[np.ndarray, np.ndarray] | None:
-    """Parameters and covariance of the damped least-squares fit, None where it fails."""
-    p = np.asarray(p0, float)
-    lo = np.full(p.size, -np.inf) if lower is None else np.asarray(lower, float)
-    hi = np.full(p.size, np.inf) if upper is None else np.asarray(upper, float)
-    w = np.ones_like(y) if sigma is None else 1.0 / sigma
-    p = np.clip(p, lo, hi)
-    damping = 1e-3
-
-    def residual(q: np.ndarray) -> np.ndarray:
-        return (model(x, *q) - y) * w
-
-    def jacobian(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-        out = np.empty((x.size, q.size))
-        for k in range(q.size):
-            h = 1e-6 * max(abs(q[k]), 1e-4)
-            up = q.copy()
-            up[k] += h if q[k] + h <= hi[k] else -h
-            out[:, k] = (residual(up) - r) / (up[k] - q[k])
-        return out
-
-    with np.errstate(all="ignore"):
-        r = residual(p)
-        cost = r @ r
-        for _ in range(steps):
-            jac = jacobian(p, r)
-            a, g = jac.T @ jac, jac.T @ r
-            if not (np.isfinite(a).all() and np.isfinite(g).all()):
-                return None
-            moved = False
-            for _ in range(12):
-                try:
-                    step = np.linalg.solve(a + damping * np.diag(np.maximum(np.diag(a), 1e-12)), -g)
-                except np.linalg.LinAlgError:
-                    damping *= 10
-                    continue
-                q = np.clip(p + step, lo, hi)
-                rq = residual(q)
-                cq = rq @ rq
-                if np.isfinite(cq) and cq < cost:
-                    moved, gain = True, cost - cq
-                    p, r, cost, damping = q, rq, cq, max(damping / 5, 1e-12)
-                    break
-                damping *= 5
-            if not moved or gain <= 1e-14 * max(cost, 1e-300):
-                break
-        jac = jacobian(p, r)
-        try:
-            cov = np.linalg.inv(jac.T @ jac)
-        except np.linalg.LinAlgError:
-            cov = np.full((p.size, p.size), np.nan)
-        cov = cov * (cost / max(x.size - p.size, 1))
-    return (p, cov) if np.isfinite(p).all() else None
-
-
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-
-def _grouped(df: DataFrame, keys: Sequence[str], columns: Sequence[str], fit: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = fit(pdf)
-        row = {k: pdf[k].iloc[0] for k in keys} | {n: found.get(n) for n in names}
-        return pd.DataFrame([row], columns=[*keys, *names])
-
-    return df.select(*keys, *columns).groupBy(*keys).applyInPandas(one, f"{_key_schema(df, keys)}, {schema}")
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-
-_erf = np.vectorize(math.erf, otypes=[float])
-
-
-def interface_model(r: np.ndarray, a: float, b: float, radius: float, width: float) -> np.ndarray:
-    return b - a * _erf((r - radius) / (math.sqrt(2.0) * (width if abs(width) > 1e-9 else 1e-9)))
+from trajstats.operators import separable
+from trajstats.session import cut_lineage
 
 
 def interface_fit(profiles: DataFrame, keys: Sequence[str], r: str = "r_mid", density: str = "density", sem: str = "sem", *, start: str = "fixed", normalised: bool = False) -> DataFrame:
     """rho = B - A erf((r-R)/(sqrt(2) W)) per group; the first bin is left out.
 
-    A bounded fit weighted by the SEMs (floored against vanishing tails) comes first; an
-    unweighted refit replaces it where it succeeds. ``start='data'`` takes the start from
-    the profile and allows A < 0; ``normalised`` divides by the largest density.
+    A fit weighted by the SEMs (floored against vanishing tails), with A and B not below 0 unless ``start='data'``, and an unweighted
+    one are done together; the unweighted one counts where its errors are finite. R lies inside the profile and W
+    between a quarter of a bin and twice the profile. ``normalised`` divides by the largest density.
     """
-    schema = "a double, b double, r_fit double, w_fit double, se_a double, se_b double, se_r double, se_w double, cov_ab double, rmse double, status string"
-
-    def fit(pdf: pd.DataFrame) -> dict:
-        pdf = pdf.dropna(subset=[r, density]).sort_values(r).iloc[1:]
-        if len(pdf) < 5:
-            return {"status": "too_few_points"}
-        x, y = pdf[r].to_numpy(float), pdf[density].to_numpy(float)
-        if normalised and np.max(np.abs(y)) > 0:
-            y = y / np.max(np.abs(y))
-        top, tail = float(np.max(y)), float(np.median(y[-max(3, len(y) // 5):]))
-        half = x[np.argmin(np.abs(y - (top + tail) / 2))]
-        first = [(top - tail) / 2, (top + tail) / 2, half, (x[-1] - x[0]) / 10] if start == "data" else [max(top / 2, 1e-6), max(top / 2, 1e-6), float(np.median(x)), (x[-1] - x[0]) / 10]
-        raw = pdf[sem].to_numpy(float)
-        floor = max(1e-3 * np.nanmax(np.append(raw, 0.0)), 1e-3 * np.max(np.abs(y)))
-        ok = np.isfinite(raw).all() and (raw > 0).all() and not normalised
-        lower = [-np.inf, 0, 0, 0] if start == "data" else [0, 0, 0, 0]
-        found = _solve(interface_model, x, y, first, np.maximum(raw, floor) if ok else None, lower)
-        status = "weighted" if found and ok else "bounded"
-        free = _solve(interface_model, x, y, first)
-        if free is not None and np.isfinite(free[1]).all():
-            found, status = free, "unweighted"
-        if found is None:
-            return {"status": "failed"}
-        p, cov = found
-        if p[3] < 0:  # erf is odd: (A, W) and (-A, -W) are the same curve
-            p, flip = p * [-1, 1, 1, -1], np.diag([-1.0, 1.0, 1.0, -1.0])
-            cov = flip @ cov @ flip
-        se = np.sqrt(np.maximum(np.diag(cov), 0))
-        rmse = float(np.sqrt(np.mean((interface_model(x, *p) - y) ** 2)))
-        return dict(zip(("a", "b", "r_fit", "w_fit"), map(float, p))) | dict(zip(("se_a", "se_b", "se_r", "se_w"), map(float, se))) | {"cov_ab": float(cov[0, 1]), "rmse": rmse, "status": status}
-
-    return _grouped(profiles, keys, [r, density, sem], fit, schema)
+    keys = list(keys)
+    rows = profiles.filter(F.col(r).isNotNull() & F.col(density).isNotNull()).select(*keys, F.col(r).cast("double").alias("x"), F.col(density).cast("double").alias("y"), F.col(sem).cast("double").alias("s"))
+    first = rows.groupBy(*keys).agg(F.min("x").alias("_first"))
+    rows = cut_lineage(rows.join(first, keys).filter("x > _first").drop("_first"))
+    top = F.max(F.abs("y"))
+    weigh = F.lit(not normalised) & (F.count(F.when(F.col("s") > 0, 1)) == F.count(F.lit(1)))
+    about = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b"), (F.when(top > 0, top).otherwise(1.0) if normalised else F.lit(1.0)).alias("_scale"),
+        weigh.alias("_weighted"), F.greatest(F.lit(1e-3) * F.coalesce(F.max("s"), F.lit(0.0)), F.lit(1e-3) * top).alias("_floor"))
+    about = cut_lineage(about)
+    used = rows.join(about.filter("_n >= 5"), keys).withColumn("kind", F.explode(F.array(F.lit("bounded"), F.lit("unweighted"))))
+    w = F.when((F.col("kind") == "bounded") & F.col("_weighted"), F.pow(F.greatest("s", "_floor"), F.lit(-2.0))).otherwise(1.0)
+    used = used.select(*keys, "kind", "x", (F.col("y") / F.col("_scale")).alias("y"), w.alias("w"))
+    span = F.col("_b") - F.col("_a")
+    domain = about.filter("_n >= 5").withColumn("kind", F.explode(F.array(F.lit("bounded"), F.lit("unweighted")))).select(
+        *keys, "kind", ((F.col("kind") == "bounded") & F.lit(start != "data")).alias("_positive"), F.col("_a").alias("_lo_r_fit"), F.col("_b").alias("_hi_r_fit"),
+        F.log(span / (4 * F.col("_n"))).alias("_lo_w_fit"), F.log(2 * span).alias("_hi_w_fit"))
+    found = separable.separable_fit(used, [*keys, "kind"], separable.INTERFACE, domain)
+    unit = F.col("sse") / F.greatest(F.col("n") - 4, F.lit(1))
+    error = lambda c: F.when(F.col(c) * unit >= 0, F.sqrt(F.col(c) * unit))
+    found = found.select(*keys, "kind", "a", "b", "r_fit", "w_fit", error("c11").alias("se_a"), error("c00").alias("se_b"), error("c22").alias("se_r"), error("c33").alias("se_w"), (F.col("c01") * unit).alias("cov_ab"), F.sqrt(F.col("plain") / F.col("n")).alias("rmse"))
+    finite_errors = F.col("se_a").isNotNull() & F.col("se_b").isNotNull() & F.col("se_r").isNotNull() & F.col("se_w").isNotNull()
+    rank = F.when((F.col("kind") == "unweighted") & finite_errors, 2).when(F.col("kind") == "bounded", 1).otherwise(0)
+    names = ["a", "b", "r_fit", "w_fit", "se_a", "se_b", "se_r", "se_w", "cov_ab", "rmse"]
+    best = found.groupBy(*keys).agg(F.max_by(F.struct("kind", *names), rank).alias("f")).select(*keys, "f.*")
+    status = F.when(F.coalesce(F.col("_n"), F.lit(0)) < 5, "too_few_points").when(F.col("kind").isNull(), "failed").when((F.col("kind") == "bounded") & F.col("_weighted"), "weighted").otherwise(F.col("kind"))
+    return profiles.select(*keys).distinct().join(about, keys, "left").join(best, keys, "left").select(*keys, *names, status.alias("status"))
 
 
 def confined_fit(curves: DataFrame, keys: Sequence[str], t: str = "lag", y: str = "msd", *, skip: float = 5.0, r2_min: float = 0.85, min_points: int = 15) -> DataFrame:
-    """msd = l^2 (1 - exp(-t/tau)) per group; NULL results below the R^2 gate."""
-    schema = "l double, l_sem double, tau double, tau_sem double, r2 double, status string"
-
-    def fit(pdf: pd.DataFrame) -> dict:
-        pdf = pdf[(pdf[t] > skip) & (pdf[y] > 0)].sort_values(t)
-        if len(pdf) < min_points:
-            return {"status": "too_few_points"}
-        x, v = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
-        n = len(x)
-        level = float(np.median(v[n // 5: 2 * n // 5]))
-        over = np.flatnonzero(v >= 0.632 * level)
-        found = _solve(lambda s, l2, tau: l2 * (1 - np.exp(-s / tau)), x, v, [level, max(float(x[over[0]]), 1.0)], None, [0.0, 1.0], [level * 20, float(x[-1]) * 5])
-        if found is None or found[0][0] <= 0:
-            return {"status": "failed"}
-        (l2, tau), cov = found
-        r2 = 1 - float(np.sum((l2 * (1 - np.exp(-x / tau)) - v) ** 2)) / max(float(np.sum((v - v.mean()) ** 2)), 1e-300)
-        if r2 < r2_min:
-            return {"r2": r2, "status": "poor_fit"}
-        se = np.sqrt(np.maximum(np.diag(cov), 0))
-        return {"l": math.sqrt(l2), "l_sem": float(se[0]) / (2 * math.sqrt(l2)), "tau": float(tau), "tau_sem": float(se[1]), "r2": r2, "status": "ok"}
-
-    return _grouped(curves, keys, [t, y], fit, schema)
+    """msd = l^2 (1 - exp(-t/tau)) per group; NULL results below the R^2 gate. tau lies between 1 and 5 times the last lag."""
+    keys = list(keys)
+    rows = cut_lineage(curves.filter((F.col(t) > skip) & (F.col(y) > 0)).select(*keys, F.col(t).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w")))
+    about = cut_lineage(curves.select(*keys).distinct().join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("x").alias("_b"), (F.var_pop("y") * F.count(F.lit(1))).alias("_ss")), keys, "left"))
+    enough = about.filter(F.col("_n") >= min_points)
+    domain = enough.select(*keys, F.lit(True).alias("_positive"), F.lit(0.0).alias("_lo_tau"), F.log(F.greatest(5 * F.col("_b"), F.lit(2.0))).alias("_hi_tau"))
+    found = separable.separable_fit(rows.join(enough.select(*keys), keys), keys, separable.CONFINED, domain)
+    r2 = 1 - F.col("sse") / F.greatest(F.col("_ss"), F.lit(1e-300))
+    unit = F.col("sse") / F.greatest(F.col("n") - 2, F.lit(1))
+    status = F.when(F.coalesce(F.col("_n"), F.lit(0)) < min_points, "too_few_points").when(F.coalesce(F.col("l2"), F.lit(0.0)) <= 0, "failed").when(r2 < r2_min, "poor_fit").otherwise("ok")
+    out = about.join(found, keys, "left").withColumn("status", status)
+    ok = F.col("status") == "ok"
+    return out.select(
+        *keys, F.when(ok, F.sqrt("l2")).alias("l"), F.when(ok, F.sqrt(F.greatest(F.col("c00") * unit, F.lit(0.0))) / (2 * F.sqrt("l2"))).alias("l_sem"), F.when(ok, F.col("tau")).alias("tau"),
+        F.when(ok, F.sqrt(F.greatest(F.col("c11") * unit, F.lit(0.0)))).alias("tau_sem"), F.when(F.col("status").isin("ok", "poor_fit"), r2).alias("r2"), "status")
 
 
 def per_chain_summary(fits: DataFrame, keys: Sequence[str], min_chains: int = 5) -> DataFrame:
@@ -168,35 +79,109 @@ def per_chain_summary(fits: DataFrame, keys: Sequence[str], min_chains: int = 5)
     )
 
 
-def maxwell_model(t: np.ndarray, *p: float) -> np.ndarray:
-    amp, tau = np.asarray(p[0::2]), np.asarray(p[1::2])
-    return (amp[None, :] * np.exp(-t[:, None] / tau[None, :])).sum(axis=1)
-
-
-def maxwell_fit(curves: DataFrame, keys: Sequence[str], t: str = "lag", y: str = "acf", *, points: int = 200, max_modes: int = 10) -> DataFrame:
-    """Sum of 1..max_modes exponentials to the normalised correlation on a log grid; best mean absolute error."""
-    schema = "modes int, amplitude_tau double, acf0 double, mae double, amplitudes array<double>, taus array<double>, status string"
-
-    def fit(pdf: pd.DataFrame) -> dict:
-        pdf = pdf.dropna(subset=[t, y]).sort_values(t)
-        x, v = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
-        if len(x) < 3 or v[0] == 0:
-            return {"status": "too_few_points"}
-        grid = np.geomspace(x[x > 0].min(), x.max(), points)
-        target = np.interp(grid, x, v) / v[0]
-        best = None
-        for n in range(1, max_modes + 1):
-            taus = np.geomspace(grid[0], grid[-1], n) if n > 1 else np.array([math.sqrt(grid[0] * grid[-1])])
-            p0 = np.column_stack([np.full(n, 1.0 / n), taus]).ravel()
-            found = _solve(maxwell_model, grid, target, p0, None, [0.0, grid[0] / 10] * n, [2.0, grid[-1] * 10] * n)
-            if found is None:
-                continue
-            mae = float(np.mean(np.abs(maxwell_model(grid, *found[0]) - target)))
-            if best is None or mae < best[0]:
-                best = (mae, n, found[0])
-        if best is None:
-            return {"status": "failed", "acf0": float(v[0])}
-        mae, n, p = best
-        return {"modes": n, "amplitude_tau": float((p[0::2] * p[1::2]).sum()), "acf0": float(v[0]), "mae": mae, "amplitudes": [float(a) for a in p[0::2]], "taus": [float(a) for a in p[1::2]], "status": "ok"}
-
-    return _grouped(curves, keys, [t, y], fit, schema)
+def mode_path(gram: np.ndarray, right: np.ndarray, max_modes: int) -> list[np.ndarray]:
+    """Non-negative least squares by an active set that grows by one column at a time: the amplitudes after each column, at most ``max_modes`` active.
+
+    Works on the Gram matrix alone. The last entry is the optimum wherever it has at most ``max_modes`` columns.
+    """
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    g, v = gram / np.outer(scale, scale), right / scale
+    x, active, path = np.zeros(len(v)), [], []
+    for _ in range(6 * max_modes):
+        slope = v - g @ x
+        slope[active] = -np.inf
+        best = int(np.argmax(slope))
+        if slope[best] <= 1e-10 * max(1e-300, np.abs(v).max()) or len(active) == max_modes:
+            break
+        active.append(best)
+        while True:
+            part = np.linalg.lstsq(g[np.ix_(active, active)], v[active], rcond=1e-13)[0]
+            if (part > 0).all() or not active:
+                break
+            now = x[active]
+            down = part <= 0
+            step = min((now[down] / np.maximum(now[down] - part[down], 1e-300)).min(), 1.0)
+            x[active] = now + step * (part - now)
+            gone = [a for a, p in zip(active, part) if p <= 0 and x[a] <= 1e-12]
+            gone = gone or [min((a for a, p in zip(active, part) if p <= 0), key=lambda a: x[a])]
+            active = [a for a in active if a not in gone]
+            x[gone] = 0.0
+        x = np.zeros(len(v))
+        x[active] = part
+        path.append(x / scale)
+        if gone_back(path):
+            break
+    return path
+
+
+def gone_back(path: list[np.ndarray]) -> bool:
+    """Whether the last step returned to a set of columns that was there before: rounding has been reached."""
+    sets = [tuple(np.flatnonzero(p)) for p in path]
+    return sets[-1] in sets[:-1]
+
+
+def _tau_grid(low: float, high: float, candidates: int) -> np.ndarray:
+    return np.geomspace(low, high, candidates)
+
+
+def _gram_sums(keys: Sequence[str], candidates: int) -> Callable:
+    """Sums of products of the exponentials for each group of a task, flushed by Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for key, part in pdf.groupby(list(keys), dropna=False, sort=False):
+                x = np.exp(-part["x"].to_numpy()[:, None] / _tau_grid(part["_a"].iloc[0], part["_b"].iloc[0], candidates))
+                sums = np.concatenate([(x.T @ x).ravel(), x.T @ part["y"].to_numpy()])
+                head = part.iloc[:1]
+                yield pa.RecordBatch.from_arrays([pa.array(head[k], batch.schema.field(k).type) for k in (*keys, "_a", "_b", "_v0")] + [pa.array([sums.tolist()], pa.list_(pa.float64()))], [*keys, "_a", "_b", "_v0", "sums"])
+
+    return run
+
+
+def maxwell_fit(curves: DataFrame, keys: Sequence[str], t: str = "lag", y: str = "acf", *, points: int = 200, max_modes: int = 10, candidates: int = 40) -> DataFrame:
+    """Sum of 1..max_modes exponentials to the normalised correlation at ``points`` log-spaced times; best mean absolute error.
+
+    Relaxation times come from a log grid of ``candidates`` between the first and the last time. Products of the exponentials are summed
+    for each group over all tasks; amplitudes follow from these sums by an active-set loop, one mode more at a time.
+    """
+    keys = list(keys)
+    order = Window.partitionBy(*keys).orderBy("x")
+    rows = curves.filter(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(t).cast("double").alias("x"), F.col(y).cast("double").alias("v"))
+    about = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("x") > 0, F.col("x"))).alias("_a"), F.max("x").alias("_b"), F.min_by("v", "x").alias("_v0"))
+    about = cut_lineage(about)
+    good = (F.col("_n") >= 3) & (F.col("_v0") != 0) & (F.col("_a") < F.col("_b"))
+    # Each piece between neighbouring times carries the log-spaced times inside it.
+    pieces = rows.withColumns({"_x1": F.lead("x").over(order), "_v1": F.lead("v").over(order)}).filter("_x1 IS NOT NULL AND _x1 > 0").join(about.filter(good), keys)
+    h = F.log(F.col("_b") / F.col("_a")) / (points - 1)
+    place = lambda c: F.log(F.greatest(c, F.col("_a")) / F.col("_a")) / h
+    first, last = F.ceil(place(F.col("x")) - 1e-9), F.when(F.col("_x1") == F.col("_b"), F.lit(points - 1)).otherwise(F.ceil(place(F.col("_x1")) - 1e-9) - 1)
+    grid = pieces.withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    at = F.col("_a") * F.exp(F.col("_k") * h)
+    target = (F.col("v") + (F.col("_v1") - F.col("v")) * (at - F.col("x")) / (F.col("_x1") - F.col("x"))) / F.col("_v0")
+    grid = cut_lineage(grid.select(*keys, "_a", "_b", "_v0", at.alias("x"), target.alias("y")))
+    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in keys)
+    sums = grid.mapInArrow(_gram_sums(keys, candidates), f"{kinds}, _a double, _b double, _v0 double, sums array<double>")
+    size = candidates * (candidates + 1)
+    total = sums.select(*keys, "_a", "_b", "_v0", F.posexplode("sums").alias("_i", "_s")).groupBy(*keys, "_a", "_b", "_v0", "_i").agg(F.sum("_s").alias("_s"))
+    total = total.groupBy(*keys, "_a", "_b", "_v0").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda e: e["_s"]).alias("sums"))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                flat = np.array(one.column("sums")[0].as_py())
+                taus = _tau_grid(one.column("_a")[0].as_py(), one.column("_b")[0].as_py(), candidates)
+                found = mode_path(flat[: size - candidates].reshape(candidates, candidates), flat[size - candidates :], max_modes)
+                out = [(int((x > 0).sum()), x[x > 0].tolist(), taus[x > 0].tolist()) for x in found if (x > 0).any()]
+                if out:
+                    cols = [pa.concat_arrays([one.column(k)] * len(out)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))))], [*keys, "modes", "amplitudes", "taus"])
+
+    tried = cut_lineage(total.mapInArrow(paths, f"{kinds}, modes int, amplitudes array<double>, taus array<double>").dropDuplicates([*keys, "taus"]))
+    model = F.aggregate(F.arrays_zip("amplitudes", "taus"), F.lit(0.0), lambda s, m: s + m["amplitudes"] * F.exp(-F.col("x") / m["taus"]))
+    errors = grid.select(*keys, "x", "y").join(tried, keys).groupBy(*keys, "modes", "amplitudes", "taus").agg(F.avg(F.abs(model - F.col("y"))).alias("mae"))
+    best = errors.groupBy(*keys).agg(F.min_by(F.struct("modes", "mae", "amplitudes", "taus"), F.struct("mae", "modes")).alias("f")).select(*keys, "f.*")
+    weight = F.aggregate(F.arrays_zip("amplitudes", "taus"), F.lit(0.0), lambda s, m: s + m["amplitudes"] * m["taus"])
+    status = F.when(~F.coalesce(good, F.lit(False)), "too_few_points").when(F.col("modes").isNull(), "failed").otherwise("ok")
+    return about.join(best, keys, "left").select(*keys, "modes", weight.alias("amplitude_tau"), F.when(status != "too_few_points", F.col("_v0")).alias("acf0"), "mae", "amplitudes", "taus", status.alias("status"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -186,30 +185,62 @@ def inner_outer(chains: DataFrame, keys: Sequence[str], species: str = "species"
     )
 
 
+def spanning_shifts(links: DataFrame, keys: Sequence[str], shifts: Sequence[str]) -> DataFrame:
+    """(keys, node, root, shifts): a tree over every component, rooted at its smallest node, with the sum of shifts from the root to each node.
+
+    ``links`` has a < b and the shift from a to b. Each round every node hangs on its smallest neighbour, if that is smaller; pointer
+    doubling carries the sums to the tops of these trees; then each tree is one node, and of the links between two
+    trees the one with the smallest original ends stays. A path is walked in the logarithm of its length.
+    """
+    keys, shifts = list(keys), list(shifts)
+    links = cut_lineage(links.select(*keys, "a", "b", F.col("a").alias("_oa"), F.col("b").alias("_ob"), *shifts))
+    total = None
+    while not links.isEmpty():
+        best = F.min(F.struct("a", "_oa", "_ob", *shifts)).alias("_m")
+        tree = links.groupBy(*keys, F.col("b").alias("node")).agg(best).select(*keys, "node", F.col("_m.a").alias("up"), *[F.col(f"_m.{s}").alias(s) for s in shifts])
+        tree = cut_lineage(_doubled(cut_lineage(tree), keys, shifts))
+        here = tree.withColumnRenamed("up", "root")
+        if total is not None:
+            top = here.select(*keys, F.col("node").alias("root"), F.col("root").alias("_root"), *[F.col(s).alias(f"_{s}") for s in shifts])
+            moved = total.join(top, [*keys, "root"], "left").select(*keys, "node", F.coalesce("_root", "root").alias("root"), *[(F.col(s) + F.coalesce(F.col(f"_{s}"), F.lit(0.0))).alias(s) for s in shifts])
+            here = moved.unionByName(here.join(total.select(*keys, "node"), [*keys, "node"], "left_anti"))
+        total = cut_lineage(here)
+        for end, sign in (("a", 1), ("b", -1)):
+            top = tree.select(*keys, F.col("node").alias(end), F.col("up").alias("_up"), *[F.col(s).alias(f"_{s}") for s in shifts])
+            links = links.join(top, [*keys, end], "left").select(*keys, *[F.coalesce("_up", end).alias(end) if c == end else c for c in ("a", "b")], "_oa", "_ob", *[(F.col(s) + sign * F.coalesce(F.col(f"_{s}"), F.lit(0.0))).alias(s) for s in shifts])
+        turned = F.col("a") > F.col("b")
+        links = links.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_oa", "_ob", *[F.when(turned, -F.col(s)).otherwise(F.col(s)).alias(s) for s in shifts])
+        first = F.min(F.struct("_oa", "_ob", *shifts)).alias("_m")
+        links = cut_lineage(links.groupBy(*keys, "a", "b").agg(first).select(*keys, "a", "b", "_m.*"))
+    return total if total is not None else links.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"), *shifts)
+
+
+def _doubled(tree: DataFrame, keys: Sequence[str], shifts: Sequence[str]) -> DataFrame:
+    """Every node's ``up`` at the top of its tree, with the shifts on the way added up."""
+    while True:
+        above = tree.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), *[F.col(s).alias(f"_{s}") for s in shifts])
+        higher = tree.join(above, [*keys, "up"], "left")
+        if higher.filter("_up IS NOT NULL").isEmpty():
+            return tree
+        tree = cut_lineage(higher.select(*keys, "node", F.coalesce("_up", "up").alias("up"), *[(F.col(s) + F.coalesce(F.col(f"_{s}"), F.lit(0.0))).alias(s) for s in shifts]))
+
+
 def unwrapped_groups(groups: DataFrame, edges: DataFrame, positions: DataFrame, keys: Sequence[str], chain: str = "chain_id",
                      pos: Sequence[str] = ("x", "y", "z"), box: Sequence[str] = ("lx", "ly", "lz")) -> DataFrame:
-    """Positions of each group put together across the box: the lowest chain keeps its place,
-    and every other chain follows its lowest already placed neighbour by the nearest image.
+    """Positions of each group put together across the box: the lowest chain keeps its place, and every other chain follows
+    by the nearest images along the links of a tree (``spanning_shifts``). A group that doesn't reach around the box
+    comes out the same along any tree.
     """
-    where = positions.select(*keys, chain, *pos, *box)
-    links = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    steps = links.join(where.select(*keys, F.col(chain).alias("u"), *[F.col(p).alias(f"_a{k}") for k, p in enumerate(pos)]), [*keys, "u"])
-    steps = steps.join(where.select(*keys, F.col(chain).alias("v"), *[F.col(p).alias(f"_b{k}") for k, p in enumerate(pos)], *box), [*keys, "v"])
+    keys = list(keys)
+    where = cut_lineage(positions.select(*keys, chain, *pos, *box))
+    ends = edges.select(*keys, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    steps = ends.join(where.select(*keys, F.col(chain).alias("a"), *[F.col(p).alias(f"_a{k}") for k, p in enumerate(pos)]), [*keys, "a"])
+    steps = steps.join(where.select(*keys, F.col(chain).alias("b"), *[F.col(p).alias(f"_b{k}") for k, p in enumerate(pos)], *box), [*keys, "b"])
     shift = [minimum_image(F.col(f"_b{k}") - F.col(f"_a{k}"), F.col(length)).alias(f"_d{k}") for k, length in enumerate(box)]
-    steps = cut_lineage(steps.select(*keys, "u", "v", *shift))
-    placed = cut_lineage(groups.filter(F.col(chain) == F.col("label")).join(where, [*keys, chain]).select(*keys, F.col(chain).alias("u"), *pos))
-    frontier = placed
-    for depth in count(1):  # ends with the longest path; every round places at least one more chain
-        reach = frontier.join(steps, [*keys, "u"])
-        step = F.min(F.struct("u", *[(F.col(p) + F.col(f"_d{k}")).alias(p) for k, p in enumerate(pos)]))
-        fresh = reach.join(placed.select(*keys, F.col("u").alias("v")), [*keys, "v"], "left_anti").groupBy(*keys, "v").agg(step.alias("s"))
-        frontier = cut_lineage(fresh.select(*keys, F.col("v").alias("u"), *[F.col(f"s.{p}").alias(p) for p in pos]))
-        if frontier.isEmpty():
-            break
-        placed = placed.unionByName(frontier)
-        if depth % 20 == 0:
-            placed = cut_lineage(placed)
-    return placed.withColumnRenamed("u", chain).join(groups.select(*keys, chain, "label"), [*keys, chain])
+    moved = spanning_shifts(steps.select(*keys, "a", "b", *shift), keys, [f"_d{k}" for k in range(len(pos))])
+    rows = groups.select(*keys, chain, "label").join(moved.withColumnRenamed("node", chain), [*keys, chain], "left")
+    origin = where.select(*keys, F.col(chain).alias("label"), *pos)
+    return rows.join(origin, [*keys, "label"]).select(*keys, chain, *[(F.col(p) + F.coalesce(F.col(f"_d{k}"), F.lit(0.0))).alias(p) for k, p in enumerate(pos)], "label")
 
 
 def ragged_frames(rows: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:

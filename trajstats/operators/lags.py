@@ -12,6 +12,7 @@ from trajstats.functions.draws import normal, uniform
 from trajstats.functions.scalars import GREEN_KUBO_BOLTZMANN
 from trajstats.functions.stats import quadrature, sem
 from trajstats.operators import windows
+from trajstats.session import cut_lineage
 
 
 def comoving(com: DataFrame, keys: Sequence[str], t: str, pos: Sequence[str] = ("x", "y", "z"), members: Column | None = None) -> DataFrame:
@@ -187,21 +188,59 @@ def linearised_tau(curve: DataFrame, flat: DataFrame, keys: Sequence[str], t: st
     return fit.select(*keys, (-1 / F.col("slope")).alias("tau"), (slope_se / (F.col("slope") ** 2)).alias("tau_sem"), "r2", "n")
 
 
+def origin_curves(series: DataFrame, keys: Sequence[str], t: str, lengths: Sequence[float], stride: float, lag_step: int, pos: Sequence[str], min_rows: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Displacement curves (keys, length, origin, lag, msd) of the windows [origin, origin + length] every ``stride``, and the windows (keys, length, origin).
+
+    A pair t, t + lag belongs to every window that holds both ends. Pairs are formed once for each lag and added up by cells of one stride: a
+    window is some whole cells and the head of one more, whose size follows from length and lag. So rows are times x lags, whatever
+    the number of origins and lengths.
+    """
+    keys = list(keys)
+    span = series.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+    rel = series.join(span, keys).select(*keys, (F.col(t) - F.col("_t0")).cast("long").alias("_r"), *pos)
+    rel = cut_lineage(rel)
+    cell, inside = F.floor(F.col("_r") / stride).cast("long"), F.col("_r") - F.floor(F.col("_r") / stride) * stride
+
+    def heads(lag: Column, value: Column, how) -> list[Column]:
+        out = []
+        for i, length in enumerate(lengths):
+            room = F.lit(length) - lag
+            out.append(how(F.when(inside <= room - F.floor(room / stride) * stride, value)).alias(f"_h{i}"))
+        return out
+
+    last = F.floor((F.col("_t1") - F.col("_t0") - F.col("length")) / stride + 1e-9).cast("long")
+    listed = span.withColumn("length", F.explode(F.array(*[F.lit(float(x)) for x in lengths]))).filter(last >= 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    number = lambda: F.array_position(F.array(*[F.lit(float(x)) for x in lengths]), F.col("length")) - 1
+    # Rows of each window, from cells as well.
+    zero = F.lit(0)
+    counted = rel.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_full"), *heads(zero, F.lit(1), F.count))
+    reach = listed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / stride).cast("long")))).withColumn("_cell", F.col("_c") + F.col("_k"))
+    part = lambda full, names: F.when(F.col("_k") < F.floor((F.col("length") - F.col("lag")) / stride), F.col(full)).otherwise(F.element_at(F.array(*[F.col(n) for n in names]), (number() + 1).cast("int")))
+    heads_ = [f"_h{i}" for i in range(len(lengths))]
+    held = reach.withColumn("lag", F.lit(0)).join(counted, [*keys, "_cell"]).groupBy(*keys, "length", "_c", "_t0").agg(F.sum(part("_full", heads_)).alias("_m")).filter(F.col("_m") >= min_rows)
+    held = cut_lineage(held.select(*keys, "length", "_c", (F.col("_t0") + F.col("_c") * stride).alias("origin")))
+    top = int(max(lengths))
+    start = rel.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(lag_step)))).select(*keys, "lag", (F.col("_r") + F.col("lag")).alias("_to"), "_r", *[F.col(p).alias(f"_{p}") for p in pos])
+    d2 = sum(((F.col(p) - F.col(f"_{p}")) ** 2 for p in pos), F.lit(0.0))
+    pairs = start.join(rel.select(*keys, F.col("_r").alias("_to"), *pos), [*keys, "_to"])
+    lag = F.col("lag")
+    counts = [c.alias(f"_n{i}") for i, c in enumerate(heads(lag, F.lit(1), F.count))]
+    cells = cut_lineage(pairs.groupBy(*keys, "lag", cell.alias("_cell")).agg(F.sum(d2).alias("_full"), F.count(F.lit(1)).alias("_nfull"), *heads(lag, d2, F.sum), *counts))
+    wide = held.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / stride).cast("long")))).withColumn("_cell", F.col("_c") + F.col("_k"))
+    met = wide.join(cells, [*keys, "_cell"]).filter((lag <= F.col("length")) & (F.col("_k") <= F.floor((F.col("length") - lag) / stride)))
+    total = met.groupBy(*keys, "length", "origin", "lag").agg(F.sum(part("_full", heads_)).alias("_s"), F.sum(part("_nfull", [f"_n{i}" for i in range(len(lengths))])).alias("_n"))
+    return total.filter("_n > 0").select(*keys, "length", "origin", "lag", (F.col("_s") / F.col("_n")).alias("msd")), held.select(*keys, "length", "origin")
+
+
 def origin_resample(series: DataFrame, keys: Sequence[str], t: str, lengths: Sequence[float], stride: float, lag_step: int, pos: Sequence[str], *,
                     min_share: float = 0.70, min_count: int = 3, min_rows: int = 30, **options) -> tuple[DataFrame, DataFrame]:
     """Fit every origin window of every candidate length; pick the shortest reliable length.
 
     Gives the per-length summary with the ``chosen`` flag, and the fits by origin.
     """
-    fits, totals = None, None
-    for length in lengths:
-        win = windows.origin_windows(series, keys, t, length, stride, min_rows)
-        lag_list = F.sequence(F.lit(0), F.lit(int(length)), F.lit(lag_step))
-        curve = displacement_curve(win.select(*keys, "origin", F.col("lag").cast("long").alias("_t"), *pos), [*keys, "origin"], "_t", lag_list, pos)
-        fit = confinement(curve, [*keys, "origin"], **options).select(*keys, "origin", "l", "tau", "d").withColumn("length", F.lit(float(length)))
-        total = win.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total")).withColumn("length", F.lit(float(length)))
-        fits = fit if fits is None else fits.unionByName(fit)
-        totals = total if totals is None else totals.unionByName(total)
+    curves, held = origin_curves(series, keys, t, lengths, stride, lag_step, pos, min_rows)
+    fits = confinement(cut_lineage(curves), [*keys, "length", "origin"], **options).select(*keys, "origin", "l", "tau", "d", "length")
+    totals = held.groupBy(*keys, "length").agg(F.count(F.lit(1)).alias("n_total"))
     good = fits.groupBy(*keys, "length").agg(F.count("l").alias("n_success"))
     summary = totals.join(good, [*keys, "length"], "left").withColumn("n_success", F.coalesce("n_success", F.lit(0)))
     summary = summary.withColumn("success_share", F.col("n_success") / F.col("n_total"))

@@ -254,3 +254,32 @@ def long_to_wide(long: DataFrame, keys: Sequence[str], key: str, names: Sequence
     """Master table: one column per observable and SIG<observable> beside it."""
     out = long.groupBy(*keys).pivot(key, list(names)).agg(F.max(mean).alias("m"), F.max(own_sem).alias("s"))
     return out.select(*keys, *[c for n in names for c in (F.col(f"{n}_m").alias(n), F.col(f"{n}_s").alias(f"SIG{n}"))])
+
+
+def ranked_union(sources: Sequence[DataFrame]) -> DataFrame:
+    """(id, column, value) of several sources: of one id and column the first source with a value counts, within a source the largest value."""
+    rows = None
+    for rank, source in enumerate(sources):
+        part = source.select("id", "column", "value", F.lit(rank).alias("_rank")).filter("value IS NOT NULL")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("id", "column").agg(F.min_by("value", F.struct("_rank", (-F.col("value")).alias("_v"))).alias("value"))
+
+
+def augmented_master(master: DataFrame, sources: Sequence[DataFrame], columns: Sequence[str], classes: DataFrame) -> DataFrame:
+    """``master`` (by id) with ``columns`` and a SIG column for each from ``sources`` (id, column, value).
+
+    Sources count in their order. ``classes`` (id, class_id) names the row of each member's class: where a member has no value of its own,
+    that of its class row is copied, and so is the error. A value without an error gets the error 0; neither gives NULL.
+    """
+    names = [n for c in columns for n in (c, f"SIG{c}")]
+    wide = ranked_union(sources).groupBy("id").pivot("column", names).agg(F.first("value"))
+    own = master.join(wide, "id", "left").join(classes, "id", "left")
+    shared = wide.select(F.col("id").alias("class_id"), *[F.col(n).alias(f"_{n}") for n in names])
+    both = own.join(shared, "class_id", "left")
+    out = {}
+    for c in columns:
+        mine = F.col(c).isNotNull()
+        out[c] = F.coalesce(c, f"_{c}")
+        error = F.when(mine, F.col(f"SIG{c}")).otherwise(F.col(f"_SIG{c}"))
+        out[f"SIG{c}"] = F.when(mine | F.col(f"_{c}").isNotNull(), F.coalesce(error, F.lit(0.0)))
+    return both.select(*master.columns, *[e.alias(n) for n, e in out.items()])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trajstats.functions.draws import normal_sql
-from trajstats.operators import binodal, features as feat, fits, lags, rollups
-from trajstats.plans.lag_plans import _curve, _msd, _segments
+from trajstats.operators import binodal, features as feat, fits, lags, rollups, separable
+from trajstats.plans.lag_plans import COM_SQL, ROLLED_SQL, _curve, _msd, _segments
 from trajstats.plans.registry import query
 from trajstats.plans.series_plans import rounded
-from trajstats.plans.views import CONDITIONS_SQL, condition_orders, table, with_ctes
+from trajstats.plans.space_plans import CENTRE_SQL, _strip_unused, profile_sql
+from trajstats.plans.views import CONDITIONS_SQL, FRAMES_SQL, condition_orders, table, with_ctes
 from trajstats.session import spread
 
 # --- coexistence curves: segments as conditions, years as temperatures ------------------
@@ -190,29 +191,73 @@ def _density(spark, d) -> DataFrame:
     return hist.radial_profile(r, ["species"], "frame", "r", "mass", 10.0, 40, factor=1660.5390666)
 
 
-@query("interface_fit", "F1")
+def _interface_sql(positive: str, normalised: bool) -> str:
+    """Profile rows, both kinds of fit and the choice between them, as CTEs."""
+    scale = "CASE WHEN max(abs(y)) > 0 THEN max(abs(y)) ELSE 1.0::DOUBLE END" if normalised else "1.0::DOUBLE"
+    return f"""pr AS (SELECT species, r_mid AS x, density AS y, sem AS s FROM prof WHERE density IS NOT NULL QUALIFY r_mid > min(r_mid) OVER (PARTITION BY species)),
+ab AS (SELECT species, count(*) AS n_, min(x) AS a_, max(x) AS b_, {scale} AS sc, {"FALSE" if normalised else "count(*) FILTER (s > 0) = count(*)"} AS weighted, greatest(1e-3::DOUBLE * coalesce(max(s), 0), 1e-3::DOUBLE * max(abs(y))) AS fl FROM pr GROUP BY 1),
+ro AS (SELECT species, kind, x, y / sc AS y, CASE WHEN kind = 'bounded' AND weighted THEN pow(greatest(s, fl), -2) ELSE 1.0::DOUBLE END AS w FROM pr JOIN ab USING (species), (VALUES ('bounded'), ('unweighted')) k(kind) WHERE n_ >= 5),
+dm AS (SELECT species, kind, kind = 'bounded' AND {positive} AS _positive, a_ AS _lo_r_fit, b_ AS _hi_r_fit, ln((b_ - a_) / (4 * n_)) AS _lo_w_fit, ln(2 * (b_ - a_)) AS _hi_w_fit FROM ab, (VALUES ('bounded'), ('unweighted')) k(kind) WHERE n_ >= 5),
+{separable.separable_sql("ro", "dm", "species, kind", separable.INTERFACE, "t")},
+er AS (SELECT species, kind, a, b, r_fit, w_fit, sqrt(greatest(c11 * u, 0)) AS se_a, sqrt(greatest(c00 * u, 0)) AS se_b, sqrt(greatest(c22 * u, 0)) AS se_r, sqrt(greatest(c33 * u, 0)) AS se_w, c01 * u AS cov_ab, sqrt(plain / n) AS rmse FROM (SELECT *, sse / greatest(n - 4, 1) AS u FROM tfit)),
+bs AS (SELECT * FROM er QUALIFY row_number() OVER (PARTITION BY species ORDER BY CASE WHEN kind = 'unweighted' AND se_a IS NOT NULL AND se_b IS NOT NULL AND se_r IS NOT NULL AND se_w IS NOT NULL THEN 2 WHEN kind = 'bounded' THEN 1 ELSE 0 END DESC) = 1),
+fin AS (SELECT ab.species, bs.* EXCLUDE (species), CASE WHEN n_ < 5 THEN 'too_few_points' WHEN kind IS NULL THEN 'failed' WHEN kind = 'bounded' AND weighted THEN 'weighted' ELSE kind END AS status FROM ab LEFT JOIN bs USING (species))"""
+
+
+def _digits(c: str) -> str:
+    """Six significant digits, which both engines can agree on."""
+    return f"CASE WHEN {c} = 0 THEN 0.0E0 ELSE round({c} / pow(10.0E0, floor(log10(abs({c})))), 5) * pow(10.0E0, floor(log10(abs({c})))) END AS {c}"
+
+
+_INTERFACE = ["a", "b", "r_fit", "w_fit", "se_a", "se_b", "se_r", "se_w", "cov_ab", "rmse"]
+DENSITY_SQL = (FRAMES_SQL, CENTRE_SQL, """
+rr AS (SELECT frame, species, mass, sqrt(pow(xu - cx, 2) + pow(yu - cy, 2) + pow(zu - cz, 2)) AS r FROM fr JOIN ce USING (frame, species))""", _strip_unused(profile_sql("rr", "species", "mass", 10.0, 40, "1660.5390666::DOUBLE")))
+
+
+@query("interface_fit", "F1", with_ctes(*DENSITY_SQL, _interface_sql("TRUE", False), select=f"SELECT species, {', '.join(map(_digits, _INTERFACE))}, status FROM fin"))
 def interface_fit(spark, d):
-    return fits.interface_fit(_density(spark, d), ["species"])
+    return fits.interface_fit(_density(spark, d), ["species"]).selectExpr("species", *map(_digits, _INTERFACE), "status")
 
 
-@query("interface_fit_adaptive", "F2")
+@query("interface_fit_adaptive", "F2", with_ctes(*DENSITY_SQL, _interface_sql("FALSE", True), select=f"SELECT species, {', '.join(map(_digits, _INTERFACE))}, status FROM fin"))
 def interface_fit_adaptive(spark, d):
-    return fits.interface_fit(_density(spark, d), ["species"], start="data", normalised=True)
+    return fits.interface_fit(_density(spark, d), ["species"], start="data", normalised=True).selectExpr("species", *map(_digits, _INTERFACE), "status")
 
 
-@query("confined_fit", "F3")
+def _confined_sql(k: str, rows: str, min_points: int, r2_min: str) -> str:
+    """Fits of the CTE ``rows`` (keys, lag, msd), as the CTE ``cfit``."""
+    return f"""cro AS (SELECT {k}, lag::DOUBLE AS x, msd AS y, 1.0::DOUBLE AS w FROM {rows} WHERE lag > 0 AND msd > 0),
+ab AS (SELECT {k}, count(*) AS n_, max(x) AS b_, var_pop(y) * count(*) AS ss FROM cro GROUP BY {k}),
+dm AS (SELECT {k}, TRUE AS _positive, 0.0::DOUBLE AS _lo_tau, ln(greatest(5 * b_, 2.0::DOUBLE)) AS _hi_tau FROM ab WHERE n_ >= {min_points}),
+{separable.separable_sql("cro", "dm", k, separable.CONFINED, "t")},
+st AS (SELECT ks.*, f.* EXCLUDE ({k}), 1 - sse / greatest(ss, 1e-300) AS r2, sse / greatest(n - 2, 1) AS u, CASE WHEN coalesce(n_, 0) < {min_points} THEN 'too_few_points' WHEN coalesce(l2, 0) <= 0 THEN 'failed' WHEN 1 - sse / greatest(ss, 1e-300) < {r2_min} THEN 'poor_fit' ELSE 'ok' END AS status
+  FROM (SELECT DISTINCT {k} FROM {rows}) ks LEFT JOIN ab USING ({k}) LEFT JOIN tfit f USING ({k})),
+cfit AS (SELECT {k}, CASE WHEN status = 'ok' THEN sqrt(l2) END AS l, CASE WHEN status = 'ok' THEN sqrt(greatest(c00 * u, 0)) / (2 * sqrt(l2)) END AS l_sem, CASE WHEN status = 'ok' THEN tau END AS tau, CASE WHEN status = 'ok' THEN sqrt(greatest(c11 * u, 0)) END AS tau_sem,
+  CASE WHEN status IN ('ok', 'poor_fit') THEN r2 END AS r2, status FROM st)"""
+
+
+_CONFINED = ["l", "l_sem", "tau", "tau_sem", "r2"]
+
+
+@query("confined_fit", "F3", with_ctes(ROLLED_SQL, _confined_sql("system", "cv", 15, "0.0"), select=f"SELECT system, {', '.join(map(_digits, _CONFINED))}, status FROM cfit"))
 def confined_fit(spark, d):
-    return fits.confined_fit(_curve(spark, d), ["system"], skip=0.0, r2_min=0.0)
+    return fits.confined_fit(_curve(spark, d), ["system"], skip=0.0, r2_min=0.0).selectExpr("system", *map(_digits, _CONFINED), "status")
+
+
+_SUMMARY = ["l_mean", "l_median", "tau_mean", "tau_median"]
 
 
-@query("per_chain_confinement", "B30 F3")
+@query("per_chain_confinement", "B30 F3", with_ctes(FRAMES_SQL, COM_SQL, _confined_sql("species, chain_id", "ms", 10, "-1e9"), select=f"""
+SELECT species, n_fit, n_chains, {', '.join(map(_digits, _SUMMARY))} FROM (SELECT species, count(l) AS n_fit, count(*) AS n_chains, CASE WHEN count(l) >= 5 THEN avg(l) END AS l_mean, CASE WHEN count(l) >= 5 THEN median(l) END AS l_median,
+  CASE WHEN count(l) >= 5 THEN avg(tau) END AS tau_mean, CASE WHEN count(l) >= 5 THEN median(tau) END AS tau_median FROM cfit GROUP BY 1)"""))
 def per_chain_confinement(spark, d):
     per_chain = fits.confined_fit(_msd(spark, d), ["species", "chain_id"], skip=0.0, r2_min=-1e9, min_points=10)
-    return fits.per_chain_summary(per_chain, ["species"])
+    return fits.per_chain_summary(per_chain, ["species"]).selectExpr("species", "n_fit", "n_chains", *map(_digits, _SUMMARY))
 
 
 @query("maxwell_fit", "F4")
 def maxwell_fit(spark, d):
+    """No SQL (an active-set loop); a test holds the loop against all subsets."""
     acf = lags.stress_correlation(_segments(spark, d), ["system"])
     return fits.maxwell_fit(acf, ["system", "segment"], points=1000, max_modes=10)
 

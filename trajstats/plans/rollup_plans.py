@@ -402,11 +402,35 @@ def master_table(spark, d):
     return rounded(out, *[c for c in out.columns if c != "system"])
 
 
-@query("augmented_master", "J13", with_ctes(WIDE_SQL, """
-src AS (SELECT CAST(s_nationkey AS VARCHAR) AS id, avg(s_acctbal) AS extra FROM supplier GROUP BY 1 UNION ALL SELECT 'EUROPE', 1.0)""", select="SELECT wd.id, class, round(balance, 6) AS balance, round(extra, 6) AS extra, 0.0::DOUBLE AS \"SIGextra\" FROM wd LEFT JOIN src USING (id)"))
+@query("augmented_master", "J13", """
+WITH ms AS (SELECT c_custkey::VARCHAR AS id, c_acctbal AS balance, 'seg_' || c_mktsegment AS class_id FROM customer UNION ALL SELECT DISTINCT 'seg_' || c_mktsegment, NULL::DOUBLE, NULL FROM customer),
+s1 AS (SELECT o_custkey::VARCHAR AS id, 'price' AS col, avg(o_totalprice) AS value, 0 AS r FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT o_custkey::VARCHAR, 'SIGprice', stddev_samp(o_totalprice) / sqrt(count(*)), 0 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+s2 AS (SELECT o_custkey::VARCHAR AS id, 'price' AS col, max(o_totalprice) AS value, 1 AS r FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1 UNION ALL SELECT o_custkey::VARCHAR, 'orders', count(*)::DOUBLE, 1 FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1),
+s3 AS (SELECT 'seg_' || c_mktsegment AS id, 'price' AS col, avg(o_totalprice) AS value, 2 AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT 'seg_' || c_mktsegment, 'SIGprice', stddev_samp(o_totalprice) / sqrt(count(*)), 2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT 'seg_' || c_mktsegment, 'orders', count(*)::DOUBLE, 2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+un AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, col ORDER BY r, value DESC) = 1),
+wd AS (SELECT id, max(value) FILTER (col = 'price') AS p, max(value) FILTER (col = 'SIGprice') AS sp, max(value) FILTER (col = 'orders') AS o FROM un GROUP BY 1)
+SELECT ms.id, round(balance, 6) AS balance, round(coalesce(m.p, c.p), 6) AS price, round(CASE WHEN m.p IS NOT NULL THEN coalesce(m.sp, 0) WHEN c.p IS NOT NULL THEN coalesce(c.sp, 0) END, 6) AS "SIGprice", coalesce(m.o, c.o) AS orders, CASE WHEN m.o IS NOT NULL OR c.o IS NOT NULL THEN 0.0::DOUBLE END AS "SIGorders"
+FROM ms LEFT JOIN wd m ON m.id = ms.id LEFT JOIN wd c ON c.id = ms.class_id""")
 def augmented_master(spark, d):
-    extra = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("id")).agg(F.avg("s_acctbal").alias("extra"))
-    return rounded(_wide(spark, d).drop("customers").join(extra, "id", "left").withColumn("SIGextra", F.lit(0.0)), "balance", "extra", places=6)
+    """Customers and their segments as class rows; prices and counts from three sources that disagree."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    key, segment = F.col("o_custkey").cast("string").alias("id"), F.concat(F.lit("seg_"), "c_mktsegment").alias("id")
+    stats = {"price": F.avg("o_totalprice"), "SIGprice": F.stddev_samp("o_totalprice") / F.sqrt(F.count("o_totalprice")), "orders": F.count("o_totalprice").cast("double"), "top": F.max("o_totalprice")}
+
+    def long(rows: DataFrame, id_, **columns: str) -> DataFrame:
+        found = rows.groupBy(id_).agg(*[stats[s].alias(n) for n, s in columns.items()])
+        return found.unpivot("id", list(columns), "column", "value")
+
+    joined = o.join(c, o.o_custkey == c.c_custkey)
+    sources = [
+        long(o.filter("o_orderstatus = 'F'"), key, price="price", SIGprice="SIGprice"),
+        long(o.filter("o_custkey % 3 = 0"), key, price="top").unionByName(long(o.filter("o_custkey % 2 = 0"), key, orders="orders")),
+        long(joined, segment, price="price", SIGprice="SIGprice", orders="orders"),
+    ]
+    members = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("balance"))
+    master = members.unionByName(c.select(segment).distinct().withColumn("balance", F.lit(None).cast("double")))
+    classes = c.select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("seg_"), "c_mktsegment").alias("class_id"))
+    return rounded(rollups.augmented_master(master, sources, ["price", "orders"], classes), "balance", "price", "SIGprice", places=6)
 
 
 # --- ordered operators -----------------------------------------------------------------

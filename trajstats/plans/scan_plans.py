@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from trajstats.functions import scalars
@@ -9,8 +11,8 @@ from trajstats.operators import contacts, mixing, phase, sequences
 from trajstats.plans.registry import query
 from trajstats.plans.series_plans import rounded
 from trajstats.plans.views import CONDITIONS_SQL, FRAMES_SQL, condition_orders, event_time, frames, table, with_ctes
-from trajstats.session import small_side, spread
-from trajstats.sources import dumps
+from trajstats.session import ensure_checkpoint_dir, small_side, spread
+from trajstats.sources import dumps, summaries
 
 
 @query("frame_slice", "S1 P24", with_ctes(FRAMES_SQL, select="SELECT frame, bead_id, round(x, 6) AS x FROM fr WHERE frame >= 3 AND frame < 18 AND (frame - 3) % 4 = 0"))
@@ -102,6 +104,56 @@ def alias_columns(spark, d):
     return o.select("o_orderkey", F.round(value, 4).alias("c_sg"))
 
 
+SUMMARY_SQL = CONDITIONS_SQL + """,
+cl AS (SELECT condition, temperature_k, unit, floor(avg(value))::BIGINT AS dense, count(*) AS n, temperature_k % 10 = 5 AS tidy FROM co GROUP BY 1, 2, 3)"""
+
+
+def _summary_lines(spark, d) -> DataFrame:
+    """(dir, kind, line): a folder for each condition and temperature with a tidy or a wide file of its units, some lines malformed."""
+    cells = condition_orders(spark, d).groupBy("condition", "temperature_k", "unit").agg(F.floor(F.avg("value")).cast("long").alias("dense"), F.count(F.lit(1)).alias("n"))
+    tidy = F.col("temperature_k") % 10 == 5
+    text = lambda *parts: F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    u, dense, n = F.col("unit"), F.col("dense"), F.col("n")
+    broken = F.col("unit") % 11 == 3
+    tidy_lines = F.array(F.when(broken, text(u, "dense")).otherwise(text(u, "C_Dense", dense)), text(u, "dilute", n))
+    wide_lines = F.array(F.when(broken, text(u, "x", n, F.lit(""), F.lit(""))).when(u % 2 == 0, text(u, dense, n, F.lit(""), F.lit(""))).otherwise(text(u, F.lit(""), n, dense, F.lit(0.5))))
+    where = F.concat(F.col("condition"), F.when(F.col("unit") % 2 == 0, "/corr").otherwise("/plain"), F.lit("/TEMP_"), F.col("temperature_k").cast("string"))
+    body = cells.select(where.alias("dir"), tidy.alias("tidy"), F.explode(F.when(tidy, tidy_lines).otherwise(wide_lines)).alias("line"))
+    head = cells.select(where.alias("dir"), tidy.alias("tidy")).distinct().select("dir", "tidy", F.when(F.col("tidy"), "id,observable,value").otherwise("System, dense , c_dilute,beta,alpha").alias("line"))
+    return body.unionByName(head).select(F.replace("dir", F.lit("/"), F.lit("_")).alias("dir"), "line")
+
+
+@query("summary_files", "S8 S9", with_ctes(SUMMARY_SQL, """
+rw AS (SELECT *, unit % 11 = 3 AS broken, CASE WHEN unit % 2 = 0 THEN 'correlated' ELSE 'legacy' END AS mode FROM cl),
+ob AS (SELECT 'tidy' AS kind, condition, temperature_k, mode, unit, 'c_sg' AS observable, dense::DOUBLE AS value FROM rw WHERE tidy AND NOT broken UNION ALL SELECT 'tidy', condition, temperature_k, mode, unit, 'c_dil', n::DOUBLE FROM rw WHERE tidy
+  UNION ALL SELECT 'wide', condition, temperature_k, mode, unit, 'c_sg', CASE WHEN unit % 2 = 0 THEN dense ELSE dense + 0.5::DOUBLE END FROM rw WHERE NOT tidy AND NOT broken UNION ALL SELECT 'wide', condition, temperature_k, mode, unit, 'c_dil', n::DOUBLE FROM rw WHERE NOT tidy),
+bd AS (SELECT CASE WHEN tidy THEN 'number of fields' ELSE 'not a number' END AS kind, condition, temperature_k, mode, count(*)::DOUBLE AS value FROM rw WHERE broken GROUP BY ALL)""", select="""
+SELECT kind, condition, temperature_k, mode, unit::VARCHAR AS id, observable, value FROM ob UNION ALL SELECT kind, condition, temperature_k, mode, NULL, 'malformed', value FROM bd"""))
+def summary_files(spark, d):
+    """Tables written as many small files of two kinds and read back as one; malformed lines are counted by reason."""
+    folder = f"{ensure_checkpoint_dir(spark)}/trajstats-summaries-{uuid.uuid4().hex}"
+    _summary_lines(spark, d).repartition("dir").write.partitionBy("dir").text(folder)
+    good, bad = summaries.read_summaries(spark, folder, {"c_sg": ["dense", "c_dense"], "c_dil": ["dilute", "c_dilute"]}, {"c_sg": ("beta", "alpha")})
+    condition = F.regexp_extract("file", "dir=([A-Z%0-9]+)_", 1)
+    counted = bad.groupBy("file", "reason").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.col("reason").alias("kind"), condition.alias("condition"), dumps.path_temperature(F.col("file")).alias("temperature_k"), dumps.path_mode(F.col("file")).alias("mode"), F.lit(None).cast("string").alias("id"), F.lit("malformed").alias("observable"), "value")
+    return good.select("kind", condition.alias("condition"), "temperature_k", "mode", "id", "observable", "value").unionByName(counted)
+
+
+@query("partitioned_sink", "S13", with_ctes(CONDITIONS_SQL, select="""
+SELECT temperature_k, condition, unit, round(CASE WHEN temperature_k = 300 THEN 2 ELSE 1 END * m, 6) AS mean, n FROM (SELECT temperature_k, condition, unit, avg(value) AS m, count(*) AS n FROM co WHERE temperature_k >= 295 GROUP BY 1, 2, 3)"""))
+def partitioned_sink(spark, d):
+    """Written by temperature, one temperature replaced, that written once more; read back from 295 K on."""
+    path = f"{ensure_checkpoint_dir(spark)}/trajstats-sink-{uuid.uuid4().hex}"
+    means = condition_orders(spark, d).groupBy("temperature_k", "condition", "unit").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    summaries.replace_partitions(means, path, ["temperature_k"])
+    doubled = means.filter("temperature_k = 300").withColumn("mean", 2 * F.col("mean"))
+    for _ in range(2):
+        summaries.replace_partitions(doubled, path, ["temperature_k"])
+    out = spark.read.parquet(path).filter("temperature_k >= 295")
+    return rounded(out.select(F.col("temperature_k").cast("int").alias("temperature_k"), "condition", "unit", "mean", "n"), "mean", places=6)
+
+
 IDS_SQL = "CASE c_custkey % 8 WHEN 0 THEN 'sg_X' WHEN 1 THEN 'D' || c_custkey WHEN 2 THEN 'ND' || c_custkey WHEN 3 THEN 'DSM_AVG' WHEN 4 THEN 'NDSM' WHEN 5 THEN 'dsm_' || c_name WHEN 6 THEN 'ndsm_x' ELSE 'other' END"
 
 

@@ -30,7 +30,7 @@ def _pos(spark, d):
 def _sizes(spark, d):
     pos = _pos(spark, d)
     pl = blocks.plateau_block(blocks.superblock_summary(blocks.superblock_offsets(pos, KEYS), KEYS), KEYS)
-    return blocks.recommended_block(pl, blocks.inefficiency(blocks.autocorrelation(pos, KEYS), KEYS), KEYS)
+    return blocks.recommended_block(pl, blocks.series_inefficiency(pos, KEYS), KEYS)
 
 
 @query("corrected_observables", "M13 W1 W2 B1 B2 B3 B4 B5 B10 B13", with_ctes(*FULL, select="""
@@ -100,14 +100,14 @@ def autocorrelation(spark, d):
 @query("statistical_inefficiency", "B7", with_ctes(*POS, q.acf_sql("win", K), q.g_sql(K), select="""
 SELECT system, observable_key, n, round(g, 8) AS g, round((g - 1) / 2, 8) AS tau, round(n / g, 8) AS n_eff FROM gg"""))
 def statistical_inefficiency(spark, d):
-    return rounded(blocks.inefficiency(blocks.autocorrelation(_pos(spark, d), KEYS), KEYS), "g", "tau", "n_eff")
+    return rounded(blocks.series_inefficiency(_pos(spark, d), KEYS), "g", "tau", "n_eff")
 
 
 @query("decorrelated_subsample", "B8", with_ctes(*POS, q.acf_sql("win", K), q.g_sql(K), select="""
 SELECT system, observable_key, idx, round(value, 8) AS value FROM win JOIN gg USING (system, observable_key) WHERE i % CAST(ceil(g) AS BIGINT) = 0"""))
 def decorrelated_subsample(spark, d):
     pos = _pos(spark, d)
-    g = blocks.inefficiency(blocks.autocorrelation(pos, KEYS), KEYS)
+    g = blocks.series_inefficiency(pos, KEYS)
     return rounded(blocks.decorrelated(pos, g, KEYS).select(*KEYS, "idx", "value"), "value")
 
 

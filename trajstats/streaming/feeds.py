@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trajstats.functions.stats import finite, sem
-from trajstats.operators.groups import largest_groups, successors
-from trajstats.session import cut_lineage
 from trajstats.sources.dumps import stride
 
 
@@ -21,103 +21,100 @@ def windowed_mean(stream: DataFrame, time: str, keys: Sequence[str], value: str,
     """Mean, sd, SEM and count per tumbling window, for append mode.
 
     State holds the running moments per open window and key, not rows. Rows later than
-    ``delay`` behind the newest one are dropped.
+    ``delay`` behind the newest one are dropped. Windows close as time goes on, the last ones by the mark of ``with_end``.
     """
-    return _windows(stream.withWatermark(time, delay), time, keys, value, width)
-
-
-def _windows(rows: DataFrame, time: str, keys: Sequence[str], value: str, width: str) -> DataFrame:
     v = finite(F.col(value).cast("double"))
-    out = rows.groupBy(F.window(time, width).alias("_w"), *keys).agg(
+    out = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("_w"), *keys).agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), sem(v).alias("sem"), F.count(v).alias("n")
     )
-    return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "mean", "sd", "sem", "n")
+    return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "mean", "sd", "sem", "n").filter(F.col("window_end") < F.lit(END_OF_FEED).cast("timestamp"))
 
 
-def open_windows(rows: DataFrame, time: str, keys: Sequence[str], value: str, width: str, delay: str) -> DataFrame:
-    """The windows that a bounded feed leaves open at its end: those that reach past the newest row less ``delay``.
+#: Time of the mark that ends a feed, later than any row; pandas counts nanoseconds up to 2262.
+END_OF_FEED = "2200-01-01 00:00:00"
 
-    With what ``windowed_mean`` gave out, they make the whole answer. Only rows of the last windows are read.
-    """
-    newest = rows.agg(F.max(time).alias("_newest"))  # one row
-    mark = F.col("_newest") - F.expr(f"INTERVAL {delay}")
-    tail = rows.crossJoin(F.broadcast(newest)).filter(F.col(time) > mark - F.expr(f"INTERVAL {width}"))
-    late = _windows(tail, time, keys, value, width).crossJoin(F.broadcast(newest))
-    return late.filter(F.col("window_end") > mark).drop("_newest")
-
-
-class GroupTracker:
-    """Follows one group per system through a feed of (system, frame, chain_id, label) rows.
-
-    ``foreachBatch`` target. The state between batches is a table: the members of the last
-    picked frame, and the newest frame of each system, which may still be incomplete and
-    waits for the next batch. Frames at or before the last pick are late and dropped. Each
-    batch reads the state its predecessor wrote and writes under its own batch number, so
-    a repeated batch gives the same result. The work of a batch is the batch operator: a
-    map of best matches and its path by doubling, without one task per system.
+
+def with_end(stream: DataFrame, time: str, marks: str) -> DataFrame:
+    """The feed and its marks, files in the folder ``marks``: a mark is a row at ``END_OF_FEED`` without other values, which moves the watermark past all open windows and timers."""
+    spark = stream.sparkSession
+    ends = spark.readStream.schema("ended boolean").parquet(marks)
+    return stream.unionByName(ends.select(F.lit(END_OF_FEED).cast("timestamp").alias(time)), allowMissingColumns=True)
+
+
+def end_feed(spark: SparkSession, marks: str) -> None:
+    """Write the mark; the next run of a query over ``with_end`` closes what is open."""
+    spark.range(1).select(F.lit(True).alias("ended")).write.mode("append").parquet(marks)
+
+
+def make_marks(spark: SparkSession, marks: str) -> None:
+    """The folder of marks, still without one."""
+    spark.range(0).select(F.lit(True).alias("ended")).write.mode("append").parquet(marks)
+
+
+class _Follow(StatefulProcessor):
+    """Group tracking of one system: the members of the last picked group, and frames that may still be incomplete.
+
+    A timer for each frame fires when the watermark has passed it. Frames are then picked in order, each by the group before it.
     """
 
-    def __init__(self, folder: str, keys: Sequence[str] = ("system",), frame: str = "frame", chain: str = "chain_id"):
-        self.folder, self.keys, self.frame, self.chain = folder, list(keys), frame, chain
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark, keys, frame = batch.sparkSession, self.keys, self.frame
-        cols = [*keys, frame, self.chain, "label"]
-        rows = batch.select(*cols, F.lit(False).alias("picked"))
-        before = self._state(spark, batch_id - 1)
-        if before is not None:
-            done = before.filter("picked").groupBy(*keys).agg(F.max(frame).alias("_done"))
-            rows = rows.join(done, keys, "left").filter(F.col("_done").isNull() | (F.col(frame) > F.col("_done"))).drop("_done").unionByName(before)
-        self._advance(cut_lineage(rows), batch_id)
-
-    def finish(self, spark: SparkSession) -> None:
-        """End of the feed: the held newest frames are complete, so follow the path through them too."""
-        last = self._last(spark)
-        if last is not None:
-            self._advance(cut_lineage(self._state(spark, last)), last + 1, final=True)
-
-    def _last(self, spark: SparkSession) -> int | None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return None
-        return max((int(f.getPath().getName().split("=")[1]) for f in files.listStatus(folder) if "=" in f.getPath().getName()), default=None)
-
-    def _advance(self, rows: DataFrame, batch_id: int, final: bool = False) -> None:
-        keys, frame, cols = self.keys, self.frame, [*self.keys, self.frame, self.chain, "label"]
-        newest = rows.groupBy(*keys).agg(F.max(frame).alias("_new"))
-        at_end = F.lit(False) if final else F.col(frame) == F.col("_new")
-        held = rows.join(newest, keys).filter(at_end).drop("_new")
-        ready = rows.join(newest, keys).filter(~at_end).drop("_new")
-        tracked = self._follow(cut_lineage(ready))
-        seen = rows.filter("picked").select(*keys, frame).distinct()
-        tracked.join(seen, [*keys, frame], "left_anti").write.mode("overwrite").parquet(f"{self.folder}/tracked/batch={batch_id}")
-        last = tracked.groupBy(*keys).agg(F.max(frame).alias(frame), F.max_by("label", frame).alias("label"))
-        members = ready.drop("picked").join(last, [*keys, frame, "label"]).select(*cols, F.lit(True).alias("picked"))
-        members.unionByName(held.filter("NOT picked").select(*cols, "picked")).write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
-
-    def _state(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        if batch_id < 0:
-            return None
-        return spark.read.parquet(f"{self.folder}/state/batch={batch_id}")
-
-    def _follow(self, rows: DataFrame) -> DataFrame:
-        """Path through the ready frames, from the picked frame where there is one."""
-        keys, frame = self.keys, self.frame
-        from pyspark.sql import Window as W
-
-        numbered = rows.select(*keys, frame).distinct().withColumn("t", F.row_number().over(W.partitionBy(*keys).orderBy(frame)) - 1)
-        g = cut_lineage(rows.join(numbered, [*keys, frame]).select(*keys, "t", self.chain, "label", "picked"))
-        jump = cut_lineage(successors(g, keys, "t", self.chain))
-        path = cut_lineage(largest_groups(g.filter("t = 0"), [*keys, "t"]).select(*keys, "t", "label"))
-        span, longest = 1, numbered.agg(F.max("t")).first()[0] or 0
-        while span <= longest:
-            ahead = path.join(jump, [*keys, "t", "label"]).select(*keys, (F.col("t") + span).alias("t"), F.col("next_label").alias("label"))
-            path = cut_lineage(path.unionByName(ahead))
-            hop = jump.select(*keys, (F.col("t") - span).alias("t"), F.col("label").alias("next_label"), F.col("next_label").alias("far"))
-            jump = cut_lineage(jump.join(hop, [*keys, "t", "next_label"]).select(*keys, "t", "label", F.col("far").alias("next_label")))
-            span *= 2
-        return cut_lineage(path.join(numbered, [*keys, "t"]).select(*keys, frame, "label"))
-
-    def result(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.folder}/tracked").parquet(f"{self.folder}/tracked").drop("batch")
+    def __init__(self, time: str):
+        self.time = time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long, members array<long>")
+        self.waiting = handle.getMapState("waiting", "ms long", "frame long, chains array<long>, labels array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done = self.last.get()[0] if self.last.exists() else None
+        new: dict[int, tuple[int, list, list]] = {}
+        for part in rows:
+            part = part[part["chain"].notna()]
+            for at, group in part.groupby(self.time):
+                ms = int(at.timestamp() * 1000)
+                if done is None or ms > done:
+                    _, chains, labels = new.setdefault(ms, (int(group["frame"].iloc[0]), [], []))
+                    chains += group["chain"].astype(int).tolist()
+                    labels += group["label"].astype(int).tolist()
+        for ms, (frame, chains, labels) in new.items():
+            if self.waiting.containsKey((ms,)):
+                _, old_chains, old_labels = self.waiting.getValue((ms,))
+                chains, labels = list(old_chains) + chains, list(old_labels) + labels
+            else:
+                self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), (frame, chains, labels))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for ms in sorted(k[0] for k in self.waiting.keys() if k[0] <= upto):
+            frame, chains, labels = self.waiting.getValue((ms,))
+            self.waiting.removeKey((ms,))
+            groups: dict[int, set] = {}
+            for c, g in zip(chains, labels):
+                groups.setdefault(g, set()).add(c)
+            before = set(self.last.get()[1]) if self.last.exists() else set()
+            label = max(groups, key=lambda g: closeness(before, groups[g], g))
+            self.last.update((ms, sorted(groups[label])))
+            out.append((frame, label))
+        if out:
+            yield pd.DataFrame({"system": [key[0]] * len(out), "frame": [f for f, _ in out], "label": [g for _, g in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def closeness(before: set, group: set, label: int) -> tuple:
+    """Largest overlap with the last pick, then Jaccard index, closest size, size, lowest member and label."""
+    shared = len(before & group)
+    union = len(before | group)
+    return shared, shared / union if before else 0.0, -abs(len(group) - len(before)) if before else 0, len(group), -min(group), -label
+
+
+def followed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """(system, frame, label): one group followed through a feed of (system string, frame long, chain long, label long) rows.
+
+    ``time`` is the event time of a frame, after 1970. Frames are picked in order once the watermark, ``delay`` behind the newest row, has
+    passed them; rows of frames that were picked before are late and dropped. State is keyed by system.
+    """
+    return stream.withWatermark(time, delay).groupBy("system").transformWithStateInPandas(_Follow(time), "system string, frame long, label long", "append", "EventTime")
