@@ -34,7 +34,6 @@ one unknown word; other columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -476,22 +475,20 @@ def _dealt(df: DataFrame, parts: int) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark remove the files of shuffles that nothing refers to any more; it does so after a collection on the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
-def _row_by_row(spark: SparkSession) -> Iterator[None]:
-    """Rows of buckets are large: each is an Arrow batch of its own, so a task holds one at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session while steps are written: shuffle files go as soon as a step is done, and rows of buckets, which are large,
+    are Arrow batches of their own, so that a task holds one at a time.
+    """
+    names = {"cleanup": "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "rows": "spark.sql.execution.arrow.maxRecordsPerBatch"}
+    before = {names[k]: spark.conf.get(names[k]) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, v in before.items():
+            spark.conf.set(name, v)
 
 
 def _joined(rows: DataFrame, shares: DataFrame, owners: int, parts: int, group: int) -> DataFrame:
@@ -627,8 +624,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(4, -(-size // bucket_bytes))
     large = _large_words(docs, buckets)
     files = -(-buckets // BUCKETS_A_FILE)
-    table, name = _dealt(docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type)).repartition(files, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)), files)
-    _release(spark)
+    with _settings(spark, cleanup="true"):
+        table, name = _dealt(docs.mapInArrow(_pack(large, buckets), _BLOB.format(id=id_type)).repartition(files, "bucket").mapInArrow(_gather(large), _TABLE.format(id=id_type)), files)
     rows = table.filter("bucket >= 0")
     first = _summed(rows.select("totals"))
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -642,10 +639,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held, contexts = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("contexts") / 8)).first()
     parts = max(1, round(contexts / held / share_contexts))
     shares = rows.select("bucket", "contexts", "pair_context", "pair_count").mapInArrow(_first_shares(parts), _SHARES)
-    with _row_by_row(spark):
+    with _settings(spark, cleanup="true", rows="1"):
         sweeps = written(_joined(rows.select("bucket", *_PAIRS), shares, buckets, parts, group).mapInArrow(_sweep(totals.packed(), large, parts), f"{_SHARES}, totals binary"))
-    del shares
-    _release(spark)
     swept = Totals.unpacked(_summed(sweeps.filter("part is null").select("totals")))
     shared = seat(swept.large_tables.astype(np.int64), np.full(len(large), (S0 + D0 * totals.root_tables) / (totals.words + 1)), D0, np.random.default_rng([11, 2]))
     totals.large_tables, totals.tables, totals.root_tables = swept.large_tables, swept.tables, swept.root_tables + float(shared.sum())
@@ -654,7 +649,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sums = scored.mapInArrow(_score(totals.packed(), large), "unit long, docs binary, base binary, score binary, known binary")
     heads = table.filter("bucket < 0").select("unit", "tokens", "held", "ids")
     both = sums.unionByName(heads, allowMissingColumns=True).repartition(files, "unit")
-    with _row_by_row(spark):
+    with _settings(spark, cleanup="true", rows="1"):
         scores = written(both.mapInArrow(_by_document(totals.packed(), id_type), schema))
     spark.sql(f"DROP TABLE {name}")
     return scores
