@@ -31,6 +31,7 @@ def test_windows_close_inside_the_stream(spark, tmp_path):
 def test_tracking_keeps_its_state(spark, tmp_path):
     folder, schema = str(tmp_path), "system string, frame long, chain long, label long"
     feeds.make_marks(spark, f"{folder}/marks")
+    (tmp_path / "in").mkdir()
     frame = lambda f, *sets, s="x": [(s, f, c, min(g)) for g in sets for c in g]
     stream = spark.readStream.schema(schema).parquet(f"{folder}/in").withColumn("at", F.timestamp_seconds(F.col("frame") + 1))
     steps = [

@@ -248,7 +248,7 @@ def leave_one_out(units: DataFrame, features: Sequence[str], label: str, id_col:
     return rows.crossJoin(F.broadcast(work)).groupBy("part", "seed").applyInPandas(one, f"held {kind}, seed long, label int, predicted int, correct boolean")
 
 
-def permutation_null(units: DataFrame, features: Sequence[str], label: str, id_col: str, n_perm: int, seed: int = 42, top: int = 0) -> DataFrame:
+def permutation_null(units: DataFrame, features: Sequence[str], label: str, id_col: str, n_perm: int, seed: int = 42, top: int = 0, starts: int = 20) -> DataFrame:
     """(permutation, accuracy): leave-one-out accuracy with shuffled labels; permutation -1 keeps them.
 
     With ``top`` the score is the best in-sample accuracy over the top-2 ... top-``top`` prefixes.
@@ -264,7 +264,7 @@ def permutation_null(units: DataFrame, features: Sequence[str], label: str, id_c
         hits = 0
         for h in range(len(yy)):
             keep = np.arange(len(yy)) != h
-            fit = _fit_two(x[keep], 0, starts=5)
+            fit = _fit_two(x[keep], 0, starts=starts)
             inside, out = fit(x[keep]), int(fit(x[[h]])[0])
             out = 1 - out if np.mean(inside != yy[keep]) > np.mean(inside == yy[keep]) else out
             hits += out == yy[h]

@@ -233,12 +233,17 @@ def origin_curves(series: DataFrame, keys: Sequence[str], t: str, lengths: Seque
 
 
 def origin_resample(series: DataFrame, keys: Sequence[str], t: str, lengths: Sequence[float], stride: float, lag_step: int, pos: Sequence[str], *,
-                    min_share: float = 0.70, min_count: int = 3, min_rows: int = 30, **options) -> tuple[DataFrame, DataFrame]:
+                    members: Sequence[str] = (), min_share: float = 0.70, min_count: int = 3, min_rows: int = 30, **options) -> tuple[DataFrame, DataFrame]:
     """Fit every origin window of every candidate length; pick the shortest reliable length.
 
-    Gives the per-length summary with the ``chosen`` flag, and the fits by origin.
+    Gives the per-length summary with the ``chosen`` flag, and the fits by origin. With ``members`` (further keys of the series)
+    the curve of a window is the mean over the members that fill it.
     """
-    curves, held = origin_curves(series, keys, t, lengths, stride, lag_step, pos, min_rows)
+    keys = list(keys)
+    curves, held = origin_curves(series, [*keys, *members], t, lengths, stride, lag_step, pos, min_rows)
+    if members:
+        curves = curves.groupBy(*keys, "length", "origin", "lag").agg(F.avg("msd").alias("msd"))
+        held = held.select(*keys, "length", "origin").distinct()
     fits = confinement(cut_lineage(curves), [*keys, "length", "origin"], **options).select(*keys, "origin", "l", "tau", "d", "length")
     totals = held.groupBy(*keys, "length").agg(F.count(F.lit(1)).alias("n_total"))
     good = fits.groupBy(*keys, "length").agg(F.count("l").alias("n_success"))
@@ -252,7 +257,25 @@ def origin_resample(series: DataFrame, keys: Sequence[str], t: str, lengths: Seq
         F.when(accepted, F.lit(0)).otherwise(F.col("n_success")).alias("b"), (-F.col("length")).alias("c"),
     )
     best = summary.filter(enough).groupBy(*keys).agg(F.max_by("length", rank).alias("_best"))
-    return summary.join(best, list(keys), "left").withColumn("chosen", F.coalesce(F.col("length") == F.col("_best"), F.lit(False))).drop("_best"), fits
+    return summary.join(best, keys, "left").withColumn("chosen", F.coalesce(F.col("length") == F.col("_best"), F.lit(False))).drop("_best"), fits
+
+
+def diffusion_errors(series: DataFrame, curves: DataFrame, keys: Sequence[str], unit: str, t: str, pos: Sequence[str], *, lengths: Sequence[float], stride: float, n_boot: int = 200, seed: int = 0, min_rows: int = 30, **options) -> DataFrame:
+    """(keys, d, analytic, bootstrap, origin, error) of the mean curve of all units.
+
+    ``analytic`` is the error of the two-stage fit, ``bootstrap`` the deviation over ``n_boot`` draws of units, ``origin`` the standard error over the origin
+    windows of the chosen length; ``error`` combines them. ``series`` has the positions of the units, ``curves`` their (lag, msd).
+    """
+    keys = list(keys)
+    curves = cut_lineage(curves.select(*keys, unit, "lag", "msd"))
+    mean = confinement(cut_lineage(curves.groupBy(*keys, "lag").agg(F.avg("msd").alias("msd"))), keys, **options).select(*keys, "d", F.col("d_sem").alias("analytic"))
+    drawn = confinement(cut_lineage(bootstrap_curves(curves, keys, unit, "lag", "msd", n_boot, seed)), [*keys, "replicate"], **options)
+    boot = drawn.groupBy(*keys).agg(F.stddev_samp("d").alias("bootstrap"))
+    summary, fits = origin_resample(series, keys, t, lengths, stride, 1, pos, members=[unit], min_rows=min_rows, **options)
+    chosen = fits.join(summary.filter("chosen").select(*keys, "length"), [*keys, "length"])
+    origin = chosen.groupBy(*keys).agg(sem(F.col("d")).alias("origin"))
+    out = mean.join(boot, keys, "left").join(origin, keys, "left")
+    return out.withColumn("error", combined_error(F.col("analytic"), F.col("bootstrap"), F.col("origin")))
 
 
 def pooled_confinement(per_chain: DataFrame, keys: Sequence[str], value: str, own_sem: str) -> DataFrame:

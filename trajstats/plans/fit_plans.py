@@ -325,7 +325,7 @@ def loadings(spark, d):
 
 @query("forward_regression", "L12")
 def forward_regression(spark, d):
-    return feat.forward_regression(_documents(spark, d, False), DOC_FEATURES[1:], "n_chars", "doc_id", max_features=2, trees=10)
+    return feat.forward_regression(_documents(spark, d, False), DOC_FEATURES[1:], "n_chars", "doc_id", max_features=4, trees=100)
 
 
 # Nations as units: a small table reduced from customers, orders and line items.
@@ -353,20 +353,20 @@ def transfer_matrix(spark, d):
 
 @query("leave_one_out", "L7")
 def leave_one_out(spark, d):
-    return feat.leave_one_out(_nations(spark, d), UNIT_FEATURES, "label", "unit", n_seeds=2)
+    return feat.leave_one_out(_nations(spark, d), UNIT_FEATURES, "label", "unit", n_seeds=20)
 
 
 @query("leave_one_out_reselected", "L8")
 def leave_one_out_reselected(spark, d):
-    return feat.leave_one_out(_nations(spark, d), UNIT_FEATURES, "label", "unit", reselect=4)
+    return feat.leave_one_out(_nations(spark, d), UNIT_FEATURES, "label", "unit", n_seeds=20, reselect=4)
 
 
 @query("permutation_null", "L9")
 def permutation_null(spark, d):
-    return feat.permutation_p_value(feat.permutation_null(_nations(spark, d), UNIT_FEATURES, "label", "unit", 40))
+    return feat.permutation_p_value(feat.permutation_null(_nations(spark, d), UNIT_FEATURES, "label", "unit", 200))
 
 
 @query("seed_sweep", "L10")
 def seed_sweep(spark, d):
-    acc = feat.seed_sweep(_nations(spark, d), UNIT_FEATURES, "label", "unit", 30)
+    acc = feat.seed_sweep(_nations(spark, d), UNIT_FEATURES, "label", "unit", 100)
     return acc.agg(F.count(F.lit(1)).alias("n_seeds"), F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("sd"), F.min("accuracy").alias("min"), F.max("accuracy").alias("max"), F.median("accuracy").alias("median"))

@@ -108,11 +108,11 @@ def _curve(spark, d) -> DataFrame:
     return out.select("system", "lag", "msd")
 
 
-def confinement_sql(k: str, cv_max: str = "0.9") -> str:
+def confinement_sql(k: str, cv_max: str = "0.9", skip: int = 5, min_points: int = 30, min_plateau: int = 20) -> str:
     """Plateau and crossing of the CTE cv (keys, lag, msd)."""
-    return f"""us AS (SELECT * FROM cv WHERE lag > 5 AND msd > 0),
-sn AS (SELECT {k}, min(lag) AS a, max(lag) AS b FROM us GROUP BY {k} HAVING count(*) >= 30),
-pt AS (SELECT {k}, median(msd) AS l_sq, stddev_samp(msd) AS sd, count(*) AS n_plateau FROM us JOIN sn USING ({k}) WHERE lag >= a + 0.3::DOUBLE * (b - a) AND lag <= a + 0.85::DOUBLE * (b - a) GROUP BY {k} HAVING count(*) >= 20),
+    return f"""us AS (SELECT * FROM cv WHERE lag > {skip} AND msd > 0),
+sn AS (SELECT {k}, min(lag) AS a, max(lag) AS b FROM us GROUP BY {k} HAVING count(*) >= {min_points}),
+pt AS (SELECT {k}, median(msd) AS l_sq, stddev_samp(msd) AS sd, count(*) AS n_plateau FROM us JOIN sn USING ({k}) WHERE lag >= a + 0.3::DOUBLE * (b - a) AND lag <= a + 0.85::DOUBLE * (b - a) GROUP BY {k} HAVING count(*) >= {min_plateau}),
 pl AS (SELECT {k}, l_sq, sd, n_plateau, sd / l_sq AS plateau_cv, sqrt(l_sq) AS l, sd / sqrt(n_plateau) / (2 * sqrt(l_sq)) AS l_sem,
   (SELECT min(us.lag) FROM us WHERE {' AND '.join(f'us.{c.strip()} = pt.{c.strip()}' for c in k.split(','))} AND us.msd >= 0.9::DOUBLE * l_sq) AS plateau_start FROM pt WHERE sd / l_sq <= {cv_max}),
 lc AS (SELECT cv.*, l_sq, sd, 0.6321::DOUBLE * l_sq AS level, lag(cv.lag) OVER q AS t0, lag(msd) OVER q AS y0,
@@ -193,21 +193,6 @@ def random_effects_pool(spark, d):
     return rounded(out, "mean", "sem", places=6).withColumn("tau2", F.round("tau2", 3))
 
 
-@query("pooled_confinement", "B31", with_ctes(UNIT_SQL.replace("s_nationkey AS unit", "s_nationkey AS unit").replace("stddev_samp(s_acctbal) / sqrt(count(*))", "CASE WHEN n_regionkey < 3 THEN stddev_samp(s_acctbal) / sqrt(count(*)) END"), POOL_SQL, select="""
-SELECT p.grp, round(coalesce(mean, m), 6) AS mean, round(CASE WHEN pool.k IS NULL THEN ss ELSE sem END, 6) AS sem, coalesce(pool.k, p.k) AS k FROM (SELECT grp, avg(v) AS m, stddev_samp(v) / sqrt(count(v)) AS ss, count(v) AS k FROM ut GROUP BY 1) p LEFT JOIN pool USING (grp)"""))
-def pooled_confinement(spark, d):
-    units = _units(spark, d).withColumn("s", F.when(F.col("grp") < 3, F.col("s")))
-    return rounded(lags.pooled_confinement(units, ["grp"], "v", "s").drop("tau2"), "mean", "sem", places=6)
-
-
-@query("combined_error", "B32 P25", with_ctes(UNIT_SQL, """
-ce AS (SELECT grp, unit, s AS analytic, v / 20 AS bootstrap, abs(v) / 50 AS origin FROM ut)""", select="""
-SELECT grp, unit, round(sqrt(coalesce(CASE WHEN greatest(analytic, bootstrap) > 0 THEN pow(greatest(analytic, bootstrap), 2) END, 0) + coalesce(CASE WHEN origin > 0 THEN origin * origin END, 0)), 6) AS error FROM ce"""))
-def combined_error(spark, d):
-    u = _units(spark, d)
-    return u.select("grp", "unit", F.round(lags.combined_error(F.col("s"), F.col("v") / 20, F.abs("v") / 50), 6).alias("error"))
-
-
 @query("bootstrap_means", "B18", with_ctes(HOURLY_SQL, f"""
 sg AS (SELECT system, ntile(20) OVER (PARTITION BY system ORDER BY idx) - 1 AS i, x FROM series), un AS (SELECT system, i, avg(x) AS v FROM sg GROUP BY 1, 2),
 dw AS (SELECT r.r AS replicate, CAST(floor({uniform_sql('11', 'r.r', 's.s')} * 20) AS BIGINT) AS i, count(*) AS weight FROM range(100) r(r), range(20) s(s) GROUP BY 1, 2),

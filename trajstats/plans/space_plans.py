@@ -167,16 +167,42 @@ def inner_outer(spark, d):
     return groups.inner_outer(ch, ["frame"])
 
 
-@query("unwrapped_groups", "C10")
+def _tree_sql(rounds: int) -> str:
+    """Shifts along the tree of ``groups.spanning_shifts`` from the links e0 (frame, a, b, oa, ob, d0, d1, d2), as the CTE ``moved``: rounds written out, paths walked step by step."""
+    out = []
+    shifts = lambda f: ", ".join(f(f"d{k}") + f" AS d{k}" for k in range(3))
+    for r in range(rounds):
+        out.append(f"""t{r} AS MATERIALIZED (SELECT frame, b AS node, a AS up, d0, d1, d2 FROM e{r} QUALIFY row_number() OVER (PARTITION BY frame, b ORDER BY a, oa, ob) = 1),
+w{r} AS (SELECT * FROM t{r} UNION ALL SELECT w.frame, w.node, t.up, {shifts(lambda c: f"w.{c} + t.{c}")} FROM w{r} w JOIN t{r} t ON t.frame = w.frame AND t.node = w.up),
+f{r} AS MATERIALIZED (SELECT w.frame, w.node, w.up AS root, w.d0, w.d1, w.d2 FROM w{r} w LEFT JOIN t{r} t ON t.frame = w.frame AND t.node = w.up WHERE t.node IS NULL),
+x{r} AS (SELECT e.frame, coalesce(p.root, a) AS a, coalesce(q.root, b) AS b, oa, ob, {shifts(lambda c: f"e.{c} + coalesce(p.{c}, 0) - coalesce(q.{c}, 0)")} FROM e{r} e LEFT JOIN f{r} p ON p.frame = e.frame AND p.node = e.a LEFT JOIN f{r} q ON q.frame = e.frame AND q.node = e.b),
+e{r + 1} AS MATERIALIZED (SELECT frame, least(a, b) AS a, greatest(a, b) AS b, oa, ob, {shifts(lambda c: f"CASE WHEN a > b THEN -{c} ELSE {c} END")} FROM x{r} WHERE a <> b QUALIFY row_number() OVER (PARTITION BY frame, least(a, b), greatest(a, b) ORDER BY oa, ob) = 1)""")
+    moved = "SELECT * FROM f0"
+    for r in range(1, rounds):
+        moved = f"""SELECT m.frame, m.node, coalesce(f.root, m.root) AS root, {shifts(lambda c: f"m.{c} + coalesce(f.{c}, 0)")} FROM ({moved}) m LEFT JOIN f{r} f ON f.frame = m.frame AND f.node = m.root"""
+        moved += f" UNION ALL SELECT f.* FROM f{r} f WHERE NOT EXISTS (SELECT 1 FROM {' UNION ALL SELECT 1 FROM '.join(f'f{k} g WHERE g.frame = f.frame AND g.node = f.node' for k in range(r))})"
+    return ",\n".join([*out, f"moved AS ({moved})"])
+
+
+_IMAGE = lambda c, box: f"(q.{c} - p.{c}) - {box}::DOUBLE * round_even((q.{c} - p.{c}) / {box}::DOUBLE, 0)"
+
+
+@query("unwrapped_groups", "C10", "WITH RECURSIVE " + FRAMES_SQL + f""",
+cm AS (SELECT frame, chain_id, sum(mass * xu) / sum(mass) AS ux, sum(mass * yu) / sum(mass) AS uy, sum(mass * zu) / sum(mass) AS uz FROM fr GROUP BY 1, 2),
+nd AS MATERIALIZED (SELECT frame, chain_id, ((ux % 100.0::DOUBLE) + 100.0::DOUBLE) % 100.0::DOUBLE AS x, ((uy % 100.0::DOUBLE) + 100.0::DOUBLE) % 100.0::DOUBLE AS y, ((uz % 120.0::DOUBLE) + 120.0::DOUBLE) % 120.0::DOUBLE AS z FROM cm),
+e0 AS MATERIALIZED (SELECT frame, a, b, a AS oa, b AS ob, d0, d1, d2 FROM (SELECT p.frame, p.chain_id AS a, q.chain_id AS b, {_IMAGE('x', 100.0)} AS d0, {_IMAGE('y', 100.0)} AS d1, {_IMAGE('z', 120.0)} AS d2 FROM nd p JOIN nd q ON p.frame = q.frame AND p.chain_id < q.chain_id) WHERE sqrt(d0 * d0 + d1 * d1 + d2 * d2) < {2.5 * R}),
+""" + _tree_sql(5) + """
+SELECT nd.frame, nd.chain_id, coalesce(m.root, nd.chain_id) AS label, round(o.x + coalesce(d0, 0), 5) AS x, round(o.y + coalesce(d1, 0), 5) AS y, round(o.z + coalesce(d2, 0), 5) AS z
+FROM nd LEFT JOIN moved m ON m.frame = nd.frame AND m.node = nd.chain_id JOIN nd o ON o.frame = nd.frame AND o.chain_id = coalesce(m.root, nd.chain_id)""")
 def unwrapped_groups(spark, d):
-    """Spanning-tree positions; no SQL (a recursion with memory), tested on a planted cluster."""
     box = ["lx", "ly", "lz"]
     nodes = hist.centre_of_mass(frames(spark, d), ["frame", "chain_id", *box], names=("x", "y", "z"))
     nodes = cut_lineage(nodes.select("frame", "chain_id", *box, *[F.pmod(F.col(p), F.col(length)).alias(p) for p, length in zip("xyz", box)]))
     pairs = neighbors.radius_pairs(nodes, ["frame"], "chain_id", 2.5 * R)
     edges = pairs.select("frame", F.col("a_chain_id").alias("u"), F.col("b_chain_id").alias("v"))
     g = groups.connected_components(nodes.select("frame", "chain_id"), edges, ["frame"])
-    return groups.unwrapped_groups(g, edges, nodes, ["frame"])
+    out = groups.unwrapped_groups(g, edges, nodes, ["frame"])
+    return rounded(out.select("frame", "chain_id", "label", "x", "y", "z"), "x", "y", "z", places=5)
 
 
 # --- profiles --------------------------------------------------------------------------
