@@ -56,7 +56,7 @@ SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
 #: Tokens and documents that a map task packs at a time.
 PACK_TOKENS, PACK_DOCS = 1_000_000, 32_000
 #: Bytes of text of a bucket on average, buckets of a file, sums that a task keeps before it sends them.
-BUCKET_BYTES, BUCKETS_A_FILE, KEPT_SUMS = 3_000_000, 4, 1_000_000
+BUCKET_BYTES, BUCKETS_A_FILE, KEPT_SUMS = 4_500_000, 2, 1_000_000
 #: Contexts of a share on average; owners of shares that meet in a part.
 SHARE_CONTEXTS, GROUP = 4096, 256
 #: Pieces of a word with a large share.
