@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trajstats.operators import blocks, fits, groups, lags
+from trajstats.operators import blocks, features, fits, groups, lags, rollups
 
 
 def test_interface_fits_of_many_groups(spark):
@@ -123,3 +123,35 @@ def test_inefficiency_by_blocks_of_lags(spark):
     pos = spark.createDataFrame(short)
     want = {r.k: r.g for r in blocks.inefficiency(blocks.autocorrelation(pos, ["k"]), ["k"]).collect()}
     assert {r.k: pytest.approx(r.g) for r in blocks.series_inefficiency(pos, ["k"], first=4).collect()} == want
+
+
+def test_permutations_by_brute_force(spark):
+    draws = np.random.default_rng(6)
+    label = np.arange(14) % 2
+    x = np.column_stack([label + draws.normal(0, 0.4, 14), draws.normal(0, 1, 14)])
+    units = spark.createDataFrame([(i, int(label[i]), float(x[i, 0]), float(x[i, 1])) for i in range(14)], "unit int, label int, a double, b double")
+    got = {r.permutation: r.accuracy for r in features.permutation_null(units, ["a", "b"], "label", "unit", 9, seed=3, starts=5).collect()}
+    dealt = features.shuffled_labels(units, "label", "unit", 9, 3).toPandas()
+    assert len(got) == 10 and dealt.groupby("permutation")["label"].sum().eq(7).all() and len({tuple(g.sort_values("unit")["label"]) for _, g in dealt.groupby("permutation")}) > 5
+    for k, part in dealt.groupby("permutation"):
+        y = part.sort_values("unit")["label"].to_numpy()
+        hits = 0
+        for h in range(14):
+            keep = np.arange(14) != h
+            fit = features._fit_two(x[keep], 0, starts=5)
+            inside, guess = fit(x[keep]), int(fit(x[[h]])[0])
+            guess = 1 - guess if (inside != y[keep]).sum() > (inside == y[keep]).sum() else guess
+            hits += guess == y[h]
+        assert got[k] == pytest.approx(hits / 14)
+    assert (dealt[dealt.permutation == -1].sort_values("unit")["label"].to_numpy() == label).all()
+
+
+def test_sources_count_in_their_order(spark):
+    long = lambda *rows: spark.createDataFrame(rows, "id string, column string, value double")
+    master = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("K", 5)], "id string, x int")
+    classes = spark.createDataFrame([("a", "K"), ("b", "K"), ("c", "none")], "id string, class_id string")
+    first = long(("a", "tc", 1.0), ("a", "SIGtc", 0.1), ("b", "tc", None), ("K", "tc", 9.0), ("K", "SIGtc", 0.9))
+    second = long(("a", "tc", 2.0), ("a", "tc", 3.0), ("d", "tc", 4.0), ("d", "tc", 6.0), ("x", "tc", 7.0))
+    third = long(("b", "other", 5.0), ("K", "tc", 8.0))
+    got = {r.id: tuple(r)[1:] for r in rollups.augmented_master(master, [first, second, third], ["tc", "other"], classes).collect()}
+    assert got == {"a": (1, 1.0, 0.1, None, None), "b": (2, 9.0, 0.9, 5.0, 0.0), "c": (3, None, None, None, None), "d": (4, 6.0, 0.0, None, None), "K": (5, 9.0, 0.9, None, None)}

@@ -14,6 +14,7 @@ SAMPLE = [
     "corrected_observables", "equilibration_start", "radius_pairs", "connected_groups", "tracked_group", "radial_profile", "contact_enrichment", "against_control",
     "smoothed_series", "nearest_in_time", "member_stress", "displacement_curve", "stress_correlation", "two_stage_confinement", "framed_rows", "neighbour_bonds",
     "curvature_corrected", "mixed_pair_table", "feature_ranking", "silhouette", "stream_windowed_mean",
+    "per_chain_confinement", "unwrapped_groups", "summary_files", "augmented_master", "combined_error",
 ]
 
 

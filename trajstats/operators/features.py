@@ -19,7 +19,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from trajstats.functions.draws import uniform
 from trajstats.operators.neighbors import tile_pairs, tiled
+from trajstats.session import cut_lineage
 
 FLAT = 1e-9
 FOLD_PARTS = 32
@@ -248,29 +250,56 @@ def leave_one_out(units: DataFrame, features: Sequence[str], label: str, id_col:
     return rows.crossJoin(F.broadcast(work)).groupBy("part", "seed").applyInPandas(one, f"held {kind}, seed long, label int, predicted int, correct boolean")
 
 
+def fold_clusters(units: DataFrame, features: Sequence[str], label: str, id_col: str, seed: int = 0, starts: int = 20) -> DataFrame:
+    """(held, unit, cluster): for every held-out unit the clusters of a fit of the others, its own included."""
+    rows = units.select(F.col(id_col).alias("_id"), F.col(label).alias("_y"), *features).dropna().withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(FOLD_PARTS)).cast("int"))
+    parts = units.sparkSession.range(FOLD_PARTS).select(F.col("id").cast("int").alias("part"))
+    kind = units.schema[id_col].dataType.simpleString()
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id").reset_index(drop=True)
+        x, out = pdf[list(features)].to_numpy(float), []
+        for h in np.flatnonzero(pdf["_part"] == pdf["part"].iloc[0]):
+            found = _fit_two(x[np.arange(len(x)) != h], seed, starts)(x)
+            out.append(pd.DataFrame({"held": pdf["_id"].iloc[h], "unit": pdf["_id"], "cluster": found.astype(int)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["held", "unit", "cluster"])
+
+    return rows.crossJoin(F.broadcast(parts)).groupBy("part").applyInPandas(one, f"held {kind}, unit {kind}, cluster int")
+
+
+def shuffled_labels(units: DataFrame, label: str, id_col: str, n_perm: int, seed: int) -> DataFrame:
+    """(permutation, unit, label): the labels dealt anew by hashed draws, -1 as they are."""
+    rows = units.select(F.col(id_col).alias("unit"), F.col(label).cast("int").alias("label")).withColumn("i", F.row_number().over(W.orderBy("unit")))
+    perms = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    drawn = perms.withColumn("place", F.row_number().over(W.partitionBy("permutation").orderBy(uniform(F.lit(seed), F.col("permutation"), F.col("i")), "i")))
+    dealt = drawn.select("permutation", "unit", "place").join(rows.select(F.col("i").alias("place"), "label"), "place").select("permutation", "unit", "label")
+    return dealt.unionByName(rows.select(F.lit(-1).alias("permutation"), "unit", "label"))
+
+
 def permutation_null(units: DataFrame, features: Sequence[str], label: str, id_col: str, n_perm: int, seed: int = 42, top: int = 0, starts: int = 20) -> DataFrame:
     """(permutation, accuracy): leave-one-out accuracy with shuffled labels; permutation -1 keeps them.
 
-    With ``top`` the score is the best in-sample accuracy over the top-2 ... top-``top`` prefixes.
+    Clusters don't depend on labels: each fold is fitted once, and the labels of all permutations are held against its clusters by
+    joins and sums. With ``top`` the score is the best in-sample accuracy over the top-2 ... top-``top`` prefixes.
     """
-    perms = units.sparkSession.range(-1, n_perm).withColumnRenamed("id", "permutation")
+    if top:
+        perms = units.sparkSession.range(-1, n_perm).withColumnRenamed("id", "permutation")
 
-    def run(pdf, x, y, key):
-        k = int(key["permutation"])
-        yy = y if k < 0 else np.random.default_rng([seed, k]).permutation(y)
-        if top:
+        def run(pdf, x, y, key):
+            k = int(key["permutation"])
+            yy = y if k < 0 else np.random.default_rng([seed, k]).permutation(y)
             order = _top(x, yy)
             return [{"accuracy": max(_accuracy(_fit_two(x[:, order[:m]], seed)(x[:, order[:m]]), yy) for m in range(2, min(top, x.shape[1]) + 1))}]
-        hits = 0
-        for h in range(len(yy)):
-            keep = np.arange(len(yy)) != h
-            fit = _fit_two(x[keep], 0, starts=starts)
-            inside, out = fit(x[keep]), int(fit(x[[h]])[0])
-            out = 1 - out if np.mean(inside != yy[keep]) > np.mean(inside == yy[keep]) else out
-            hits += out == yy[h]
-        return [{"accuracy": hits / len(yy)}]
-
-    return _repeat(units, perms, ["permutation"], features, label, id_col, run, "accuracy double")
+
+        return _repeat(units, perms, ["permutation"], features, label, id_col, run, "accuracy double")
+    used = units.select(id_col, label, *features).dropna()
+    clusters = cut_lineage(fold_clusters(used, features, label, id_col, starts=starts))
+    met = clusters.join(shuffled_labels(used, label, id_col, n_perm, seed), "unit")
+    own, same = F.col("unit") == F.col("held"), F.col("cluster") == F.col("label")
+    folds = met.groupBy("permutation", "held").agg(
+        F.count(F.when(~own & same, 1)).alias("same"), F.count(F.when(~own & ~same, 1)).alias("other"), F.max(F.when(own, same)).alias("hit"))
+    hit = F.when(F.col("other") > F.col("same"), ~F.col("hit")).otherwise(F.col("hit"))
+    return folds.groupBy("permutation").agg(F.avg(hit.cast("double")).alias("accuracy"))
 
 
 def permutation_p_value(null: DataFrame) -> DataFrame:

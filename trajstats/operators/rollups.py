@@ -283,3 +283,19 @@ def augmented_master(master: DataFrame, sources: Sequence[DataFrame], columns: S
         error = F.when(mine, F.col(f"SIG{c}")).otherwise(F.col(f"_SIG{c}"))
         out[f"SIG{c}"] = F.when(mine | F.col(f"_{c}").isNotNull(), F.coalesce(error, F.lit(0.0)))
     return both.select(*master.columns, *[e.alias(n) for n, e in out.items()])
+
+
+def fill_from_members(rows: DataFrame, columns: Sequence[str], id_col: str = "id", class_col: str = "class_id") -> DataFrame:
+    """Aggregate rows (those without a class) take what they lack from their members: the mean, and as SIG column the standard error of the
+    members, or the one member's own error. Values that are there stay.
+    """
+    of = rows.filter(F.col(class_col).isNotNull())
+    stats = []
+    for c in columns:
+        one = F.count(c) == 1
+        stats += [F.avg(c).alias(f"_{c}"), F.when(one, F.max(F.when(F.col(c).isNotNull(), F.col(f"SIG{c}")))).otherwise(sem(F.col(c))).alias(f"_SIG{c}")]
+    means = of.groupBy(F.col(class_col).alias(id_col)).agg(*stats)
+    joined = rows.join(means, id_col, "left")
+    lacks = {c: F.col(class_col).isNull() & F.col(c).isNull() for c in columns}
+    out = {n: F.when(lacks[c], F.col(f"_{n}")).otherwise(F.col(n)) for c in columns for n in (c, f"SIG{c}")}
+    return joined.select(*[out[n].alias(n) if n in out else n for n in rows.columns])

@@ -409,7 +409,7 @@ s2 AS (SELECT o_custkey::VARCHAR AS id, 'price' AS col, max(o_totalprice) AS val
 s3 AS (SELECT 'seg_' || c_mktsegment AS id, 'price' AS col, avg(o_totalprice) AS value, 2 AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT 'seg_' || c_mktsegment, 'SIGprice', stddev_samp(o_totalprice) / sqrt(count(*)), 2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT 'seg_' || c_mktsegment, 'orders', count(*)::DOUBLE, 2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 un AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, col ORDER BY r, value DESC) = 1),
 wd AS (SELECT id, max(value) FILTER (col = 'price') AS p, max(value) FILTER (col = 'SIGprice') AS sp, max(value) FILTER (col = 'orders') AS o FROM un GROUP BY 1)
-SELECT ms.id, round(balance, 6) AS balance, round(coalesce(m.p, c.p), 6) AS price, round(CASE WHEN m.p IS NOT NULL THEN coalesce(m.sp, 0) WHEN c.p IS NOT NULL THEN coalesce(c.sp, 0) END, 6) AS "SIGprice", coalesce(m.o, c.o) AS orders, CASE WHEN m.o IS NOT NULL OR c.o IS NOT NULL THEN 0.0::DOUBLE END AS "SIGorders"
+SELECT ms.id, round(balance, 6) AS balance, round(coalesce(m.p, c.p), 6) AS price, round(CASE WHEN m.p IS NOT NULL THEN coalesce(m.sp, 0) WHEN c.p IS NOT NULL THEN coalesce(c.sp, 0) END, 4) AS "SIGprice", coalesce(m.o, c.o) AS orders, CASE WHEN m.o IS NOT NULL OR c.o IS NOT NULL THEN 0.0::DOUBLE END AS "SIGorders"
 FROM ms LEFT JOIN wd m ON m.id = ms.id LEFT JOIN wd c ON c.id = ms.class_id""")
 def augmented_master(spark, d):
     """Customers and their segments as class rows; prices and counts from three sources that disagree."""
@@ -430,7 +430,26 @@ def augmented_master(spark, d):
     members = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("balance"))
     master = members.unionByName(c.select(segment).distinct().withColumn("balance", F.lit(None).cast("double")))
     classes = c.select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("seg_"), "c_mktsegment").alias("class_id"))
-    return rounded(rollups.augmented_master(master, sources, ["price", "orders"], classes), "balance", "price", "SIGprice", places=6)
+    out = rollups.augmented_master(master, sources, ["price", "orders"], classes)
+    return rounded(rounded(out, "balance", "price", places=6), "SIGprice", places=4)
+
+
+@query("member_fill", "A37", """
+WITH un AS (SELECT c_custkey::VARCHAR AS id, 'seg_' || c_mktsegment AS class_id, avg(o_totalprice) AS price, stddev_samp(o_totalprice) / sqrt(count(*)) AS sig FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+ag AS (SELECT 'seg_' || c_mktsegment AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN max(c_acctbal) END AS price, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE END AS sig FROM customer GROUP BY c_mktsegment),
+mm AS (SELECT class_id AS id, avg(price) AS m, CASE WHEN count(price) = 1 THEN max(sig) FILTER (price IS NOT NULL) ELSE stddev_samp(price) / sqrt(count(price)) END AS s FROM un GROUP BY 1)
+SELECT id, class_id, round(price, 6) AS price, round(sig, 4) AS "SIGprice" FROM un UNION ALL SELECT ag.id, NULL, round(coalesce(price, m), 6), round(CASE WHEN price IS NULL THEN s ELSE sig END, 4) FROM ag LEFT JOIN mm USING (id)""")
+def member_fill(spark, d):
+    """Segments without a value of their own take it from their customers."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    segment = F.concat(F.lit("seg_"), "c_mktsegment")
+    members = c.join(o, o.o_custkey == c.c_custkey, "left").groupBy(F.col("c_custkey").cast("string").alias("id"), segment.alias("class_id")).agg(
+        F.avg("o_totalprice").alias("price"), (F.stddev_samp("o_totalprice") / F.sqrt(F.count("o_totalprice"))).alias("SIGprice"))
+    known = F.col("c_mktsegment") == "BUILDING"
+    classes = c.groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("top")).select(
+        segment.alias("id"), F.lit(None).cast("string").alias("class_id"), F.when(known, F.col("top")).alias("price"), F.when(known, F.lit(1.0)).alias("SIGprice"))
+    out = rollups.fill_from_members(members.unionByName(classes), ["price"])
+    return rounded(rounded(out, "price", places=6), "SIGprice", places=4)
 
 
 # --- ordered operators -----------------------------------------------------------------

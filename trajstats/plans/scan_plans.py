@@ -20,6 +20,17 @@ def frame_slice(spark, d):
     return dumps.frame_slice(frames(spark, d), "frame", 3, 18, 4).select("frame", "bead_id", F.round("x", 6).alias("x"))
 
 
+@query("real_time_stride", "P24", """
+WITH t AS (SELECT event_id, (epoch_us(ts) // 60000000) * 0.05::DOUBLE + CASE WHEN event_id % 7 = 0 THEN 1e-6 ELSE 0 END AS t_ns FROM events)
+SELECT event_id, round(t_ns, 6) AS t_ns FROM t WHERE abs(t_ns / 0.2::DOUBLE - round_even(t_ns / 0.2::DOUBLE, 0)) < 1e-5 AND event_id % 7 <> 0""")
+def real_time_stride(spark, d):
+    """Minutes as 0.05 ns each, some off the grid by more than rounding; kept at multiples of 0.2 ns."""
+    t = F.expr("t_us div 60000000") * F.lit(0.05) + F.when(F.col("event_id") % 7 == 0, 1e-6).otherwise(0.0)
+    rows = event_time(spark, d).select("event_id", t.alias("t_ns"))
+    # Times are near 1.4e6 ns, where neighbouring doubles differ by 2e-10.
+    return rounded(dumps.on_multiples(rows, "t_ns", 0.2, 1e-6), "t_ns", places=6)
+
+
 def _dump_lines(spark, d) -> DataFrame:
     """Line items as a dump: one frame per order with a header line, cut into splits."""
     l = table(spark, d, "lineitem")

@@ -27,6 +27,12 @@ def stride(frames: DataFrame, frame: str, n: int, offset: int = 0) -> DataFrame:
     return frames.filter((F.col(frame) >= offset) & ((F.col(frame) - offset) % n == 0))
 
 
+def on_multiples(rows: DataFrame, t: str, every: float, tolerance: float = 1e-9) -> DataFrame:
+    """Rows whose real-valued time is a multiple of ``every``, up to ``tolerance`` multiples."""
+    k = F.col(t) / F.lit(float(every))
+    return rows.filter(F.abs(k - F.bround(k)) < tolerance)
+
+
 # --- lines -----------------------------------------------------------------------------
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
