@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -186,3 +187,15 @@ def test_query_of_personal_data(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(count[k] for k in pii.KINDS)
         assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
         assert set(filter(None, r.spans.split(","))) >= {f"{k}:{a}:{b}" for k, a, b in spans}
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"u{i}@mail{i % 7}.com" if i % 3 else f"u{i} (at) mail{i % 7} dot com" for i in range(100_000))
+    start = time.perf_counter()
+    plain, added = pii.find_spans(text)
+    assert time.perf_counter() - start < 60
+    assert len(plain) == 66_666 and len(added) == 33_334
+    assert all(text[a:b].startswith("u") and text[a:b].endswith("com") for _, a, b in (*plain, *added))
+    short = " ".join(text.split(" ")[:400])
+    plain, added = pii.find_spans(short)
+    assert not any(k == m and a < d and c < b for k, a, b in added for m, c, d in plain) and len({*added}) == len(added)

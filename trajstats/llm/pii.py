@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -214,12 +215,18 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
         return plain, []
     first = read_lookalikes(Traced(text))
     added: list[tuple[str, int, int]] = []
+    # Spans of a kind never overlap, so the one before a place is the only one that may reach over it.
+    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    for kind, start, end in plain:
+        taken[kind].append((start, end))
     for t in (first, read_digits(join_addresses(first))):
         if t.text == text:
             continue
         for kind, a, b in find_plain(t.text):
             start, end = t.source(a, b)
-            if not any(k == kind and start < e and s < end for k, s, e in (*plain, *added)):
+            at = bisect_left(taken[kind], (end,))
+            if not at or taken[kind][at - 1][1] <= start:
+                taken[kind].insert(at, (start, end))
                 added.append((kind, start, end))
     return plain, sorted(added, key=lambda s: (s[1], KINDS.index(s[0])))
 
