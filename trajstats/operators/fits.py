@@ -120,6 +120,14 @@ def gone_back(path: list[np.ndarray]) -> bool:
     return sets[-1] in sets[:-1]
 
 
+def merged_modes(amplitudes: np.ndarray, taus: np.ndarray) -> tuple[list[float], list[float]]:
+    """One mode for each run of neighbouring active times of a grid: the sum of amplitudes at their mean time, which keeps the sum of amplitude x time."""
+    active = np.flatnonzero(amplitudes > 0)
+    sets = np.split(active, np.flatnonzero(np.diff(active) > 1) + 1) if len(active) else []
+    total = [float(amplitudes[k].sum()) for k in sets]
+    return total, [float((amplitudes[k] * taus[k]).sum() / a) for k, a in zip(sets, total)]
+
+
 def _tau_grid(low: float, high: float, candidates: int) -> np.ndarray:
     return np.geomspace(low, high, candidates)
 
@@ -143,7 +151,8 @@ def maxwell_fit(curves: DataFrame, keys: Sequence[str], t: str = "lag", y: str =
     """Sum of 1..max_modes exponentials to the normalised correlation at ``points`` log-spaced times; best mean absolute error.
 
     Relaxation times come from a log grid of ``candidates`` between the first and the last time. Products of the exponentials are summed
-    for each group over all tasks; amplitudes follow from these sums by an active-set loop, one mode more at a time.
+    for each group over all tasks; amplitudes follow from these sums by an active-set loop, one mode more at a time. Of the unlimited solution
+    neighbouring times count as one mode between them.
     """
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy("x")
@@ -172,8 +181,13 @@ def maxwell_fit(curves: DataFrame, keys: Sequence[str], t: str = "lag", y: str =
                 one = batch.slice(i, 1)
                 flat = np.array(one.column("sums")[0].as_py())
                 taus = _tau_grid(one.column("_a")[0].as_py(), one.column("_b")[0].as_py(), candidates)
-                found = mode_path(flat[: size - candidates].reshape(candidates, candidates), flat[size - candidates :], max_modes)
-                out = [(int((x > 0).sum()), x[x > 0].tolist(), taus[x > 0].tolist()) for x in found if (x > 0).any()]
+                gram, right = flat[: size - candidates].reshape(candidates, candidates), flat[size - candidates :]
+                out = [(int((x > 0).sum()), x[x > 0].tolist(), taus[x > 0].tolist()) for x in mode_path(gram, right, max_modes) if (x > 0).any()]
+                # A time between two of the grid takes both; merged they are one mode.
+                for whole in mode_path(gram, right, candidates)[-1:]:
+                    amplitudes, times = merged_modes(whole, taus)
+                    if 0 < len(times) <= max_modes:
+                        out.append((len(times), amplitudes, times))
                 if out:
                     cols = [pa.concat_arrays([one.column(k)] * len(out)) for k in keys]
                     yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))))], [*keys, "modes", "amplitudes", "taus"])
