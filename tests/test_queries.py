@@ -52,3 +52,16 @@ def test_query_matches_sql(spark, con, name):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 190
+
+
+def test_radius_of_a_chain_of_one_and_of_coincident_beads(spark, tmp_path):
+    """11 vectors: the last chain has one bead, and the first two beads lie together."""
+    x = [[0.01 * ((7 * i + 3 * k) % 50) for k in range(64)] for i in range(1, 11)]
+    rows = [(i, i % 3, v) for i, v in enumerate([x[0], *x])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(c.execute(f"select frame, chain_id, n_beads, rh from ({entry.oracle_sql()['hydrodynamic_radius']})").fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["hydrodynamic_radius"](spark, str(tmp_path)).select("frame", "chain_id", "n_beads", "rh").collect())
+    assert len(got) == 63 and sum(r[3] is None for r in got) == 21
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(g[3] == w[3] or close(g[3], w[3]) for g, w in zip(got, want))

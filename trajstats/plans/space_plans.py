@@ -311,8 +311,8 @@ def chain_rg_series(spark, d):
 
 
 @query("hydrodynamic_radius", "A8 J14", with_ctes(FRAMES_SQL, """
-iv AS (SELECT a.frame, a.chain_id, sum(1 / sqrt(pow(a.xu - b.xu, 2) + pow(a.yu - b.yu, 2) + pow(a.zu - b.zu, 2))) AS s FROM fr a JOIN fr b ON a.frame = b.frame AND a.chain_id = b.chain_id AND a.bead_id < b.bead_id GROUP BY 1, 2),
-cn AS (SELECT frame, chain_id, count(*) AS n FROM fr GROUP BY 1, 2)""", select="SELECT frame, chain_id, n AS n_beads, round(n * n / (2 * s), 6) AS rh FROM cn JOIN iv USING (frame, chain_id)"))
+iv AS (SELECT frame, chain_id, sum(CASE WHEN r > 0 THEN 1 / r END) AS s FROM (SELECT a.frame, a.chain_id, sqrt(pow(a.xu - b.xu, 2) + pow(a.yu - b.yu, 2) + pow(a.zu - b.zu, 2)) AS r FROM fr a JOIN fr b ON a.frame = b.frame AND a.chain_id = b.chain_id AND a.bead_id < b.bead_id) GROUP BY 1, 2),
+cn AS (SELECT frame, chain_id, count(*) AS n FROM fr GROUP BY 1, 2)""", select="SELECT frame, chain_id, n AS n_beads, CASE WHEN n >= 2 AND s > 0 THEN round(n * n / (2 * s), 6) END AS rh FROM cn LEFT JOIN iv USING (frame, chain_id)"))
 def hydrodynamic_radius(spark, d):
     fr = frames(spark, d)
     sums = neighbors.inverse_distance_sums(fr, ["frame", "chain_id"], "bead_id")
