@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trajstats.operators import groups, histograms as hist, neighbors
+from trajstats.operators import contacts, groups, histograms as hist, neighbors
 
 BOX = np.array([30.0, 20.0, 9.0])
 
@@ -54,6 +54,30 @@ def test_radius_join(spark):
     assert len(out) == len(brute(a, 2.0, b))
 
 
+@pytest.mark.parametrize("rows,radius", [(96, 4.0), (4, 2.5)])
+def test_pair_counts_without_pairs(spark, monkeypatch, rows, radius):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", rows)
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 2 * rows)
+    pdf = beads(2, 400).assign(kind=lambda f: f.bead_id % 4)
+    found = brute(pdf, radius)
+    df = spark.createDataFrame(pdf)
+    got = contacts.kind_contacts(df, ["frame"], "bead_id", radius, ["kind"], same="chain_id").collect()
+    cells, bins = {}, {}
+    x = {f: g[["x", "y", "z"]].to_numpy() for f, g in pdf.groupby("frame")}
+    for f, p, q in found:
+        k = (f, *sorted((p % 4, q % 4)))
+        cells[k] = [a + b for a, b in zip(cells.get(k, (0, 0)), (1, p // 3 == q // 3))]
+        d = x[f][p] - x[f][q]
+        b = (f, int(np.sqrt(((d - BOX * np.round(d / BOX)) ** 2).sum()) / 0.5))
+        bins[b] = bins.get(b, 0) + 1
+    assert {(r.frame, *sorted((r.a_kind, r.b_kind))): [r.n, r.n_same] for r in got} == cells
+    assert {(r.frame, r.i): r.n for r in neighbors.pair_counts(df, ["frame"], "bead_id", radius, width=0.5).collect()} == bins
+    pairs = neighbors.radius_pairs(df, ["frame"], "bead_id", radius, carry=["chain_id", "species", "kind"])
+    by_pair = contacts.position_contacts(pairs, [], position="kind", exclusion=1).collect()
+    counted = contacts.kind_contacts(df, ["frame"], "bead_id", radius, ["species", "kind"], same="chain_id")
+    assert set(by_pair) == set(contacts.position_cells(counted, [], position="kind", exclusion=1).collect())
+
+
 def test_components_path_star_and_tie(spark):
     path = [(0, i, i + 1) for i in range(1, 60)]
     star = [(1, 5, k) for k in range(6, 40)]

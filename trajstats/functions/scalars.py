@@ -26,7 +26,7 @@ STEP_FS = 20
 
 def minimum_image(delta: Column, length: Column) -> Column:
     """Displacement to the nearest periodic copy; half boxes round to even."""
-    return delta - length * F.bround(delta / length)
+    return delta - length * F.rint(delta / length)
 
 
 def wrap(x: Column, length: Column) -> Column:

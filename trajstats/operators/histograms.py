@@ -121,9 +121,14 @@ def pair_distribution(pairs: DataFrame, frames: DataFrame, keys: Sequence[str],
 
     ``frames`` has one row per frame with the point count and the box volume.
     """
+    counts = pairs.withColumn("bin", bin_index(F.col("dist"), width, n_bins)).filter("bin IS NOT NULL").groupBy(*keys, frame, "bin").agg(F.count(F.lit(1)).alias("h"))
+    return distribution_from_counts(counts, frames, keys, frame, width, n_bins, n, volume)
+
+
+def distribution_from_counts(counts: DataFrame, frames: DataFrame, keys: Sequence[str], frame: str, width: float, n_bins: int, n: str = "n", volume: str = "volume") -> DataFrame:
+    """``pair_distribution`` from the pairs of each frame counted by bin (h)."""
     usable = frames.filter(F.col(n) >= 2)
     n_frames = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames")) if keys else usable.agg(F.count(F.lit(1)).alias("n_frames"))
-    counts = pairs.withColumn("bin", bin_index(F.col("dist"), width, n_bins)).filter("bin IS NOT NULL").groupBy(*keys, frame, "bin").agg(F.count(F.lit(1)).alias("h"))
     ideal = F.col(n) / F.col(volume) * shell_volume(F.col("bin"), width) * F.col(n)
     sums = counts.join(usable, [*keys, frame]).groupBy(*keys, "bin").agg(F.sum(F.col("h") / ideal).alias("s"))
     grid = n_frames.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))

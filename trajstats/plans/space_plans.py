@@ -37,6 +37,11 @@ def _pairs(spark, d) -> DataFrame:
     return neighbors.radius_pairs(frames(spark, d), ["frame"], "bead_id", R, carry=CARRY)
 
 
+def _type_pairs(spark, d) -> DataFrame:
+    """Pairs of beads counted by frame and types."""
+    return contacts.kind_contacts(frames(spark, d), ["frame"], "bead_id", R, ["bead_type"])
+
+
 def _groups(spark, d) -> DataFrame:
     nodes = frames(spark, d).select("frame", "chain_id").distinct()
     return groups.connected_components(nodes, neighbors.chain_edges(_pairs(spark, d), ["frame"]), ["frame"])
@@ -276,7 +281,10 @@ gr AS (SELECT CAST(b.b AS INTEGER) AS bin, (b.b + 0.5::DOUBLE) * 3.0::DOUBLE AS
 def _rdf(spark, d):
     com = hist.centre_of_mass(frames(spark, d), ["frame", "chain_id", "lx", "ly", "lz"], pos=("x", "y", "z"), names=("x", "y", "z"))
     per_frame = com.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("lx") * F.col("ly") * F.col("lz")).alias("volume"))
-    return hist.pair_distribution(neighbors.radius_pairs(com, ["frame"], "chain_id", 30.0), per_frame, [], "frame", 3.0, 10)
+    com = cut_lineage(com.drop("mass_total", "n_beads"))
+    counts = neighbors.pair_counts(com, ["frame"], "chain_id", 30.0, width=3.0).select("frame", F.least("i", F.lit(9)).alias("bin"), F.col("n").alias("h"))
+    counts = counts.groupBy("frame", "bin").agg(F.sum("h").alias("h"))
+    return cut_lineage(hist.distribution_from_counts(counts, per_frame, [], "frame", 3.0, 10))
 
 
 @query("pair_distribution", "A4 J14", with_ctes(FRAMES_SQL, RDF_SQL, select="SELECT bin, r_mid, round(g, 8) AS g FROM gr"))
@@ -368,12 +376,12 @@ TYPE_CELLS_SQL = "tc AS (SELECT least(a_t, b_t) AS i, greatest(a_t, b_t) AS j, c
 @query("type_contacts", "A11", with_ctes(FRAMES_SQL, PAIRS_SQL, TYPE_CELLS_SQL, select="""
 SELECT i, j, count FROM tc UNION ALL SELECT j, i, count FROM tc WHERE i <> j"""))
 def type_contacts(spark, d):
-    return contacts.type_contacts(_pairs(spark, d), [])
+    return contacts.type_contacts(_type_pairs(spark, d), [], n="n")
 
 
-def _position_pairs(spark, d):
+def _position_cells(spark, d):
     fr = frames(spark, d).withColumn("position", F.col("bead_id") % 5)
-    return neighbors.radius_pairs(fr, ["frame"], "bead_id", 12.0, carry=["chain_id", "species", "position"])
+    return contacts.position_cells(contacts.kind_contacts(fr, ["frame"], "bead_id", 12.0, ["species", "position"], same="chain_id"), [], exclusion=2)
 
 
 POSITION_SQL = """pp AS (
@@ -387,7 +395,7 @@ pm AS (SELECT sa, sb, i, j, count(*) AS "full", count(*) FILTER (NOT same) AS "i
 
 @query("position_contacts", "A12", with_ctes(FRAMES_SQL, POSITION_SQL, select="SELECT * FROM pm"))
 def position_contacts(spark, d):
-    return contacts.position_contacts(_position_pairs(spark, d), [], exclusion=2)
+    return _position_cells(spark, d)
 
 
 @query("position_contact_axis", "A54 A20", with_ctes(FRAMES_SQL, POSITION_SQL, """
@@ -395,7 +403,7 @@ ax AS (SELECT * FROM (VALUES ('alpha', 0, false), ('beta', 5, false), ('gamma',
 pl AS (SELECT sa, sb, a.off + CASE WHEN a.rev THEN 4 - i ELSE i END AS i, b.off + CASE WHEN b.rev THEN 4 - j ELSE j END AS j, combined FROM pm JOIN ax a ON a.sp = sa JOIN ax b ON b.sp = sb)""", select="""
 SELECT i, j, combined FROM pl UNION ALL SELECT j, i, combined FROM pl WHERE sa <> sb"""))
 def position_contact_axis(spark, d):
-    cells = contacts.position_contacts(_position_pairs(spark, d), [], exclusion=2)
+    cells = _position_cells(spark, d)
     lengths = frames(spark, d).groupBy("species").agg(F.lit(5).cast("long").alias("length")).withColumn("rank", F.col("species"))
     return contacts.on_global_axis(cells, lengths, ["gamma"]).select("i", "j", "combined")
 
@@ -435,7 +443,7 @@ def _type_counts(spark, d):
 
 
 def _type_cells(spark, d):
-    upper = contacts.type_contacts(_pairs(spark, d), []).filter("i <= j")
+    upper = contacts.type_contacts(_type_pairs(spark, d), [], n="n").filter("i <= j")
     possible = contacts.possible_pairs(_type_counts(spark, d), [], "bead_type", "n")
     return possible.join(upper, ["i", "j"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
@@ -451,7 +459,7 @@ def possible_pairs(spark, d):
 
 @query("contact_membership", "A15", with_ctes(FRAMES_SQL, PAIRS_SQL, TYPE_CELLS_SQL, select="SELECT i, j, round(count / sum(count) OVER (), 10) AS f FROM tc"))
 def contact_membership(spark, d):
-    return contacts.membership(contacts.type_contacts(_pairs(spark, d), []).filter("i <= j"), []).select("i", "j", F.round("f", 10).alias("f"))
+    return contacts.membership(contacts.type_contacts(_type_pairs(spark, d), [], n="n").filter("i <= j"), []).select("i", "j", F.round("f", 10).alias("f"))
 
 
 ENRICH_SQL = POSSIBLE_SQL + """,
@@ -494,9 +502,9 @@ e{name} AS (SELECT i, j, f, f / q AS e, CASE WHEN f > 0 THEN ln(f / q) END AS ln
 SELECT i, j, round(e1.f - e2.f, 10) AS d_f, round(e1.ln_e - e2.ln_e, 8) AS d_ln_e, round(e1.e - e2.e, 8) AS d_e, CASE WHEN e1.f > 0 AND e2.f > 0 THEN round(ln(e1.f / e2.f), 8) END AS ln_f_ratio
 FROM e1 JOIN e2 USING (i, j)"""))
 def contact_contrast(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _type_pairs(spark, d)
     possible = contacts.possible_pairs(_type_counts(spark, d), [], "bead_type", "n").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-    cells = contacts.type_contacts(pairs.withColumn("half", F.col("frame") % 2), ["half"]).filter("i <= j")
+    cells = contacts.type_contacts(pairs.withColumn("half", F.col("frame") % 2), ["half"], n="n").filter("i <= j")
     full = possible.join(cells, ["half", "i", "j"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     en = contacts.enrichment(full, ["half"], triangle=True)
     out = contacts.contrast(en.filter("half = 0"), en.filter("half = 1"), ["i", "j"])
