@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajstats.operators import blocks, features, fits, groups, lags, rollups
+from trajstats.session import group_side
 
 
 def test_interface_fits_of_many_groups(spark):
@@ -155,3 +156,15 @@ def test_sources_count_in_their_order(spark):
     third = long(("b", "other", 5.0), ("K", "tc", 8.0))
     got = {r.id: tuple(r)[1:] for r in rollups.augmented_master(master, [first, second, third], ["tc", "other"], classes).collect()}
     assert got == {"a": (1, 1.0, 0.1, None, None), "b": (2, 9.0, 0.9, 5.0, 0.0), "c": (3, None, None, None, None), "d": (4, 6.0, 0.0, None, None), "K": (5, 9.0, 0.9, None, None)}
+
+
+def test_rows_of_many_chains_are_not_broadcast(spark, tmp_path):
+    """A small file may hold many rows: neither the pairs of times nor the rows of many groups go through the driver."""
+    rows = spark.range(3000).selectExpr("id AS chain", "explode(sequence(0, 11)) AS frame").selectExpr("chain", "frame", "double(frame * (chain % 7)) AS x", "0.0D AS y", "0.0D AS z")
+    rows.write.parquet(f"{tmp_path}/rows")
+    curve = lags.displacement_curve(spark.read.parquet(f"{tmp_path}/rows"), ["chain"], "frame", F.sequence(F.lit(0), F.lit(10)))
+    assert "BroadcastHashJoin" not in curve._jdf.queryExecution().executedPlan().toString()
+    groups = spark.range(3000).withColumnRenamed("id", "chain")
+    joined = spark.read.parquet(f"{tmp_path}/rows").join(group_side(groups), "chain")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in rows.join(group_side(groups.limit(5)), "chain")._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trajstats.operators import separable
-from trajstats.session import cut_lineage
+from trajstats.session import cut_lineage, group_side
 
 
 def interface_fit(profiles: DataFrame, keys: Sequence[str], r: str = "r_mid", density: str = "density", sem: str = "sem", *, start: str = "fixed", normalised: bool = False) -> DataFrame:
@@ -59,11 +59,11 @@ def confined_fit(curves: DataFrame, keys: Sequence[str], t: str = "lag", y: str
     about = cut_lineage(curves.select(*keys).distinct().join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("x").alias("_b"), (F.var_pop("y") * F.count(F.lit(1))).alias("_ss")), keys, "left"))
     enough = about.filter(F.col("_n") >= min_points)
     domain = enough.select(*keys, F.lit(True).alias("_positive"), F.lit(0.0).alias("_lo_tau"), F.log(F.greatest(5 * F.col("_b"), F.lit(2.0))).alias("_hi_tau"))
-    found = separable.separable_fit(rows.join(enough.select(*keys), keys), keys, separable.CONFINED, domain)
+    found = separable.separable_fit(rows.join(group_side(enough.select(*keys)), keys), keys, separable.CONFINED, domain)
     r2 = 1 - F.col("sse") / F.greatest(F.col("_ss"), F.lit(1e-300))
     unit = F.col("sse") / F.greatest(F.col("n") - 2, F.lit(1))
     status = F.when(F.coalesce(F.col("_n"), F.lit(0)) < min_points, "too_few_points").when(F.coalesce(F.col("l2"), F.lit(0.0)) <= 0, "failed").when(r2 < r2_min, "poor_fit").otherwise("ok")
-    out = about.join(found, keys, "left").withColumn("status", status)
+    out = about.join(group_side(cut_lineage(found)), keys, "left").withColumn("status", status)
     ok = F.col("status") == "ok"
     return out.select(
         *keys, F.when(ok, F.sqrt("l2")).alias("l"), F.when(ok, F.sqrt(F.greatest(F.col("c00") * unit, F.lit(0.0))) / (2 * F.sqrt("l2"))).alias("l_sem"), F.when(ok, F.col("tau")).alias("tau"),

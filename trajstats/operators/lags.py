@@ -31,7 +31,8 @@ def displacement_curve(series: DataFrame, keys: Sequence[str], t: str, lags: Col
     """
     start = series.withColumn("lag", F.explode(lags)).select(*keys, "lag", (F.col(t) + F.col("lag")).alias(t), *[F.col(p).alias(f"_{p}") for p in pos])
     d2 = sum(((F.col(p) - F.col(f"_{p}")) ** 2 for p in pos), F.lit(0.0))
-    return start.join(series.select(*keys, t, *pos), [*keys, t]).groupBy(*keys, "lag").agg(F.avg(d2).alias("msd"), F.count(F.lit(1)).alias("n"))
+    # Both sides have all rows; their size is not that of the files they come from, so neither may be broadcast.
+    return start.join(series.select(*keys, t, *pos).hint("merge"), [*keys, t]).groupBy(*keys, "lag").agg(F.avg(d2).alias("msd"), F.count(F.lit(1)).alias("n"))
 
 
 def displacement_curve_fft(series: DataFrame, keys: Sequence[str], t: str, pos: Sequence[str] = ("x", "y", "z")) -> DataFrame:

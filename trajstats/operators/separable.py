@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from trajstats.session import cut_lineage
+from trajstats.session import cut_lineage, group_side
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def separable_fit(rows: DataFrame, keys: Sequence[str], model: Model, domain: Da
     area = cut_lineage(area.withColumns({f"_step_{n}": (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) / (model.points - 1) for n in model.nonlinear} | {f"_{e}0_{n}": F.col(f"_{e}_{n}") for e in ("lo", "hi") for n in model.nonlinear}))
     best = None
     for level in range(model.levels):
-        grid = rows.join(area, keys).withColumn("_g0", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        grid = rows.join(group_side(area), keys).withColumn("_g0", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         grid = grid.withColumns({n: F.expr(text) for n, text in zip(model.nonlinear, grid_values(model))})
         grid = _staged(grid, [[s] for s in model.steps])
         found = _aggregated(grid, [*keys, "_g0", "_positive", *model.nonlinear], linear_sums(model))
@@ -148,14 +148,15 @@ def separable_fit(rows: DataFrame, keys: Sequence[str], model: Model, domain: Da
             for n in model.nonlinear:
                 moved[f"_lo_{n}"] = F.greatest(centre[n] - F.col(f"_step_{n}"), F.col(f"_lo0_{n}"))
                 moved[f"_hi_{n}"] = F.least(centre[n] + F.col(f"_step_{n}"), F.col(f"_hi0_{n}"))
-            area = area.drop(*moved).join(best, keys).withColumns(moved).drop(*names)
+            best = cut_lineage(best)
+            area = area.drop(*moved).join(group_side(best), keys).withColumns(moved).drop(*names)
             area = cut_lineage(area.withColumns({f"_step_{n}": (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) / (model.points - 1) for n in model.nonlinear}))
     bounds = [f"_{e}0_{n}" for n in model.nonlinear for e in ("lo", "hi")]
-    at = cut_lineage(best.join(area.select(*keys, "_positive", *bounds), keys))
+    at = cut_lineage(best.join(group_side(area.select(*keys, "_positive", *bounds)), keys))
     size, kept = len(names), None
     inverse = [f"c{i}{j}" for i in range(size) for j in range(i, size)]
     for _ in range(rounds):
-        here = _aggregated(_staged(rows.join(at, keys), [[s] for s in model.steps]), [*keys, "_positive", *bounds, *names], normal_sums(model))
+        here = _aggregated(_staged(rows.join(group_side(at), keys), [[s] for s in model.steps]), [*keys, "_positive", *bounds, *names], normal_sums(model))
         here = cut_lineage(_staged(here, normal_solution(size)).select(*keys, "_positive", *bounds, *names, "sse", "plain", "n", *inverse, *[f"s{i}" for i in range(size)]))
         kept = here if kept is None else kept.unionByName(here)
         at = here.select(*keys, "_positive", *bounds, *[F.expr(f"CASE WHEN {_stays(model)} THEN {text} ELSE {n} END").alias(n) for n, text in _moved(model).items()])

@@ -65,6 +65,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def group_side(df: DataFrame, max_rows: int = 2_000) -> DataFrame:
+    """One row per group, to be joined to the rows of the groups: a broadcast of few groups, a sort merge join of many.
+
+    Without the hint Spark may broadcast either side by the size of compressed files, which says little about its rows.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores over all cores.
 
