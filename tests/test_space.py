@@ -90,6 +90,26 @@ def test_components_path_star_and_tie(spark):
     assert groups.largest_groups(tie, ["frame"]).first().label == 1
 
 
+@pytest.mark.parametrize("seed,n,radius", [(3, 120, 2.0), (4, 400, 1.2), (5, 60, 8.0)])
+def test_components_by_radius_without_all_pairs(spark, seed, n, radius):
+    pdf = beads(seed, n)
+    want = {}
+    for f, g in pdf.groupby("frame"):
+        top = {c: c for c in g.chain_id}
+        for _, p, q in [e for e in brute(pdf, radius) if e[0] == f]:
+            low, high = sorted((top[p // 3], top[q // 3]))
+            top = {c: low if t == high else t for c, t in top.items()}
+        want |= {(f, c): t for c, t in top.items()}
+    got = {(r.frame, r.chain_id): r.label for r in groups.radius_components(spark.createDataFrame(pdf), ["frame"], "bead_id", radius).collect()}
+    assert got == want and (n < 100 or len(set(want.values())) > 1)
+
+
+def test_sure_links_of_a_crowd_grow_with_beads_only(spark):
+    """2,000 beads at one place make two million pairs and 1,999 links."""
+    crowd = spark.range(2000).selectExpr("0 AS frame", "id AS bead_id", "id AS chain_id", "5.0D AS x", "5.0D AS y", "5.0D AS z", "30.0D AS lx", "30.0D AS ly", "30.0D AS lz")
+    assert neighbors.sure_links(crowd, ["frame"], 2.0).count() == 1999
+
+
 def follow(frames):
     """Sequential reference: each pick maximises the match with the pick before."""
     picks, previous = {}, set()

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trajstats.functions.scalars import minimum_image
 from trajstats.functions.stats import finite
+from trajstats.operators import neighbors
 from trajstats.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "chain_id", max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "chain_id", max_rounds: int = 60, out: str = "label") -> DataFrame:
     """(keys, node, label): the label is the smallest node id of the component.
 
     Alternating star contraction (Kiveris et al., 2014): every round links neighbours to
@@ -30,8 +31,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
         previous = state
     else:
         raise RuntimeError("components did not settle")
-    members = links.select(*keys, F.col("b").alias(node), F.col("a").alias("label"))
-    return nodes.select(*keys, node).distinct().join(members, [*keys, node], "left").withColumn("label", F.coalesce("label", F.col(node)))
+    members = links.select(*keys, F.col("b").alias(node), F.col("a").alias(out))
+    return nodes.select(*keys, node).distinct().join(members, [*keys, node], "left").withColumn(out, F.coalesce(out, node))
+
+
+def radius_components(beads: DataFrame, keys: Sequence[str], id_col: str, radius: float, chain: str = "chain_id",
+                      pos: Sequence[str] = ("x", "y", "z"), box: Sequence[str] = ("lx", "ly", "lz")) -> DataFrame:
+    """(keys, chain, label): chains linked by beads closer than ``radius``, exactly, without all pairs of beads.
+
+    Beads of one small cell or of two touching ones are always that close (``neighbors.sure_links``), so a crowd costs links by beads and
+    cells. Only between the parts that remain are pairs of beads met (``neighbors.links_between``).
+    """
+    keys = list(keys)
+    beads = cut_lineage(beads.select(*keys, *dict.fromkeys([id_col, chain, *pos, *box])))
+    nodes = cut_lineage(beads.select(*keys, chain).distinct())
+    parts = cut_lineage(connected_components(nodes, neighbors.sure_links(beads, keys, radius, chain, pos, box), keys, chain))
+    rows = beads.select(*keys, id_col, chain, *pos, *box).join(parts.hint("merge"), [*keys, chain])
+    links = cut_lineage(neighbors.links_between(rows, keys, id_col, radius, "label", pos, box))
+    if links.isEmpty():
+        return parts
+    whole = connected_components(parts.select(*keys, "label").distinct(), links, keys, "label", out="_top")
+    return cut_lineage(parts.join(whole, [*keys, "label"]).select(*keys, chain, F.col("_top").alias("label")))
 
 
 def _large_star(links: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -43,8 +43,7 @@ def _type_pairs(spark, d) -> DataFrame:
 
 
 def _groups(spark, d) -> DataFrame:
-    nodes = frames(spark, d).select("frame", "chain_id").distinct()
-    return groups.connected_components(nodes, neighbors.chain_edges(_pairs(spark, d), ["frame"]), ["frame"])
+    return groups.radius_components(frames(spark, d), ["frame"], "bead_id", R)
 
 
 @query("radius_pairs", "J1 P3 P4 P5 M1 M2", with_ctes(FRAMES_SQL, PAIRS_SQL, select="""
