@@ -163,6 +163,19 @@ def test_unwrapped_group_is_compact(spark):
     assert [xs[i] for i in range(5)] == pytest.approx([28, 29.5, 31, 32.5, 34])
 
 
+def test_assembly_by_radius_follows_the_same_tree(spark, monkeypatch):
+    """Dense enough to reach around the box, where the tree decides the images."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 16)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 8)
+    df = spark.createDataFrame(beads(6, 150).drop(columns="chain_id").rename(columns={"bead_id": "chain_id"}))
+    pairs = neighbors.radius_pairs(df, ["frame"], "chain_id", 2.5)
+    edges = pairs.select("frame", F.col("a_chain_id").alias("u"), F.col("b_chain_id").alias("v"))
+    g = groups.connected_components(df.select("frame", "chain_id"), edges, ["frame"])
+    cols = ["frame", "chain_id", "label", *[F.round(c, 9).alias(c) for c in "xyz"]]
+    want = groups.unwrapped_groups(g, edges, df, ["frame"]).select(*cols).collect()
+    assert set(groups.radius_unwrapped(df, ["frame"], 2.5).select(*cols).collect()) == set(want) and len(want) == 300
+
+
 def test_profile_conserves_weight_and_closes_last_bin(spark):
     rows = spark.createDataFrame([(0, 0.0, 1.0), (0, 2.0, 2.0), (0, 4.0, 4.0), (1, 4.1, 8.0)], "frame int, r double, w double")
     out = hist.radial_profile(rows.withColumn("s", F.lit("a")), ["s"], "frame", "r", "w", 1.0, 4).toPandas().sort_values("bin")

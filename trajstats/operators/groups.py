@@ -214,7 +214,41 @@ def spanning_shifts(links: DataFrame, keys: Sequence[str], shifts: Sequence[str]
     """
     keys, shifts = list(keys), list(shifts)
     links = cut_lineage(links.select(*keys, "a", "b", F.col("a").alias("_oa"), F.col("b").alias("_ob"), *shifts))
-    total = None
+    return _spanned(links, None, keys, shifts)
+
+
+def radius_shifts(nodes: DataFrame, keys: Sequence[str], node: str, radius: float, pos: Sequence[str] = ("x", "y", "z"), box: Sequence[str] = ("lx", "ly", "lz")) -> DataFrame:
+    """``spanning_shifts`` for the links of all nodes closer than ``radius``, by the same tree, without a row for each link.
+
+    The first round needs the smallest neighbour of each node, and after it the first link between two trees; both are found where the
+    nodes meet (``neighbors.lowest_links``). What is left is links between trees.
+    """
+    keys, shifts = list(keys), [f"_d{k}" for k in range(len(pos))]
+    tree = cut_lineage(neighbors.lowest_links(nodes, keys, node, radius, None, pos, box).select(*keys, F.col("b").alias("node"), F.col("a").alias("up"), *shifts))
+    total = cut_lineage(_doubled(tree, keys, shifts).withColumnRenamed("up", "root"))
+    rows = nodes.select(*keys, F.col(node).alias("node"), *pos, *box).join(total.select(*keys, "node", "root"), [*keys, "node"], "left")
+    rows = cut_lineage(rows.withColumn("root", F.coalesce("root", "node")))
+    links = neighbors.lowest_links(rows, keys, "node", radius, "root", pos, box).withColumnsRenamed({"a": "_oa", "b": "_ob"})
+    for end, sign in (("a", 1), ("b", -1)):
+        top = total.select(*keys, F.col("node").alias(f"_o{end}"), F.col("root").alias("_up"), *[F.col(s).alias(f"_{s}") for s in shifts])
+        links = links.join(top, [*keys, f"_o{end}"], "left").withColumns({end: F.coalesce("_up", f"_o{end}")} | {s: F.col(s) + sign * F.coalesce(F.col(f"_{s}"), F.lit(0.0)) for s in shifts}).drop("_up", *[f"_{s}" for s in shifts])
+    turned = F.col("a") > F.col("b")
+    links = links.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_oa", "_ob", *[F.when(turned, -F.col(s)).otherwise(F.col(s)).alias(s) for s in shifts])
+    return _spanned(cut_lineage(links), total, keys, shifts)
+
+
+def radius_unwrapped(positions: DataFrame, keys: Sequence[str], radius: float, chain: str = "chain_id", pos: Sequence[str] = ("x", "y", "z"), box: Sequence[str] = ("lx", "ly", "lz")) -> DataFrame:
+    """``unwrapped_groups`` of the groups that links closer than ``radius`` make, with their labels."""
+    keys = list(keys)
+    where = cut_lineage(positions.select(*keys, chain, *pos, *box))
+    moved = cut_lineage(radius_shifts(where, keys, chain, radius, pos, box)).withColumnsRenamed({"node": chain, "root": "label"})
+    rows = where.select(*keys, chain).join(moved, [*keys, chain], "left").withColumn("label", F.coalesce("label", chain))
+    origin = where.select(*keys, F.col(chain).alias("label"), *pos)
+    return rows.join(origin, [*keys, "label"]).select(*keys, chain, *[(F.col(p) + F.coalesce(F.col(f"_d{k}"), F.lit(0.0))).alias(p) for k, p in enumerate(pos)], "label")
+
+
+def _spanned(links: DataFrame, total: DataFrame | None, keys: Sequence[str], shifts: Sequence[str]) -> DataFrame:
+    """The rounds of ``spanning_shifts`` over links (a, b, first ends, shifts) of what is one node by now, ``total`` being the tree so far."""
     while not links.isEmpty():
         best = F.min(F.struct("a", "_oa", "_ob", *shifts)).alias("_m")
         tree = links.groupBy(*keys, F.col("b").alias("node")).agg(best).select(*keys, "node", F.col("_m.a").alias("up"), *[F.col(f"_m.{s}").alias(s) for s in shifts])

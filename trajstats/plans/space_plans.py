@@ -202,10 +202,7 @@ def unwrapped_groups(spark, d):
     box = ["lx", "ly", "lz"]
     nodes = hist.centre_of_mass(frames(spark, d), ["frame", "chain_id", *box], names=("x", "y", "z"))
     nodes = cut_lineage(nodes.select("frame", "chain_id", *box, *[F.pmod(F.col(p), F.col(length)).alias(p) for p, length in zip("xyz", box)]))
-    pairs = neighbors.radius_pairs(nodes, ["frame"], "chain_id", 2.5 * R)
-    edges = pairs.select("frame", F.col("a_chain_id").alias("u"), F.col("b_chain_id").alias("v"))
-    g = groups.connected_components(nodes.select("frame", "chain_id"), edges, ["frame"])
-    out = groups.unwrapped_groups(g, edges, nodes, ["frame"])
+    out = groups.radius_unwrapped(nodes, ["frame"], 2.5 * R)
     return rounded(out.select("frame", "chain_id", "label", "x", "y", "z"), "x", "y", "z", places=5)
 
 
