@@ -127,7 +127,13 @@ def silhouette(rows: DataFrame, id_col: str, features: Sequence[str], cluster: s
                 xs = [np.column_stack([np.asarray(getattr(row, f"{p}_{f}"), float) for f in features]) for p in "ab"]
                 ids = [np.asarray(getattr(row, f"{p}_{id_col}")) for p in "ab"]
                 names = [np.asarray(getattr(row, f"{p}_{cluster}")) for p in "ab"]
-                d = np.sqrt(((xs[0][:, None, :] - xs[1][None, :, :]) ** 2).sum(axis=2))
+                # One feature after the other: the arrays of two tiles stay in the cache.
+                d = np.zeros((len(xs[0]), len(xs[1])))
+                for p, q in zip(xs[0].T, xs[1].T):
+                    step = p[:, None] - q[None, :]
+                    step *= step
+                    d += step
+                np.sqrt(d, out=d)
                 sides = ((0, 1, d),) if row.tile == row.other else ((0, 1, d), (1, 0, d.T))
                 for me, you, dist in sides:
                     for c in np.unique(names[you]):
