@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajstats.operators import contacts, groups, histograms as hist, neighbors
+from trajstats.plans import space_plans
+from trajstats.plans.views import SPECIES
 
 BOX = np.array([30.0, 20.0, 9.0])
 
@@ -90,6 +92,39 @@ def test_pair_counts_without_pairs(spark, monkeypatch, rows, radius):
     assert set(by_pair) == set(contacts.position_cells(counted, [], position="kind", exclusion=1).collect())
 
 
+@pytest.mark.parametrize("carried,rows,n,radius", [(16, 40, 150, 2.5), (2, 8_192, 150, 2.5), (5, 8_192, 40, 12.0)])
+def test_chain_pairs_without_pairs(spark, monkeypatch, carried, rows, n, radius):
+    """Chains of 1 to many beads, some of two species, cells in parts or whole: as the distinct pairs of the beads' pairs."""
+    monkeypatch.setattr(neighbors, "HOME_ROWS", 8)
+    monkeypatch.setattr(neighbors, "GROUP_ROWS", rows)
+    monkeypatch.setattr(neighbors, "CARRIED_BEADS", carried)
+    monkeypatch.setattr(neighbors, "BLOCK", (16, 32))
+    monkeypatch.setattr(neighbors, "CHAIN_PAIRS", 1_000)
+    pdf = beads(8, n).assign(chain_id=lambda f: f.bead_id % 9 * (f.bead_id % 4), species=lambda f: [("abc"[c % 3] if c % 5 else "ab"[b % 2]) for c, b in zip(f.chain_id, f.bead_id)])
+    pdf = pdf.assign(x=[np.nan if b == 7 else x for b, x in zip(pdf.bead_id, pdf.x)])
+    pdf["chain_id"] = pdf.chain_id.where(pdf.bead_id % 9 > 2, 100 + pdf.bead_id // 3)
+    df = spark.createDataFrame(pdf)
+    pairs = neighbors.radius_pairs(df, ["frame"], "bead_id", radius, carry=["chain_id", "species"])
+    want = contacts.species_contacts(pairs, [], "frame").collect()
+    got = contacts.chain_contacts(df, [], "frame", "bead_id", radius).collect()
+    assert set(got) == set(want) and len(got) == len(want) == 9
+
+
+def test_species_contacts_makes_no_row_for_a_pair(spark, tmp_path, monkeypatch):
+    """300 vectors at one place make 44,850 pairs of beads a frame; a group gives a row for two species at most."""
+    made = []
+    first = neighbors._first_of_chains
+    monkeypatch.setattr(neighbors, "radius_pairs", None)
+    monkeypatch.setattr(neighbors, "_first_of_chains", lambda *a: made.append(a) or first(*a))
+    rows = [(i, i % 3, [0.001 * (i % 7)] * 64) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = space_plans.species_contacts(spark, str(tmp_path))
+    counts = {(r.i, r.j): r["count"] for r in out.collect()}
+    # 60 chains, 15 of a species, all in touch.
+    assert counts == {(i, j): 21 * (15 * 14 if i == j else 225) for i in SPECIES for j in SPECIES}
+    assert len(made) == 1
+
+
 def test_components_path_star_and_tie(spark):
     path = [(0, i, i + 1) for i in range(1, 60)]
     star = [(1, 5, k) for k in range(6, 40)]

@@ -360,7 +360,7 @@ cpair AS (SELECT DISTINCT frame, least(a_chain, b_chain) AS u, greatest(a_chain,
 dirs AS (SELECT su AS i, sv AS j FROM cpair UNION ALL SELECT sv, su FROM cpair)""", select="""
 SELECT i, j, count(*) AS count, round(count(*) / 21, 8) AS per_frame, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM dirs GROUP BY 1, 2"""))
 def species_contacts(spark, d):
-    cells = contacts.species_contacts(_pairs(spark, d), [], "frame")
+    cells = contacts.chain_contacts(frames(spark, d), [], "frame", "bead_id", R)
     n = frames(spark, d).agg(F.count_distinct("frame").alias("n_frames"))
     out = contacts.membership(cells, []).crossJoin(F.broadcast(n))
     return out.select("i", "j", "count", F.round(F.col("count") / F.col("n_frames"), 8).alias("per_frame"), F.round("f", 8).alias("share"))
