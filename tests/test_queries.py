@@ -65,3 +65,18 @@ def test_radius_of_a_chain_of_one_and_of_coincident_beads(spark, tmp_path):
     got = sorted(tuple(r) for r in entry.queries()["hydrodynamic_radius"](spark, str(tmp_path)).select("frame", "chain_id", "n_beads", "rh").collect())
     assert len(got) == 63 and sum(r[3] is None for r in got) == 21
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(g[3] == w[3] or close(g[3], w[3]) for g, w in zip(got, want))
+
+
+def test_silhouette_of_copies_and_of_rows_without_label_or_text(spark, tmp_path):
+    """Copies, a label twice for one text, rows without a label or a text: as in SQL."""
+    texts = [(" a1B\n" * (1 + 7 * i % 5) + "x" * (i % 3)) for i in range(24)] + [None]
+    docs = [(i, t, None if t is None else len(t)) for i, t in enumerate([*texts, *texts[:10], ""])]
+    labels = [(i, None if i == 5 else i % 3) for i, _, n in docs if n != 0] + [(7, 2), (7, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "labels"):
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(c.execute(f"select doc_id, label, s from ({entry.oracle_sql()['silhouette']})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in entry.queries()["silhouette"](spark, str(tmp_path)).select("doc_id", "label", "s").collect()), key=str)
+    assert len(got) == 36 and [g[:2] for g in got] == [w[:2] for w in want] and all(close(g[2], w[2]) for g, w in zip(got, want))

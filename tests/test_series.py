@@ -121,6 +121,44 @@ def test_features_on_planted_groups(spark):
     assert len(s) == 24 and s.s.mean() > 0.6
 
 
+def _rows_of_python(df):
+    """Rows that a query's Python steps gave, read from its plan after it ran."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            found += node.metrics().apply("pythonNumRowsReceived").value() if node.metrics().contains("pythonNumRowsReceived") else 0
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_silhouette_sends_rows_in_proportion_to_points(spark):
+    """Sums of distances against plain ones; twice the points give twice the rows, not four times, and copies none."""
+    rng = np.random.default_rng(11)
+    sent = []
+    for n in (100, 200):
+        x, y = rng.normal(size=(n, 2)), rng.integers(0, 3, n)
+        pdf = pd.DataFrame({"unit": range(n), "label": [f"c{v}" for v in y], "f": x[:, 0], "g": x[:, 1]})
+        pdf = pd.concat([pdf, pdf.iloc[: n // 2].assign(unit=lambda t: t.unit + n)], ignore_index=True)
+        out = features.silhouette(spark.createDataFrame(pdf), "unit", ["f", "g"], "label", tile_rows=4)
+        sent.append(_rows_of_python(out))
+        z, lab = pdf[["f", "g"]].to_numpy(), pdf.label.to_numpy()
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+        to = {c: d[:, lab == c] for c in np.unique(lab)}
+        a = np.array([to[c][i].sum() / (to[c].shape[1] - 1) for i, c in enumerate(lab)])
+        b = np.array([min(to[o][i].mean() for o in to if o != c) for i, c in enumerate(lab)])
+        got = out.toPandas().set_index("unit").s.loc[pdf.unit].to_numpy()
+        assert got == pytest.approx((b - a) / np.maximum(a, b), abs=1e-12)
+    # At most one row for a point, a cluster and a block.
+    assert 0 < sent[0] <= 100 * 3 * 16 and sent[0] < sent[1] <= 200 * 3 * 16
+
+
 def test_windows_reflection_and_intervals(spark):
     df = spark.createDataFrame([("a", i, float(i == 0)) for i in range(30)], "k string, i int, y double")
     out = windows.smoothed(df, ["k"], "i", "y", 2.0).toPandas().sort_values("i")

@@ -8,10 +8,12 @@ fits on unit tables: every repeat is one group, and groups spread over the clust
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -20,8 +22,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trajstats.functions.draws import uniform
-from trajstats.operators.neighbors import tile_pairs, tiled
-from trajstats.session import cut_lineage
+from trajstats.session import cut_lineage, group_side
 
 FLAT = 1e-9
 FOLD_PARTS = 32
@@ -111,37 +112,35 @@ def standardised(units: DataFrame, features: Sequence[str], keys: Sequence[str]
     return joined.withColumns(scaled).drop(*[f"_{p}_{f}" for f in features for p in "ms"])
 
 
+#: Blocks that points are dealt to at least, most points of a block (of few clusters), and the piece of an array of distances that stays in the cache.
+BLOCKS, BLOCK_ROWS, PIECE = 16, 65_536, (64, 1024)
+
+
 def silhouette(rows: DataFrame, id_col: str, features: Sequence[str], cluster: str, tile_rows: int = 512) -> DataFrame:
     """Exact Euclidean silhouette (id, cluster, s).
 
-    Distances are summed per point and cluster inside pairs of tiles, so neither the
-    pairs nor a whole cluster ever sit in one task.
+    Rows with the same features and cluster are one point of that weight. Points are dealt to blocks, and a task sums the distances
+    of two blocks per point and cluster. A point is copied once for each block, so rows sent grow with the points
+    times the blocks, and a task holds two blocks; only the distances computed grow with the square of the points.
+    As in SQL, a row without cluster counts for none, and one without a feature counts as a member at no distance; both have s = 0.
     """
-    cols = [id_col, cluster, *features]
-    tiles = tiled(rows.withColumn("_g", F.lit(0)).select("_g", *cols), ["_g"], id_col, cols, tile_rows)
-    pairs = tile_pairs(tiles, ["_g"], cols)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                xs = [np.column_stack([np.asarray(getattr(row, f"{p}_{f}"), float) for f in features]) for p in "ab"]
-                ids = [np.asarray(getattr(row, f"{p}_{id_col}")) for p in "ab"]
-                names = [np.asarray(getattr(row, f"{p}_{cluster}")) for p in "ab"]
-                # One feature after the other: the arrays of two tiles stay in the cache.
-                d = np.zeros((len(xs[0]), len(xs[1])))
-                for p, q in zip(xs[0].T, xs[1].T):
-                    step = p[:, None] - q[None, :]
-                    step *= step
-                    d += step
-                np.sqrt(d, out=d)
-                sides = ((0, 1, d),) if row.tile == row.other else ((0, 1, d), (1, 0, d.T))
-                for me, you, dist in sides:
-                    for c in np.unique(names[you]):
-                        mask = names[you] == c
-                        yield pd.DataFrame({"id": ids[me], "own": names[me], "other_cluster": c, "total": dist[:, mask].sum(axis=1), "n": int(mask.sum())})
-
-    kind, cl = rows.schema[id_col].dataType.simpleString(), rows.schema[cluster].dataType.simpleString()
-    parts = pairs.mapInPandas(sums, f"id {kind}, own {cl}, other_cluster {cl}, total double, n long").groupBy("id", "own", "other_cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    kind = rows.schema[cluster].dataType.simpleString()
+    # Written first: features that are computed twice may differ in their last digits and not be found again.
+    rows = cut_lineage(rows.select(id_col, cluster, *features))
+    members = rows.filter(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("_other")).agg(F.count(F.lit(1)).alias("_n"))
+    point = [cluster, *features]
+    whole = rows
+    for c in point:
+        whole = whole.filter(F.col(c).isNotNull())
+    points = cut_lineage(whole.groupBy(*point).agg(F.count(F.lit(1)).cast("double").alias("_w")).withColumn("_p", F.monotonically_increasing_id()))
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(cluster).alias("k")).first()
+    blocks = _blocks(size["n"], size["k"], tile_rows)
+    totals = _block_pairs(points, ["_p", "_w", *point], size["n"], blocks, tile_rows).groupBy("part", "pair").applyInArrow(_distance_totals(cluster, features), f"_p long, _other {kind}, _total double")
+    totals = totals.groupBy("_p", "_other").agg(F.sum("_total").alias("_total")).join(group_side(members), "_other")
+    totals = totals.groupBy("_p").agg(F.collect_list(F.struct("_other", "_total", "_n")).alias("_t"))
+    # An id may stand in several rows: these count together.
+    parts = rows.join(points.join(totals, "_p").select(*point, "_t"), point, "left").select(F.col(id_col).alias("id"), F.col(cluster).alias("own"), F.explode_outer("_t").alias("_t"))
+    parts = parts.groupBy("id", "own", F.col("_t._other").alias("other_cluster")).agg(F.sum("_t._total").alias("total"), F.sum("_t._n").alias("n"))
     own = F.col("own") == F.col("other_cluster")
     ab = parts.groupBy("id", "own").agg(
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b")
@@ -150,6 +149,90 @@ def silhouette(rows: DataFrame, id_col: str, features: Sequence[str], cluster: s
     return ab.select(F.col("id").alias(id_col), F.col("own").alias(cluster), s.alias("s"))
 
 
+def _blocks(n: int, k: int, tile_rows: int) -> int:
+    """Blocks for ``n`` points of ``k`` clusters: a block and its sums by cluster take a few MB."""
+    most = max(tile_rows, BLOCK_ROWS * 8 // max(k, 8))
+    return max(1, min(BLOCKS, math.ceil(n / tile_rows)), math.ceil(n / most))
+
+
+def _block_pairs(points: DataFrame, cols: Sequence[str], n: int, blocks: int, tile_rows: int) -> DataFrame:
+    """Tiles of the points, a copy for each pair of blocks that their block is in: (part, pair, low, diagonal, one array per column).
+
+    Pairs have numbers, and each of them has a partition of its own as far as there are that many.
+    """
+    tiles = blocks * max(1, math.ceil(n / blocks / tile_rows))
+    packed = points.groupBy(F.pmod(F.xxhash64("_p"), F.lit(tiles)).cast("int").alias("_tile")).agg(F.collect_list(F.struct(*cols)).alias("_s"))
+    at, with_ = F.col("_tile") % blocks, F.col("_with")
+    copies = packed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least(at, with_), F.greatest(at, with_)
+    pair = (high * (high + 1) / 2 + low).cast("int")
+    parts = min(blocks * (blocks + 1) // 2, 4096)
+    copies = copies.select((pair % parts).alias("part"), pair.alias("pair"), (at == low).alias("low"), (at == with_).alias("diagonal"), *[F.col(f"_s.{c}").alias(c) for c in cols])
+    return copies.repartitionById(parts, F.col("part"))
+
+
+def _distance_totals(cluster: str, features: Sequence[str]):
+    """For two blocks: the sums of the distances of each point to the points of each cluster of the other block."""
+
+    def block(tiles: pa.Table) -> tuple:
+        """Points in the order of their clusters."""
+        flat = lambda c: pa.concat_arrays([x.flatten() for x in tiles[c].chunks])
+        names = flat(cluster).dictionary_encode()
+        codes = names.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        take = lambda c: flat(c).to_numpy(zero_copy_only=False)[order]
+        return take("_p"), take("_w"), codes[order], names.dictionary, [take(f).astype(float) for f in features]
+
+    def pieces(w: np.ndarray, codes: np.ndarray, step: int) -> list[tuple]:
+        """(first and last row, first and last cluster, weights by cluster) of every piece."""
+        out = []
+        for i in range(0, len(w), step):
+            c = codes[i: i + step]
+            weights = np.zeros((len(c), c[-1] - c[0] + 1))
+            weights[np.arange(len(c)), c - c[0]] = w[i: i + step]
+            out.append((i, i + len(c), c[0], c[-1] + 1, weights))
+        return out
+
+    def sums(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(points of a, clusters of b) and (clusters of a, points of b)."""
+        (_, wa, ca, ka, xs), (_, wb, cb, kb, ys) = a, b
+        to_b, to_a = np.zeros((len(wa), len(kb))), np.zeros((len(ka), len(wb)))
+        right = pieces(wb, cb, PIECE[1])
+        square, step = np.empty(PIECE), np.empty(PIECE)
+        for i, i1, u, u1, left_weights in pieces(wa, ca, PIECE[0]):
+            left = [x[i:i1, None] for x in xs]
+            for j, j1, v, v1, right_weights in right:
+                d, e = square.ravel()[: (i1 - i) * (j1 - j)].reshape(i1 - i, j1 - j), step.ravel()[: (i1 - i) * (j1 - j)].reshape(i1 - i, j1 - j)
+                for f, (x, y) in enumerate(zip(left, ys)):
+                    part = e if f else d
+                    np.subtract(x, y[j:j1], out=part)
+                    np.multiply(part, part, out=part)
+                    if f:
+                        np.add(d, part, out=d)
+                np.sqrt(d, out=d)
+                to_b[i:i1, v:v1] += d @ right_weights
+                to_a[u:u1, j:j1] += left_weights.T @ d
+        return to_b, to_a
+
+    def long(p: np.ndarray, names: pa.Array, totals: np.ndarray) -> pa.Table:
+        """One row for a point and a cluster."""
+        other = names.take(pa.array(np.repeat(np.arange(len(names)), len(p))))
+        return pa.table({"_p": np.tile(p, len(names)), "_other": other, "_total": totals.ravel()})
+
+    def one(pair: pa.Table) -> pa.Table:
+        low, high = pair.filter(pair["low"]), pair.filter(pc.invert(pair["low"]))
+        if pair["diagonal"][0].as_py():
+            a = block(low)
+            return long(a[0], a[3], sums(a, a)[0].T)
+        if not len(low) or not len(high):  # no point in one of the blocks
+            return long(np.empty(0, np.int64), pair[cluster].combine_chunks().flatten()[:0], np.empty(0))
+        a, b = block(low), block(high)
+        to_b, to_a = sums(a, b)
+        return pa.concat_tables([long(a[0], b[3], to_b.T), long(b[0], a[3], to_a)])
+
+    return one
+
+
 # --- repeated small fits on unit tables -------------------------------------------------
 
 def _fit_two(x: np.ndarray, seed: int, starts: int = 20):

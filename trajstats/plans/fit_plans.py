@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from trajstats.functions.draws import normal_sql
@@ -11,7 +13,7 @@ from trajstats.plans.registry import query
 from trajstats.plans.series_plans import rounded
 from trajstats.plans.space_plans import CENTRE_SQL, _strip_unused, profile_sql
 from trajstats.plans.views import CONDITIONS_SQL, FRAMES_SQL, condition_orders, table, with_ctes
-from trajstats.session import spread
+from trajstats.session import cut_lineage, spread
 
 # --- coexistence curves: segments as conditions, years as temperatures ------------------
 
@@ -271,12 +273,15 @@ DOC_SQL = """df AS (SELECT d.doc_id, quality AS label, n_chars::DOUBLE AS n_char
 
 def _documents(spark, d, labelled: bool = True) -> DataFrame:
     """Features of the documents: of the labelled ones with their label, or of all of them."""
-    doc, lab = spread(table(spark, d, "documents")), table(spark, d, "labels")
-    n = F.length("text")
-    rows = (doc.join(lab, "doc_id") if labelled else doc.withColumn("quality", F.lit(None).cast("int"))).select(
-        "doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), (n - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("double").alias("n_lines"),
-        (F.length(F.regexp_replace("text", "[^0-9]", "")) / n).alias("digit_share"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n).alias("upper_share"), ((n - F.length(F.replace("text", F.lit(" "), F.lit("")))) / n).alias("space_share"))
-    return rows
+    n, none = F.length("text"), F.lit("")
+    share = lambda count: F.when(n == 0, F.lit(math.nan)).otherwise(count / n)
+    # Before the join, which then moves numbers and not texts. Shares of an empty text are NaN, as in SQL.
+    doc = spread(table(spark, d, "documents")).select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), (n - F.length(F.replace("text", F.lit("\n"), none))).cast("double").alias("n_lines"),
+        share(F.length(F.regexp_replace("text", "[^0-9]+", ""))).alias("digit_share"), share(F.length(F.regexp_replace("text", "[^A-Z]+", ""))).alias("upper_share"),
+        share(n - F.length(F.replace("text", F.lit(" "), none))).alias("space_share"))
+    rows = doc.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id") if labelled else doc.withColumn("label", F.lit(None).cast("int"))
+    return rows.select("doc_id", "label", *DOC_FEATURES)
 
 
 @query("feature_ranking", "L1 W12", with_ctes(DOC_SQL, "un AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, label FROM df" for f in DOC_FEATURES) + "), sc AS (SELECT feature, coalesce(CASE WHEN stddev_pop(x) < 1e-9 THEN 0 ELSE abs(corr(x, label)) END, 0) AS r FROM un GROUP BY 1)", select="""
@@ -313,7 +318,8 @@ def threshold_confusion(spark, d):
 ds AS (SELECT a.doc_id, a.label AS own, b.label AS oth, sum(sqrt(""" + " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in DOC_FEATURES) + """)) AS t, count(*) AS n FROM zs a JOIN zs b ON true GROUP BY 1, 2, 3),
 ab AS (SELECT doc_id, own, max(t / (n - 1)) FILTER (own = oth AND n > 1) AS a, min(t / n) FILTER (own <> oth) AS b FROM ds GROUP BY 1, 2)""", select="SELECT doc_id, own AS label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 8) AS s FROM ab"))
 def silhouette(spark, d):
-    z = feat.standardised(_documents(spark, d), DOC_FEATURES)
+    # Written once, so that the texts are read and counted once for the means and the rows.
+    z = feat.standardised(cut_lineage(_documents(spark, d)), DOC_FEATURES)
     return rounded(feat.silhouette(z, "doc_id", DOC_FEATURES, "label"), "s")
 
 
